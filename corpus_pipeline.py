@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm import exact_dedup, mixing, pattern_packing, toxicity
+from tidewake.llm import exact_dedup, mixing, near_join, pattern_packing, toxicity
 from tidewake.llm.common import materialise, table
 
 
@@ -24,6 +24,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_copies(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group that five-word shingles link (similarity 0.8 or more) one document stays."""
+    return near_join.drop_near_copies(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
     return mixing.mix(docs)
@@ -37,6 +42,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES = [
     ("toxicity", drop_toxic),
     ("exact_dedup", drop_copies),
+    ("ngram_jaccard", drop_near_copies),
     ("mixing", mix_sources),
     ("packing", pack_sequences),
 ]

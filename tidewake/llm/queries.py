@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from tidewake.llm import exact_dedup, mixing, pattern_packing, toxicity
+from tidewake.llm import exact_dedup, licence_scan, mixing, near_join, ordinal_quality, pattern_packing, projection_forest, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_pattern_packing": pattern_packing.op3_pattern_packing,
+    "op4_licence_scan": licence_scan.op4_licence_scan,
+    "op5_ordinal_quality": ordinal_quality.op5_ordinal_quality,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_projection_forest": projection_forest.op7_projection_forest,
+    "op8_ngram_jaccard": near_join.op8_ngram_jaccard,
     "op10_mixing": mixing.op10_mixing,
 }
 
