@@ -77,14 +77,11 @@ def train(texts: list[bytes], labels: list[int], l2: float = 8.0, steps: int = 3
     if not len(y) or y.min() == y.max():
         rate = (y.sum() + 0.5) / (len(y) + 1)
         return Model(np.zeros(1 << BITS), np.log(rate / (1 - rate)))
-    found = [np.unique(grams(t), return_counts=True) for t in texts]
-    row = np.repeat(np.arange(len(found)), [len(c) for c, _ in found])
-    col = np.concatenate([c for c, _ in found])
-    times = np.log2(1 + np.concatenate([k for _, k in found]))
     width = 1 << BITS
     n1, n0 = y.sum(), (1 - y).sum()
-    c1 = np.bincount(col, weights=y[row], minlength=width)
-    c0 = np.bincount(col, weights=1 - y[row], minlength=width)
+    c1, c0 = np.zeros(width), np.zeros(width)
+    for t, label in zip(texts, y):  # one text's columns at a time: memory stays that of the texts
+        (c1 if label else c0)[np.unique(grams(t))] += 1
     p1, p0 = (c1 + 0.5) / (n1 + 1), (c0 + 0.5) / (n0 + 1)
     ratio = np.log(p1 / p0)
     every = (c1 + c0 + 0.5) / (n1 + n0 + 1)
@@ -94,10 +91,14 @@ def train(texts: list[bytes], labels: list[int], l2: float = 8.0, steps: int = 3
     keep = keep[gain[keep] > 6.0]
     place = np.full(width, -1)
     place[keep] = np.arange(len(keep))
-    known = place[col] >= 0
-    row, at = row[known], place[col[known]]
+    found = []
+    for t in texts:
+        known = place[grams(t)]
+        found.append(np.unique(known[known >= 0], return_counts=True))
+    row = np.repeat(np.arange(len(found)), [len(c) for c, _ in found])
+    at = np.concatenate([c for c, _ in found])
     scale = ratio[keep]
-    x = scale[at] * times[known]
+    x = scale[at] * np.log2(1 + np.concatenate([k for _, k in found]))
     share = np.where(y == 1, 0.5 / n1, 0.5 / n0) * len(y)  # both labels weigh alike
     w, b = np.zeros(len(keep)), 0.0
     mw, vw, mb, vb = np.zeros(len(keep)), np.zeros(len(keep)), 0.0, 0.0
@@ -160,6 +161,6 @@ def op6_toxicity(spark, sf_dir: str) -> DataFrame:
     model = fit(docs, table(spark, sf_dir, "labels"))
     scored = score_rows(docs.select("doc_id", "text"), model)
     return scored.select(
-        F.col("row.doc_id").alias("doc_id"), (fold(F.col("row.doc_id")) == 1).alias("held_out"), "score",
+        F.col("row.doc_id").alias("doc_id"), F.coalesce(fold(F.col("row.doc_id")) == 1, F.lit(False)).alias("held_out"), "score",
         F.when(F.col("score") >= 0.7, 1).otherwise(0).cast("int").alias("predicted"),
     )
