@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewake.llm import exact_dedup, licence_scan, mixing, near_join, ordinal_quality, pattern_packing, projection_forest, suffix_dedup, toxicity
+from tidewake.llm import exact_dedup, licence_scan, mixing, near_join, ordinal_quality, pattern_packing, projection_forest, suffix_dedup, token_matrix, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_projection_forest": projection_forest.op7_projection_forest,
     "op8_ngram_jaccard": near_join.op8_ngram_jaccard,
+    "op9_token_matrix": token_matrix.op9_token_matrix,
     "op10_mixing": mixing.op10_mixing,
 }
 
