@@ -168,6 +168,7 @@ class CatalogueReader(DataSourceReader):
 
 def search_scenes(spark: SparkSession, path: str, start_us: int, end_us: int, product: str, box: tuple[float, float, float, float], most: int = 200) -> DataFrame:
     """The earliest entries of a window whose name holds the product and whose footprint's box meets the box."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(CatalogueSource)
     found = spark.read.format("scene_catalogue").option("path", path).load()
     found = found.filter((F.col("sensed_us") > start_us) & (F.col("sensed_us") < end_us) & F.col("name").contains(product))
