@@ -144,14 +144,24 @@ class PatriciaTrie:
             return False
         before = node.weight - len(node.label)
         node.spill = tempfile.TemporaryFile()
-        for key, value, _ in _walk(node, b""):
-            self._append(node, key, value)
+        for key, value, inside in _walk(node, b""):
+            for rest, v in [(b"", value)] if inside is None else self._read(inside):
+                self._append(node, key + rest, v)
         node.children, node.value = {}, None
         self.bytes -= before
         for p in path:
             p.weight -= before
         return True
 
+    def _read(self, node: _Node) -> Iterator[tuple[bytes, object]]:
+        """A spilled subtree's entries, after which its file is gone."""
+        f = node.spill
+        f.seek(0)
+        while head := f.read(4):
+            rest = f.read(struct.unpack("<I", head)[0])
+            yield rest, self._value.read(f)
+        f.close()
+
     def items(self) -> Iterator[tuple[bytes, object]]:
         """All (key, value) pairs, each key once."""
         for key, value, node in _walk(self.root, b""):
@@ -159,12 +169,8 @@ class PatriciaTrie:
                 yield key, value
                 continue
             trie = PatriciaTrie(self.merge, self.budget)
-            f = node.spill
-            f.seek(0)
-            while head := f.read(4):
-                rest = f.read(struct.unpack("<I", head)[0])
-                trie.insert(rest, type(self)._value.read(f))
-            f.close()
+            for rest, v in self._read(node):
+                trie.insert(rest, v)
             for rest, v in trie.items():
                 yield key + rest, v
 
