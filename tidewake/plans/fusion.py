@@ -73,6 +73,7 @@ def dark_margins(sea: DataFrame, fixes: DataFrame) -> DataFrame:
 
 def unit_draws(det_id: Column, k: Column) -> tuple[Column, Column]:
     """Two repeatable numbers in [0, 1) for the k-th probe of a detection."""
+    k = k.cast("long")
     return (det_id * 7919 + k * 104729) % 10007 / F.lit(1.0007e4), (det_id * 6007 + k * 15485863) % 9973 / F.lit(9.973e3)
 
 
