@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewake.llm import exact_dedup, licence_scan, mixing, near_join, ordinal_quality, pattern_packing, projection_forest, suffix_dedup, token_matrix, toxicity
+from tidewake.llm import exact_dedup, licence_scan, mixing, near_join, oracles, ordinal_quality, pattern_packing, projection_forest, suffix_dedup, token_matrix, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -19,5 +19,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
+    "op2_suffix_dedup": oracles.OP2_SQL,
+    "op8_ngram_jaccard": oracles.OP8_SQL,
     "op10_mixing": mixing.OP10_SQL,
 }
