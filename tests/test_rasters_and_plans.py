@@ -123,3 +123,64 @@ def test_spans_are_near_equal(spark):
         s = spark.range(1).select(scheduling.spans(F.lit(total), most).alias("s")).first().s
         assert sum(x.length for x in s) == total and max(x.length for x in s) <= most and max(x.length for x in s) - min(x.length for x in s) <= 1
         assert [x.offset for x in s] == [sum(y.length for y in s[:k]) for k in range(len(s))]
+
+
+def test_views(spark):
+    from tidewake.plans import views
+
+    now = 10 * HOUR
+    rows = [("analyzing", None), ("warming_up", now + HOUR), ("scheduled", now + 26 * HOUR), ("scheduled", now + 5_400_000_000), ("scheduled", now + 60_000_000), ("awaiting_publication", now), ("unknown", None)]
+    df = spark.createDataFrame(rows, "state string, next_us long")
+    got = [r[0] for r in df.select(views.region_status(F.col("state"), F.col("next_us"), now)).collect()]
+    assert got == ["Analyzing", "AIS warm-up", "1d 2h", "1h 30m", "1m", "Due", "Due"]
+    v = spark.createDataFrame([(1, 70), (2, 30), (3, None)], "mmsi long, ship_type int")
+    d = spark.createDataFrame([(1, None, "matched"), (None, 2, "indeterminate"), (None, 3, "dark")], "matched_mmsi long, candidate_mmsi long, match_state string")
+    ids = lambda f: sorted(r.mmsi for r in f.collect())
+    assert ids(views.visible_vessels(v, d, "fused", False)) == [1, 2] and ids(views.visible_vessels(v, None, "fused", True)) == [1]
+    assert ids(views.visible_vessels(v, None, "fused", False)) == [1, 2, 3] and ids(views.visible_vessels(v, d, "survey", False)) == []
+    one = spark.range(1).select(views.sighting_label(F.lit(True)), views.gap_flagged(F.lit(1)), views.gap_flagged(F.lit(2))).first()
+    assert tuple(one) == ("MATCH", False, True)
+
+
+def test_feed_and_tiles(spark, tmp_path):
+    import json
+
+    from tidewake.sources import feeds
+
+    lines = [json.dumps({"MessageType": "PositionReport", "MetaData": {"latitude": lat, "longitude": 121.0}}) for lat in (25.0, 25.1, 60.0, 25.2)] + ["junk"]
+    (tmp_path / "feed.jsonl").write_text("\n".join(lines))
+    spark.dataSource.register(feeds.FeedSource)
+    stream = spark.readStream.format("message_feed").option("path", str(tmp_path / "feed.jsonl")).option("rows", "2").option("boxes", "[[[24.9, 120.7], [26.3, 122.4]]]").load()
+    q = stream.writeStream.format("memory").queryName("feed").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="0 seconds").start()
+    try:
+        for _ in range(100):
+            q.processAllAvailable()
+            if spark.table("feed").count() >= 3:
+                break
+    finally:
+        q.stop()
+    assert spark.table("feed").count() == 3
+
+    tries = []
+
+    def fetch(r):
+        tries.append(r["x_off"])
+        if len(tries) == 1:
+            raise feeds.BusyError("0")
+        return bytes([r["x_off"]])
+
+    plan = spark.createDataFrame([("s", k, 0, 1, 1) for k in range(6)], "scene_id string, x_off int, y_off int, w int, h int")
+    got = feeds.fetch_tiles(plan, fetch, 2, wait=lambda s: None).collect()
+    assert sorted((r.x_off, bytes(r.pixels)) for r in got) == [(k, bytes([k])) for k in range(6)]
+
+
+def test_sinks_and_lookup(spark, tmp_path):
+    r = raster.stripes(spark.createDataFrame([("a", 5000)], "id string, height int"), 2048).collect()
+    assert [(x.y_off, x.h) for x in r] == [(0, 2048), (2048, 2048), (4096, 904)]
+    chips = spark.createDataFrame([("c1", "train", b"p", [(0.5, 0.5, 0.1, 0.2)]), ("c2", "val", b"q", [])], "chip_id string, split string, pixels binary, boxes array<struct<cx: double, cy: double, w: double, h: double>>")
+    raster.write_chips(chips, str(tmp_path / "chips"))
+    back = {x.chip_id: x.labels for x in spark.read.parquet(str(tmp_path / "chips")).collect()}
+    assert back == {"c1": "0 0.500000 0.500000 0.100000 0.200000", "c2": ""}
+    known = spark.createDataFrame([("d/S1A_X.SAFE", "sc1")], "GRD_product_identifier string, scene_id string")
+    found = raster.scene_for_product(spark.createDataFrame([("S1A_X.SAFE.zip",), ("S1B",)], "product string"), known)
+    assert {x.product: x.scene_id for x in found.collect()} == {"S1A_X.SAFE.zip": "sc1", "S1B": None}

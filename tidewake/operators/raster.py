@@ -232,3 +232,25 @@ def expand_lut(lines: np.ndarray, pixels: list[np.ndarray], values: list[np.ndar
 def calibrate(dn: np.ndarray, sigma: np.ndarray) -> np.ndarray:
     with np.errstate(divide="ignore"):
         return np.where(dn != 0, 10 * np.log10(dn.astype(np.float64) ** 2 / sigma**2), np.nan)
+
+
+# sinks and lookups ------------------------------------------------------------------------------
+
+
+def stripes(rasters: DataFrame, rows: int = 2048) -> DataFrame:
+    """One row per stripe of (height): y_off and h, so a raster is never held whole."""
+    out = rasters.withColumn("y_off", F.explode(F.sequence(F.lit(0).cast("long"), F.col("height").cast("long") - 1, F.lit(rows).cast("long"))))
+    return out.withColumn("h", F.least(F.lit(rows).cast("long"), F.col("height") - F.col("y_off")))
+
+
+def write_chips(chips: DataFrame, path: str) -> None:
+    """Chips and their label lines (class, centre, size) by split."""
+    line = F.array_join(F.transform("boxes", lambda b: F.format_string("0 %.6f %.6f %.6f %.6f", b["cx"], b["cy"], b["w"], b["h"])), "\n")
+    chips.withColumn("labels", line).select("split", "chip_id", "pixels", "labels").write.mode("overwrite").partitionBy("split").parquet(path)
+
+
+def scene_for_product(products: DataFrame, labels: DataFrame) -> DataFrame:
+    """(product) to scene_id by the label table's product column, suffixes off; null where none matches."""
+    stem = lambda c: F.regexp_replace(F.regexp_replace(c, r"^.*/", ""), r"\.SAFE(\.zip)?$", "")
+    known = labels.select(stem(F.col("GRD_product_identifier")).alias("_stem"), "scene_id").dropDuplicates(["_stem"])
+    return products.withColumn("_stem", stem(F.col("product"))).join(known, "_stem", "left").drop("_stem")

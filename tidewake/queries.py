@@ -12,7 +12,7 @@ from tidewake.functions import geo, labels
 from tidewake.operators.assign import assign_one_to_one
 from tidewake.operators.spatial import match_counts, near_boxes, within_distance
 from tidewake.params import DEFAULT as P
-from tidewake.plans import fusion, routes, scheduling
+from tidewake.plans import fusion, routes, scheduling, views
 from tidewake.sources import registry
 from tidewake.sources.adapter import domain, oracle
 from tidewake.sources.registry import FAILURE_UNKNOWN, FAILURES, NAV_STATUS, REGION_COLUMNS, SHIP_TYPES, flag_rows, region_rows, values_sql
@@ -467,3 +467,47 @@ def _respend(spark, scenes):
 @_d("sar_scenes")
 def _eligible(spark, scenes):
     return scheduling.eligible_scenes(scenes, 0, 16_000_000_000).select("id", "sensed_us")
+
+
+# views ------------------------------------------------------------------------------------------
+
+_STATE = "CASE WHEN on_land THEN 'masked' WHEN sc.mode = 'survey' OR match_state IS NULL THEN 'contact' ELSE match_state END"
+
+
+@query("a22_state_counts", _fuse_sql(f"SELECT CASE state WHEN 'dark' THEN 1 WHEN 'indeterminate' THEN 2 WHEN 'matched' THEN 3 WHEN 'contact' THEN 4 ELSE 5 END::BIGINT AS list_rank, state, count(*) AS n FROM (SELECT {_STATE} AS state FROM final f JOIN sc ON sc.id = f.scene_id) GROUP BY 1, 2"))
+@_d(*_DOMAIN)
+def _state_counts(spark, *t):
+    f = _fused(spark, *t)
+    d = f.detections.join(f.scenes.select("scene_id", "mode"), "scene_id")
+    state = labels.contact_state(F.col("on_land"), F.col("mode"), F.col("match_state"))
+    return views.state_counts(d.select(state.alias("state")).withColumn("list_rank", labels.contact_rank(F.col("state"))))
+
+
+@query("v05_pass_cards", _fuse_sql("""SELECT roi, id, place, CASE WHEN status = 'failed' THEN 'FAILED' WHEN status = 'processing' THEN 'PROCESSING' WHEN place = 1 THEN 'LATEST' WHEN mode = 'survey' THEN 'SURVEY' WHEN dark > 0 THEN concat(dark::VARCHAR, ' DARK') ELSE 'CLEAR' END AS flag
+FROM (SELECT sc.roi, sc.id, sc.status, sc.mode, row_number() OVER (PARTITION BY sc.roi ORDER BY sensed_us DESC, sc.id)::INT AS place, coalesce(n.dark, 0) AS dark FROM sc LEFT JOIN (SELECT scene_id, count(*) FILTER (WHERE is_dark) AS dark FROM final GROUP BY 1) n ON n.scene_id = sc.id) WHERE place <= 5"""))
+@_d(*_DOMAIN)
+def _cards(spark, *t):
+    f = _fused(spark, *t)
+    counts = f.detections.groupBy("scene_id").agg(F.count_if("is_dark").alias("dark_count"))
+    s = t[2].select("id", "roi", "sensed_us", "status").join(f.scenes.select(F.col("scene_id").alias("id"), "mode"), "id")
+    return views.pass_cards(s.join(counts.withColumnRenamed("scene_id", "id"), "id", "left"))
+
+
+@query("v09_region_status", ORACLES["st18_schedule"].replace("SELECT r.name, r.label, r.mode, latest_us, last_processed_us, next_us, CASE", "SELECT name, CASE WHEN state = 'analyzing' THEN 'Analyzing' WHEN state = 'warming_up' THEN 'AIS warm-up' ELSE 'Due' END AS status FROM (SELECT r.name, next_us, CASE") + ")")
+@_d("ais_positions", "sar_scenes")
+def _region_status(spark, positions, scenes):
+    rows = scheduling.schedule(registry.regions(spark), scenes, _held_frame(spark, positions), NOW)
+    return rows.select("name", views.region_status(F.col("state"), F.col("next_us"), NOW).alias("status"))
+
+
+@query("v06_ticker", f"""WITH s AS ({ORACLES['st18_schedule']}), r AS ({oracle(" SELECT * FROM sar_scenes WHERE status = 'processed' ORDER BY processed_us DESC, id DESC LIMIT 1", "sar_scenes")})
+SELECT 0 AS rank, '' AS name, processed_us AS at_us, concat(g.label, ' analysis complete · 7 contacts', CASE WHEN g.mode = 'fused' THEN ' · 2 dark' ELSE '' END) AS text FROM r JOIN {_REGIONS} g ON g.name = r.roi
+UNION ALL SELECT 1, name, latest_us, concat(label, ' · analyzing pass') FROM s WHERE state = 'analyzing'
+UNION ALL SELECT 2, name, latest_us, concat(label, ' · awaiting product publication') FROM (SELECT * FROM s WHERE state = 'awaiting_publication' ORDER BY name LIMIT 3)
+UNION ALL SELECT 3, '', NULL, concat(count(*) FILTER (WHERE state = 'scheduled'), '/', count(*), ' regions scheduled for next pass') FROM s""")
+@_d("ais_positions", "sar_scenes")
+def _ticker(spark, positions, scenes):
+    rows = scheduling.schedule(registry.regions(spark), scenes, _held_frame(spark, positions), NOW)
+    recent = scenes.filter("status = 'processed'").orderBy(F.desc("processed_us"), F.desc("id")).limit(1)
+    recent = recent.join(registry.regions(spark).select(F.col("name").alias("roi"), "label", "mode"), "roi").select("label", "mode", "processed_us", F.lit(7).alias("detection_count"), F.lit(2).alias("dark_count"))
+    return views.ticker(rows, recent)
