@@ -34,12 +34,13 @@ BLOCK = 1 << 20
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def grams(text: bytes) -> np.ndarray:
-    """Hash columns of all n-grams of the text, with repeats."""
+def grams(text: bytes, most: int | None = None) -> np.ndarray:
+    """Hash columns of all n-grams of the text (that start in its first ``most`` bytes), with repeats."""
     raw = np.frombuffer(text.translate(_LOWER), np.uint8)
     out = []
     for n in ORDERS:
         m = len(raw) - n + 1
+        m = m if most is None else min(m, most)
         if m <= 0:
             continue
         h = np.full(m, n, np.uint32)
@@ -62,7 +63,7 @@ class Model:
     def margin(self, text: bytes) -> float:
         kept = []
         for at in range(0, max(1, len(text)), BLOCK):
-            g = grams(text[at : at + BLOCK + max(ORDERS) - 1])
+            g = grams(text[at : at + BLOCK + max(ORDERS) - 1], BLOCK)
             kept.append(g[self.used[g]])
         g, times = np.unique(np.concatenate(kept), return_counts=True)
         return self.bias + float((self.weights[g] * np.log2(1 + times)).sum(dtype=np.float64))
