@@ -11,12 +11,17 @@ signature; a set that fills only k partitions or fewer also writes signatures of
 partitioning, and so on until it fills more than k (the finer of two sets still writes all
 coarser ones, so the pair meets). Nothing is dropped: the search is exact.
 
-Equal sets are one node. Each group of nodes that share a signature first tests every node
-against the group's leader (its smallest node); then components of the links found are
-built, and only nodes of one group that are in different components are tested against each
-other, after a lower bound on their difference from small histograms. So a large group of
-near copies costs about one test a node, and no group is expanded into its pairs.
-Candidates are verified on full sets rebuilt from whole texts.
+Frequent signatures (more than HOT nodes, as a passage that very many documents share makes
+them) are thinned without loss: of the f partitions that a set fills, f - k at least agree
+with any linked set, so each set may leave out its f - k - 1 most frequent signatures, by
+one order for all, and the rarest signature that a pair shares always stays on both sides.
+
+Equal sets are one node. A group of nodes that share a signature first tests every node
+against the group's leader (one of a few orders of the nodes, by signature, names it); then
+components of the links found are built, and only nodes of one group that are in different
+components are tested against each other, after a lower bound on their difference from
+small histograms. So a large group of near copies costs a few tests a node, and no group is
+expanded into its pairs. Candidates are verified on full sets rebuilt from whole texts.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from tidewake.llm.common import materialise, mix64, prepare, shuffle_width, table, text_bytes
@@ -35,7 +40,11 @@ from tidewake.llm.components import components
 from tidewake.llm.shingles import set_fingerprint, shingle_sets
 
 #: Extra partitions beyond k, as a share: fewer sets need a finer partitioning.
-SLACK = 0.12
+SLACK = 0.2
+#: Nodes of a signature from which it counts as frequent.
+HOT = 64
+#: Orders that name leaders.
+ORDERS = 3
 #: Bins of the histograms that bound a pair's difference from below.
 BINS = 32
 #: Candidate pairs in one output batch.
@@ -45,6 +54,9 @@ TILE = 2048
 BLOCK = 512
 
 _I64 = pa.int64()
+_PACKED = ["bucket", "sigs", "nodes", "sizes", "times", "kinds", "spares"]
+#: One frequent signature of one node.
+_HOT_ROW = np.dtype([("sig", "<i8"), ("node", "<i8"), ("n", "<i8"), ("freq", "<i8"), ("kind", "u1"), ("spare", "u1")])
 
 
 def band_starts(most: int) -> list[int]:
@@ -58,12 +70,12 @@ def band_starts(most: int) -> list[int]:
 _STARTS = np.array(band_starts(1 << 40), np.int64)
 
 
-def _signatures(s: np.ndarray) -> np.ndarray:
-    """All signatures of a sorted set."""
+def _signatures(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All signatures of a sorted set, the partitioning that each is of, and how many of it may be left out."""
     own = int(np.searchsorted(_STARTS, len(s), "right")) - 1
     mixed = mix64(s)
     top = s >> np.uint64(32)
-    out = []
+    out, kind, spare = [], [], []
     for band in (own, own + 1):
         k = 2 * (int(_STARTS[band + 1]) - 1) // 9
         parts = 1 if k == 0 else int((k + 1) * (1 + SLACK)) + 1
@@ -73,10 +85,12 @@ def _signatures(s: np.ndarray) -> np.ndarray:
             first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
             h = np.add.reduceat(mixed, first) + at[first] * np.uint64(0xA0761D6478BD642F)
             out.append(mix64(h ^ np.uint64((band * 64 + level) * 0xE7037ED1A0B428DB & (1 << 64) - 1)))
+            kind.append(np.full(len(first), (band - own) * 64 + level, np.uint8))
+            spare.append(np.full(len(first), min(255, max(0, len(first) - k - 1)), np.uint8))
             if len(first) > k or parts >= 1 << 31:
                 break
             parts *= 4
-    return np.concatenate(out)
+    return np.concatenate(out), np.concatenate(kind), np.concatenate(spare)
 
 
 def _distinct_sets(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, int]]:
@@ -97,100 +111,115 @@ def _write_signatures(buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sigs, nodes, sizes = [], [], []
+            sigs, kinds, spares, nodes, sizes = [], [], [], [], []
             for fp, s, _ in _distinct_sets(batch.column(0).to_pylist()):
-                sigs.append(_signatures(s))
+                sig, kind, spare = _signatures(s)
+                sigs.append(sig)
+                kinds.append(kind)
+                spares.append(spare)
                 nodes.append(fp)
                 sizes.append(len(s))
             if not sigs:
                 continue
             node = np.repeat(np.arange(len(nodes)), [len(x) for x in sigs])
-            sig = np.concatenate(sigs)
+            sig, kind, spare = map(np.concatenate, (sigs, kinds, spares))
             bucket = (sig % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            bucket, sig, node = bucket[order], sig[order], node[order]
+            bucket, sig, node, kind, spare = bucket[order], sig[order], node[order], kind[order], spare[order]
             fps, ns = np.array(nodes, np.uint64), np.array(sizes, np.uint32)
             cut = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
             rows = []
             for lo, hi in zip(cut[:-1], cut[1:]):
                 who, times = np.unique(node[lo:hi], return_counts=True)
-                rows.append((int(bucket[lo]), sig[lo:hi].tobytes(), fps[who].tobytes(), ns[who].tobytes(), times.astype(np.uint32).tobytes()))
-            names = ["bucket", "sigs", "nodes", "sizes", "times"]
+                rows.append((int(bucket[lo]), sig[lo:hi].tobytes(), fps[who].tobytes(), ns[who].tobytes(), times.astype(np.uint32).tobytes(), kind[lo:hi].tobytes(), spare[lo:hi].tobytes()))
+            names = _PACKED
             yield pa.RecordBatch.from_arrays([pa.array(c, _I64 if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows))], names=names)
 
     return run
 
 
-def _groups(sig: np.ndarray, node: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(nodes, sizes) of every signature that two different nodes share, nodes ascending."""
-    order = np.lexsort((node, sig))
-    sig, node, size = sig[order], node[order], size[order]
-    new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])])
-    sig, node, size = sig[new], node[new], size[new]
-    first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-    last = np.concatenate([first[1:], [len(sig)]])
-    for lo, hi in zip(first[last - first > 1], last[last - first > 1]):
-        yield node[lo:hi], size[lo:hi]
-
-
 def _read_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed signatures of one partition to its different groups: (digest, members)."""
+    """Packed signatures of one partition to its different small groups (members, sizes) and packed frequent rows."""
     held: dict[int, list] = {}
     for batch in batches:
         for bucket, *parts in zip(*(c.to_pylist() for c in batch.columns)):
             held.setdefault(bucket, []).append(parts)
+
+    def out(rows: list[tuple], hot: bytes | None) -> pa.RecordBatch:
+        rows = rows + [(None, None, hot)] if hot else rows
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows)], names=["members", "sizes", "hot"])
+
     for bucket in list(held):
         parts = held.pop(bucket)
-        sig = np.concatenate([np.frombuffer(p[0], np.uint64) for p in parts])
-        times = np.concatenate([np.frombuffer(p[3], np.uint32) for p in parts])
-        node = np.repeat(np.concatenate([np.frombuffer(p[1], np.uint64) for p in parts]).view(np.int64), times)
-        size = np.repeat(np.concatenate([np.frombuffer(p[2], np.uint32) for p in parts]), times)
+        join = lambda i, kind: np.concatenate([np.frombuffer(p[i], kind) for p in parts])  # noqa: B023, E731
+        sig, kind, spare, times = join(0, np.uint64), join(4, np.uint8), join(5, np.uint8), join(3, np.uint32)
+        node, size = np.repeat(join(1, np.int64), times), np.repeat(join(2, np.uint32), times)
+        order = np.lexsort((node, sig))
+        sig, node, size, kind, spare = (x[order] for x in (sig, node, size, kind, spare))
+        new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])])
+        sig, node, size, kind, spare = (x[new] for x in (sig, node, size, kind, spare))
+        first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        last = np.concatenate([first[1:], [len(sig)]])
         seen, rows = set(), []
-        for members, sizes in _groups(sig, node, size):
-            raw = members.tobytes()
+        few = (last - first > 1) & (last - first <= HOT)
+        for lo, hi in zip(first[few], last[few]):
+            raw = node[lo:hi].tobytes()
             if raw in seen:
                 continue
             seen.add(raw)
-            rows.append((raw, sizes.tobytes()))
-            if sum(map(len, (raw, sizes))) and len(rows) >= 1024:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows)], names=["members", "sizes"])
+            rows.append((raw, size[lo:hi].tobytes(), None))
+            if len(rows) == 4096:
+                yield out(rows, None)
                 rows = []
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows)], names=["members", "sizes"])
+            yield out(rows, None)
+        count = np.repeat(last - first, last - first)
+        at = np.flatnonzero(count > HOT)
+        for s in range(0, len(at), 1 << 15):
+            k = at[s : s + (1 << 15)]
+            hot = np.empty(len(k), _HOT_ROW)
+            hot["sig"], hot["node"], hot["n"], hot["freq"], hot["kind"], hot["spare"] = sig[k].view(np.int64), node[k], size[k], count[k], kind[k], spare[k]
+            yield out([], hot.tobytes())
+
+
+def _hot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for raw in batch.column(0).to_pylist():
+            hot = np.frombuffer(raw, _HOT_ROW)
+            yield pa.RecordBatch.from_arrays([pa.array(hot[c].astype(np.int64)) for c in _HOT_ROW.names], names=list(_HOT_ROW.names))
 
 
 def _leader_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups to (leader, member) candidates whose sizes allow a link."""
+    """Small groups to (leader, member) candidates whose sizes allow a link, for each order."""
+    seeds = [np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) for k in range(ORDERS)]
     for batch in batches:
         a, b = [], []
         for raw, raw_sizes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             m, n = np.frombuffer(raw, np.int64), np.frombuffer(raw_sizes, np.uint32).astype(np.int64)
-            fits = 5 * np.minimum(n[1:], n[0]) >= 4 * np.maximum(n[1:], n[0])
-            b.append(m[1:][fits])
-            a.append(np.full(len(b[-1]), m[0]))
+            leaders = {0} if len(m) < 4 else {int(np.argmin(mix64(m.view(np.uint64) ^ seed))) for seed in seeds}
+            for k in leaders:
+                fits = 5 * np.minimum(n, n[k]) >= 4 * np.maximum(n, n[k])
+                fits[k] = False
+                a.append(np.minimum(m[fits], m[k]))
+                b.append(np.maximum(m[fits], m[k]))
         if a:
             pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
 
-def _member_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = np.unique(np.concatenate([np.frombuffer(r, np.int64) for r in batch.column(0).to_pylist()] or [np.empty(0, np.int64)]))
-        yield pa.RecordBatch.from_arrays([pa.array(ids)], names=["node"])
-
-
 def _list_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups of three and more to (group, node) rows; the group is named by a hash of its members."""
+    """Groups of three and more to (grp, node, n) rows; the group is named by a hash of its members."""
     for batch in batches:
-        g, m = [], []
-        for raw in batch.column(0).to_pylist():
+        g, m, n = [], [], []
+        for raw, sizes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if len(raw) > 16:
                 ids = np.frombuffer(raw, np.int64)
                 m.append(ids)
-                name = int(mix64(np.array([mix64(ids.view(np.uint64) + np.arange(len(ids), dtype=np.uint64)).sum(dtype=np.uint64)]))[0])
-                g.append(np.full(len(ids), name, np.uint64))
+                n.append(np.frombuffer(sizes, np.uint32).astype(np.int64))
+                name = mix64(np.array([mix64(ids.view(np.uint64) + np.arange(len(ids), dtype=np.uint64)).sum(dtype=np.uint64)]))
+                g.append(np.repeat(name, len(ids)))
         if g:
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(g))), pa.array(np.concatenate(m))], names=["grp", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(g))), pa.array(np.concatenate(m)), pa.array(np.concatenate(n))], names=["grp", "node", "n"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,6 +326,17 @@ def _doc_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], _I64), pa.array(fps)], names=["doc_id", "n_shingles", "node"])
 
 
+def _sets_of(body: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, n, hist, packed) of the nodes of (a, b) pairs, in the shared folder.
+
+    The nodes are written first, so a small table of them is broadcast by its known size and
+    a large one joined by a shuffle.
+    """
+    nodes = materialise(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "nodes")
+    texts = body.mapInArrow(_texts, "node long, n long, hist binary, packed binary")
+    return materialise(texts.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "sets")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("node").alias("a"), F.col("packed").alias("packed_a"))
     right = sets.select(F.col("node").alias("b"), F.col("packed").alias("packed_b"))
@@ -315,33 +355,46 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prepare(spark)
     width = shuffle_width(spark)
     body = docs.select(text_bytes(text_col).alias("body"))
-    signed = body.mapInArrow(_write_signatures(width), "bucket long, sigs binary, nodes binary, sizes binary, times binary")
+    signed = body.mapInArrow(_write_signatures(width), "bucket long, " + ", ".join(f"{c} binary" for c in _PACKED[1:]))
     dealt = signed.repartitionById(width, F.col("bucket").cast("int"))
-    groups = dealt.mapInArrow(_read_groups, "members binary, sizes binary")
-    groups = materialise(groups, "groups")
-
-    nodes = groups.select("members").mapInArrow(_member_ids, "node long").distinct()
-    texts = body.mapInArrow(_texts, "node long, n long, hist binary, packed binary")
-    sets = texts.join(nodes, "node", "left_semi").dropDuplicates(["node"])
-    sets = materialise(sets, "sets")
-
-    first = groups.mapInArrow(_leader_pairs, "a long, b long").distinct()
-    links = materialise(_verified(first, sets), "links")
+    groups = materialise(dealt.mapInArrow(_read_groups, "members binary, sizes binary, hot binary"), "groups")
+    small = groups.filter(F.col("members").isNotNull()).select("members", "sizes")
+    hot = groups.filter(F.col("hot").isNotNull()).select("hot").mapInArrow(_hot_rows, ", ".join(f"{c} long" for c in _HOT_ROW.names))
+    rank = F.row_number().over(W.partitionBy("node", "kind").orderBy(F.desc("freq"), F.desc("sig")))
+    kept = materialise(hot.withColumn("rank", rank).filter("rank > spare").select("sig", "node", "n"), "frequent")
+
+    order = F.xxhash64("node", F.pmod("sig", F.lit(ORDERS)))
+    leaders = kept.groupBy("sig").agg(F.min_by(F.struct("node", "n"), order).alias("leader"))
+    led = kept.join(leaders, "sig").filter((F.col("node") != F.col("leader.node")) & (5 * F.least("n", "leader.n") >= 4 * F.greatest("n", "leader.n")))
+    led = led.select(F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b"))
+    first = materialise(small.mapInArrow(_leader_pairs, "a long, b long").union(led).distinct(), "pairs")
+
+    links = materialise(_verified(first, _sets_of(body, first)), "links")
     comp = components(links)
 
-    members = groups.select("members").distinct().mapInArrow(_list_members, "grp long, node long")
-    known = members.join(sets.select("node", "n", "hist"), "node").join(comp, "node", "left")
-    known = known.withColumn("comp", F.coalesce("component", "node"))
+    lists = small.distinct().mapInArrow(_list_members, "grp long, node long, n long")
+    members = lists.union(kept.select(F.col("sig").alias("grp"), "node", "n"))
+    known = members.join(comp, "node", "left").withColumn("comp", F.coalesce("component", "node"))
     open_groups = known.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).filter("lo < hi")
     open_groups = open_groups.select("grp", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
-    tiled = known.join(open_groups, "grp").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    key = ["grp", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j")]
-    rows = tiled.groupBy(*key).agg(F.collect_list(F.struct("node", "comp", "n", "hist", "tile")).alias("rows")).select("rows")
-    second = rows.mapInArrow(_open_pairs, "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
-    more = materialise(_verified(second, sets), "more-links")
-    if more.limit(1).count():
-        comp = components(links.union(more))
+    opened = materialise(known.join(open_groups, "grp").select("grp", "node", "n", "comp", "tiles"), "open")
+    if opened.limit(1).count():
+        sets = _sets_of(body, opened.select(F.col("node").alias("a"), F.col("node").alias("b")))
+        tiled = opened.join(sets.select("node", "hist"), "node").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+        tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        key = ["grp", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j")]
+        rows = tiled.groupBy(*key).agg(F.collect_list(F.struct("node", "comp", "n", "hist", "tile")).alias("rows")).select("rows")
+        second = rows.mapInArrow(_open_pairs, "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
+        more = materialise(_verified(second, sets), "more-links")
+        if more.limit(1).count():
+            # components are contracted first: a few links between them remain
+            root = comp.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+            ends = more.join(root.select(F.col("_n").alias("a"), F.col("_c").alias("ca")), "a", "left").join(root.select(F.col("_n").alias("b"), F.col("_c").alias("cb")), "b", "left")
+            ends = ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct()
+            joined = components(ends).select(F.col("node").alias("component"), F.col("component").alias("upper"))
+            again = comp.join(joined, "component", "left").select("node", F.coalesce("upper", "component").alias("component"))
+            fresh = joined.select(F.col("component").alias("node"), F.col("upper").alias("component")).join(comp, "node", "left_anti")
+            comp = materialise(again.union(fresh), "components")
 
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("body")).mapInArrow(_doc_nodes, "doc_id long, n_shingles long, node long")
     named = ids.join(comp, "node", "left").withColumn("component", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")))
