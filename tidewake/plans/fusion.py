@@ -12,6 +12,7 @@ from tidewake.functions.labels import confidence_bucket
 from tidewake.operators.assign import assign_one_to_one
 from tidewake.operators.spatial import near_boxes, nearest_in_time, within_distance
 from tidewake.params import DEFAULT, Params
+from tidewake.session import stable
 
 _BOX = ("min_lon", "min_lat", "max_lon", "max_lat")
 
@@ -130,13 +131,14 @@ def fuse(positions: DataFrame, detections: DataFrame, scenes: DataFrame, ships:
     """Fusion of all scenes in one plan.
 
     ``modes`` maps roi to fused or survey; in survey scenes nothing is matched and their
-    quality is null. ``projected_fixes`` feeds four consumers: Spark reuses its exchange.
+    quality is null. Projected fixes feed four consumers and masked detections five, so both
+    are computed once, behind checkpoints.
     """
     scenes = scenes.join(F.broadcast(modes), "roi", "left").withColumn("mode", F.coalesce("mode", F.lit("fused")))
-    every = clip_and_mask(detections, scenes, land, p)
+    every = stable(clip_and_mask(detections, scenes, land, p))
     sea = every.filter(~F.col("on_land"))
     fused = scenes.filter("mode = 'fused'")
-    fixes = projected_fixes(positions, fused, p)
+    fixes = stable(projected_fixes(positions, fused, p))
     fused_sea = sea.join(F.broadcast(fused.select(F.col("id").alias("scene_id"))), "scene_id", "left_semi")
     assigned = assign_one_to_one(match_pairs(fused_sea, fixes, p))
     margins = dark_margins(fused_sea, fixes)

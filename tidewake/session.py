@@ -43,3 +43,14 @@ def ship_package(spark: SparkSession) -> None:
             z.write(p, str(p.relative_to(root.parent)))
     sc.addPyFile(target)
     _SHIPPED.add(sc.applicationId)
+
+
+def stable(df):
+    """``df`` behind a checkpoint in the shared folder: computed once for all its consumers.
+
+    The folder is ``spark.checkpoint.dir``; a temporary one is set only where it is unset.
+    """
+    sc = df.sparkSession.sparkContext
+    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidewake-shared-"))
+    return df.checkpoint()
