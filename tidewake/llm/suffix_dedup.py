@@ -15,7 +15,8 @@ document with a smaller identifier. The space of strings is partitioned, not the
   logarithmically many. Windows whose rolling hash (or whose anchor) occurs in one document
   only can't match and are left out before the arrays are built; what remains is compared
   byte by byte.
-* Spans. Matches return as byte ranges per document and meet the text once.
+* Spans. Matches go to the partition of their document, packed, become one row of byte
+  ranges per document there and meet the text once.
 """
 
 from __future__ import annotations
@@ -34,11 +35,11 @@ from tidewake.llm.common import materialise, mix64, prepare, shuffle_width, tabl
 LENGTH = 50
 ANCHOR = 12
 #: Bytes of text whose windows are hashed at a time.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 #: Suffixes in a batch of an index family.
 BATCH = 1 << 16
 #: Partitions of the string space for each shuffle partition; one is unpacked at a time.
-FINER = 4
+FINER = 8
 
 _WINDOW = LENGTH - ANCHOR + 1
 _NULL_LAST = (1 << 63) - 1
@@ -283,33 +284,53 @@ def matches(blobs: list[tuple[int, bytes, bytes]]) -> tuple[np.ndarray, np.ndarr
     return ident[seg[first]], tag[seg[first]], window[first], window[last]
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed segments of one partition to packed byte ranges per document."""
-    held: dict[int, list] = {}
-    for batch in batches:
-        for bucket, n, text, meta in zip(*(c.to_pylist() for c in batch.columns)):
-            held.setdefault(bucket, []).append((n, text, meta))
-    found = [matches(held.pop(bucket)) for bucket in list(held)]
-    if not found:
-        return
-    ident, tag, first, last = (np.concatenate(c) for c in zip(*found))
-    order = np.lexsort((first, tag, ident))
-    ident, tag, first, last = ident[order], tag[order], first[order], last[order]
-    spans = np.stack([first, last + LENGTH], 1).astype("<i8")
-    cut = np.flatnonzero(np.concatenate([[True], (ident[1:] != ident[:-1]) | (tag[1:] != tag[:-1])])) if len(ident) else []
-    for lo in range(0, len(cut), 4096):
-        own = cut[lo : lo + 4096]
-        ends = np.concatenate([cut[lo + 1 : lo + 4097], [len(ident)]])[: len(own)]
+#: A run of matched windows of one document.
+_RUN = np.dtype([("ident", "<i8"), ("tag", "<i8"), ("first", "<i8"), ("last", "<i8")])
+
+
+def _gather(width: int):
+    """Packed segments of one partition to packed runs, by the partition of their document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for bucket, n, text, meta in zip(*(c.to_pylist() for c in batch.columns)):
+                held.setdefault(bucket, []).append((n, text, meta))
+        found = [matches(held.pop(bucket)) for bucket in list(held)]
+        if not found:
+            return
+        runs = np.empty(sum(len(f[0]) for f in found), _RUN)
+        for i, name in enumerate(_RUN.names):
+            runs[name] = np.concatenate([f[i] for f in found])
+        part = (mix64((runs["ident"] ^ runs["tag"]).view(np.uint64)) % np.uint64(width)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        runs, cut = runs[order], np.searchsorted(part[order], np.arange(width + 1))
+        for k in np.flatnonzero(np.diff(cut)):
+            yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int32()), pa.array([runs[cut[k] : cut[k + 1]].tobytes()], pa.binary())], names=["part", "runs"])
+
+    return run
+
+
+def _per_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed runs of one partition to one row of byte ranges per document."""
+    runs = np.concatenate([np.empty(0, _RUN), *(np.frombuffer(r, _RUN) for batch in batches for r in batch.column(1).to_pylist())])
+    runs = runs[np.lexsort((runs["first"], runs["tag"], runs["ident"]))]
+    ident, tag = runs["ident"], runs["tag"]
+    spans = np.stack([runs["first"], runs["last"] + LENGTH], 1).astype("<i8")
+    cut = np.flatnonzero(np.concatenate([[True], (ident[1:] != ident[:-1]) | (tag[1:] != tag[:-1])])) if len(ident) else np.empty(0, np.int64)
+    ends = np.concatenate([cut[1:], [len(ident)]])
+    for lo in range(0, len(cut), 1024):
+        own = slice(lo, lo + 1024)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ident[own]), pa.array(tag[own]), pa.array([spans[s:e].tobytes() for s, e in zip(own, ends)], pa.binary())], names=["ident", "tag", "spans"]
+            [pa.array(ident[cut[own]]), pa.array(tag[cut[own]]), pa.array([spans[s:e].tobytes() for s, e in zip(cut[own], ends[own])], pa.binary())], names=["ident", "tag", "spans"]
         )
 
 
-def union_spans(packed: list[bytes] | None) -> np.ndarray:
+def union_spans(packed: bytes | None) -> np.ndarray:
     """Maximal runs of the union of packed (start, end) ranges; touching ranges are one run."""
     if not packed:
         return np.empty((0, 2), np.int64)
-    s = np.frombuffer(b"".join(packed), "<i8").reshape(-1, 2)
+    s = np.frombuffer(packed, "<i8").reshape(-1, 2)
     s = s[np.lexsort((s[:, 1], s[:, 0]))]
     reach = np.maximum.accumulate(s[:, 1])
     first = np.flatnonzero(np.concatenate([[True], s[1:, 0] > reach[:-1]]))
@@ -355,9 +376,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), ident, F.xxhash64(text_col).alias("tag"), text_bytes(text_col).alias("body"))
     packed = rows.select("ident", "tag", "body").mapInArrow(_scatter(width * FINER), "bucket int, n long, text binary, meta binary")
     dealt = packed.repartitionById(width, F.pmod("bucket", F.lit(width)).cast("int"))
-    spans = materialise(dealt.mapInArrow(_gather, "ident long, tag long, spans binary"), "spans")
-    per_doc = spans.groupBy("ident", "tag").agg(F.collect_list("spans").alias("packed"))  # at most a range a byte of the text
-    joined = rows.join(per_doc, ["ident", "tag"], "left").select("doc_id", "body", "packed")
+    runs = dealt.mapInArrow(_gather(width), "part int, runs binary").repartitionById(width, F.col("part"))
+    spans = materialise(runs.mapInArrow(_per_document, "ident long, tag long, spans binary"), "spans")
+    joined = rows.join(spans, ["ident", "tag"], "left").select("doc_id", "body", "spans")
     return joined.mapInArrow(_apply(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<array<long>>, kept binary")
 
 
