@@ -17,7 +17,8 @@ with any linked set, so each set may leave out its f - k - 1 most frequent signa
 one order for all, and the rarest signature that a pair shares always stays on both sides.
 
 Equal sets are one node. A group of nodes that share a signature first tests every node
-against the group's leader (one of a few orders of the nodes, by signature, names it); then
+against a leader (in a frequent group the node with most frequent signatures, which is
+nearest to the middle of its near copies; in others the first by a few orders); then
 components of the links found are built, and only nodes of one group that are in different
 components are tested against each other, after a lower bound on their difference from
 small histograms. So a large group of near copies costs a few tests a node, and no group is
@@ -45,8 +46,9 @@ SLACK = 0.2
 HOT = 64
 #: Orders that name leaders.
 ORDERS = 3
-#: Bins of the histograms that bound a pair's difference from below.
-BINS = 32
+#: Bins of the histograms that bound a pair's difference from below (counts are capped at 255,
+#: which keeps the bound a bound).
+BINS = 512
 #: Candidate pairs in one output batch.
 OUT_ROWS = 1 << 16
 #: Members of a group that are compared in one row of work, and at a time.
@@ -229,7 +231,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
         rows = []
         for fp, s, i in _distinct_sets(texts):
-            hist = np.bincount((s >> np.uint64(59)).astype(np.int64), minlength=BINS).astype(np.uint32)
+            hist = np.minimum(np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=BINS), 255).astype(np.uint8)
             rows.append((fp, len(s), hist.tobytes(), pack.compress(texts[i])))
         if rows:
             fp, n, hist, packed = zip(*rows)
@@ -286,7 +288,7 @@ def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows in batch.column(0).to_pylist():
             node, comp, n, tile = (np.array([r[k] for r in rows], np.int64) for k in ("node", "comp", "n", "tile"))
-            hist = np.frombuffer(b"".join(r["hist"] for r in rows), np.uint32).reshape(-1, BINS).astype(np.int32)
+            hist = np.frombuffer(b"".join(r["hist"] for r in rows), np.uint8).reshape(-1, BINS).astype(np.int16)
             across = tile.min() != tile.max()
             order = np.argsort(n, kind="stable")
             node, comp, n, tile, hist = node[order], comp[order], n[order], tile[order], hist[order]
@@ -301,8 +303,8 @@ def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if across:
                         ok &= tile[lo:hi, None] != tile[None, at:to]
                     i, j = np.nonzero(ok)
-                    for s in range(0, len(i), 1 << 16):
-                        x, y = lo + i[s : s + (1 << 16)], at + j[s : s + (1 << 16)]
+                    for s in range(0, len(i), 1 << 14):
+                        x, y = lo + i[s : s + (1 << 14)], at + j[s : s + (1 << 14)]
                         near = 9 * np.abs(hist[x] - hist[y]).sum(1) <= n[x] + n[y]
                         a.append(np.minimum(node[x[near]], node[y[near]]))
                         b.append(np.maximum(node[x[near]], node[y[near]]))
@@ -360,11 +362,13 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = materialise(dealt.mapInArrow(_read_groups, "members binary, sizes binary, hot binary"), "groups")
     small = groups.filter(F.col("members").isNotNull()).select("members", "sizes")
     hot = groups.filter(F.col("hot").isNotNull()).select("hot").mapInArrow(_hot_rows, ", ".join(f"{c} long" for c in _HOT_ROW.names))
-    rank = F.row_number().over(W.partitionBy("node", "kind").orderBy(F.desc("freq"), F.desc("sig")))
-    kept = materialise(hot.withColumn("rank", rank).filter("rank > spare").select("sig", "node", "n"), "frequent")
+    own = W.partitionBy("node", "kind")
+    rank, share = F.row_number().over(own.orderBy(F.desc("freq"), F.desc("sig"))), F.count("*").over(own)
+    kept = hot.withColumn("rank", rank).withColumn("share", share).filter("rank > spare")
+    kept = materialise(kept.select("sig", "node", "n", "share"), "frequent")
 
-    order = F.xxhash64("node", F.pmod("sig", F.lit(ORDERS)))
-    leaders = kept.groupBy("sig").agg(F.min_by(F.struct("node", "n"), order).alias("leader"))
+    # the node with most frequent signatures is nearest to the middle of a group of near copies
+    leaders = kept.groupBy("sig").agg(F.max_by(F.struct("node", "n"), F.struct("share", F.xxhash64("node"))).alias("leader"))
     led = kept.join(leaders, "sig").filter((F.col("node") != F.col("leader.node")) & (5 * F.least("n", "leader.n") >= 4 * F.greatest("n", "leader.n")))
     led = led.select(F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b"))
     first = materialise(small.mapInArrow(_leader_pairs, "a long, b long").union(led).distinct(), "pairs")
