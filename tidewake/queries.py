@@ -254,7 +254,7 @@ FROM (SELECT unnest(generate_series(0, 3))::BIGINT AS grp) g""", "ais_positions"
 @_d("ais_positions", "sar_detections")
 def _counts(spark, positions, detections):
     a = detections.select((F.col("id") % 4).alias("grp"), "lon", "lat")
-    b = positions.filter(F.col("id") % 7 == 1).select((F.col("id") % 4).alias("grp"), "lon", "lat")
+    b = positions.select((F.col("id") % 4).alias("grp"), "lon", "lat")
     return match_counts(a, b, 900.0, ["grp"])
 
 
