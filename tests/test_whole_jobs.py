@@ -5,9 +5,9 @@ import math
 
 import pyarrow as pa
 import pyarrow.parquet as pq
-import pytest
-
+from tidewake.plans import scheduling
 from tidewake.queries import QUERIES
+from tidewake.sources import registry
 from tidewake.sources.adapter import domain
 
 _START = dt.datetime(2024, 1, 1)
@@ -53,3 +53,36 @@ def test_match_counts_meet_every_fix(spark, tmp_path):
     assert sum(map(sum, want.values())) == len(fixes) + len(found) and all(v[0] and v[2] and v[3] for v in want.values())
     got = QUERIES["j14_match_counts"](spark, data).collect()
     assert {r["grp"]: (r["left_hit"], r["left_miss"], r["right_hit"], r["right_miss"]) for r in got} == want
+
+
+def _cost(name):
+    """Processing units of one fetch of a region's imaging box."""
+    r = registry.region(name)
+    x0, y0, x1, y1 = (r[f"sar_{c}"] for c in ("min_lon", "min_lat", "max_lon", "max_lat"))
+    width, height = round((x1 - x0) * 111320 * math.cos(math.radians((y0 + y1) / 2)) / 10), round((y1 - y0) * 111320 / 10)
+    return width * height / 262144 * 2 / 3
+
+
+def _reasons(spark, data):
+    return {r["id"]: r["reason"] for r in QUERIES["st16_decisions"](spark, data).collect()}
+
+
+def test_decisions_read_the_whole_ledger(spark, tmp_path):
+    before, month = dt.datetime(2001, 6, 30), dt.datetime(2001, 7, 2)
+    fix = [(1, 1, 0, 0)]
+    got = _reasons(spark, _tables(tmp_path, fix, [(4, 7, 26e6, before)], range(1, 31)))
+    assert {k: got[f"S{k}"] for k in (1, 3, 7, 17, 27)} == {1: "already analyzed", 3: "already running", 7: "already spent", 17: "new pass", 27: "new pass"}
+    # the month leaves room for the cheaper of the two regions alone
+    costs = {k: _cost(registry.REGIONS[k % 12][0]) for k in (17, 27)}
+    low, high = sorted(costs, key=costs.get)
+    left = (costs[low] + costs[high]) / 2
+    got = _reasons(spark, _tables(tmp_path, fix, [(4, 7, 26e6, before), (6, 7, (25_000 - left) * 1e3, month)], range(1, 31)))
+    assert (got["S7"], got[f"S{low}"], got[f"S{high}"]) == ("already spent", "new pass", "over ceiling")
+
+
+def test_every_decision_branch(spark):
+    rows = [("processed", True, 0.0, 1.0), ("processing", True, 0.0, 1.0), ("failed", True, 0.0, 1.0), (None, False, 24_990.0, 10.5), (None, False, 24_990.0, 10.0), ("failed", False, 0.0, 1.0)]
+    facts = spark.createDataFrame(rows, "status string, has_pu_spend boolean, month_to_date_pu double, pu_cost double").coalesce(1)
+    assert [(r["reason"], r["analyze"]) for r in scheduling.decide(facts).collect()] == [
+        ("already analyzed", False), ("already running", False), ("already spent", False), ("over ceiling", False), ("new pass", True), ("retry", True),
+    ]

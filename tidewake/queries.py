@@ -420,10 +420,12 @@ SELECT id, CASE WHEN status = 'processed' THEN 'already analyzed' WHEN status =
 coalesce(status, '') NOT IN ('processed', 'processing') AND NOT has_pu_spend AND month_to_date_pu + pu_cost <= 25000e0 AS analyze FROM f""", "sar_scenes", "pu_ledger"))
 @_d("sar_scenes", "pu_ledger")
 def _decisions(spark, scenes, ledger):
-    spent = ledger.filter(F.col("id") % 50 == 1).select(F.col("scene_id").alias("id")).distinct().withColumn("has_pu_spend", F.lit(True))
-    facts = scenes.join(spent, "id", "left").select(
+    spent = ledger.select(F.col("scene_id").alias("id")).distinct().withColumn("has_pu_spend", F.lit(True))
+    month = scheduling.month_to_date(ledger, LEDGER_NOW).withColumnRenamed("pu", "month_to_date_pu")
+    cost = scheduling.monthly_cost(registry.regions(spark)).select(F.col("name").alias("roi"), F.col("pu").alias("pu_cost"))
+    facts = scenes.join(spent, "id", "left").join(F.broadcast(cost), "roi", "left").crossJoin(F.broadcast(month)).select(
         "id", F.when(~((F.col("sensed_us") % 4 == 0) & (F.col("status") == "failed")), F.col("status")).alias("status"), F.coalesce("has_pu_spend", F.lit(False)).alias("has_pu_spend"),
-        F.expr("24990e0 + (sensed_us div 90000000) % 20").alias("month_to_date_pu"), F.lit(5.0).alias("pu_cost"),
+        "month_to_date_pu", "pu_cost",
     )
     return scheduling.decide(facts).select("id", "reason", "analyze")
 
