@@ -86,3 +86,11 @@ def test_every_decision_branch(spark):
     assert [(r["reason"], r["analyze"]) for r in scheduling.decide(facts).collect()] == [
         ("already analyzed", False), ("already running", False), ("already spent", False), ("over ceiling", False), ("new pass", True), ("retry", True),
     ]
+
+
+def test_ticker_counts_the_last_analysis(spark, tmp_path):
+    # S12 is the last processed pass; vessel 2 was a kilometre away from detection 95, vessel 3 is detection 100
+    at = 900_000_000 + 12 * 90_000_000
+    data = _tables(tmp_path, [(1, 2, at, 0), (95, 2, at + 60_000_000, 0), (100, 3, at, 10)], [(4, 7, 1, dt.datetime(2001, 6, 30))], range(1, 13))
+    last = QUERIES["v06_ticker"](spark, data).filter("rank = 0").collect()
+    assert [r["text"] for r in last] == [f"{registry.region('north_taiwan')['label']} analysis complete · 2 contacts · 1 dark"]

@@ -507,9 +507,10 @@ SELECT 0 AS rank, '' AS name, processed_us AS at_us, concat(g.label, ' analysis
 UNION ALL SELECT 1, name, latest_us, concat(label, ' · analyzing pass') FROM s WHERE state = 'analyzing'
 UNION ALL SELECT 2, name, latest_us, concat(label, ' · awaiting product publication') FROM (SELECT * FROM s WHERE state = 'awaiting_publication' ORDER BY name LIMIT 3)
 UNION ALL SELECT 3, '', NULL, concat(count(*) FILTER (WHERE state = 'scheduled'), '/', count(*), ' regions scheduled for next pass') FROM s""")
-@_d("ais_positions", "sar_scenes")
-def _ticker(spark, positions, scenes):
-    rows = scheduling.schedule(registry.regions(spark), scenes, _held_frame(spark, positions), NOW)
-    recent = scenes.filter("status = 'processed'").orderBy(F.desc("processed_us"), F.desc("id")).limit(1)
-    recent = recent.join(registry.regions(spark).select(F.col("name").alias("roi"), "label", "mode"), "roi").select("label", "mode", "processed_us", F.lit(7).alias("detection_count"), F.lit(2).alias("dark_count"))
+@_d(*_DOMAIN)
+def _ticker(spark, *t):
+    regions = registry.regions(spark)
+    rows = scheduling.schedule(regions, t[2], _held_frame(spark, t[0]), NOW)
+    recent = routes.most_recent_analysis(t[2], _fused(spark, *t).detections)
+    recent = recent.join(regions.select(F.col("name").alias("roi"), "label", "mode"), "roi").select("label", "mode", "processed_us", "detection_count", "dark_count")
     return views.ticker(rows, recent)
