@@ -1,13 +1,18 @@
 """Queries and plans over small hand-made tables, held to brute force."""
 
 import datetime as dt
+import json
 import math
+import struct
 
 import pyarrow as pa
 import pyarrow.parquet as pq
-from tidewake.plans import scheduling
+from pyspark.sql import functions as F
+
+from tidewake.functions import rings
+from tidewake.plans import fusion, scheduling
 from tidewake.queries import QUERIES
-from tidewake.sources import registry
+from tidewake.sources import files, registry
 from tidewake.sources.adapter import domain
 
 _START = dt.datetime(2024, 1, 1)
@@ -94,3 +99,48 @@ def test_ticker_counts_the_last_analysis(spark, tmp_path):
     data = _tables(tmp_path, [(1, 2, at, 0), (95, 2, at + 60_000_000, 0), (100, 3, at, 10)], [(4, 7, 1, dt.datetime(2001, 6, 30))], range(1, 13))
     last = QUERIES["v06_ticker"](spark, data).filter("rank = 0").collect()
     assert [r["text"] for r in last] == [f"{registry.region('north_taiwan')['label']} analysis complete · 2 contacts · 1 dark"]
+
+
+def _nearest(point, every):
+    """Metres to the edges of rings, by fine steps along them."""
+    spots = [(p[0] + k / 2000 * (q[0] - p[0]), p[1] + k / 2000 * (q[1] - p[1])) for r in every for p, q in zip(r, r[1:]) for k in range(2001)]
+    return min(_metres({"lon": x, "lat": y}, {"lon": point[0], "lat": point[1]}) for x, y in spots)
+
+
+def test_land_and_footprints_are_polygons(spark, tmp_path):
+    triangle = [[121.0, 25.0], [121.4, 25.0], [121.0, 25.4], [121.0, 25.0]]
+    outer, hole = [[121.6, 25.0], [121.8, 25.0], [121.8, 25.2], [121.6, 25.2], [121.6, 25.0]], [[121.65, 25.05], [121.65, 25.15], [121.75, 25.15], [121.75, 25.05], [121.65, 25.05]]
+    shapes = [{"type": "Polygon", "coordinates": [triangle]}, {"type": "MultiPolygon", "coordinates": [[outer, hole], [[[x + 1, y] for x, y in triangle]]]}]
+    (tmp_path / "land.json").write_text(json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "geometry": g} for g in shapes]}))
+    land = files.read_geojson(spark, str(tmp_path / "land.json"))
+    assert sorted((r.id, len(r.ring), len(r.holes)) for r in land.collect()) == [(0, 4, 0), (1, 4, 0), (1, 5, 1)]
+
+    # the footprint leaves out what lies above the line from (120, 25.5) to (123, 26)
+    foot = [(120.0, 24.0), (123.0, 24.0), (123.0, 26.0), (120.0, 25.5), (120.0, 24.0)]
+    scenes = spark.createDataFrame([("S", 0, "north_taiwan", 120.0, 24.0, 123.0, 26.0, [dict(zip(("lon", "lat"), p)) for p in foot])], "id string, sensed_us long, roi string, min_lon double, min_lat double, max_lon double, max_lat double, ring array<struct<lon: double, lat: double>>")
+    spots = {
+        1: (121.35, 25.35, False), 2: (121.1, 25.1, True), 3: (121.7, 25.1, False), 4: (121.62, 25.1, True), 5: (121.65000, 25.1, True), 6: (122.1, 25.1, True), 7: (120.5, 25.9, None),
+        8: (121.2 + 4e-6, 25.2, True), 9: (121.2 + 2e-4, 25.2 + 2e-4, False), 10: (122.9, 25.98, False), 11: (120.1, 25.55, None),
+    }
+    detections = spark.createDataFrame([(k, "S", x, y, 0.5) for k, (x, y, _) in spots.items()], "id long, scene_id string, lon double, lat double, confidence double")
+    got = {r["id"]: r["on_land"] for r in fusion.clip_and_mask(detections, scenes, land).collect()}
+    assert got == {k: v for k, (_, _, v) in spots.items() if v is not None}
+
+    far = detections.join(land.filter("id = 1 AND size(holes) = 1").select("ring", "holes")).select("id", rings.distance(F.col("ring"), "lon", "lat", F.col("holes")).alias("m")).collect()
+    for r in far:
+        x, y, _ = spots[r["id"]]
+        want = 0.0 if r["id"] in (4, 5) else _nearest((x, y), [outer, hole])
+        assert abs(r["m"] - want) <= max(2.0, want * 1e-3)
+    assert fusion.near_boxes(detections, land, 300.0, "left_anti").count() == sum(not v for _, _, v in spots.values()) - 1
+
+    files.write_geojson(files.clip_land(land, [(121.5, 24.9, 121.9, 25.1)]), str(tmp_path / "out"))
+    (line,) = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out")).collect()]
+    assert [sorted({tuple(p) for p in r}) for r in line["geometry"]["coordinates"]] == [[(121.6, 25.0), (121.6, 25.1), (121.8, 25.0), (121.8, 25.1)], [(121.65, 25.05), (121.65, 25.1), (121.75, 25.05), (121.75, 25.1)]]
+
+
+def test_shapefile_keeps_holes(spark, tmp_path):
+    outer, hole = [(0.0, 0.0), (0.0, 4.0), (4.0, 4.0), (4.0, 0.0), (0.0, 0.0)], [(1.0, 1.0), (2.0, 1.0), (2.0, 2.0), (1.0, 2.0), (1.0, 1.0)]
+    body = struct.pack("<i4d2i2i", 5, 0, 0, 4, 4, 2, 10, 0, 5) + b"".join(struct.pack("<2d", *p) for p in outer + hole)
+    (tmp_path / "land.shp").write_bytes(bytes(100) + struct.pack(">ii", 1, len(body) // 2) + body)
+    (row,) = files.read_shapefile(spark, str(tmp_path / "land.shp"), [(0.0, 0.0, 1.0, 1.0)]).collect()
+    assert [tuple(p) for p in row.ring] == outer and [[tuple(p) for p in r] for r in row.holes] == [hole]

@@ -7,6 +7,9 @@ closed-form and stays in generated code. Boxes and rings are planar in degrees.
 
 from __future__ import annotations
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 #: WGS84 semi-major axis and squared eccentricity.
 A, E2 = "6378137e0", "0.00669437999014e0"
 
@@ -27,6 +30,16 @@ def distance(lon1: str, lat1: str, lon2: str, lat2: str) -> str:
     return f"sqrt(power({dx}, 2e0) + power({dy}, 2e0))"
 
 
+def distance_columns(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
+    """``distance`` over columns, for the variables of a lambda."""
+    mid = F.radians((lat1 + lat2) / 2.0)
+    a, e2 = float(A), float(E2)
+    w = F.lit(1.0) - F.lit(e2) * F.pow(F.sin(mid), F.lit(2.0))
+    dx = F.lit(a) / F.sqrt(w) * F.cos(mid) * F.radians(lon2 - lon1)
+    dy = F.lit(a * (1 - e2)) / F.pow(w, F.lit(1.5)) * F.radians(lat2 - lat1)
+    return F.sqrt(F.pow(dx, F.lit(2.0)) + F.pow(dy, F.lit(2.0)))
+
+
 def project_lat(lat: str, metres: str, azimuth: str) -> str:
     """Latitude after ``metres`` along ``azimuth`` (radians clockwise from north)."""
     first = f"degrees(({metres}) * cos({azimuth}) / {meridian_radius(lat)})"

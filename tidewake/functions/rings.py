@@ -1,4 +1,4 @@
-"""Polygons as rings of (lon, lat): parsing, covering, clipping, area and union area."""
+"""Polygons as rings of (lon, lat): parsing, covering, distance, clipping, area and union area."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewake.functions import geo
+
 RING = "array<struct<lon: double, lat: double>>"
 
 
@@ -25,8 +27,9 @@ def parse_geojson(text: Column) -> Column:
     return F.transform(coords, lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat")))
 
 
-def to_geojson(ring: Column) -> Column:
-    coords = F.array(F.transform(ring, lambda p: F.array(p["lon"], p["lat"])))
+def to_geojson(ring: Column, holes: Column | None = None) -> Column:
+    every = F.array(ring) if holes is None else F.concat(F.array(ring), holes)
+    coords = F.transform(every, lambda r: F.transform(r, lambda p: F.array(p["lon"], p["lat"])))
     return F.to_json(F.struct(F.lit("Polygon").alias("type"), coords.alias("coordinates")))
 
 
@@ -37,9 +40,14 @@ def area(ring: Column) -> Column:
     return F.when(F.size(ring) >= 3, F.abs(twice) / 2).otherwise(F.lit(0.0))
 
 
-def covers(ring: Column, lon: Column, lat: Column) -> Column:
-    """Point in ring (even-odd), boundary included."""
-    edges = F.arrays_zip(F.slice(ring, 1, F.size(ring) - 1).alias("p"), F.slice(ring, 2, F.size(ring) - 1).alias("q"))
+def _edges(ring: Column) -> Column:
+    n = F.greatest(F.size(ring) - 1, F.lit(0))
+    return F.arrays_zip(F.slice(ring, 1, n).alias("p"), F.slice(ring, 2, n).alias("q"))
+
+
+def covers(ring: Column, lon: Column, lat: Column, holes: Column | None = None) -> Column:
+    """Point in ring (even-odd), boundary included; what lies within a hole is outside, its edge is not."""
+    edges = _edges(ring) if holes is None else F.concat(_edges(ring), F.flatten(F.transform(holes, _edges)))
 
     def on_edge(e: Column) -> Column:
         px, py, qx, qy = e["p"]["lon"], e["p"]["lat"], e["q"]["lon"], e["q"]["lat"]
@@ -54,12 +62,41 @@ def covers(ring: Column, lon: Column, lat: Column) -> Column:
     return F.exists(edges, on_edge) | odd
 
 
+def distance(ring: Column, lon: str, lat: str, holes: Column | None = None) -> Column:
+    """Metres to the closed polygon, 0 inside: to the nearest point of any edge, edges straight in degrees."""
+    edges = _edges(ring) if holes is None else F.concat(_edges(ring), F.flatten(F.transform(holes, _edges)))
+    kx, ky = F.expr(f"{geo.prime_radius(lat)} * cos(radians({lat}))"), F.expr(geo.meridian_radius(lat))
+    x, y = F.col(lon), F.col(lat)
+
+    def foot(e: Column) -> Column:
+        dx, dy = e["q"]["lon"] - e["p"]["lon"], e["q"]["lat"] - e["p"]["lat"]
+        long_ = F.pow(dx * kx, F.lit(2.0)) + F.pow(dy * ky, F.lit(2.0))
+        along = (x - e["p"]["lon"]) * dx * kx * kx + (y - e["p"]["lat"]) * dy * ky * ky
+        t = F.when(long_ > 0, F.least(F.greatest(along / F.nullif(long_, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.0))
+        return F.struct((e["p"]["lon"] + t * dx).alias("lon"), (e["p"]["lat"] + t * dy).alias("lat"))
+
+    metres = lambda f: geo.distance_columns(x, y, f["lon"], f["lat"])
+    return F.when(covers(ring, x, y, holes), F.lit(0.0)).otherwise(F.array_min(F.transform(F.transform(edges, foot), metres)))
+
+
 def ring_of(wkt: str) -> list[tuple[float, float]]:
     """The outer ring of a POLYGON text, on the driver or in a worker."""
     m = re.search(r"POLYGON\s*\(\(([^()]*)\)", wkt.split(";", 1)[-1])
     return [tuple(map(float, p.split()[:2])) for p in m.group(1).split(",")] if m else []
 
 
+def turn(ring: list[tuple[float, float]]) -> float:
+    """Twice the signed area: negative for a clockwise ring."""
+    return sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(ring, ring[1:] + ring[:1]))
+
+
+def holds(ring: list[tuple[float, float]], point: tuple[float, float]) -> bool:
+    """Point in ring (even-odd), corners included."""
+    x, y = point
+    odd = sum((p[1] > y) != (q[1] > y) and x < (q[0] - p[0]) * (y - p[1]) / (q[1] - p[1]) + p[0] for p, q in zip(ring, ring[1:] + ring[:1])) % 2 == 1
+    return odd or point in ring
+
+
 def clip_to_box(ring: list[tuple[float, float]], box: tuple[float, float, float, float]) -> list[tuple[float, float]]:
     """Sutherland-Hodgman clip of a ring to a box; an open ring, empty if nothing is left."""
     out = list(ring[:-1] if len(ring) > 1 and ring[0] == ring[-1] else ring)

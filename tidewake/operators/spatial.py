@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewake.functions import geo
+from tidewake.functions import geo, rings
 
 
 def cell(c: Column, side: float) -> Column:
@@ -47,14 +47,20 @@ def within_distance(left: DataFrame, right: DataFrame, radius: Column, on: list[
 
 
 def near_boxes(points: DataFrame, boxes: DataFrame, metres: float, how: str = "left_semi", side: float = 0.05, names: tuple[str, str] = ("lon", "lat")) -> DataFrame:
-    """Points within ``metres`` of any box (min_lon, min_lat, max_lon, max_lat), or of none with left_anti."""
+    """Points within ``metres`` of any box (min_lon, min_lat, max_lon, max_lat), or of none with left_anti.
+
+    A row with a ring (and holes) stands for that polygon: its box only finds the candidates.
+    """
     lon, lat = names
     pad_lat = metres / 110_000.0
-    b = boxes.select(*(F.col(c).alias(f"_{c}") for c in ("min_lon", "min_lat", "max_lon", "max_lat")))
+    b = boxes.select(*(F.col(c).alias(f"_{c}") for c in ("min_lon", "min_lat", "max_lon", "max_lat", "ring", "holes") if c in boxes.columns))
     pad_lon = F.lit(pad_lat) / F.cos(F.radians(F.least(F.greatest(F.abs("_min_lat"), F.abs("_max_lat")) + pad_lat, F.lit(89.0))))
     b = b.withColumn("_cx", F.explode(F.sequence(cell(F.col("_min_lon") - pad_lon, side), cell(F.col("_max_lon") + pad_lon, side))))
     b = b.withColumn("_cy", F.explode(F.sequence(cell(F.col("_min_lat") - pad_lat, side), cell(F.col("_max_lat") + pad_lat, side))))
     near = F.expr(f"{geo.distance_to_box(lon, lat, ('_min_lon', '_min_lat', '_max_lon', '_max_lat'))} <= {metres!r}")
+    if "_ring" in b.columns:
+        holes = F.col("_holes") if "_holes" in b.columns else None
+        near = near & (F.col("_ring").isNull() | (rings.distance(F.col("_ring"), lon, lat, holes) <= metres))
     return points.join(b, (cell(F.col(lon), side) == F.col("_cx")) & (cell(F.col(lat), side) == F.col("_cy")) & near, how)
 
 
@@ -71,7 +77,7 @@ def nearest_in_time(facts: DataFrame, instants: DataFrame, key: str, max_age_us:
     pairs = facts.withColumn("_b", bucket(F.col("time_us"))).join(i, "_b").drop("_b")
     pairs = pairs.filter(F.abs(F.col("time_us") - F.col("sensed_us")) <= max_age_us)
     if keep is not None:
-        pairs = pairs.filter(keep)
+        pairs = pairs.filter(keep).drop("ring")
     rank = F.struct(F.abs(F.col("time_us") - F.col("sensed_us")), "time_us", "id")
     return pairs.groupBy(instant_key, key).agg(F.min_by(F.struct("*"), rank).alias("row")).select("row.*")
 

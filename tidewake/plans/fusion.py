@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewake.functions import geo
+from tidewake.functions import geo, rings
 from tidewake.functions.labels import confidence_bucket
 from tidewake.operators.assign import assign_one_to_one
 from tidewake.operators.spatial import near_boxes, nearest_in_time, within_distance
@@ -17,6 +17,17 @@ from tidewake.session import stable
 _BOX = ("min_lon", "min_lat", "max_lon", "max_lat")
 
 
+def _footprint(scenes: DataFrame) -> list[str]:
+    """Columns of a footprint: its box, and its ring where the scenes have one."""
+    return [*_BOX, *(c for c in ("ring",) if c in scenes.columns)]
+
+
+def _in_footprint(scenes: DataFrame, lon: str, lat: str) -> Column:
+    """Inside the footprint, edges included; a null ring stands for its box."""
+    box = F.expr(geo.covered_by_box(lon, lat, _BOX))
+    return box & (F.col("ring").isNull() | rings.covers(F.col("ring"), F.col(lon), F.col(lat))) if "ring" in scenes.columns else box
+
+
 def gate_m(sog: Column, p: Params = DEFAULT) -> Column:
     """Distance budget of a vessel: an unknown speed counts as none."""
     return F.lit(p.match_radius_m) + F.lit(p.azimuth_shift_s) * F.coalesce(sog, F.lit(0.0)) * F.lit(p.kn_to_ms)
@@ -33,7 +44,9 @@ def projected_fixes(positions: DataFrame, scenes: DataFrame, p: Params = DEFAULT
     margins, probes and recall.
     """
     pad = F.expr(f"{geo.distance_to_box('lon', 'lat', _BOX)} <= {p.candidate_pad_m!r}")
-    instants = scenes.select(F.col("id").alias("scene_id"), "sensed_us", *_BOX)
+    if "ring" in scenes.columns:
+        pad = pad & (F.col("ring").isNull() | (rings.distance(F.col("ring"), "lon", "lat") <= p.candidate_pad_m))
+    instants = scenes.select(F.col("id").alias("scene_id"), "sensed_us", *_footprint(scenes))
     facts = positions.select("id", "mmsi", "time_us", "lon", "lat", "sog", "cog")
     fix = nearest_in_time(facts, instants, "mmsi", p.fix_max_age_s * 1_000_000, "scene_id", pad)
     fix = fix.withColumn("lead_s", (F.col("sensed_us") - F.col("time_us")) / F.lit(1e6)).withColumn("delta_s", -F.col("lead_s"))
@@ -52,8 +65,8 @@ def clip_and_mask(detections: DataFrame, scenes: DataFrame, land: DataFrame, p:
 
     Without any land polygon loaded nothing is on land.
     """
-    boxes = scenes.select(F.col("id").alias("scene_id"), *_BOX)
-    inside = detections.join(boxes, "scene_id").filter(F.expr(geo.covered_by_box("lon", "lat", _BOX))).drop(*_BOX)
+    prints = scenes.select(F.col("id").alias("scene_id"), *_footprint(scenes))
+    inside = detections.join(prints, "scene_id").filter(_in_footprint(scenes, "lon", "lat")).drop(*_footprint(scenes))
     hits = near_boxes(inside.select("id", "lon", "lat"), land, p.land_buffer_m).select("id").distinct().withColumn("on_land", F.lit(True))
     return inside.join(hits, "id", "left").withColumn("on_land", F.coalesce("on_land", F.lit(False)))
 
@@ -91,7 +104,7 @@ def chance_rates(sea: DataFrame, every: DataFrame, fixes: DataFrame, scenes: Dat
     probe = probe.withColumn("_m", u1 * p.probe_radius_m).withColumn("_az", u2 * F.lit(2.0) * F.pi())
     probe = probe.withColumn("p_lat", F.expr(geo.project_lat("lat", "_m", "_az"))).withColumn("p_lon", F.expr(geo.project_lon("lon", "lat", "p_lat", "_m", "_az")))
     probe = probe.select("scene_id", "det_id", "k", F.col("p_lon").alias("lon"), F.col("p_lat").alias("lat"))
-    probe = probe.join(scenes.select(F.col("id").alias("scene_id"), *_BOX), "scene_id").filter(F.expr(geo.covered_by_box("lon", "lat", _BOX))).drop(*_BOX)
+    probe = probe.join(scenes.select(F.col("id").alias("scene_id"), *_footprint(scenes)), "scene_id").filter(_in_footprint(scenes, "lon", "lat")).drop(*_footprint(scenes))
     probe = near_boxes(probe, land, max(p.land_buffer_m, p.probe_land_clearance_m), "left_anti")
     others = every.select("scene_id", F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"))
     empty = within_distance(probe, others, F.lit(p.probe_separation_m), ["scene_id"], "left_anti", p.cell_deg)
@@ -105,7 +118,7 @@ def chance_rates(sea: DataFrame, every: DataFrame, fixes: DataFrame, scenes: Dat
 def large_recall(sea: DataFrame, fixes: DataFrame, scenes: DataFrame, ships: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Per scene: large vessels under way inside the footprint, and how many have a detection near."""
     present = fixes.join(ships.select("mmsi", "ship_type"), "mmsi").filter((F.col("sog") >= p.underway_sog_kn) & F.col("ship_type").between(p.large_type_min, p.large_type_max))
-    present = present.join(scenes.select(F.col("id").alias("scene_id"), *_BOX), "scene_id").filter(F.expr(geo.covered_by_box("r_lon", "r_lat", _BOX)))
+    present = present.join(scenes.select(F.col("id").alias("scene_id"), *_footprint(scenes)), "scene_id").filter(_in_footprint(scenes, "r_lon", "r_lat"))
     present = present.select("scene_id", "mmsi", F.col("r_lon").alias("lon"), F.col("r_lat").alias("lat"))
     spots = sea.select("scene_id", F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"))
     found = within_distance(present, spots, F.lit(p.recall_radius_m), ["scene_id"], "left_semi", p.cell_deg).groupBy("scene_id").agg(F.count("*").alias("found"))

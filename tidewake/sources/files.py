@@ -18,11 +18,19 @@ LABELS = "scene_id string, detect_scene_row string, detect_scene_column string,
 
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """(id, ring, min_lon, min_lat, max_lon, max_lat) of the polygons of a feature collection."""
-    shape = "features array<struct<geometry: struct<type: string, coordinates: array<array<array<double>>>>>>"
+    """(id, ring, holes, min_lon, min_lat, max_lon, max_lat) of the polygons of a feature collection.
+
+    A MultiPolygon gives one row per part, with its feature's id.
+    """
+    shape = "features array<struct<geometry: struct<type: string, coordinates: string>>>"
     f = spark.read.schema(shape).option("multiLine", True).json(path).select(F.posexplode("features").alias("id", "f"))
-    ring = F.transform(F.col("f.geometry.coordinates")[0], lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat")))
-    return with_bounds(f.filter("f.geometry.type = 'Polygon'").select(F.col("id").cast("long").alias("id"), ring.alias("ring")))
+    text, kind = F.col("f.geometry.coordinates"), F.col("f.geometry.type")
+    one = "array<array<array<double>>>"
+    parts = F.when(kind == "Polygon", F.array(F.from_json(text, one))).when(kind == "MultiPolygon", F.from_json(text, f"array<{one}>"))
+    f = f.select(F.col("id").cast("long").alias("id"), F.explode(parts).alias("part"))
+    every = F.transform("part", lambda r: F.transform(r, lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat"))))
+    f = f.filter(F.size("part") > 0).select("id", every.alias("rings"))
+    return with_bounds(f.select("id", F.col("rings")[0].alias("ring"), F.slice("rings", F.lit(2), F.size("rings")).alias("holes")))
 
 
 def with_bounds(polygons: DataFrame) -> DataFrame:
@@ -32,7 +40,7 @@ def with_bounds(polygons: DataFrame) -> DataFrame:
 
 def write_geojson(polygons: DataFrame, path: str) -> None:
     """One feature a line, in id order (the order of file names and lines)."""
-    feature = F.to_json(F.struct(F.lit("Feature").alias("type"), F.col("id"), F.from_json(rings.to_geojson(F.col("ring")), "type string, coordinates array<array<array<double>>>").alias("geometry")))
+    feature = F.to_json(F.struct(F.lit("Feature").alias("type"), F.col("id"), F.from_json(rings.to_geojson(F.col("ring"), F.col("holes") if "holes" in polygons.columns else None), "type string, coordinates array<array<array<double>>>").alias("geometry")))
     polygons.orderBy("id").select(feature.alias("value")).write.mode("overwrite").text(path)
 
 
@@ -46,19 +54,28 @@ def clip_land(polygons: DataFrame, boxes: list[tuple[float, float, float, float]
     def run(batches):
         for pdf in batches:
             out = []
+            gaps = []
             for r in pdf.itertuples():
-                ring = rings.clip_to_box([(p["lon"], p["lat"]) for p in r.ring], (r.b_min_lon, r.b_min_lat, r.b_max_lon, r.b_max_lat))
-                out.append([{"lon": x, "lat": y} for x, y in ring + ring[:1]])
-            yield pdf[["id"]].assign(ring=out)
-
-    clipped = pairs.select("id", "ring", "b_min_lon", "b_min_lat", "b_max_lon", "b_max_lat").mapInPandas(run, f"id long, ring {rings.RING}")
+                box = (r.b_min_lon, r.b_min_lat, r.b_max_lon, r.b_max_lat)
+                cut = [rings.clip_to_box([(p["lon"], p["lat"]) for p in ring], box) for ring in (r.ring, *r.holes)]
+                closed = [[{"lon": x, "lat": y} for x, y in ring + ring[:1]] for ring in cut]
+                out.append(closed[0])
+                gaps.append([ring for ring in closed[1:] if ring])
+            yield pdf[["id"]].assign(ring=out, holes=gaps)
+
+    holes = F.col("holes") if "holes" in polygons.columns else F.array().cast(f"array<{rings.RING}>")
+    pairs = pairs.select("id", "ring", holes.alias("holes"), "b_min_lon", "b_min_lat", "b_max_lon", "b_max_lat")
+    clipped = pairs.mapInPandas(run, f"id long, ring {rings.RING}, holes array<{rings.RING}>")
     return with_bounds(clipped.filter(rings.area(F.col("ring")) > 0))
 
 
 def read_shapefile(spark: SparkSession, path: str, boxes: list[tuple[float, float, float, float]]) -> DataFrame:
-    """Rings of a polygon shapefile's records that overlap a box; others are skipped before their points are read."""
+    """Polygons (ring, holes) of a shapefile's records that overlap a box; others are skipped before their points are read.
+
+    Outer rings run clockwise, holes the other way; a hole belongs to the first outer ring that holds it.
+    """
 
-    def parse(raw: bytes) -> Iterator[tuple[int, list[list[tuple[float, float]]]]]:
+    def parse(raw: bytes) -> Iterator[tuple[int, list[dict], list[list[dict]]]]:
         at = 100
         while at + 8 <= len(raw):
             number, words = struct.unpack(">ii", raw[at : at + 8])
@@ -72,17 +89,24 @@ def read_shapefile(spark: SparkSession, path: str, boxes: list[tuple[float, floa
             parts, points = struct.unpack("<2i", body[36:44])
             starts = [*struct.unpack(f"<{parts}i", body[44 : 44 + 4 * parts]), points]
             xy = struct.unpack(f"<{2 * points}d", body[44 + 4 * parts : 44 + 4 * parts + 16 * points])
-            for lo, hi in zip(starts, starts[1:]):
-                yield number, [{"lon": xy[2 * i], "lat": xy[2 * i + 1]} for i in range(lo, hi)]
+            every = [[(xy[2 * i], xy[2 * i + 1]) for i in range(lo, hi)] for lo, hi in zip(starts, starts[1:])]
+            outer = [r for r in every if rings.turn(r) <= 0] or every
+            holes: list[list] = [[] for _ in outer]
+            for r in every:
+                if r not in outer and (at_outer := next((k for k, o in enumerate(outer) if all(rings.holds(o, p) for p in r)), None)) is not None:
+                    holes[at_outer].append(r)
+            named = lambda r: [{"lon": x, "lat": y} for x, y in r]
+            for r, gaps in zip(outer, holes):
+                yield number, named(r), [named(g) for g in gaps]
 
     def run(batches):
         import pandas as pd
 
         for pdf in batches:
             for content in pdf["content"]:
-                yield pd.DataFrame(list(parse(content)), columns=["id", "ring"])
+                yield pd.DataFrame(list(parse(content)), columns=["id", "ring", "holes"])
 
-    return with_bounds(spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, f"id long, ring {rings.RING}"))
+    return with_bounds(spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, f"id long, ring {rings.RING}, holes array<{rings.RING}>"))
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
