@@ -2,13 +2,15 @@
 
 The vocabulary is a parameter: a ``.json`` file goes to ``tokenizers``, a ``.tiktoken`` rank
 file to ``tiktoken``. Both hold the same vocabulary and give the same ids (tested); the
-rank file is four times as fast, so it is the default. Names of special tokens inside a
-text are ordinary text.
+rank file is four times as fast, so it is the default. Names of added tokens inside a text
+are their ids, as ``tokenizers`` has it: a rank file takes them from the JSON file beside it.
 """
 
 from __future__ import annotations
 
 import base64
+import json
+import os
 from functools import lru_cache
 
 import numpy as np
@@ -24,6 +26,14 @@ def default_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def _added_tokens(path: str) -> dict[str, int]:
+    """Names and ids of the added tokens of a JSON vocabulary; none where there is no such file."""
+    if not os.path.exists(path):
+        return {}
+    with open(path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f).get("added_tokens", [])}
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str | None = None):
     """A function from text to a list of ids; cached per Python worker."""
@@ -32,14 +42,15 @@ def encoder(path: str | None = None):
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
         return lambda text: tok.encode(text, add_special_tokens=False).ids
     import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    added = _added_tokens(path.removesuffix(".tiktoken") + ".json")
+    enc = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+    return lambda text: enc.encode(text, allowed_special="all") if any(name in text for name in added) else enc.encode_ordinary(text)
 
 
 def document_ids(text: str | None, path: str | None = None, end: int = END) -> np.ndarray:
