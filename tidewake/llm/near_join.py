@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from tidewake.llm.common import materialise, mix64, prepare, shuffle_width, table, text_bytes
@@ -325,7 +325,8 @@ def _doc_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = shingle_sets(batch.column(1).to_pylist())
         fps = _signed(np.array([set_fingerprint(s) for s in sets], np.uint64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], _I64), pa.array(fps)], names=["doc_id", "n_shingles", "node"])
+        rest = {batch.schema.names[k]: batch.column(k) for k in range(2, batch.num_columns)}
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_shingles": pa.array([len(s) for s in sets], _I64), "node": pa.array(fps), **rest})
 
 
 def _sets_of(body: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -353,6 +354,11 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names it only if every identifier there is null (then it is null). Repeated rows are one
     node and a row each. An empty table gives an empty table.
     """
+    return _components_of(docs, id_col, text_col)
+
+
+def _components_of(docs: DataFrame, id_col: str, text_col: str, hashed: bool = False) -> DataFrame:
+    """``near_components``, with the row's text_hash if asked."""
     spark = docs.sparkSession
     prepare(spark)
     width = shuffle_width(spark)
@@ -400,18 +406,29 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             fresh = joined.select(F.col("component").alias("node"), F.col("upper").alias("component")).join(comp, "node", "left_anti")
             comp = materialise(again.union(fresh), "components")
 
-    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("body")).mapInArrow(_doc_nodes, "doc_id long, n_shingles long, node long")
+    mark = ["text_hash"] if hashed else []
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("body"), *([_text_hash(text_col)] if hashed else []))
+    ids = rows.mapInArrow(_doc_nodes, ", ".join(f"{c} long" for c in ["doc_id", "n_shingles", "node", *mark]))
     named = ids.join(comp, "node", "left").withColumn("component", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")))
-    named = materialise(named.select("doc_id", "n_shingles", "component"), "named")
+    named = materialise(named.select("doc_id", "n_shingles", "component", *mark), "named")
     least = named.filter(F.col("component").isNotNull()).groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = named.join(least, "component", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *mark)
+
+
+def _text_hash(text_col: str) -> Column:
+    return F.xxhash64(text_bytes(text_col)).alias("text_hash")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that name their component, and those without an identifier."""
-    gone = near_components(docs, id_col, text_col).filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("gone_id"), "left_anti")
+    """The rows of ``docs`` that name their component, and those without an identifier.
+
+    Rows that share an identifier are judged each by its own text (a 64-bit hash tells them
+    apart): one goes if a smaller identifier names its component, whatever the others do, and
+    all stay that name theirs, near copies of each other included.
+    """
+    gone = _components_of(docs, id_col, text_col, True).filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
+    return docs.join(gone, (docs[id_col].cast("long") == F.col("gone_id")) & (_text_hash(text_col) == F.col("gone_hash")), "left_anti")
 
 
 def op8_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
