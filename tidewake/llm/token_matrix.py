@@ -165,7 +165,7 @@ def op9_token_matrix(spark, sf_dir: str) -> DataFrame:
     m = token_matrix(table(spark, sf_dir, "documents"))
     return m.select(
         "sequence_id", "n_tokens", F.size("doc_ids").alias("n_segments"), "doc_ids", "pieces", "starts", "cu_seqlens",
-        F.crc32("ids").alias("ids_crc32"), F.crc32("positions").alias("positions_crc32"),
+        "ids", "positions", F.crc32("ids").alias("ids_crc32"), F.crc32("positions").alias("positions_crc32"),
     )
 
 
