@@ -1,10 +1,12 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
-import pytest
+import pyarrow as pa
 
 from tidewake.llm import near_join as nj
+from tidewake.llm.common import heavy_keys, join_unskewed
 from tidewake.llm.shingles import shingle_sets
 
 
@@ -72,20 +74,44 @@ def test_groups_of_dissimilar_texts_are_searched_in_tiles(spark, monkeypatch):
     assert sorted((tuple(r) for r in got), key=repr) == brute(rows)
 
 
-@pytest.mark.parametrize("hot", [1, 2, 5])
-def test_frequent_signatures_are_thinned_without_loss(spark, monkeypatch, hot):
-    # the workers read the module's value, so it travels with the function
-    def read(batches):
-        nj.HOT = hot
-        yield from nj_read(batches)
-
-    nj_read = nj._read_groups
-    monkeypatch.setattr(nj, "_read_groups", read)
-    rows = corpus(13, 10, 14)
-    got = nj.near_components(_frame(spark, rows)).collect()
+def test_heavy_leaders_and_clashing_names(spark, monkeypatch):
+    """Leaders in cells of two, sets named by 5 bits first: the same rows."""
+    monkeypatch.setattr(nj, "CELL", 2)
+    rows = corpus(13, 10, 14) + [(2000 + k, "one common text of seven words here") for k in range(9)]
+    got = nj._components_of(_frame(spark, rows), "doc_id", "text", 5).drop("row_hash").collect()
     assert sorted((tuple(r) for r in got), key=repr) == brute(rows)
 
 
+def test_large_groups_name_several_leaders_and_chunks():
+    nodes = np.arange(200, dtype=np.int64) * 7 + 1
+    sigs = np.full((200, 5), 3, np.uint8).tobytes()
+    blob = pa.RecordBatch.from_arrays([pa.array([0]), *(pa.array([v], pa.binary()) for v in (sigs, nodes.tobytes(), np.ones(200, np.uint32).tobytes(), None, None))], names=list(nj._PACKED))
+    (got,) = [b.to_pylist() for b in nj._read_groups(iter([blob]))]
+    (row,) = got
+    assert np.array_equal(np.frombuffer(row["members"], np.int64), nodes) and 1 < len(row["leaders"]) // 8 <= nj.ORDERS
+    pairs = [b.to_pylist() for b in nj._leader_pairs(iter([pa.RecordBatch.from_pylist([{"l": row["leaders"], "m": row["members"]}])]))][0]
+    assert len(pairs) == len(row["leaders"]) // 8 * 199
+
+
+def test_nearest_candidates_leave_the_rest_flagged():
+    hist = np.zeros((4, nj.BINS // 2), np.uint8)
+    hist[1, 0] = hist[3, 1] = 1
+    rows = [{"grp": 9, "i": 0, "j": 0, "tile": 0, "node": k, "comp": k % 2, "n": 40, "hist": hist[k].tobytes()} for k in range(4)]
+    split = [pa.RecordBatch.from_pylist(rows[:3]), pa.RecordBatch.from_pylist(rows[3:])]
+    near = [r for b in nj._open_pairs(True)(iter(split)) for r in b.to_pylist()]
+    assert {r["grp"] for r in near} == {None, 9} and {(r["a"], r["b"]) for r in near if r["grp"] is None} <= {(0, 1), (0, 3), (1, 2), (2, 3)}
+    assert sorted((r["a"], r["b"]) for b in nj._open_pairs(False)(iter(split)) for r in b.to_pylist()) == [(0, 1), (0, 3), (1, 2), (2, 3)]
+
+
+def test_joins_of_heavy_keys(spark):
+    left = spark.createDataFrame([(k % 3 if k < 30 else k, k) for k in range(60)] + [(None, 99)], "key long, v long")
+    right = spark.createDataFrame([(k, str(k)) for k in range(0, 60, 2)], "key long, w string")
+    for how in ("inner", "left"):
+        want = Counter(map(tuple, left.join(right, "key", how).select("key", "v", "w").collect()))
+        assert Counter(map(tuple, join_unskewed(left, right, "key", how, 5).select("key", "v", "w").collect())) == want
+    assert sorted(heavy_keys(left, "key", 5)) == [(0, 10), (1, 10), (2, 10)]
+
+
 def test_empty_table_and_filter(spark):
     assert nj.near_components(_frame(spark, [])).collect() == []
     text = " ".join(f"w{i}" for i in range(60))
@@ -103,7 +129,7 @@ def test_every_similar_pair_shares_a_signature():
             for _ in range(changes):
                 t = np.delete(t, rng.integers(len(t))) if rng.random() < 0.5 and len(t) > 1 else np.unique(np.append(t, rng.integers(0, 2**64, 1, np.uint64)))
             if nj.linked(s, t):
-                assert np.intersect1d(nj._signatures(s)[0], nj._signatures(t)[0]).size, (len(s), len(t))
+                assert np.intersect1d(nj._signatures(s), nj._signatures(t)).size, (len(s), len(t))
 
 
 def test_shingle_sets_do_not_depend_on_blocks(monkeypatch):

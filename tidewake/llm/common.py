@@ -50,7 +50,41 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewake-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove the folders of materialised frames that nothing reads any more."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Share of a table's rows from which one key counts as heavy, and the least rows of such a key.
+HEAVY_SHARE = 1000
+HEAVY_ROWS = 4096
+
+
+def heavy_keys(df: DataFrame, key: str, least: int = HEAVY_ROWS) -> list[tuple[int, int]]:
+    """(key, rows) of the keys that hold a thousandth of the rows or more: a thousand keys at most."""
+    total = df.count()
+    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("rows"))
+    return [tuple(r) for r in counts.filter(F.col("rows") >= max(least, -(-total // HEAVY_SHARE))).collect()]
+
+
+def join_unskewed(left: DataFrame, right: DataFrame, key: str, how: str = "inner", least: int = HEAVY_ROWS) -> DataFrame:
+    """``left`` joined with ``right``, which has one row per key, however often a key occurs in ``left``.
+
+    Rows of heavy keys stay where they are and meet the heavy keys' rows (a thousand at most)
+    by broadcast; the others meet by a shuffle. ``left`` is read three times: materialise it.
+    """
+    heavy = [k for k, _ in heavy_keys(left, key, least)]
+    if not heavy:
+        return left.join(right, key, how)
+    hot = F.coalesce(F.col(key).isin(heavy), F.lit(False))
+    return left.filter(~hot).join(right, key, how).unionByName(left.filter(hot).join(F.broadcast(right.filter(hot)), key, how))
 
 
 def shuffle_width(spark: SparkSession) -> int:
