@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -45,12 +46,21 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-def stable(df):
-    """``df`` behind a checkpoint in the shared folder: computed once for all its consumers.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the checkpoint folder already set.
 
-    The folder is ``spark.checkpoint.dir``; a temporary one is set only where it is unset.
+    On a cluster neither may be missing; only a local session makes a temporary one.
     """
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidewake-shared-"))
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidewake-shared-"))
+    return named or sc._jsc.sc().getCheckpointDir().get()
+
+
+def stable(df):
+    """``df`` behind a checkpoint in the shared folder: computed once for all its consumers."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
