@@ -11,14 +11,13 @@ Conventions kept by every operator of this subpackage:
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.session import ship_package
+from tidewake.session import shared_folder, ship_package
 
 #: Upper bound, in bytes, of what one Arrow batch hands to a Python worker.
 BATCH_BYTES = 16 << 20
@@ -33,22 +32,10 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if found.isDefined():
-            return found.get()
-        base = tempfile.mkdtemp(prefix="tidewake-shared-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidewake-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tidewake-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
@@ -64,7 +51,7 @@ def discard(*frames: DataFrame) -> None:
 
 #: Share of a table's rows from which one key counts as heavy, and the least rows of such a key.
 HEAVY_SHARE = 1000
-HEAVY_ROWS = 4096
+HEAVY_ROWS = 256
 
 
 def heavy_keys(df: DataFrame, key: str, least: int = HEAVY_ROWS) -> list[tuple[int, int]]:
@@ -87,6 +74,21 @@ def join_unskewed(left: DataFrame, right: DataFrame, key: str, how: str = "inner
     return left.filter(~hot).join(right, key, how).unionByName(left.filter(hot).join(F.broadcast(right.filter(hot)), key, how))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, id_col: str, row_hash: Column) -> DataFrame:
+    """``docs`` without the rows that ``gone`` (gone_id, gone_hash) tells; null identifiers are equal."""
+    ident, mark = unused(docs, "gone_id"), unused(docs, "gone_hash")
+    told = gone.select(F.col("gone_id").alias(ident), F.col("gone_hash").alias(mark))
+    return docs.join(told, docs[id_col].cast("long").eqNullSafe(F.col(ident)) & (row_hash == F.col(mark)), "left_anti")
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """Number of shuffle partitions of the session: operators scale with it."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import shared_dir
+from tidewake.session import shared_folder
 
 #: Links that one partition thins at a time.
 FOREST_LINKS = 1 << 20
@@ -68,7 +68,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Nodes that only link to themselves, or to null, don't appear.
     """
-    shared_dir(links.sparkSession)
+    shared_folder(links.sparkSession)
     edges = links.filter(F.col("a") != F.col("b")).select("a", "b").mapInArrow(_forest, "a long, b long").distinct().checkpoint()
     mark = None
     for _ in range(most_rounds):

@@ -74,9 +74,9 @@ def mixing_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def source_rates(sized: DataFrame, budget_share: float, max_repeat: float, weights: tuple[int, ...]) -> DataFrame:
     """Rates per source of (source, size) rows, behind a checkpoint: a few rows that every later step shares."""
-    from tidewake.llm.common import shared_dir
+    from tidewake.session import shared_folder
 
-    shared_dir(sized.sparkSession)
+    shared_folder(sized.sparkSession)
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     return source_targets(sums, budget_share, max_repeat, weights).checkpoint()
 

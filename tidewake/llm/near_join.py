@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import discard, heavy_keys, join_unskewed, materialise, mix64, prepare, shuffle_width, table, text_bytes
+from tidewake.llm.common import discard, heavy_keys, join_unskewed, materialise, mix64, prepare, shuffle_width, table, text_bytes, without_rows
 from tidewake.llm.components import components
 from tidewake.llm.shingles import set_fingerprint, shingle_sets
 
@@ -43,10 +43,6 @@ SLACK = 0.2
 #: Bins of the histograms that bound a pair's difference from below; counts are capped at 15
 #: (which keeps the bound a bound), two in a byte.
 BINS = 256
-#: Members of a group from which it names several leaders.
-LARGE = 64
-#: Orders that name leaders of large groups.
-ORDERS = 3
 #: Nodes of a group in one row.
 CHUNK = 1 << 16
 #: Signatures that are sorted at a time.
@@ -63,7 +59,7 @@ MOST_CLASHES = 10_000
 
 _I64 = pa.int64()
 _PACKED = ("bucket", "sigs", "nodes", "times", "ids", "sets")
-_SEEDS = [np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) for k in range(ORDERS)]
+_ORDER = np.uint64(0x9E3779B97F4A7C15)
 #: A document's identity, and what the first text of a set tells about the set.
 _ID = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("n_shingles", "<i8"), ("node", "<i8"), ("row_hash", "<i8")])
 _SET = np.dtype([("node", "<i8"), ("check", "<i8"), ("n", "<i8"), ("row_hash", "<i8"), ("hist", f"V{BINS // 2}")])
@@ -187,11 +183,11 @@ def _distinct_members(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np
 
 
 def _read_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed signatures of one partition to its different groups, by chunks of members, each with the group's leaders."""
+    """Packed signatures of one partition to its different groups, by chunks of members, each with the group's leader."""
 
     def out(**cols) -> pa.RecordBatch:
         n = len(next(iter(cols.values())))
-        kinds = {"grp": _I64, "chunk": _I64}
+        kinds = {"grp": _I64, "chunk": _I64, "leader": _I64}
         return pa.RecordBatch.from_arrays([pa.array(cols.get(c, [None] * n), kinds.get(c, pa.binary())) for c in _GROUP], names=list(_GROUP))
 
     blobs = []
@@ -215,29 +211,29 @@ def _read_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not sig:
             return
         node, first, last = _distinct_members(np.concatenate(sig), np.concatenate(node))
-        ranks = [mix64(node.view(np.uint64) ^ seed) for seed in _SEEDS]
+        rank = mix64(node.view(np.uint64) ^ _ORDER)
         salted = mix64(node.view(np.uint64) * np.uint64(0x9FB21C651E98DF25))
-        grp, chunk, leaders, members = [], [], [], []
+        grp, chunk, leader, members = [], [], [], []
         for lo, hi in zip(first.tolist(), last.tolist()):
             name = int(mix64(np.array([salted[lo:hi].sum(dtype=np.uint64) + np.uint64(hi - lo)]))[0])
             if name in seen:
                 continue
             seen.add(name)
-            heads = np.unique([node[lo + int(np.argmin(r[lo:hi]))] for r in (ranks if hi - lo > LARGE else ranks[:1])]).tobytes()
+            head = int(node[lo + int(np.argmin(rank[lo:hi]))])
             for at in range(lo, hi, CHUNK):
                 grp.append(int(_signed([name])[0]))
                 chunk.append((at - lo) // CHUNK)
-                leaders.append(heads)
+                leader.append(head)
                 members.append(node[at : min(at + CHUNK, hi)].tobytes())
             if len(grp) >= 4096:
-                yield out(grp=grp, chunk=chunk, leaders=leaders, members=members)
-                grp, chunk, leaders, members = [], [], [], []
+                yield out(grp=grp, chunk=chunk, leader=leader, members=members)
+                grp, chunk, leader, members = [], [], [], []
         if grp:
-            yield out(grp=grp, chunk=chunk, leaders=leaders, members=members)
+            yield out(grp=grp, chunk=chunk, leader=leader, members=members)
 
 
-_GROUP = ("grp", "chunk", "leaders", "members", "ids", "sets")
-_GROUP_TYPE = "grp long, chunk long, leaders binary, members binary, ids binary, sets binary"
+_GROUP = ("grp", "chunk", "leader", "members", "ids", "sets")
+_GROUP_TYPE = "grp long, chunk long, leader long, members binary, ids binary, sets binary"
 
 
 def _read_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,12 +256,11 @@ def _leader_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """Groups to the different (leader, member) pairs of a batch."""
     for batch in batches:
         a, b = [], []
-        for heads, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for head, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             members = np.frombuffer(raw, np.int64)
-            for head in np.frombuffer(heads, np.int64):
-                others = members[members != head]
-                a.append(np.full(len(others), head))
-                b.append(others)
+            others = members[members != head]
+            a.append(np.full(len(others), head))
+            b.append(others)
         if a:
             pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
@@ -526,7 +521,7 @@ def _components_of(docs: DataFrame, id_col: str, text_col: str, name_bits: int =
     """``near_components``, with the row's hash."""
     prepare(docs.sparkSession)
     search = _Search(docs, id_col, text_col, name_bits)
-    led = materialise(search.groups("leaders", "members").mapInArrow(_leader_pairs, "a long, b long").distinct(), "led")
+    led = materialise(search.groups("leader", "members").mapInArrow(_leader_pairs, "a long, b long").distinct(), "led")
     first = materialise(search.allowed(led), "pairs")
     links = search.verified(first, "links")
     comp = materialise(components(links), "components")
@@ -575,7 +570,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     ids = _components_of(docs, id_col, text_col)
     gone = materialise(ids.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone_id"), F.col("row_hash").alias("gone_hash")).distinct(), "gone")
-    return docs.join(gone, (docs[id_col].cast("long") == F.col("gone_id")) & (_row_hash(id_col, text_col) == F.col("gone_hash")), "left_anti")
+    return without_rows(docs, gone, id_col, _row_hash(id_col, text_col))
 
 
 def op8_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
