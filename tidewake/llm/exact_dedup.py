@@ -11,9 +11,7 @@ become one space. Two passes:
    finished one after another.
 2. every document looks up its owner by length and content hash.
 
-Full byte strings decide equality. Should two different strings ever share length and
-SHA-256, the trie sees two terminals with one content key and the job stops with an error
-rather than merging them.
+Full byte strings decide equality; length and SHA-256 only name an owner in the second pass.
 """
 
 from __future__ import annotations
@@ -27,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import prepare, shuffle_width, table, text_bytes
+from tidewake.llm.common import materialise, prepare, shuffle_width, table, text_bytes, without_rows
 
-#: Bytes of edge labels that one trie keeps in memory.
+#: Bytes of edge labels and nodes that one trie keeps in memory.
 MAP_TRIE_BYTES = 24 << 20
 OWNER_TRIE_BYTES = 96 << 20
+#: Bytes of a node beside its label: the object, its table of children and what a terminal holds.
+NODE_BYTES = 480
 
 
 def normalise(text: bytes) -> bytes:
@@ -49,7 +49,7 @@ class _Node:
     __slots__ = ("label", "children", "value", "weight", "spill")
 
     def __init__(self, label: bytes, value=None):
-        self.label, self.children, self.value, self.weight, self.spill = label, {}, value, len(label), None
+        self.label, self.children, self.value, self.weight, self.spill = label, {}, value, len(label) + NODE_BYTES, None
 
 
 def _common(a: bytes, b: bytes, at: int) -> int:
@@ -68,7 +68,7 @@ class PatriciaTrie:
     """Compressed radix trie over byte strings; values of equal strings are merged.
 
     ``merge(old, new)`` combines the values of one string. With a ``budget``, the trie keeps
-    about so many bytes of labels in memory and spills whole subtrees to temporary files,
+    about so many bytes in memory (labels and nodes) and spills whole subtrees to temporary files,
     which ``items`` finishes recursively and removes.
     """
 
@@ -93,30 +93,31 @@ class PatriciaTrie:
             child = node.children.get(key[at])
             if child is None:
                 child = node.children[key[at]] = _Node(key[at:], value)
-                self._grew(path, len(child.label))
+                self.terminals += 1
+                self._grew(path, child.weight)
                 return
             if key.startswith(child.label, at):
                 node, at = child, at + len(child.label)
                 continue
             k = _common(child.label, key, at)
             upper = _Node(child.label[:k])
-            upper.weight = child.weight
+            upper.weight = child.weight  # the upper label comes out of the child's
             child.label = child.label[k:]
             child.weight -= k
             upper.children[child.label[0]] = child
             node.children[key[at]] = upper
             path.append(upper)
-            rest = key[at + k :]
+            rest, more = key[at + k :], NODE_BYTES
             if rest:
-                upper.children[rest[0]] = _Node(rest, value)
-                self._grew(path, len(rest))
+                leaf = upper.children[rest[0]] = _Node(rest, value)
+                more += leaf.weight
             else:
                 upper.value = value
-                self.terminals += 1
+            self.terminals += 1
+            self._grew(path, more)
             return
 
     def _grew(self, path: list[_Node], n: int) -> None:
-        self.terminals += 1
         self.bytes += n
         for node in path:
             node.weight += n
@@ -142,7 +143,7 @@ class PatriciaTrie:
         node = path[-1]
         if node is self.root or not node.children:
             return False
-        before = node.weight - len(node.label)
+        before = node.weight - len(node.label) - NODE_BYTES
         node.spill = tempfile.TemporaryFile()
         for key, value, inside in _walk(node, b""):
             for rest, v in [(b"", value)] if inside is None else self._read(inside):
@@ -253,16 +254,7 @@ def _own(batches: Iterator[pa.RecordBatch], budget: int = OWNER_TRIE_BYTES) -> I
         cols = batch.to_pydict()
         for sha, body, least, copies in zip(cols["sha"], cols["body"], cols["least"], cols["copies"]):
             trie.insert(body, Owner(least, copies, sha))
-    seen: set[bytes] = set()
-
-    def owners():
-        for key, v in trie.items():
-            if v.sha in seen:
-                raise RuntimeError("two different texts share a SHA-256")
-            seen.add(v.sha)
-            yield len(key), v.sha, v.least, v.count
-
-    yield from _rows(_OWNERS, owners())
+    yield from _rows(_OWNERS, ((len(key), v.sha, v.least, v.count) for key, v in trie.items()))
 
 
 def _content_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,10 +304,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with the columns that they came with."""
-    rows = docs.select(text_bytes(text_col).alias("body"), F.struct(F.col(id_col).cast("long").alias("own_id"), F.struct("*").alias("whole")).alias("row"))
-    joined = _with_owner(rows, docs, id_col, text_col)
-    return joined.filter(F.col("row.own_id").eqNullSafe(F.col("keep_id"))).select("row.whole.*")
+    """The rows of ``docs`` that stay, with the columns that they came with.
+
+    Repeated rows (same identifier and text) share their owner's fate and stay together. The
+    identities of the rows that go are written first: while they are few, whole rows aren't
+    shuffled.
+    """
+    body = text_bytes(text_col)
+    row_hash = F.xxhash64(body)
+    own = F.struct(F.col(id_col).cast("long").alias("own_id"), row_hash.alias("own_hash"))
+    joined = _with_owner(docs.select(body.alias("body"), own.alias("row")), docs, id_col, text_col)
+    gone = joined.filter(~F.col("row.own_id").eqNullSafe(F.col("keep_id"))).select(F.col("row.own_id").alias("gone_id"), F.col("row.own_hash").alias("gone_hash")).distinct()
+    gone = materialise(gone, "gone")
+    return without_rows(docs, gone, id_col, row_hash)
 
 
 def op1_exact_dedup(spark, sf_dir: str) -> DataFrame:
