@@ -3,6 +3,8 @@ import zlib
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from tidewake.llm import ordinal_quality as oq
 from tidewake.llm import toxicity as tx
 
@@ -67,3 +69,38 @@ def test_grades_are_ordered_and_held_out_rows_agree(spark):
     assert np.mean([round(e) == g for e, g in held]) > 0.9
     assert all(0 <= r.tail_prob <= 1 and 0 <= r.expected_grade <= 2 for r in got.values()) and None in got
     assert oq.grade_rows(docs.limit(0), model).collect() == []
+
+
+def test_quality_features_do_not_depend_on_blocks(monkeypatch):
+    import tidewake.llm.shingles as sh
+
+    texts = [b"", b"a", b"One. TWO, three!! " * 40, ("é word 12,5 " * 50).encode(), b"x" * 300]
+    want = [[c.tolist() for c in oq.features(t)] for t in texts]
+    for size in (7, 64):
+        monkeypatch.setattr(oq, "BLOCK", size)
+        monkeypatch.setattr(sh, "BLOCK", size)
+        for t, (col, v) in zip(texts, want):
+            got = oq.features(t)
+            assert got[0].tolist() == col and np.allclose(got[1], v, rtol=1e-12)
+
+
+def test_repeated_long_and_clashing_rows_are_scored_alike(spark):
+    rows = [(i % 7, ("you idiot " if i % 2 else "calm sea ") * (1 + i % 3)) for i in range(40)] + [(90, "calm sea " * 150_000), (91, None), (91, None)]
+    docs = spark.createDataFrame([(i, t, 0.25, "x") for i, t in rows], "doc_id long, text string, score double, row string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(7)], "doc_id long, toxic int, quality int")
+    model, graded = tx.fit(docs, labels), oq.fit(docs, labels)
+    for got, key in ((tx.score_rows(docs, model), ["score"]), (oq.grade_rows(docs, graded), ["expected_grade", "tail_prob"])):
+        assert got.select("row.*").columns == docs.columns
+        seen = {}
+        for r in got.collect():
+            seen.setdefault(r.row.text, set()).add(tuple(r[k] for k in key))
+        assert len(seen) == len({t for _, t in rows}) and all(len(v) == 1 for v in seen.values())
+
+
+def test_training_on_tables_is_training_on_texts(spark):
+    rows = [(i, ("you idiot moron " if i % 3 == 0 else "calm sea and storm ") + str(i * i)) for i in range(60)]
+    labels = [(i, int(i % 3 == 0)) for i, _ in rows]
+    kept = {r.doc_id for r in spark.createDataFrame(labels, "doc_id long, y int").filter(tx.fold(F.col("doc_id")) != 1).collect()}
+    a = tx.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    b = tx.train([t.encode() for i, t in rows if i in kept], [y for i, y in labels if i in kept])
+    assert np.allclose(a.weights, b.weights, atol=1e-6) and abs(a.bias - b.bias) < 1e-6

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewake.llm.common import prepare, table, text_bytes
-from tidewake.llm.shingles import BLOCK, word_hashes
+from tidewake.llm.shingles import BLOCK, long_words
 from tidewake.llm.toxicity import fold
 
 WORD_BITS = 16
@@ -50,15 +50,17 @@ WIDTH = _WORDS + _CLASSES**3
 
 
 def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(columns, values): words by log count and classes by root share, each of unit length."""
-    words, runs = [], np.zeros(_CLASSES**3)
+    """(columns, values): words by log count and classes by root share, each of unit length.
+
+    Long texts go block by block: words are cut at white space, runs that straddle a block
+    count in the block where they start, so blocks don't show.
+    """
+    runs = np.zeros(_CLASSES**3)
     for at in range(0, len(text), BLOCK):
-        part = text[at : at + BLOCK]
-        words.append(word_hashes(part)[1] >> np.uint64(64 - WORD_BITS))
-        c = _CLASS[np.frombuffer(part, np.uint8)]
+        c = _CLASS[np.frombuffer(text[at : at + BLOCK + 2], np.uint8)]
         if len(c) > 2:
-            np.add.at(runs, c[:-2] * np.uint16(_CLASSES * _CLASSES) + c[1:-1] * np.uint16(_CLASSES) + c[2:], 1)
-    col, n = np.unique(np.concatenate(words) if words else np.empty(0, np.uint64), return_counts=True)
+            runs += np.bincount(c[:-2] * np.uint16(_CLASSES * _CLASSES) + c[1:-1] * np.uint16(_CLASSES) + c[2:], minlength=_CLASSES**3)
+    col, n = np.unique(long_words(text) >> np.uint64(64 - WORD_BITS) if text else np.empty(0, np.uint64), return_counts=True)
     v = np.log1p(n)
     at = np.flatnonzero(runs)
     r = np.sqrt(runs[at] / max(1, runs.sum()))
@@ -90,12 +92,16 @@ class OrdinalModel:
 
 
 def train(texts: list[bytes], ratings: list[float], l2: float = 1e-4, steps: int = 200) -> OrdinalModel:
+    """``train_on`` the features of texts."""
+    return train_on([features(t) for t in texts], ratings, l2, steps)
+
+
+def train_on(found: list[tuple[np.ndarray, np.ndarray]], ratings: list[float], l2: float = 1e-4, steps: int = 200) -> OrdinalModel:
     """Fit by accelerated gradient steps on the log-likelihood. One grade only: it is certain."""
     grades = sorted(set(ratings))
     if len(grades) < 2:
         return OrdinalModel(np.zeros(WIDTH), np.empty(0), [float(g) for g in grades] or [0.0])
     y = np.array([grades.index(r) for r in ratings])
-    found = [features(t) for t in texts]
     row = np.repeat(np.arange(len(found)), [len(c) for c, _ in found]).astype(np.int32)
     cols, at = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
     x = np.concatenate([v for _, v in found])
@@ -134,9 +140,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = known.orderBy(F.xxhash64("label_id"), "label_id").limit(max_rows)
     texts = docs.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("body"))
     # at most max_rows rows of two numbers: a proven bound
-    rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("doc_id", "body", "y")
-    got = sorted(((r[0], bytes(r[1]), r[2]) for r in rows.toLocalIterator()), key=lambda r: (r[0], r[1]))
-    return train([r[1] for r in got], [r[2] for r in got])
+    rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("doc_id", F.xxhash64("body").alias("tag"), "y", "body")
+    prepare(docs.sparkSession)
+    got = sorted((r[0], r[1], r[2], bytes(r[3]), bytes(r[4])) for r in rows.mapInArrow(_featured, "doc_id long, tag long, y double, col binary, v binary").toLocalIterator())
+    return train_on([(np.frombuffer(c, np.int64), np.frombuffer(v, np.float64)) for *_, c, v in got], [r[2] for r in got])
+
+
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rated texts to their features: what goes to the driver is bounded by the model's width, not by texts."""
+    for batch in batches:
+        found = [features(b.as_py()) for b in batch.column(3)]
+        blobs = [pa.array([f[k].astype(kind).tobytes() for f in found], pa.binary()) for k, kind in ((0, np.int64), (1, np.float64))]
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), batch.column(2), *blobs], names=["doc_id", "tag", "y", "col", "v"])
 
 
 def _scorer(model: OrdinalModel, tail_from: int | None):
@@ -148,16 +163,21 @@ def _scorer(model: OrdinalModel, tail_from: int | None):
     return run
 
 
-def grade_rows(docs: DataFrame, model: OrdinalModel, text_col: str = "text", tail_from: int | None = None) -> DataFrame:
-    """docs to (expected_grade, tail_prob, row). Null texts are empty; an empty table stays empty."""
+def grade_rows(docs: DataFrame, model: OrdinalModel, text_col: str = "text", tail_from: int | None = None, carried: list[str] | None = None) -> DataFrame:
+    """docs to (expected_grade, tail_prob, row), where row holds the ``carried`` columns, all by default.
+
+    Every row is graded on its own: null texts are empty, repeated rows get the same grade,
+    very long texts go block by block, and other columns pass in ``row`` whatever their names.
+    Without labels the grade is 0 and certain. An empty table stays empty.
+    """
     prepare(docs.sparkSession)
-    rows = docs.select(text_bytes(text_col).alias("body"), F.struct("*").alias("row"))
+    rows = docs.select(text_bytes(text_col).alias("body"), F.struct(*(carried or ["*"])).alias("row"))
     return rows.mapInArrow(_scorer(model, tail_from), f"expected_grade double, tail_prob double, row {rows.schema['row'].dataType.simpleString()}")
 
 
 def op5_ordinal_quality(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    graded = grade_rows(docs.select("doc_id", "text"), fit(docs, table(spark, sf_dir, "labels")))
+    graded = grade_rows(docs, fit(docs, table(spark, sf_dir, "labels")), carried=["doc_id"])
     return graded.select(
         F.col("row.doc_id").alias("doc_id"), F.coalesce(fold(F.col("row.doc_id")) == 1, F.lit(False)).alias("held_out"),
         "expected_grade", "tail_prob", (F.col("tail_prob") >= KEEP_FROM).alias("kept"),

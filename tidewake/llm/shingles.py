@@ -77,7 +77,7 @@ def _blocks(texts: list[bytes]) -> list[list[int]]:
     return out
 
 
-def _long_words(text: bytes) -> np.ndarray:
+def long_words(text: bytes) -> np.ndarray:
     """Word hashes of a text beyond a block, cut at white space."""
     parts, at = [], 0
     while at < len(text):
@@ -102,7 +102,7 @@ def shingle_sets(texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
         if not block:
             continue
         if len(block) == 1 and len(texts[block[0]]) > BLOCK:
-            out[block[0]] = _set(_long_words(texts[block[0]]), width)
+            out[block[0]] = _set(long_words(texts[block[0]]), width)
             continue
         start, words = word_hashes(b" ".join(texts[i] for i in block))
         ends = np.cumsum([len(texts[i]) + 1 for i in block])

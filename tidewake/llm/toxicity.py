@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import prepare, table, text_bytes
+from tidewake.llm.common import discard, materialise, prepare, table, text_bytes
 
 ORDERS = (3, 4, 5)
 BITS = 18
@@ -72,35 +72,64 @@ class Model:
         return 1 / (1 + float(np.exp(-np.clip(self.margin(text), -40, 40))))
 
 
-def train(texts: list[bytes], labels: list[int], l2: float = 8.0, steps: int = 300) -> Model:
-    """Fit on a list of texts. With one label only (or no rows), the score is that label's rate."""
-    y = np.asarray(labels, np.float64)
-    if not len(y) or y.min() == y.max():
-        rate = (y.sum() + 0.5) / (len(y) + 1)
-        return Model(np.zeros(1 << BITS), np.log(rate / (1 - rate)))
-    width = 1 << BITS
-    n1, n0 = y.sum(), (1 - y).sum()
-    c1, c0 = np.zeros(width), np.zeros(width)
-    for t, label in zip(texts, y):  # one text's columns at a time: memory stays that of the texts
-        (c1 if label else c0)[np.unique(grams(t))] += 1
+def _counted(text: bytes, place: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(columns, times) of a text, block by block; with ``place``, of the columns that have one only, by place."""
+    kept = []
+    for at in range(0, max(1, len(text)), BLOCK):
+        g = grams(text[at : at + BLOCK + max(ORDERS) - 1], BLOCK)
+        if place is not None:
+            g = place[g]
+            g = g[g >= 0]
+        kept.append(np.unique(g, return_counts=True))
+    if len(kept) == 1:
+        return kept[0]
+    col, at = np.unique(np.concatenate([c for c, _ in kept]), return_inverse=True)
+    return col, np.bincount(at, weights=np.concatenate([n for _, n in kept]), minlength=len(col)).astype(np.int64)
+
+
+def choose(c0: np.ndarray, c1: np.ndarray, n0: float, n1: float) -> tuple[np.ndarray, np.ndarray]:
+    """(columns that tell the labels apart, their log-count ratios) from texts per column and label."""
     p1, p0 = (c1 + 0.5) / (n1 + 1), (c0 + 0.5) / (n0 + 1)
-    ratio = np.log(p1 / p0)
     every = (c1 + c0 + 0.5) / (n1 + n0 + 1)
     part = lambda c, n, p: c * np.log(p / every) + (n - c) * np.log((1 - p) / (1 - every))
     gain = part(c1, n1, p1) + part(c0, n0, p0)
     keep = np.argsort(-gain, kind="stable")[:MAX_COLUMNS]
     keep = keep[gain[keep] > 6.0]
-    place = np.full(width, -1)
+    return keep, np.log(p1 / p0)[keep]
+
+
+def certain(n0: float, n1: float) -> Model:
+    """The model of one label only, or of no rows: that label's rate."""
+    rate = (n1 + 0.5) / (n0 + n1 + 1)
+    return Model(np.zeros(1 << BITS), np.log(rate / (1 - rate)))
+
+
+def train(texts: list[bytes], labels: list[int], l2: float = 8.0, steps: int = 300) -> Model:
+    """Fit on a list of texts, as ``fit`` does on tables."""
+    y = np.asarray(labels, np.float64)
+    n1, n0 = y.sum(), (1 - y).sum()
+    if not n1 or not n0:
+        return certain(n0, n1)
+    c = np.zeros((2, 1 << BITS))
+    for t, label in zip(texts, labels):
+        c[label][_counted(t, None)[0]] += 1
+    keep, scale = choose(c[0], c[1], n0, n1)
+    return regress([_counted(t, _places(keep)) for t in texts], y, keep, scale, l2, steps)
+
+
+def _places(keep: np.ndarray) -> np.ndarray:
+    place = np.full(1 << BITS, -1, np.int64)
     place[keep] = np.arange(len(keep))
-    found = []
-    for t in texts:
-        known = place[grams(t)]
-        found.append(np.unique(known[known >= 0], return_counts=True))
+    return place
+
+
+def regress(found: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, keep: np.ndarray, scale: np.ndarray, l2: float = 8.0, steps: int = 300) -> Model:
+    """Logistic regression on the chosen columns, scaled by their ratios; both labels weigh alike."""
+    n1, n0 = y.sum(), (1 - y).sum()
     row = np.repeat(np.arange(len(found)), [len(c) for c, _ in found])
     at = np.concatenate([c for c, _ in found])
-    scale = ratio[keep]
     x = scale[at] * np.log2(1 + np.concatenate([k for _, k in found]))
-    share = np.where(y == 1, 0.5 / n1, 0.5 / n0) * len(y)  # both labels weigh alike
+    share = np.where(y == 1, 0.5 / n1, 0.5 / n0) * len(y)
     w, b = np.zeros(len(keep)), 0.0
     mw, vw, mb, vb = np.zeros(len(keep)), np.zeros(len(keep)), 0.0, 0.0
     for t in range(1, steps + 1):
@@ -113,7 +142,7 @@ def train(texts: list[bytes], labels: list[int], l2: float = 8.0, steps: int = 3
         step = 0.05 / (1 + t / 100)
         w -= step * (mw / (1 - 0.9**t)) / (np.sqrt(vw / (1 - 0.999**t)) + 1e-8)
         b -= step * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-8)
-    full = np.zeros(width)
+    full = np.zeros(1 << BITS)
     full[keep] = w * scale
     return Model(full, b)
 
@@ -132,10 +161,45 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = known.groupBy(F.col(id_col).alias("label_id")).agg(F.max(label_col).alias("y"))
     chosen = known.orderBy(F.xxhash64("label_id"), "label_id").limit(max_rows)
     texts = docs.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("body"))
+    prepare(docs.sparkSession)
     # at most max_rows rows of two integers: a proven bound
-    rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("doc_id", "body", "y")
-    got = sorted(((r[0], bytes(r[1]), int(r[2])) for r in rows.toLocalIterator()), key=lambda r: (r[0], r[1]))
-    return train([r[1] for r in got], [r[2] for r in got])
+    joined = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
+    rows = materialise(joined.select("doc_id", F.xxhash64("body").alias("tag"), F.col("y").cast("int").alias("y"), "body"), "labelled")
+    n0, n1 = rows.agg(F.count_if(F.col("y") == 0), F.count_if(F.col("y") == 1)).first()
+    if not n0 or not n1:
+        return certain(n0, n1)
+    c = np.zeros((2, 1 << BITS))
+    for column, zero, one in rows.select("y", "body").mapInArrow(_columns, "g int, zero int, one int").groupBy("g").agg(F.sum("zero"), F.sum("one")).collect():  # 2**BITS rows at most
+        c[0, column], c[1, column] = zero, one
+    keep, scale = choose(c[0], c[1], n0, n1)
+    got = sorted((r[0], r[1], r[2], bytes(r[3]), bytes(r[4])) for r in rows.mapInArrow(_chosen(keep), "doc_id long, tag long, y int, at binary, n binary").toLocalIterator())
+    discard(rows)
+    found = [(np.frombuffer(a, np.int64), np.frombuffer(n, np.int64)) for *_, a, n in got]
+    return regress(found, np.array([r[2] for r in got], np.float64), keep, scale)
+
+
+def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(y, body) to texts per column and label, added up in the task."""
+    c = np.zeros((2, 1 << BITS), np.int32)
+    for batch in batches:
+        for y, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+            c[y][_counted(body.as_py(), None)[0]] += 1
+    some = np.flatnonzero(c.any(0))
+    if len(some):
+        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)) for x in (some, c[0, some], c[1, some])], names=["g", "zero", "one"])
+
+
+def _chosen(keep: np.ndarray):
+    """Labelled texts to their chosen columns: MAX_COLUMNS a row at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = _places(keep)
+        for batch in batches:
+            found = [_counted(b.as_py(), place) for b in batch.column(3)]
+            blobs = [pa.array([f[k].astype(np.int64).tobytes() for f in found], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), batch.column(2), *blobs], names=["doc_id", "tag", "y", "at", "n"])
+
+    return run
 
 
 def _scorer(model: Model):
@@ -147,20 +211,22 @@ def _scorer(model: Model):
     return run
 
 
-def score_rows(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs to (score, row), where row is the whole input row.
+def score_rows(docs: DataFrame, model: Model, text_col: str = "text", carried: list[str] | None = None) -> DataFrame:
+    """docs to (score, row), where row holds the ``carried`` columns, all by default.
 
-    Null and empty texts get the model's bias alone; an empty table stays empty.
+    Every row is scored on its own: null and empty texts get the model's bias alone, repeated
+    rows get the same score, very long texts go block by block, and other columns pass in
+    ``row`` whatever their names. An empty table stays empty.
     """
     prepare(docs.sparkSession)
-    rows = docs.select(text_bytes(text_col).alias("body"), F.struct("*").alias("row"))
+    rows = docs.select(text_bytes(text_col).alias("body"), F.struct(*(carried or ["*"])).alias("row"))
     return rows.mapInArrow(_scorer(model), f"score double, row {rows.schema['row'].dataType.simpleString()}")
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"))
-    scored = score_rows(docs.select("doc_id", "text"), model)
+    scored = score_rows(docs, model, carried=["doc_id"])
     return scored.select(
         F.col("row.doc_id").alias("doc_id"), F.coalesce(fold(F.col("row.doc_id")) == 1, F.lit(False)).alias("held_out"), "score",
         F.when(F.col("score") >= 0.7, 1).otherwise(0).cast("int").alias("predicted"),
