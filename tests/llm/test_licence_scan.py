@@ -47,5 +47,21 @@ def test_matching_statistics_are_longest_matches():
             state, length = sam.step(state, length, c)
             want = max((k for k in range(i + 2) if any(text[i + 1 - k : i + 1] == s[j : j + k] for s in strings for j in range(len(s) - k + 1))), default=0)
             assert length == want
-            for number, end in sam.ends[state].items():
-                assert strings[number][end - length + 1 : end + 1] == text[i + 1 - length : i + 1]
+            run = text[i + 1 - length : i + 1]
+            for number, s in enumerate(strings if state else []):
+                assert sam.ends[state].get(number, set()) == {j + length - 1 for j in range(len(s) - length + 1) if s[j : j + length] == run}
+
+
+def test_a_repeated_phrase_chains_at_its_later_place():
+    """The second "a b c d" of the template goes on from "p q r s", however it is set off in the text."""
+    for template in ("a b c d p q r s a b c d t u v w", "a b c d p q r s t u v w"):
+        scanner = ls.Scanner(templates=((template, "x"),), base=())
+        text = "a b c d p q r s z a b c d z t u v w" if template.count("a b c d") == 2 else "a b c d p q r s z t u v w"
+        n, places, spans = scanner.scan(text.encode())
+        assert (n, places) == (len(text.split()), []) and [(s[0], s[1], s[2]) for s in spans] == [("x", 0, n - 1)] and spans[0][3] == 1.0
+
+
+def test_two_copies_are_two_spans():
+    notice = ls.TEMPLATES[1][0]
+    _, _, spans = ls.Scanner().scan(f"Intro words. {notice}. Other words stand between here, a dozen of them, so that gaps are wide. {notice}".encode())
+    assert [s[0] for s in spans].count("mit") == 2

@@ -11,6 +11,7 @@ the suffix path of the current match.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -22,17 +23,33 @@ from tidewake.llm.common import prepare, table, text_bytes
 
 #: Phrases and labels of the contract.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-#: Notices and openings of public licence texts, with the labels that their spans give.
+# Notices, grants and openings of public licence texts, lower-cased without marks, with the labels that their spans give.
 TEMPLATES = (
     ("released under the mit license", "mit"),
     ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", "mit"),
+    ("the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", "mit"),
     ("licensed under the apache license version 2 0", "apache"),
+    ("licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at", "apache"),
     ("unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", "apache"),
     ("this work is licensed under the gnu general public license version 3", "gpl"),
     ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gpl"),
+    ("this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details", "gpl"),
+    ("this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", "lgpl"),
+    ("under the terms of the gnu affero general public license as published by the free software foundation", "agpl"),
     ("licensed under cc by nc 4 0", "cc-by-nc"),
     ("this work is licensed under a creative commons attribution noncommercial 4 0 international license", "cc-by-nc"),
+    ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by"),
+    ("this work is licensed under a creative commons attribution sharealike 4 0 international license", "cc-by-sa"),
+    ("the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law", "cc0"),
     ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd"),
+    ("redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "bsd"),
+    ("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "bsd"),
+    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "isc"),
+    ("this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", "mpl"),
+    ("this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software", "unlicense"),
+    ("this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "zlib"),
+    ("permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "boost"),
+    ("this program and the accompanying materials are made available under the terms of the eclipse public license", "epl"),
 )
 #: Shortest match that enters a chain, most words skipped between two, least covered share of a span's template.
 MIN_WORDS = 4
@@ -50,8 +67,8 @@ class SuffixAutomaton:
     def __init__(self):
         self.next: list[dict] = [{}]
         self.link, self.len = [-1], [0]
-        #: string number -> smallest end place, for the state's own ends
-        self.ends: list[dict[int, int]] = [{}]
+        #: string number -> end places of the state's strings there
+        self.ends: list[dict[int, set[int]]] = [{}]
 
     def _state(self, length: int, link: int, next_: dict) -> int:
         self.next.append(next_)
@@ -84,14 +101,14 @@ class SuffixAutomaton:
                 if p != -1:
                     self.link[new] = self._split(p, c, self.next[p][c])
                 last = new
-            self.ends[last].setdefault(number, place)
+            self.ends[last].setdefault(number, set()).add(place)
 
     def finish(self) -> None:
         """Spread end places to all suffixes."""
         for s in sorted(range(1, len(self.len)), key=lambda s: -self.len[s]):
             up = self.ends[self.link[s]]
-            for number, place in self.ends[s].items():
-                up[number] = min(place, up.get(number, place))
+            for number, places in self.ends[s].items():
+                up.setdefault(number, set()).update(places)
 
     def step(self, state: int, length: int, c) -> tuple[int, int]:
         while state and c not in self.next[state]:
@@ -162,26 +179,39 @@ class Scanner:
         return n, places, self._chain(found)
 
     def _chain(self, found: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
-        """Chains per template: matches in order in text and template, gaps bounded."""
+        """Spans per template: the chains that cover most, no two overlapping in the text.
+
+        A match stands at every place that its words have in the template; a chain's matches
+        ascend in text and template with bounded gaps, and each goes on from the predecessor
+        that covers most.
+        """
         spans = []
         per: dict[int, list[tuple[int, int, int, int]]] = {}
         for last, length, state in found:
-            for number, end in self.sam.ends[state].items():
+            for number, ends in self.sam.ends[state].items():
                 if number < len(self.templates):
-                    per.setdefault(number, []).append((last - length + 1, last, end - length + 1, end))
+                    per.setdefault(number, []).extend((last - length + 1, last, end - length + 1, end) for end in sorted(ends))
         for number, rows in per.items():
             words, label = self.templates[number]
-            first = last = at = covered = None
-            for lo, hi, t_lo, t_hi in rows + [(None,) * 4]:
-                joins = lo is not None and first is not None and t_hi > at and lo - last - 1 <= MAX_GAP and t_lo > at - (hi - lo + 1)
-                if joins:
-                    covered += t_hi - max(at, t_lo - 1)
-                    last, at = max(last, hi), t_hi
+            chains: list[tuple[int, int, int, int]] = []  # covered, first word, last word, end in the template
+            for lo, hi, t_lo, t_hi in rows:
+                best = (hi - lo + 1, lo)
+                for covered, first, last, at in reversed(chains):
+                    if last < lo - 1 - MAX_GAP:
+                        break
+                    if last < hi and at < t_hi and t_lo > at - (hi - lo + 1):
+                        best = max(best, (covered + t_hi - max(at, t_lo - 1), first), key=lambda c: (c[0], -c[1]))
+                chains.append((*best, hi, t_hi))
+            taken: list[tuple[int, int]] = []
+            for covered, first, last, _ in sorted(chains, key=lambda c: (-c[0], c[1], c[2])):
+                if covered < MIN_COVER * len(words):
+                    break
+                k = bisect.bisect_left(taken, (first, 0))
+                if (k and taken[k - 1][1] >= first) or (k < len(taken) and taken[k][0] <= last):
                     continue
-                if first is not None and covered >= MIN_COVER * len(words):
-                    spans.append((label, first, last, min(1.0, covered / len(words))))
-                first, last, at, covered = lo, hi, t_hi, None if lo is None else hi - lo + 1
-        return spans
+                taken.insert(k, (first, last))
+                spans.append((label, first, last, min(1.0, covered / len(words))))
+        return sorted(spans, key=lambda s: (s[1], s[2], s[0]))
 
 
 def _run(templates, base, with_spans: bool):
@@ -211,7 +241,8 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     The score is the largest covered share of a template, 0.5 at least where a base phrase
     stands, else 0. Null and empty texts have no words, no labels and score 0. Identifiers
-    may be null or repeated: every row is scanned alone.
+    may be null or repeated: every row is scanned alone. Very long texts stream block by
+    block, and other columns, whatever their names, aren't read.
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("body"))
