@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 
 from tidewake.llm import projection_forest as pf
 
@@ -69,5 +70,12 @@ def test_odd_rows(spark):
 def test_a_pair_counts_in_one_leaf_only():
     lists = [[1, 4, 9], [4, 9], [2, 9], [9]]
     i, j = np.array([0, 0, 1, 2]), np.array([1, 2, 2, 3])
-    assert pf._met_before(lists, 9, i, j).tolist() == [True, False, False, False]
-    assert pf._met_before(lists, 4, i[:1], j[:1]).tolist() == [False]
+    assert pf._met_before(pf._earlier(pa.array(lists), 9), i, j).tolist() == [True, False, False, False]
+    assert pf._met_before(pf._earlier(pa.array(lists), 4), i[:1], j[:1]).tolist() == [False]
+
+
+def test_a_longer_vector_outside_the_sample_keeps_its_links(spark):
+    """The one vector of five components has zeros in the first four: nothing of it may be cut."""
+    rows = [(i, [float(i + 1), 1.0, 0.5, 2.0], 0) for i in range(8)] + [(20, [0.0, 0.0, 0.0, 0.0, 3.0], 0), (21, [0.0, 0.0, 0.0, 0.0, 5.0], 0)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in pf.near_vectors(_frame(spark, rows), sample=2).collect()}
+    assert got[20] == (1, 20) and got[21] == (1, 20)

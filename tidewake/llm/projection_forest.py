@@ -33,6 +33,8 @@ MARGIN = 0.03
 LEAF = 256
 #: Most vectors that the forest is fitted on.
 SAMPLE = 20_000
+#: Most bytes of vectors that it is fitted on.
+SAMPLE_BYTES = 256 << 20
 #: Rows of a leaf that one task compares with as many others.
 TILE = 2048
 
@@ -88,12 +90,22 @@ def route(tree: Tree, x: np.ndarray) -> list[tuple[int, np.ndarray]]:
     return out
 
 
-def unit(rows: list, dims: int) -> np.ndarray:
-    """Rows as unit vectors in double precision, padded to ``dims`` (scaled first, so nothing overflows)."""
-    x = np.zeros((len(rows), dims))
-    for i, r in enumerate(rows):
-        x[i, : min(len(r), dims)] = r[:dims]
-    x /= np.abs(x).max(1, keepdims=True)
+def _padded(column: pa.Array | pa.ChunkedArray, width: int, fill, kind) -> np.ndarray:
+    """A list column as a matrix of ``width`` columns, shorter rows filled up."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    size = column.value_lengths().to_numpy()
+    flat = column.flatten().to_numpy()
+    if len(size) and (size == width).all():
+        return flat.reshape(-1, width).astype(kind)
+    out = np.full((len(size), width), fill, kind)
+    row = np.repeat(np.arange(len(size)), size)
+    out[row, np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = flat
+    return out
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows as unit vectors in double precision (scaled first, so nothing overflows)."""
+    x = x / np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -106,29 +118,30 @@ def _router(forest: list[Tree], dims: int):
 
     def run(batches):
         for batch in batches:
-            rows = batch.column(2).to_pylist()
-            x = unit(rows, dims)
-            lists: list[list[int]] = [[] for _ in rows]
-            for i, tree in enumerate(forest):
-                for leaf, own in route(tree, x):
-                    for r in own:
-                        lists[r].append(int(base[i]) + leaf)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int32()))], names=["node", "label", "vector", "weight", "leaves"])
+            x = unit(_padded(batch.column(2), dims, 0.0, np.float64)) if batch.num_rows else np.empty((0, dims))
+            met = [(np.full(len(own), base[i] + leaf), own) for i, tree in enumerate(forest) for leaf, own in route(tree, x)]
+            leaf, row = (np.concatenate(c) for c in zip(*met)) if met else (np.empty(0, np.int64),) * 2
+            order = np.lexsort((leaf, row))
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=batch.num_rows))])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(leaf[order], pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=["node", "label", "vector", "weight", "leaves"])
 
     return run
 
 
-def _met_before(lists: list[list[int]], leaf: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Which pairs share a leaf before ``leaf``."""
-    early = [[v for v in r if v < leaf] for r in lists]
-    width = max([1, *map(len, early)])
-    at = np.full((len(lists), width), -1, np.int32)
-    for r, e in enumerate(early):
-        at[r, : len(e)] = e
+def _earlier(leaves: pa.Array, leaf: int) -> np.ndarray:
+    """Each row's leaves before ``leaf``, filled up with -1; lists ascend."""
+    out = _padded(leaves, int(np.max(leaves.value_lengths().to_numpy())), -1, np.int32)
+    out[out >= leaf] = -1
+    return out[:, : max(1, int((out >= 0).sum(1).max()))]
+
+
+def _met_before(early: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs share an earlier leaf; ``early`` holds each row's, -1 where there is none."""
     out = np.zeros(len(i), bool)
     for s in range(0, len(i), 1 << 15):
-        x, y = at[i[s : s + (1 << 15)]], at[j[s : s + (1 << 15)]]
-        for k in range(width):
+        x, y = early[i[s : s + (1 << 15)]], early[j[s : s + (1 << 15)]]
+        for k in range(early.shape[1]):
             out[s : s + (1 << 15)] |= ((x[:, k : k + 1] == y) & (y >= 0)).any(1)
     return out
 
@@ -143,9 +156,8 @@ def _compare(least: float):
         weight = t["weight"].to_numpy()
         tile = t["tile"].to_numpy()
         leaf = t["leaf"][0].as_py()
-        rows = t["vector"].to_pylist()
-        lists = t["leaves"].to_pylist()
-        x = unit(rows, max(map(len, rows)))
+        x = unit(_padded(t["vector"], t["dims"][0].as_py(), 0.0, np.float64))
+        early = _earlier(t["leaves"].combine_chunks(), leaf)
         across = tile.min() != tile.max()
         count = np.zeros(len(node), np.int64)
         a, b = [], []
@@ -158,7 +170,7 @@ def _compare(least: float):
             i += lo
             a.append(i)
             b.append(j)
-            new = ~_met_before(lists, leaf, i, j)
+            new = ~_met_before(early, i, j)
             np.add.at(count, i[new], weight[j[new]])
             np.add.at(count, j[new], weight[i[new]])
         by_id = np.argsort(node, kind="stable")
@@ -193,12 +205,12 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     nodes = good.groupBy("label", "vector").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight"))
     nodes = materialise(nodes.select("node", "label", "vector", "weight"), "nodes")
 
-    sizes = nodes.groupBy("label").count().agg(F.sum("count").alias("n"), F.max("count").alias("most")).first()
-    n, most = sizes["n"] or 0, sizes["most"] or 0
-    taken = [r[0] for r in nodes.orderBy(F.xxhash64("node")).limit(sample).select("vector").collect()]
-    dims = max(map(len, taken), default=1)
+    sizes = nodes.groupBy("label").agg(F.count("*").alias("count"), F.max(F.size("vector")).alias("dims")).agg(F.sum("count").alias("n"), F.max("count").alias("most"), F.max("dims").alias("dims")).first()
+    n, most, dims = sizes["n"] or 0, sizes["most"] or 0, sizes["dims"] or 1
+    most_rows = max(1, min(sample, SAMPLE_BYTES // (8 * dims)))
+    taken = nodes.orderBy(F.xxhash64("node")).limit(most_rows).select("vector").toArrow()["vector"]
     share = len(taken) / n if n else 1
-    forest = fit_forest(unit(taken, dims), max(8, round(leaf * share * n / most)), trees) if taken else []
+    forest = fit_forest(unit(_padded(taken, dims, 0.0, np.float64)), max(8, round(leaf * share * n / most)), trees) if len(taken) else []
     routed = nodes.mapInArrow(_router(forest, dims), f"node long, label {nodes.schema['label'].dataType.simpleString()}, vector array<double>, weight long, leaves array<int>")
     routed = materialise(routed.withColumn("dims", F.size("vector")), "routed")
 
