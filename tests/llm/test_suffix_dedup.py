@@ -47,11 +47,10 @@ def corpus(n=160, seed=1):
 @pytest.mark.parametrize(("block", "batch"), [(1 << 21, 1 << 16), (90, 40)])
 def test_spans_match_brute_force(spark, monkeypatch, block, batch):
     monkeypatch.setattr(sd, "BLOCK", block)
-    monkeypatch.setattr(sd, "BATCH", batch)
     rows = corpus()
     rows += [(None, rows[0][1]), (None, rows[0][1]), (rows[3][0], rows[3][1]), (rows[4][0], rows[5][1])]
     df = spark.createDataFrame([(i, t, 1, b"x") for i, t in rows], "doc_id long, text string, ident long, body binary").repartition(3)
-    got = sd.remove_repeats(df).collect()
+    got = sd.remove_repeats(df, batch=batch).collect()
     assert sorted((tuple(r)[:5] for r in got), key=repr) == brute([(i, t.encode()) for i, t in rows])
     for r in got:
         assert hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 and len(r.removed) == r.n_spans

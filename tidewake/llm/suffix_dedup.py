@@ -239,7 +239,7 @@ def _rolling(b: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix64(h)
 
 
-def matches(blobs: list[tuple[int, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def matches(blobs: list[tuple[int, bytes, bytes]], size: int = BATCH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(ident, tag, first, last window) of the runs of matched windows of one bucket."""
     unpack = zstandard.ZstdDecompressor()
     text = b"".join(unpack.decompress(t) for _, t, _ in blobs)
@@ -270,9 +270,9 @@ def matches(blobs: list[tuple[int, bytes, bytes]]) -> tuple[np.ndarray, np.ndarr
         return none
     family, hits = SuffixFamily(), []
     rows = np.lib.stride_tricks.sliding_window_view(b, LENGTH)
-    for lo in range(0, len(at), BATCH):
-        batch = np.ascontiguousarray(rows[at[lo : lo + BATCH]]).view(f"S{LENGTH}").ravel()
-        hits.append(family.add(batch, ident[seg[lo : lo + BATCH]]))
+    for lo in range(0, len(at), size):
+        batch = np.ascontiguousarray(rows[at[lo : lo + size]]).view(f"S{LENGTH}").ravel()
+        hits.append(family.add(batch, ident[seg[lo : lo + size]]))
     hit = np.concatenate(hits)
     at, seg = at[hit], seg[hit]
     if not len(at):
@@ -288,7 +288,7 @@ def matches(blobs: list[tuple[int, bytes, bytes]]) -> tuple[np.ndarray, np.ndarr
 _RUN = np.dtype([("ident", "<i8"), ("tag", "<i8"), ("first", "<i8"), ("last", "<i8")])
 
 
-def _gather(width: int):
+def _gather(width: int, size: int):
     """Packed segments of one partition to packed runs, by the partition of their document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,7 +296,7 @@ def _gather(width: int):
         for batch in batches:
             for bucket, n, text, meta in zip(*(c.to_pylist() for c in batch.columns)):
                 held.setdefault(bucket, []).append((n, text, meta))
-        found = [matches(held.pop(bucket)) for bucket in list(held)]
+        found = [matches(held.pop(bucket), size) for bucket in list(held)]
         if not found:
             return
         runs = np.empty(sum(len(f[0]) for f in found), _RUN)
@@ -361,7 +361,7 @@ def _apply(with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, batch: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed, kept.
 
     ``removed`` lists the maximal removed byte ranges and ``kept`` holds the remaining bytes
@@ -376,7 +376,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), ident, F.xxhash64(text_col).alias("tag"), text_bytes(text_col).alias("body"))
     packed = rows.select("ident", "tag", "body").mapInArrow(_scatter(width * FINER), "bucket int, n long, text binary, meta binary")
     dealt = packed.repartitionById(width, F.pmod("bucket", F.lit(width)).cast("int"))
-    runs = dealt.mapInArrow(_gather(width), "part int, runs binary").repartitionById(width, F.col("part"))
+    runs = dealt.mapInArrow(_gather(width, batch or BATCH), "part int, runs binary").repartitionById(width, F.col("part"))
     spans = materialise(runs.mapInArrow(_per_document, "ident long, tag long, spans binary"), "spans")
     joined = rows.join(spans, ["ident", "tag"], "left").select("doc_id", "body", "spans")
     return joined.mapInArrow(_apply(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<array<long>>, kept binary")
