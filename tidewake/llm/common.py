@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tidewake.session import shared_folder, ship_package
 
 #: Upper bound, in bytes, of what one Arrow batch hands to a Python worker.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 #: ASCII white space, the class [\x20\x09-\x0D] of the contracts.
 SPACE = "[\\x20\\x09-\\x0D]+"
 NOT_SPACE = "[^\\x20\\x09-\\x0D]+"

@@ -451,7 +451,7 @@ class _Search:
 
     def allowed(self, pairs: DataFrame) -> DataFrame:
         """The (a, b) pairs whose sizes and histograms allow a link, each once."""
-        told = lambda c: self.nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("hist").alias(f"hist_{c}"))
+        told = lambda c: self.nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("hist").alias(f"hist_{c}")).hint("merge")
         both = join_unskewed(join_unskewed(pairs, told("b"), "b"), told("a"), "a") if pairs.limit(1).count() else pairs.join(told("b"), "b").join(told("a"), "a")
         near = both.select("a", "b", "n_a", "hist_a", "n_b", "hist_b").mapInArrow(_may_link, "a long, b long")
         return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -462,6 +462,7 @@ class _Search:
         reps = materialise(self.nodes.join(some, "node").select("node", "row_hash"), "reps")
         texts = self.rows.select("row_hash", "body").join(reps, "row_hash").withColumn("crc", F.crc32("body"))
         texts = materialise(texts.dropDuplicates(["node", "row_hash", "crc"]).select("node", "body"), "texts")
+        written, texts = texts, texts.hint("merge")  # packed files say little about the memory that a broadcast takes
         heavy = [(k, -(-n // CELL)) for k, n in heavy_keys(pairs, "a", CELL)]
         cells = F.lit(1)
         if heavy:
@@ -471,7 +472,7 @@ class _Search:
         members = celled.join(texts.withColumnRenamed("node", "b"), "b").select("a", "b", "body", "cell")
         dealt = heads.union(members).repartition(self.width, "a", "cell").sortWithinPartitions("a", "cell", F.asc_nulls_first("b"))
         out = materialise(dealt.mapInArrow(_verify(self.clashes, self.bits), "a long, b long"), name)
-        discard(reps, texts)
+        discard(reps, written)
         return out
 
     def opened(self, comp: DataFrame, some: DataFrame | None) -> DataFrame:
@@ -482,7 +483,7 @@ class _Search:
         several = known.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).filter("lo < hi")
         several = several.select("grp", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
         mine = join_unskewed(known, several, "grp") if known.limit(1).count() else known.join(several, "grp")
-        told = mine.join(self.nodes.select("node", "n", "hist"), "node").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+        told = mine.join(self.nodes.select("node", "n", "hist").hint("merge"), "node").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
         told = told.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         told = told.select("grp", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "comp", "n", "hist")
         out = told.repartition(self.width, "grp", "i", "j").sortWithinPartitions("grp", "i", "j")
