@@ -7,6 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+import tidewake.row_queries  # noqa: F401  registers the rest
 from tidewake.queries import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"

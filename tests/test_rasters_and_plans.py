@@ -132,7 +132,7 @@ def test_views(spark):
     rows = [("analyzing", None), ("warming_up", now + HOUR), ("scheduled", now + 26 * HOUR), ("scheduled", now + 5_400_000_000), ("scheduled", now + 60_000_000), ("awaiting_publication", now), ("unknown", None)]
     df = spark.createDataFrame(rows, "state string, next_us long")
     got = [r[0] for r in df.select(views.region_status(F.col("state"), F.col("next_us"), now)).collect()]
-    assert got == ["Analyzing", "AIS warm-up", "1d 2h", "1h 30m", "1m", "Due", "Due"]
+    assert got == ["Analyzing", "AIS warm-up", "1d 2h", "1h 30m", "1m 0s", "Due", "Due"]
     v = spark.createDataFrame([(1, 70), (2, 30), (3, None)], "mmsi long, ship_type int")
     d = spark.createDataFrame([(1, None, "matched"), (None, 2, "indeterminate"), (None, 3, "dark")], "matched_mmsi long, candidate_mmsi long, match_state string")
     ids = lambda f: sorted(r.mmsi for r in f.collect())

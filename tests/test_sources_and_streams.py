@@ -125,7 +125,7 @@ def test_writes(spark, tmp_path):
     path = str(tmp_path / "d")
     det = spark.createDataFrame([("S1", 1), ("S2", 2)], "scene_id string, id long")
     det.write.partitionBy("scene_id").parquet(path)
-    writes.replace_scene(spark.read.parquet(path), spark.createDataFrame([("S1", 9)], "scene_id string, id long"), path)
+    writes.replace_scene(spark.createDataFrame([("S1", 9)], "scene_id string, id long"), path)
     assert sorted((r.scene_id, r.id) for r in spark.read.parquet(path).collect()) == [("S1", 9), ("S2", 2)]
     scenes = spark.createDataFrame([("S1", "r", "processing", None), ("S2", "q", "processed", None)], "id string, roi string, status string, error string")
     assert sorted((r.id, r.status) for r in writes.reap(scenes).collect()) == [("S1", "failed"), ("S2", "processed")]

@@ -48,7 +48,8 @@ def _metres(a, b):
 
 
 def test_match_counts_meet_every_fix(spark, tmp_path):
-    data = _tables(tmp_path, [(k, k % 9, 900_000_000 + k * 7_000_000, 0) for k in range(1, 141)])
+    early = [(k, 40 + k % 7, k * 1_000_000, 0) for k in range(201, 241)]  # before the first pass, by vessels elsewhere
+    data = _tables(tmp_path, [(k, k % 9, 900_000_000 + k * 7_000_000, 0) for k in range(1, 141)] + early)
     fixes, found = ([r.asDict() for r in t.collect()] for t in domain(spark, data, "ais_positions", "sar_detections"))
     want = {}
     for g in range(4):
@@ -94,11 +95,11 @@ def test_every_decision_branch(spark):
 
 
 def test_ticker_counts_the_last_analysis(spark, tmp_path):
-    # S12 is the last processed pass; vessel 2 was a kilometre away from detection 95, vessel 3 is detection 100
+    # S12 is the last processed pass; vessel 2 was 300 metres away from detection 1 and a kilometre from 95, vessel 3 is detection 100
     at = 900_000_000 + 12 * 90_000_000
     data = _tables(tmp_path, [(1, 2, at, 0), (95, 2, at + 60_000_000, 0), (100, 3, at, 10)], [(4, 7, 1, dt.datetime(2001, 6, 30))], range(1, 13))
     last = QUERIES["v06_ticker"](spark, data).filter("rank = 0").collect()
-    assert [r["text"] for r in last] == [f"{registry.region('north_taiwan')['label']} analysis complete · 2 contacts · 1 dark"]
+    assert [r["text"] for r in last] == [f"{registry.region('north_taiwan')['label']} analysis complete · 3 contacts · 2 dark"]
 
 
 def _nearest(point, every):

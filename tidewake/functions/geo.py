@@ -69,11 +69,6 @@ def distance_to_box(lon: str, lat: str, box: tuple[str, str, str, str]) -> str:
     return distance(lon, lat, f"least(greatest({lon}, {box[0]}), {box[2]})", f"least(greatest({lat}, {box[1]}), {box[3]})")
 
 
-def boxes_overlap(a: tuple[str, ...], b: tuple[str, ...]) -> str:
-    """Touching counts."""
-    return f"({a[0]} <= {b[2]} and {b[0]} <= {a[2]} and {a[1]} <= {b[3]} and {b[1]} <= {a[3]})"
-
-
 def box_wkt(a: str, b: str, c: str, d: str) -> str:
     """Closed polygon text, counter-clockwise from the south-west corner."""
     s = lambda x: f"cast({x} as string)"
@@ -89,6 +84,14 @@ def pixel_to_lat(row: str, height: str, box: tuple[str, ...]) -> str:
     return f"({box[3]} - ({row}) / ({height}) * ({box[3]} - {box[1]}))"
 
 
+def lon_to_pixel(lon: str, width: str, box: tuple[str, ...]) -> str:
+    return f"((({lon}) - {box[0]}) / ({box[2]} - {box[0]}) * ({width}))"
+
+
+def lat_to_pixel(lat: str, height: str, box: tuple[str, ...]) -> str:
+    return f"(({box[3]} - ({lat})) / ({box[3]} - {box[1]}) * ({height}))"
+
+
 def box_km(box: tuple[str, ...]) -> tuple[str, str]:
     """Width and height in km on the metre grid of the imagery (111,320 m a degree)."""
     mid = f"(({box[1]} + {box[3]}) / 2e0)"

@@ -98,6 +98,30 @@ def gap_text(ms: Column) -> Column:
     return F.when(hours > 0, F.format_string("%dH%dM", hours, minutes % 60)).otherwise(F.format_string("%dM", minutes))
 
 
+def ago(past_us: Column, now_us: Column) -> Column:
+    """How long ago, coarser as it recedes."""
+    minutes = F.floor((now_us - past_us) / 60_000_000).cast("long")
+    hours = F.floor(minutes / 60).cast("long")
+    older = F.when(hours < 24, F.format_string("%dh ago", hours)).otherwise(F.format_string("%dd ago", F.floor(hours / 24).cast("long")))
+    return F.when(minutes < 1, "just now").when(minutes < 60, F.format_string("%dm ago", minutes)).otherwise(older)
+
+
+def age(fix_us: Column, reference_us: Column, live: bool) -> Column:
+    """A fix's age against now, or on which side of a pass it lies."""
+    apart = reference_us - fix_us
+    minutes = F.floor(F.abs(apart) / 60_000_000).cast("long")
+    hours = F.floor(minutes / 60).cast("long")
+    text = F.when(minutes < 1, "under a minute").when(hours == 0, F.format_string("%d min", minutes)).otherwise(F.format_string("%dh %dm", hours, minutes % 60))
+    if live:
+        return F.concat(F.lit("reported "), text, F.lit(" ago"))
+    return F.concat(text, F.when(apart >= 0, " before this pass").otherwise(" after this pass"))
+
+
+def stamp(at_us: Column, seconds: bool = False) -> Column:
+    """``04 AUG 14:22Z`` in UTC."""
+    return F.upper(F.date_format(F.timestamp_micros(at_us), "dd MMM HH:mm:ss'Z'" if seconds else "dd MMM HH:mm'Z'"))
+
+
 def contact_state(on_land: Column, mode: Column, match_state: Column) -> Column:
     return F.when(on_land, "masked").when((mode == "survey") | match_state.isNull(), "contact").otherwise(match_state)
 

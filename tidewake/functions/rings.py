@@ -21,6 +21,49 @@ def parse_wkt(wkt: Column) -> Column:
     return F.when(F.length(body) > 0, ring)
 
 
+POLYGONS = f"array<array<{RING}>>"
+
+
+def parse_polygons(wkt: Column) -> Column:
+    """Polygons of a ``POLYGON`` or ``MULTIPOLYGON`` text, each an outer ring and its holes; null for anything else.
+
+    An ``SRID=...;`` prefix and a third coordinate are allowed and dropped.
+    """
+    body = F.trim(F.regexp_replace(wkt, r"^SRID=\d+;", ""))
+    nested = F.regexp_replace(body, r"(?i)^\s*(MULTI)?POLYGON\s*Z?\s*", "")
+    listed = F.regexp_replace(nested, r"([-+\d.eE]+)\s+([-+\d.eE]+)(\s+[-+\d.eE]+)?", "[$1,$2]")
+    text = F.translate(listed, "()", "[]")
+    text = F.when(body.rlike(r"(?i)^MULTIPOLYGON"), text).when(body.rlike(r"(?i)^POLYGON"), F.concat(F.lit("["), text, F.lit("]")))
+    every = F.from_json(text, "array<array<array<array<double>>>>")
+    return F.transform(every, lambda poly: F.transform(poly, lambda ring: F.transform(ring, lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat")))))
+
+
+def tidy(ring: Column) -> Column:
+    """A ring closed and without repeated neighbours; null if nothing with an area is left."""
+    kept = F.filter(ring, lambda p, i: (i == 0) | (p != F.element_at(ring, i.cast("int"))))
+    closed = F.when(kept[0] == F.element_at(kept, -1), kept).otherwise(F.concat(kept, F.slice(kept, 1, 1)))
+    return F.when((F.size(closed) >= 4) & (area(closed) > 0), closed)
+
+
+def _wkt_ring(ring: Column) -> Column:
+    return F.concat(F.lit("("), F.array_join(F.transform(ring, lambda p: F.concat(p["lon"].cast("string"), F.lit(" "), p["lat"].cast("string"))), ","), F.lit(")"))
+
+
+def to_ewkt(ring: Column, holes: Column | None = None, srid: int = 4326) -> Column:
+    every = F.array(ring) if holes is None else F.concat(F.array(ring), holes)
+    return F.concat(F.lit(f"SRID={srid};POLYGON("), F.array_join(F.transform(every, _wkt_ring), ","), F.lit(")"))
+
+
+def multi_wkt(polygons: Column) -> Column:
+    """``MULTIPOLYGON`` text of an array of outer rings."""
+    return F.concat(F.lit("MULTIPOLYGON("), F.array_join(F.transform(polygons, lambda r: F.concat(F.lit("("), _wkt_ring(r), F.lit(")"))), ","), F.lit(")"))
+
+
+def box_ring(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    corner = lambda x, y: F.struct(x.alias("lon"), y.alias("lat"))
+    return F.array(corner(x0, y0), corner(x1, y0), corner(x1, y1), corner(x0, y1), corner(x0, y0))
+
+
 def parse_geojson(text: Column) -> Column:
     """Outer ring of a GeoJSON Polygon."""
     coords = F.from_json(text, "coordinates array<array<array<double>>>")["coordinates"][0]

@@ -52,17 +52,33 @@ def labels_in_windows(labels: DataFrame, windows: DataFrame, size: int) -> DataF
     return out.filter(~F.col("reject")).drop("reject")
 
 
+def seeded(key: Column, seed: int) -> Column:
+    """A repeatable number in [0, 1) per key and seed, from an MD5 digest."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
+def pool_pixels(pixels: DataFrame, f: int) -> DataFrame:
+    """(x, y, v) pixels to the maxima of f by f blocks: the relational form of ``max_pool``."""
+    block = lambda c: F.floor(F.col(c) / f).cast("long").alias(c)
+    return pixels.groupBy(block("x"), block("y")).agg(F.max("v").alias("v"))
+
+
+def mask_share(pixels: DataFrame) -> DataFrame:
+    """Per scene, the mean of a 0..255 mask as a share: how much of the fetch holds data."""
+    return pixels.groupBy("scene_id").agg((F.avg("mask") / 255).alias("share"))
+
+
 def cap_backgrounds(chips: DataFrame, share: float, seed: int = 0) -> DataFrame:
     """Positive chips, and as many empty ones as ``share`` of the whole allows, chosen by a seeded hash."""
-    n = chips.filter("positive").count()
+    n = chips.agg(F.count_if("positive")).first()[0]
     keep = int(n * share / (1 - share))
-    return chips.filter("positive").unionByName(chips.filter(~F.col("positive")).orderBy(F.xxhash64("chip_id", F.lit(seed)), "chip_id").limit(keep))
+    return chips.filter("positive").unionByName(chips.filter(~F.col("positive")).orderBy(seeded(F.col("chip_id"), seed), "chip_id").limit(keep))
 
 
 def hold_out(rows: DataFrame, key: str, share: float, seed: int = 0) -> DataFrame:
     """Adds split (train or val) by a seeded hash of the key: the same at every run."""
-    u = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    return rows.withColumn("split", F.when(u < share, "val").otherwise("train"))
+    return rows.withColumn("split", F.when(seeded(F.col(key), seed) < share, "val").otherwise("train"))
 
 
 def sigma_db(dn: Column, sigma: Column) -> Column:
@@ -186,12 +202,10 @@ def box_mean(a: np.ndarray, size: int) -> np.ndarray:
 
 
 def lee_filter(a: np.ndarray, size: int = 5) -> np.ndarray:
-    """Speckle filter: the local mean, corrected where the local variance exceeds the scene's."""
+    """Speckle filter: the local mean, corrected by how far the local variance outweighs the whole image's."""
     mean = box_mean(a, size)
     var = np.maximum(box_mean(a * a, size) - mean * mean, 0)
-    noise = var.mean()
-    gain = np.divide(var, var + noise, out=np.zeros_like(var), where=(var + noise) > 0)
-    return mean + gain * (a - mean)
+    return mean + var / (var + float(a.var()) + 1e-12) * (a - mean)
 
 
 def max_pool(pixels: np.ndarray, most: int) -> np.ndarray:

@@ -64,22 +64,40 @@ def near_boxes(points: DataFrame, boxes: DataFrame, metres: float, how: str = "l
     return points.join(b, (cell(F.col(lon), side) == F.col("_cx")) & (cell(F.col(lat), side) == F.col("_cy")) & near, how)
 
 
-def nearest_in_time(facts: DataFrame, instants: DataFrame, key: str, max_age_us: int, instant_key: str, keep: Column | None = None) -> DataFrame:
+def nearest_in_time(facts: DataFrame, instants: DataFrame, key: str, max_age_us: int, instant_key: str, keep: Column | None = None, area: tuple[str, str, str, str] | None = None, pad_m: float = 0.0, side: float = 2.0) -> DataFrame:
     """Per instant and key, the fact closest in time, before or after (ties: earlier, then smaller id).
 
     ``facts`` has time_us and id; ``instants`` has ``instant_key`` and sensed_us, and is the
-    smaller side. Facts meet the instants of the same or a neighbouring time bucket; ``keep``
-    filters the pairs before the choice, which is a partial aggregate and no window.
+    smaller side. Facts meet the instants of the same or a neighbouring time bucket and, with
+    ``area`` (an instant's box in degrees), of a cell that the box and ``pad_m`` metres
+    around it touch; ``keep`` filters the pairs before the choice. The choice is a minimum of
+    one number per pair, hashed and combined before the shuffle; the rows follow by a join.
     """
     width = max(1, max_age_us)
     bucket = lambda c: F.floor(c / F.lit(width)).cast("long")
     i = instants.withColumn("_b", F.explode(F.sequence(bucket(F.col("sensed_us")) - 1, bucket(F.col("sensed_us")) + 1)))
-    pairs = facts.withColumn("_b", bucket(F.col("time_us"))).join(i, "_b").drop("_b")
-    pairs = pairs.filter(F.abs(F.col("time_us") - F.col("sensed_us")) <= max_age_us)
+    f = facts.withColumn("_b", bucket(F.col("time_us")))
+    on = ["_b"]
+    if area is not None:
+        x0, y0, x1, y1 = area
+        d_lat = pad_m / 110_000.0
+        d_lon = F.lit(d_lat) / F.cos(F.radians(F.least(F.greatest(F.abs(F.col(y0)), F.abs(F.col(y1))) + d_lat, F.lit(89.0))))
+        i = i.withColumn("_cx", F.explode(F.sequence(cell(F.col(x0) - d_lon, side), cell(F.col(x1) + d_lon, side))))
+        i = i.withColumn("_cy", F.explode(F.sequence(cell(F.col(y0) - d_lat, side), cell(F.col(y1) + d_lat, side))))
+        f = f.withColumn("_cx", cell(F.col("lon"), side)).withColumn("_cy", cell(F.col("lat"), side))
+        on += ["_cx", "_cy"]
+    pairs = f.join(i, on).drop(*on).filter(F.abs(F.col("time_us") - F.col("sensed_us")) <= max_age_us)
     if keep is not None:
-        pairs = pairs.filter(keep).drop("ring")
-    rank = F.struct(F.abs(F.col("time_us") - F.col("sensed_us")), "time_us", "id")
-    return pairs.groupBy(instant_key, key).agg(F.min_by(F.struct("*"), rank).alias("row")).select("row.*")
+        pairs = pairs.filter(keep)
+    # twice the distance in time, odd after the instant: the earlier of two equally far ones is less
+    rank = F.abs(F.col("time_us") - F.col("sensed_us")) * 2 + F.when(F.col("time_us") > F.col("sensed_us"), 1).otherwise(0)
+    best = pairs.groupBy(instant_key, key).agg(F.min(rank).alias("_k"))
+    best = best.join(instants, instant_key).withColumn("time_us", F.col("sensed_us") + F.floor(F.col("_k") / 2) * F.when(F.col("_k") % 2 == 1, 1).otherwise(-1)).drop("_k")
+    rows = facts.join(best, [key, "time_us"])
+    if keep is not None:
+        rows = rows.filter(keep)
+    rows = rows.drop(*(c for c in ("ring",) if c in rows.columns))
+    return rows.groupBy(instant_key, key).agg(F.min_by(F.struct("*"), "id").alias("row")).select("row.*")
 
 
 def match_counts(left: DataFrame, right: DataFrame, metres: float, on: list[str]) -> DataFrame:

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from tidewake.functions.labels import redact
 
-def replace_scene(detections: DataFrame, fresh: DataFrame, path: str) -> None:
+
+def replace_scene(fresh: DataFrame, path: str) -> None:
     """Replace the detections of the scenes in ``fresh``: only their partitions are rewritten."""
     fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scene_id").parquet(path)
 
@@ -33,6 +36,32 @@ def latest_status(log: DataFrame) -> DataFrame:
     return log.groupBy("scene_id").agg(F.max_by(F.struct("*"), "seq").alias("r")).select("r.*")
 
 
+def begin(scenes: DataFrame, started: DataFrame) -> DataFrame:
+    """Scenes after an analysis has begun: new over old by id, processing and without an error."""
+    cols = [c for c in scenes.columns if c in started.columns]
+    fresh = started.select(*cols).withColumn("status", F.lit("processing")).withColumn("error", F.lit(None).cast("string"))
+    return upsert(scenes, fresh, "id")
+
+
+def finish(scenes: DataFrame, outcomes: DataFrame, secrets: list[str] | None = None) -> DataFrame:
+    """Scenes after their last outcome (scene_id, seq, status, error, processed_us).
+
+    Failed ones keep a redacted error of at most 500 characters, others none.
+    """
+    last = latest_status(outcomes).select(F.col("scene_id").alias("id"), F.col("status").alias("_status"), F.col("error").alias("_error"), F.col("processed_us").alias("_processed"))
+    told = F.when(F.col("_status") == "failed", redact(F.col("_error"), secrets or []))
+    known = F.col("_status").isNotNull()
+    pick = {"status": F.coalesce("_status", "status"), "error": F.when(known, told).otherwise(F.col("error")), "processed_us": F.when(known & (F.col("_status") == "processed"), F.col("_processed")).otherwise(F.col("processed_us"))}
+    return scenes.join(last, "id", "left").withColumns(pick).drop("_status", "_error", "_processed").select(*scenes.columns)
+
+
+def add_columns(df: DataFrame, columns: str) -> DataFrame:
+    """``df`` with the columns of a DDL text that it lacks, null; those it has stay as they are."""
+    have = {c.lower() for c in df.columns}
+    new = [f for f in StructType.fromDDL(columns).fields if f.name.lower() not in have]
+    return df.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in new))
+
+
 def reap(scenes: DataFrame) -> DataFrame:
     """Scenes that were in flight when the process ended have failed."""
     cut = F.col("status") == "processing"
@@ -55,6 +84,24 @@ def delete_scenes(scenes: DataFrame, detections: DataFrame, *, roi: str | None =
     return left, detections.join(left.select(F.col("id").alias("scene_id")), "scene_id", "left_semi")
 
 
+def delete_messages(positions: DataFrame, ships: DataFrame, *, mmsi: int | None = None, box: tuple[float, float, float, float] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Positions and identities that stay after a delete of one vessel, of a box, or of everything.
+
+    Identities go with their last position; with no selector all go.
+    """
+    if mmsi is not None and box is not None:
+        raise ValueError("give a vessel or a box")
+    gone = F.lit(True)
+    if mmsi is not None:
+        gone = F.col("mmsi") == mmsi
+    elif box is not None:
+        gone = F.col("lon").between(box[0], box[2]) & F.col("lat").between(box[1], box[3])
+    left = positions.filter(~F.coalesce(gone, F.lit(False)))
+    touched = positions.filter(gone).select("mmsi").distinct()
+    lost = touched.join(left.select("mmsi").distinct(), "mmsi", "left_anti")
+    return left, ships.join(lost, "mmsi", "left_anti")
+
+
 def delete_spending(ledger: DataFrame, *, scope: str, now_us: int | None = None, roi: str | None = None, scene_id: str | None = None) -> DataFrame:
     """Ledger rows that stay after a reset of this month, of everything, or of one scene."""
     own = F.lit(True) if roi is None else F.col("roi") == roi

@@ -37,18 +37,34 @@ def envelope_m(sog: Column, lead_s: Column, p: Params = DEFAULT) -> Column:
     return gate_m(sog, p) + F.lit(p.course_error) * F.coalesce(sog, F.lit(0.0)) * F.lit(p.kn_to_ms) * F.abs(lead_s)
 
 
-def projected_fixes(positions: DataFrame, scenes: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """Per scene and vessel: the nearest fix moved to the instant of the pass, with gate and envelope.
+def nearest_fixes(positions: DataFrame, scenes: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """Per scene and vessel, the fix nearest in time of those within the pad around the footprint.
 
-    Only fixes within the pad around the footprint count. The shared input of matching,
-    margins, probes and recall.
+    The pad around a ring is tested on the nearest fix within the pad around its box; only
+    vessels whose nearest one fails there are searched again with the ring's distance.
     """
     pad = F.expr(f"{geo.distance_to_box('lon', 'lat', _BOX)} <= {p.candidate_pad_m!r}")
-    if "ring" in scenes.columns:
-        pad = pad & (F.col("ring").isNull() | (rings.distance(F.col("ring"), "lon", "lat") <= p.candidate_pad_m))
     instants = scenes.select(F.col("id").alias("scene_id"), "sensed_us", *_footprint(scenes))
     facts = positions.select("id", "mmsi", "time_us", "lon", "lat", "sog", "cog")
-    fix = nearest_in_time(facts, instants, "mmsi", p.fix_max_age_s * 1_000_000, "scene_id", pad)
+    near = lambda f, i, keep: nearest_in_time(f, i, "mmsi", p.fix_max_age_s * 1_000_000, "scene_id", keep, _BOX, p.candidate_pad_m)
+    if "ring" not in scenes.columns:
+        return near(facts, instants, pad)
+    told = stable(near(facts, instants.drop("ring"), pad).join(instants.select("scene_id", "ring"), "scene_id"))
+    within = F.col("ring").isNull() | rings.covers(F.col("ring"), F.col("lon"), F.col("lat")) | (rings.distance(F.col("ring"), "lon", "lat") <= p.candidate_pad_m)
+    told = stable(told.withColumn("_within", within).drop("ring"))
+    failed = told.filter(~F.col("_within")).select("scene_id", "mmsi")
+    found = told.filter("_within").drop("_within")
+    some = failed.select("scene_id").distinct()
+    again = near(facts.join(failed.select("mmsi").distinct(), "mmsi", "left_semi"), instants.join(some, "scene_id", "left_semi"), pad & within)
+    return found.unionByName(again.join(failed, ["scene_id", "mmsi"], "left_semi").select(*found.columns))
+
+
+def projected_fixes(positions: DataFrame, scenes: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """Per scene and vessel: the nearest fix moved to the instant of the pass, with gate and envelope.
+
+    The shared input of matching, margins, probes and recall.
+    """
+    fix = nearest_fixes(positions, scenes, p)
     fix = fix.withColumn("lead_s", (F.col("sensed_us") - F.col("time_us")) / F.lit(1e6)).withColumn("delta_s", -F.col("lead_s"))
     still = F.col("sog").isNull() | F.col("cog").isNull() | (F.col("sog") < p.min_sog_kn)
     fix = fix.withColumn("_step", F.col("sog") * F.lit(p.kn_to_ms) * F.col("lead_s"))
@@ -77,10 +93,32 @@ def match_pairs(sea: DataFrame, fixes: DataFrame, p: Params = DEFAULT) -> DataFr
     return pairs.select("scene_id", "det_id", "mmsi", "distance_m", "delta_s")
 
 
+#: Cells along each side of a scene's vessels; the share and metres by which bounds are widened against rounding.
+_GRID = 16
+_WIDER = (1.001, 10.0)
+
+
 def dark_margins(sea: DataFrame, fixes: DataFrame) -> DataFrame:
-    """Per detection: metres outside the nearest envelope and its vessel; null without any vessel."""
+    """Per detection: metres outside the nearest envelope and its vessel; null without any vessel.
+
+    Vessels of a scene are put in a grid of at most 16 by 16 cells. A detection meets the
+    cells first: a cell's vessel with the widest envelope bounds the margin from above, the
+    distance to the cell's box less that envelope bounds the cell's vessels from below. It
+    then meets the vessels of those cells only that may hold a nearer one.
+    """
     d = sea.select("scene_id", F.col("id").alias("det_id"), "lon", "lat")
-    pairs = d.join(fixes, "scene_id").withColumn("margin_m", F.expr(f"{geo.distance('r_lon', 'r_lat', 'lon', 'lat')} - envelope_m"))
+    span = fixes.groupBy("scene_id").agg(F.min("r_lon").alias("_x"), F.min("r_lat").alias("_y"), ((F.max("r_lon") - F.min("r_lon")) / _GRID).alias("_w"), ((F.max("r_lat") - F.min("r_lat")) / _GRID).alias("_h"))
+    at = lambda c, lo, step: F.when(step > 0, F.least(F.floor((c - lo) / F.nullif(step, F.lit(0.0))), F.lit(_GRID - 1))).otherwise(F.lit(0)).cast("int")
+    placed = fixes.join(span, "scene_id").withColumn("_cell", at(F.col("r_lon"), F.col("_x"), F.col("_w")) * _GRID + at(F.col("r_lat"), F.col("_y"), F.col("_h")))
+    placed = placed.select("scene_id", "_cell", "mmsi", "r_lon", "r_lat", "envelope_m")
+    box = [("_a", F.min("r_lon")), ("_b", F.min("r_lat")), ("_c", F.max("r_lon")), ("_d", F.max("r_lat"))]
+    cells = placed.groupBy("scene_id", "_cell").agg(*(f.alias(n) for n, f in box), F.max("envelope_m").alias("_e"), F.max(F.struct("envelope_m", "r_lon", "r_lat")).alias("_head"))
+    met = d.join(cells, "scene_id")
+    met = met.withColumn("_low", F.expr(f"{geo.distance_to_box('lon', 'lat', ('_a', '_b', '_c', '_d'))} / {_WIDER[0]!r} - {_WIDER[1]!r} - _e"))
+    met = met.withColumn("_high", F.expr(f"{geo.distance('lon', 'lat', '_head.r_lon', '_head.r_lat')} - _e"))
+    bound = met.groupBy("scene_id", "det_id").agg(F.min("_high").alias("_most"), F.collect_list(F.struct("_low", "_cell")).alias("_cells"))
+    kept = bound.select("scene_id", "det_id", F.explode(F.expr("transform(filter(_cells, c -> c._low <= _most), c -> c._cell)")).alias("_cell"))
+    pairs = kept.join(d, ["scene_id", "det_id"]).join(placed, ["scene_id", "_cell"]).withColumn("margin_m", F.expr(f"{geo.distance('r_lon', 'r_lat', 'lon', 'lat')} - envelope_m"))
     best = pairs.groupBy("scene_id", "det_id").agg(F.min(F.struct("margin_m", "mmsi")).alias("best"))
     return d.select("scene_id", "det_id").join(best, ["scene_id", "det_id"], "left").select("scene_id", "det_id", F.col("best.margin_m").alias("margin_m"), F.col("best.mmsi").alias("nearest_mmsi"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidewake.functions import geo
 from tidewake.functions.labels import failure_reason
@@ -107,6 +108,34 @@ def most_recent_analysis(scenes: DataFrame, detections: DataFrame) -> DataFrame:
     return out.select("id", "roi", "processed_us", zero("detection_count"), zero("dark_count"))
 
 
+#: The edges of the confidence histogram.
+CONFIDENCE_EDGES = (0.1, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.8, 1.0)
+
+
+def confidence_histogram(detections: DataFrame, edges: tuple[float, ...] = CONFIDENCE_EDGES) -> DataFrame:
+    """Detections per bin: bin k starts at edge k, the last one holds the last edge itself; what lies below the first goes."""
+    least, *inner, most = edges
+    bin_ = sum((F.when(F.col("confidence") >= e, 1).otherwise(0) for e in inner[1:]), F.when(F.col("confidence") >= inner[0], 1).otherwise(0))
+    last = F.when(F.col("confidence") >= most, len(inner)).otherwise(bin_)
+    return detections.filter(F.col("confidence") >= least).groupBy(last.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+
+
+def shaped(df: DataFrame, model: str) -> DataFrame:
+    """The columns that a response model declares, cast to its types: others go, missing ones are null."""
+    fields = spark_fields(model)
+    return df.select(*((F.col(n).cast(t) if n in df.columns else F.lit(None).cast(t)).alias(n) for n, t in fields))
+
+
+def spark_fields(model: str) -> list[tuple[str, str]]:
+    """(name, type) of a schema in DDL."""
+    return [(f.name, f.dataType.simpleString()) for f in StructType.fromDDL(model).fields]
+
+
+def rows_by_scene(rows: DataFrame, column: str) -> DataFrame:
+    """Per scene, the ascending list of a column's values."""
+    return rows.groupBy("scene_id").agg(F.sort_array(F.collect_list(column)).alias(f"{column}s"))
+
+
 def latest_sensed(scenes: DataFrame, roi: str) -> DataFrame:
     return scenes.filter((F.col("roi") == roi) & (F.col("status") == "processed")).agg(F.max("sensed_us").alias("latest_sensed_us"))
 

@@ -162,6 +162,75 @@ def target_scene(covered: DataFrame, now_us: int, p: Params = DEFAULT) -> DataFr
     return old.groupBy("roi").agg(F.max(good)["anchor"].alias("target"), F.max("coverage").alias("best_coverage"))
 
 
+def recent_scenes(scenes: DataFrame, now_us: int, p: Params = DEFAULT) -> DataFrame:
+    """Scenes of the search window."""
+    return scenes.filter(F.col("sensed_us") >= now_us - p.search_days * 24 * HOUR)
+
+
+def choose_scenes(scenes: DataFrame, covered: DataFrame, positions: DataFrame, regions: DataFrame, now_us: int, p: Params = DEFAULT) -> DataFrame:
+    """Per region of ``regions`` (with its message box): the scene that a sweep would analyse, or why there is none.
+
+    Fused regions need messages in their box that are fresh and bracket the pass; survey
+    regions take any pass. Passes that are too young are skipped and counted, and the newest
+    of the others that covers enough is chosen. covered: anchor, coverage.
+    """
+    r = regions.select("name", "mode", *(F.col(f"ais_{c}").alias(f"_{c}") for c in ("min_lon", "min_lat", "max_lon", "max_lat")))
+    inside = (F.col("lon") > F.col("_min_lon")) & (F.col("lon") < F.col("_max_lon")) & (F.col("lat") > F.col("_min_lat")) & (F.col("lat") < F.col("_max_lat"))
+    # twelve regions
+    span = positions.join(F.broadcast(r), inside).groupBy("name").agg(F.min("time_us").alias("min_us"), F.max("time_us").alias("max_us"))
+    w = int(p.fusion_window_h * HOUR)
+    rows = r.select("name", "mode").join(span, "name", "left")
+    seen = recent_scenes(scenes, now_us, p).select(F.col("roi").alias("name"), "id", "sensed_us").join(covered.select(F.col("anchor").alias("id"), "coverage"), "id", "left")
+    joined = rows.join(seen, "name", "left")
+    bracketed = (F.col("mode") == "survey") | F.coalesce((F.col("sensed_us") - w >= F.col("min_us")) & (F.col("sensed_us") + w <= F.col("max_us")), F.lit(False))
+    young = F.col("sensed_us") > now_us - int(p.min_scene_age_h * HOUR)
+    share = F.coalesce("coverage", F.lit(0.0))
+    good = F.when(bracketed & ~young & (share >= p.min_coverage), F.struct("sensed_us", "id"))
+    per = joined.groupBy("name", "mode", "min_us", "max_us").agg(
+        F.count("id").alias("passes"), F.count_if(bracketed & F.col("id").isNotNull()).alias("bracketed"), F.count_if(bracketed & young).alias("skipped"),
+        F.max(F.when(bracketed & ~young, share)).alias("best_coverage"), F.max(good)["id"].alias("scene_id"),
+    )
+    fused = F.col("mode") != "survey"
+    reason = (
+        F.when(F.col("scene_id").isNotNull(), F.lit(None)).when(F.col("passes") == 0, "no recent pass").when(fused & F.col("min_us").isNull(), "no messages in the region")
+        .when(fused & (F.lit(now_us) - F.col("max_us") > w), "messages are stale").when(F.col("bracketed") == 0, "no bracketed pass").otherwise("no pass covers enough")
+    )
+    stale = fused & F.coalesce(F.lit(now_us) - F.col("max_us") > w, F.lit(False))
+    return per.select("name", "mode", F.when(~stale, F.col("scene_id")).alias("scene_id"), F.when(stale, "messages are stale").otherwise(reason).alias("reason"), "skipped", "best_coverage")
+
+
+def sweep(chosen: DataFrame, held: DataFrame, scenes: DataFrame, ledger: DataFrame, regions: DataFrame, now_us: int, p: Params = DEFAULT) -> DataFrame:
+    """One sweep over all regions as a plan: held ones wait, the others' chosen scenes are decided on.
+
+    The sweep is serial and every analysis is charged before it runs, so a region's test of
+    the ceiling counts the costs of those analysed before it, by name.
+    """
+    waits = chosen.join(held.select("name", F.col("reason").alias("_held")), "name", "left")
+    status = scenes.select(F.col("id").alias("scene_id"), "status")
+    rows = waits.join(status, "scene_id", "left").join(spent_scenes(ledger).select("scene_id", F.lit(True).alias("has_pu_spend")), "scene_id", "left")
+    cost = monthly_cost(regions, p).select("name", F.col("pu").alias("pu_cost"))
+    month = month_to_date(ledger, now_us).withColumnRenamed("pu", "month_to_date_pu")
+    facts = rows.join(F.broadcast(cost), "name", "left").crossJoin(F.broadcast(month))  # one row
+    facts = facts.withColumn("has_pu_spend", F.coalesce("has_pu_spend", F.lit(False)))
+    free = F.col("_held").isNull() & F.col("scene_id").isNotNull() & ~F.col("has_pu_spend") & ~F.coalesce(F.col("status").isin("processed", "processing"), F.lit(False))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        spent, due = 0.0, []
+        for r in pdf.sort_values("name").itertuples():
+            due.append(spent)
+            if r.free and r.month_to_date_pu + spent + r.pu_cost <= p.pu_ceiling:
+                spent += r.pu_cost
+        return pdf.sort_values("name").assign(before=due)[["name", "before"]]
+
+    # one row a region, twelve of them
+    before = facts.select("name", "pu_cost", "month_to_date_pu", free.alias("free"), F.lit(0).alias("sweep")).groupBy("sweep").applyInPandas(run, "name string, before double")
+    facts = facts.join(before, "name").withColumn("month_to_date_pu", F.col("month_to_date_pu") + F.col("before"))
+    out = decide(facts.withColumnRenamed("reason", "_none"), p)
+    live = F.col("_held").isNull() & F.col("scene_id").isNotNull()
+    reason = F.when(F.col("_held").isNotNull(), "held").when(F.col("scene_id").isNull(), F.col("_none")).otherwise(F.col("reason"))
+    return out.select("name", "scene_id", reason.alias("reason"), (live & F.col("analyze")).alias("analyze"), "pu_cost")
+
+
 def fetch_grid(boxes: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Pixels, tiles and cost of one fetch of a box (min_lon .. max_lat): half-even rounding, at least 1 pixel."""
     mid = F.radians((F.col("min_lat") + F.col("max_lat")) / 2.0)
@@ -188,6 +257,16 @@ def monthly_cost(regions: DataFrame, p: Params = DEFAULT) -> DataFrame:
 # ledger -----------------------------------------------------------------------------------------
 
 
+def spent_scenes(ledger: DataFrame) -> DataFrame:
+    """The scenes that any spending stands for."""
+    return ledger.select("scene_id").distinct()
+
+
+def charge(decisions: DataFrame, now_us: int) -> DataFrame:
+    """Ledger rows of the scenes that will be analysed: they are appended before anything is fetched."""
+    return decisions.filter("analyze").select("roi", "scene_id", F.col("pu_cost").alias("pu"), F.lit(now_us).cast("long").alias("spent_us"))
+
+
 def pu_by_roi(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("roi").agg(F.sum("pu").alias("pu"), F.count("*").alias("entries"), F.max("spent_us").alias("last_us")).orderBy(F.desc("pu"), "roi")
 

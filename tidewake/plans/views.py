@@ -46,10 +46,12 @@ def ticker(schedule: DataFrame, recent: DataFrame) -> DataFrame:
 
 
 def countdown(us: Column) -> Column:
-    """Time to go: days and hours, hours and minutes, or minutes."""
-    minutes = F.floor(us / 60_000_000).cast("long")
-    hours = F.floor(minutes / 60).cast("long")
-    return F.when(hours >= 24, F.format_string("%dd %dh", F.floor(hours / 24).cast("long"), hours % 24)).when(hours > 0, F.format_string("%dh %dm", hours, minutes % 60)).otherwise(F.format_string("%dm", minutes))
+    """Time to go: days and hours, hours and minutes, or minutes and seconds; nothing left is any time now."""
+    seconds = F.floor(us / 1_000_000).cast("long")
+    part = lambda unit, of: (F.floor(seconds / unit) % of).cast("long")
+    days = F.floor(seconds / 86_400).cast("long")
+    near = F.when(part(3600, 24) > 0, F.format_string("%dh %dm", part(3600, 24), part(60, 60))).otherwise(F.format_string("%dm %ds", part(60, 60), seconds % 60))
+    return F.when(seconds <= 0, "any time now").when(days > 0, F.format_string("%dd %dh", days, part(3600, 24))).otherwise(near)
 
 
 def region_status(state: Column, next_us: Column, now_us: int) -> Column:
@@ -65,6 +67,26 @@ def gap_flagged(longest: Column) -> Column:
     return longest >= 2
 
 
+#: Share of an overview's width that a contact's crop shows.
+CROP_SHARE = 0.09
+
+
+def crop(lon: Column, lat: Column, box: tuple[str, str, str, str], width: Column, height: Column, view_w: int = 300, view_h: int = 168) -> Column:
+    """(x, y, w, h) of the part of an overview around a contact, in its pixels; it may reach beyond the edge."""
+    x0, y0, x1, y1 = (F.col(c) for c in box)
+    w = width * CROP_SHARE
+    h = w * (view_h / view_w)
+    x, y = (lon - x0) / (x1 - x0) * width, (y1 - lat) / (y1 - y0) * height
+    return F.struct((x - w / 2).alias("x"), (y - h / 2).alias("y"), w.alias("w"), h.alias("h"))
+
+
+def land_by_region(land: DataFrame, regions: DataFrame) -> DataFrame:
+    """How many land polygons' boxes meet each region's message box, most first."""
+    r = regions.select("name", *(F.col(f"ais_{c}").alias(f"_{c}") for c in ("min_lon", "min_lat", "max_lon", "max_lat")))
+    meets = (F.col("min_lon") <= F.col("_max_lon")) & (F.col("_min_lon") <= F.col("max_lon")) & (F.col("min_lat") <= F.col("_max_lat")) & (F.col("_min_lat") <= F.col("max_lat"))
+    return land.join(F.broadcast(r), meets).groupBy("name").agg(F.count("*").alias("polygons")).orderBy(F.desc("polygons"), "name")  # twelve regions
+
+
 def visible_vessels(vessels: DataFrame, detections: DataFrame | None, mode: str, large_only: bool, p: Params = DEFAULT) -> DataFrame:
     """Vessels on the map: none in survey regions; those that a visible contact names; else all or the large ones."""
     if mode == "survey":
@@ -75,15 +97,33 @@ def visible_vessels(vessels: DataFrame, detections: DataFrame | None, mode: str,
     return vessels.filter(F.col("ship_type").between(p.large_type_min, p.large_type_max)) if large_only else vessels
 
 
-def refuse(positions: DataFrame, detections: DataFrame, scenes: DataFrame, ships: DataFrame, land: DataFrame, modes: DataFrame, p: Params = DEFAULT) -> tuple[Fused, DataFrame]:
-    """Fusion over stored scenes again, leaving out those that the recorded messages no longer bracket; and the skipped ones with the reason."""
+def _judged(positions: DataFrame, scenes: DataFrame, modes: DataFrame, p: Params) -> DataFrame:
     span = positions.agg(F.min("time_us").alias("_min"), F.max("time_us").alias("_max"))
     known = scenes.filter("status = 'processed'").join(F.broadcast(modes), "roi").crossJoin(F.broadcast(span))  # one row
     ok = coverage_ok(F.col("sensed_us"), F.col("_min"), F.col("_max"), p.fusion_window_h)
-    reason = F.when(F.col("mode") == "survey", "survey region").when(~ok, "not bracketed")
-    judged = known.withColumn("reason", reason).drop("_min", "_max", "mode")
-    live = judged.filter(F.col("reason").isNull()).drop("reason")
-    return fuse(positions, detections, live, ships, land, modes, p), judged.filter(F.col("reason").isNotNull()).select("id", "roi", "reason")
+    return known.withColumn("reason", F.when(F.col("mode") == "survey", "survey region").when(~ok, "not bracketed")).drop("_min", "_max", "mode")
+
+
+def skipped_scenes(positions: DataFrame, scenes: DataFrame, modes: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """What ``refuse`` would leave out, with the reason: the dry run."""
+    return _judged(positions, scenes, modes, p).filter(F.col("reason").isNotNull()).select("id", "roi", "reason")
+
+
+def refuse(positions: DataFrame, detections: DataFrame, scenes: DataFrame, ships: DataFrame, land: DataFrame, modes: DataFrame, p: Params = DEFAULT) -> tuple[Fused, DataFrame]:
+    """Fusion over stored scenes again, leaving out those that the recorded messages no longer bracket; and the skipped ones with the reason."""
+    live = _judged(positions, scenes, modes, p).filter(F.col("reason").isNull()).drop("reason")
+    return fuse(positions, detections, live, ships, land, modes, p), skipped_scenes(positions, scenes, modes, p)
+
+
+def health_report(health: DataFrame, gate: DataFrame, regions: DataFrame) -> DataFrame:
+    """One row: the recorded span, the last gap's end, both gates and the regions that would sweep now.
+
+    health: one row of ``ais_health``; gate: the same row with both gates.
+    """
+    ready = F.when(F.col("mode") == "survey", F.col("survey_ready")).otherwise(F.col("fused_ready"))
+    rows = regions.select("name", "mode").crossJoin(F.broadcast(gate.select("fused_ready", "fused_detail", "survey_ready", "survey_detail")))  # one row of gate
+    held = rows.agg(F.count("*").alias("regions"), F.count_if(ready).alias("ready"), F.array_sort(F.collect_list(F.when(~ready, F.col("name")))).alias("held"))
+    return health.select("min_us", "max_us", "last_gap_end_us").crossJoin(gate.select("fused_ready", "fused_detail", "survey_ready", "survey_detail")).crossJoin(held)  # one row each
 
 
 def probe_report(scenes: DataFrame, boxes: DataFrame, covered: DataFrame, p: Params = DEFAULT) -> DataFrame:
@@ -99,4 +139,4 @@ def probe_report(scenes: DataFrame, boxes: DataFrame, covered: DataFrame, p: Par
     return out.withColumn("pu_month", F.col("pu") * F.col("usable")).orderBy(F.desc("pu_month"), "roi")
 
 
-__all__ = ["countdown", "gap_flagged", "mosaics", "pass_cards", "probe_report", "refuse", "region_status", "sighting_label", "state_counts", "ticker", "visible_vessels"]
+__all__ = ["countdown", "crop", "gap_flagged", "health_report", "land_by_region", "mosaics", "pass_cards", "probe_report", "refuse", "region_status", "sighting_label", "skipped_scenes", "state_counts", "ticker", "visible_vessels"]

@@ -8,14 +8,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewake import oracle_text as sql
 from tidewake.functions import geo, labels
 from tidewake.operators.assign import assign_one_to_one
 from tidewake.operators.spatial import match_counts, near_boxes, within_distance
 from tidewake.params import DEFAULT as P
 from tidewake.plans import fusion, routes, scheduling, views
-from tidewake.sources import registry
+from tidewake.sources import registry, store
 from tidewake.sources.adapter import domain, oracle
-from tidewake.sources.registry import FAILURE_UNKNOWN, FAILURES, NAV_STATUS, REGION_COLUMNS, SHIP_TYPES, flag_rows, region_rows, values_sql
+from tidewake.sources.registry import NAV_STATUS, REGION_COLUMNS, SHIP_TYPES, flag_rows, region_rows, values_sql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -54,10 +55,6 @@ def _r(c: str, n: int) -> F.Column:
     return F.round(F.col(c), n).alias(c)
 
 
-def _qualified(t: str) -> tuple[str, str, str, str]:
-    return tuple(f"{t}.{c}" for c in _BOX)
-
-
 # reads ------------------------------------------------------------------------------------------
 
 
@@ -119,21 +116,21 @@ _CHANCE_U1 = "((sea.id * 7919 + k * 104729) % 10007 / 1.0007e4)"
 _CHANCE_U2 = "((sea.id * 6007 + k * 15485863) % 9973 / 9.973e3)"
 _FUSE = f""", sc AS (SELECT s.*, coalesce(m.mode, 'fused') AS mode FROM sar_scenes s LEFT JOIN {_MODES} m ON m.roi = s.roi),
 fs AS (SELECT * FROM sc WHERE mode = 'fused'),
-ins AS (SELECT d.* FROM sar_detections d JOIN sc ON sc.id = d.scene_id WHERE {geo.covered_by_box('d.lon', 'd.lat', _qualified('sc'))}),
-ev AS (SELECT ins.*, EXISTS (SELECT 1 FROM land_polygons l WHERE {geo.distance_to_box('ins.lon', 'ins.lat', _qualified('l'))} <= 1e0) AS on_land FROM ins),
+ins AS (SELECT d.* FROM sar_detections d JOIN sc ON sc.id = d.scene_id WHERE {sql.in_foot('d.lon', 'd.lat', 'sc')}),
+ev AS (SELECT ins.*, EXISTS (SELECT 1 FROM land_polygons l WHERE {sql.off_land('ins.lon', 'ins.lat')} <= 1e0) AS on_land FROM ins),
 sea AS (SELECT ev.* FROM ev JOIN fs ON fs.id = ev.scene_id WHERE NOT on_land),
 f0 AS (SELECT fs.id AS scene_id, fs.sensed_us, p.mmsi, p.time_us, p.lon, p.lat, p.sog, p.cog,
        row_number() OVER (PARTITION BY fs.id, p.mmsi ORDER BY abs(p.time_us - fs.sensed_us), p.time_us, p.id) AS rn
        FROM fs JOIN ais_positions p ON p.time_us BETWEEN fs.sensed_us - 1800000000 AND fs.sensed_us + 1800000000
-       WHERE {geo.distance_to_box('p.lon', 'p.lat', _qualified('fs'))} <= 30000e0),
+       WHERE {sql.off_foot('p.lon', 'p.lat', 'fs')} <= 30000e0),
 f1 AS (SELECT *, (sensed_us - time_us) / 1e6 AS lead_s, sog * 0.514444e0 * ((sensed_us - time_us) / 1e6) AS step FROM f0 WHERE rn = 1),
-f2 AS (SELECT *, {geo.project_lat('lat', 'step', 'radians(cog)')} AS new_lat FROM f1),
+f2 AS (SELECT *, {sql.moved_lat('lat', 'step', 'radians(cog)')} AS new_lat FROM f1),
 dr AS (SELECT scene_id, mmsi, sog, -lead_s AS delta_s,
-       CASE WHEN sog IS NULL OR cog IS NULL OR sog < 0.5e0 THEN lon ELSE {geo.project_lon('lon', 'lat', 'new_lat', 'step', 'radians(cog)')} END AS r_lon,
+       CASE WHEN sog IS NULL OR cog IS NULL OR sog < 0.5e0 THEN lon ELSE {sql.moved_lon('lon', 'lat', 'new_lat', 'step', 'radians(cog)')} END AS r_lon,
        CASE WHEN sog IS NULL OR cog IS NULL OR sog < 0.5e0 THEN lat ELSE new_lat END AS r_lat,
        200e0 + 90e0 * coalesce(sog, 0e0) * 0.514444e0 AS gate_m,
        200e0 + 90e0 * coalesce(sog, 0e0) * 0.514444e0 + 0.25e0 * coalesce(sog, 0e0) * 0.514444e0 * abs(lead_s) AS envelope_m FROM f2),
-dist AS (SELECT sea.scene_id, sea.id AS det_id, dr.mmsi, dr.delta_s, dr.gate_m, dr.envelope_m, {geo.distance('dr.r_lon', 'dr.r_lat', 'sea.lon', 'sea.lat')} AS distance_m FROM sea JOIN dr ON dr.scene_id = sea.scene_id),
+dist AS (SELECT sea.scene_id, sea.id AS det_id, dr.mmsi, dr.delta_s, dr.gate_m, dr.envelope_m, {sql.metres('dr.r_lon', 'dr.r_lat', 'sea.lon', 'sea.lat')} AS distance_m FROM sea JOIN dr ON dr.scene_id = sea.scene_id),
 pairs AS (SELECT * FROM dist WHERE distance_m <= gate_m),
 ordered AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY distance_m, det_id, mmsi) AS k FROM pairs),
 walk AS (SELECT DISTINCT scene_id, 0::BIGINT AS k, []::BIGINT[] AS ds, []::BIGINT[] AS vs, NULL::BIGINT AS det_id, NULL::BIGINT AS mmsi, NULL::DOUBLE AS distance_m, NULL::DOUBLE AS delta_s, false AS won FROM ordered
@@ -145,16 +142,16 @@ margins AS (SELECT sea.scene_id, sea.id AS det_id, x.margin_m, x.mmsi AS nearest
   SELECT det_id, mmsi, distance_m - envelope_m AS margin_m, row_number() OVER (PARTITION BY det_id ORDER BY distance_m - envelope_m, mmsi) AS rn FROM dist) x ON x.det_id = sea.id AND x.rn = 1),
 per AS (SELECT scene_id, greatest(1, 750 // count(*)) AS per FROM sea GROUP BY 1),
 pr0 AS (SELECT sea.scene_id, sea.lon, sea.lat, {_CHANCE_U1} * 4000e0 AS m, {_CHANCE_U2} * 2e0 * pi() AS az FROM sea JOIN per ON per.scene_id = sea.scene_id, LATERAL (SELECT unnest(generate_series(1, per.per)) AS k) g),
-pr1 AS (SELECT *, {geo.project_lat('lat', 'm', 'az')} AS p_lat FROM pr0),
-pr2 AS (SELECT scene_id, {geo.project_lon('lon', 'lat', 'p_lat', 'm', 'az')} AS p_lon, p_lat FROM pr1),
-water AS (SELECT pr2.* FROM pr2 JOIN fs ON fs.id = pr2.scene_id WHERE {geo.covered_by_box('p_lon', 'p_lat', _qualified('fs'))}
-  AND NOT EXISTS (SELECT 1 FROM land_polygons l WHERE {geo.distance_to_box('p_lon', 'p_lat', _qualified('l'))} <= 300e0)
-  AND NOT EXISTS (SELECT 1 FROM ev WHERE ev.scene_id = pr2.scene_id AND {geo.distance('pr2.p_lon', 'pr2.p_lat', 'ev.lon', 'ev.lat')} <= 600e0)),
-rated AS (SELECT scene_id, count(*) AS probes, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM dr WHERE dr.scene_id = water.scene_id AND {geo.distance('water.p_lon', 'water.p_lat', 'dr.r_lon', 'dr.r_lat')} <= dr.gate_m)) AS hits FROM water GROUP BY 1),
+pr1 AS (SELECT *, {sql.moved_lat('lat', 'm', 'az')} AS p_lat FROM pr0),
+pr2 AS (SELECT scene_id, {sql.moved_lon('lon', 'lat', 'p_lat', 'm', 'az')} AS p_lon, p_lat FROM pr1),
+water AS (SELECT pr2.* FROM pr2 JOIN fs ON fs.id = pr2.scene_id WHERE {sql.in_foot('p_lon', 'p_lat', 'fs')}
+  AND NOT EXISTS (SELECT 1 FROM land_polygons l WHERE {sql.off_land('p_lon', 'p_lat')} <= 300e0)
+  AND NOT EXISTS (SELECT 1 FROM ev WHERE ev.scene_id = pr2.scene_id AND {sql.metres('pr2.p_lon', 'pr2.p_lat', 'ev.lon', 'ev.lat')} <= 600e0)),
+rated AS (SELECT scene_id, count(*) AS probes, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM dr WHERE dr.scene_id = water.scene_id AND {sql.metres('water.p_lon', 'water.p_lat', 'dr.r_lon', 'dr.r_lat')} <= dr.gate_m)) AS hits FROM water GROUP BY 1),
 chance AS (SELECT s.scene_id, coalesce(probes, 0) AS probes, coalesce(hits, 0) AS probe_hits, CASE WHEN coalesce(probes, 0) > 0 THEN hits / probes END AS chance_rate FROM (SELECT DISTINCT scene_id FROM sea) s LEFT JOIN rated USING (scene_id)),
-present AS (SELECT dr.scene_id, dr.r_lon, dr.r_lat FROM dr JOIN ship_metadata m ON m.mmsi = dr.mmsi JOIN fs ON fs.id = dr.scene_id WHERE {geo.covered_by_box('dr.r_lon', 'dr.r_lat', _qualified('fs'))} AND dr.sog >= 1e0 AND m.ship_type BETWEEN 60 AND 89),
+present AS (SELECT dr.scene_id, dr.r_lon, dr.r_lat FROM dr JOIN ship_metadata m ON m.mmsi = dr.mmsi JOIN fs ON fs.id = dr.scene_id WHERE {sql.in_foot('dr.r_lon', 'dr.r_lat', 'fs')} AND dr.sog >= 1e0 AND m.ship_type BETWEEN 60 AND 89),
 recall AS (SELECT fs.id AS scene_id, coalesce(n, 0) AS recall_large_total, coalesce(found, 0) AS recall_large_detected FROM fs LEFT JOIN (
-  SELECT scene_id, count(*) AS n, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM sea WHERE sea.scene_id = present.scene_id AND {geo.distance('sea.lon', 'sea.lat', 'present.r_lon', 'present.r_lat')} <= 500e0)) AS found FROM present GROUP BY 1) x ON x.scene_id = fs.id),
+  SELECT scene_id, count(*) AS n, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM sea WHERE sea.scene_id = present.scene_id AND {sql.metres('sea.lon', 'sea.lat', 'present.r_lon', 'present.r_lat')} <= 500e0)) AS found FROM present GROUP BY 1) x ON x.scene_id = fs.id),
 labelled AS (SELECT ev.*, m.margin_m, m.nearest_mmsi, a.mmsi AS matched_mmsi, a.distance_m, a.delta_s,
   CASE WHEN m.det_id IS NULL THEN NULL WHEN a.mmsi IS NOT NULL THEN 'matched' WHEN m.margin_m IS NULL OR m.margin_m <= 0 THEN 'indeterminate' WHEN coalesce(c.chance_rate <= 0.1e0, false) THEN 'dark' ELSE 'indeterminate' END AS match_state
   FROM ev LEFT JOIN margins m ON m.det_id = ev.id LEFT JOIN assigned a ON a.det_id = ev.id LEFT JOIN chance c ON c.scene_id = ev.scene_id),
@@ -172,6 +169,11 @@ def _fused(spark, positions, detections, scenes, ships, land):
     return fusion.fuse(positions, detections, scenes, ships, land, registry.regions(spark).select(F.col("name").alias("roi"), "mode"))
 
 
+def _stored(spark, sf_dir):
+    """Fused detections and scenes of a folder, written once per session in the shared folder, by scene."""
+    return store.stored(spark, sf_dir, lambda: _fused(spark, *domain(spark, sf_dir, *_DOMAIN)))
+
+
 def _inputs(spark, positions, detections, scenes, land):
     """(all clipped detections, fused sea detections, fused scenes, projected fixes)."""
     s = scenes.join(F.broadcast(registry.regions(spark).select(F.col("name").alias("roi"), "mode")), "roi").filter("mode = 'fused'")
@@ -245,11 +247,11 @@ def _mask(spark, positions, detections, scenes, ships, land):
     return fusion.clip_and_mask(detections, scenes, land).select("id", "scene_id", "on_land")
 
 
-@query("j14_match_counts", oracle(f""", a AS (SELECT id % 4 AS grp, lon, lat FROM sar_detections), b AS (SELECT id % 4 AS grp, lon, lat FROM ais_positions WHERE id % 7 = 1)
-SELECT g.grp, (SELECT count(*) FROM a WHERE a.grp = g.grp AND EXISTS (SELECT 1 FROM b WHERE b.grp = a.grp AND {geo.distance('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= 900e0)) AS left_hit,
-(SELECT count(*) FROM a WHERE a.grp = g.grp AND NOT EXISTS (SELECT 1 FROM b WHERE b.grp = a.grp AND {geo.distance('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= 900e0)) AS left_miss,
-(SELECT count(*) FROM b WHERE b.grp = g.grp AND EXISTS (SELECT 1 FROM a WHERE b.grp = a.grp AND {geo.distance('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= 900e0)) AS right_hit,
-(SELECT count(*) FROM b WHERE b.grp = g.grp AND NOT EXISTS (SELECT 1 FROM a WHERE b.grp = a.grp AND {geo.distance('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= 900e0)) AS right_miss
+@query("j14_match_counts", oracle(f""", a AS (SELECT id % 4 AS grp, lon, lat FROM sar_detections), b AS (SELECT id % 4 AS grp, lon, lat FROM ais_positions)
+SELECT g.grp, (SELECT count(*) FROM a WHERE a.grp = g.grp AND EXISTS (SELECT 1 FROM b WHERE b.grp = a.grp AND {sql.metres('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= 900e0)) AS left_hit,
+(SELECT count(*) FROM a WHERE a.grp = g.grp AND NOT EXISTS (SELECT 1 FROM b WHERE b.grp = a.grp AND {sql.metres('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= 900e0)) AS left_miss,
+(SELECT count(*) FROM b WHERE b.grp = g.grp AND EXISTS (SELECT 1 FROM a WHERE b.grp = a.grp AND {sql.metres('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= 900e0)) AS right_hit,
+(SELECT count(*) FROM b WHERE b.grp = g.grp AND NOT EXISTS (SELECT 1 FROM a WHERE b.grp = a.grp AND {sql.metres('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= 900e0)) AS right_miss
 FROM (SELECT unnest(generate_series(0, 3))::BIGINT AS grp) g""", "ais_positions", "sar_detections"))
 @_d("ais_positions", "sar_detections")
 def _counts(spark, positions, detections):
@@ -258,13 +260,13 @@ def _counts(spark, positions, detections):
     return match_counts(a, b, 900.0, ["grp"])
 
 
-@query("j12_clear_of_land", oracle(f" SELECT id FROM sar_detections d WHERE NOT EXISTS (SELECT 1 FROM land_polygons l WHERE {geo.distance_to_box('d.lon', 'd.lat', _qualified('l'))} <= 300e0)", "sar_detections", "land_polygons"))
+@query("j12_clear_of_land", oracle(f" SELECT id FROM sar_detections d WHERE NOT EXISTS (SELECT 1 FROM land_polygons l WHERE {sql.off_land('d.lon', 'd.lat')} <= 300e0)", "sar_detections", "land_polygons"))
 @_d("sar_detections", "land_polygons")
 def _clear(spark, detections, land):
     return near_boxes(detections, land, 300.0, "left_anti").select("id")
 
 
-@query("j13_separated", oracle(f" SELECT d.id FROM sar_detections d WHERE NOT EXISTS (SELECT 1 FROM sar_detections o WHERE o.scene_id = d.scene_id AND o.id > d.id AND {geo.distance('d.lon', 'd.lat', 'o.lon', 'o.lat')} <= 600e0)", "sar_detections"))
+@query("j13_separated", oracle(f" SELECT d.id FROM sar_detections d WHERE NOT EXISTS (SELECT 1 FROM sar_detections o WHERE o.scene_id = d.scene_id AND o.id > d.id AND {sql.metres('d.lon', 'd.lat', 'o.lon', 'o.lat')} <= 600e0)", "sar_detections"))
 @_d("sar_detections")
 def _separated(spark, detections):
     o = detections.select("scene_id", F.col("id").alias("o_id"), F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"))
@@ -275,32 +277,24 @@ def _separated(spark, detections):
 # scene routes -----------------------------------------------------------------------------------
 
 
-def _failure_sql(c: str) -> str:
-    arms = " ".join(f"WHEN {' OR '.join(f'contains(lower({c}), {t!r})' for t in tokens)} THEN '{reason}'" for tokens, reason in FAILURES)
-    return f"CASE WHEN {c} IS NULL OR {c} = '' THEN NULL {arms} ELSE '{FAILURE_UNKNOWN}' END"
-
-
 _COUNTS = "SELECT scene_id, count(*) AS detection_count, count(*) FILTER (WHERE is_dark) AS dark_count, count(*) FILTER (WHERE match_state = 'matched') AS matched_count, count(*) FILTER (WHERE match_state = 'indeterminate') AS indeterminate_count, count(*) FILTER (WHERE on_land) AS on_land_count FROM final GROUP BY 1"
 
 
-@query("t03_scenes", _fuse_sql(f"""SELECT s.id, s.roi, s.sensed_us, s.platform, s.status, s.has_overview, {_failure_sql('s.error')} AS failure_reason, coalesce(detection_count, 0) AS detection_count, coalesce(dark_count, 0) AS dark_count, coalesce(matched_count, 0) AS matched_count, coalesce(indeterminate_count, 0) AS indeterminate_count, coalesce(on_land_count, 0) AS on_land_count
+@query("t03_scenes", _fuse_sql(f"""SELECT s.id, s.roi, s.sensed_us, s.platform, s.status, s.has_overview, {sql.FAILURE.format('s.error')} AS failure_reason, coalesce(detection_count, 0) AS detection_count, coalesce(dark_count, 0) AS dark_count, coalesce(matched_count, 0) AS matched_count, coalesce(indeterminate_count, 0) AS indeterminate_count, coalesce(on_land_count, 0) AS on_land_count
 FROM (SELECT * FROM sar_scenes ORDER BY sensed_us DESC, id LIMIT 50) s LEFT JOIN ({_COUNTS}) n ON n.scene_id = s.id"""))
-@_d(*_DOMAIN)
-def _scenes(spark, *t):
-    return routes.scene_list(t[2], _fused(spark, *t).detections, None, 50)
+def _scenes(spark, sf_dir):
+    return routes.scene_list(*domain(spark, sf_dir, "sar_scenes"), _stored(spark, sf_dir).detections, None, 50)
 
 
 @query("t04_detections", _fuse_sql("SELECT f.id, round(lon, 6) AS lon, round(lat, 6) AS lat, confidence, confidence_bucket, match_state, is_dark, matched_mmsi, a.ship_name AS matched_name, a.ship_type AS matched_type, candidate_mmsi, b.ship_name AS candidate_name, b.ship_type AS candidate_type, round(match_distance_m, 3) AS match_distance_m, match_time_delta_s, round(dark_margin_m, 3) AS dark_margin_m, on_land FROM final f LEFT JOIN ship_metadata a ON a.mmsi = f.matched_mmsi LEFT JOIN ship_metadata b ON b.mmsi = f.candidate_mmsi WHERE scene_id = 'S12'"))
-@_d(*_DOMAIN)
-def _scene_detections(spark, *t):
-    out = routes.scene_detections(_fused(spark, *t).detections, t[3], "S12", include_land=True)
+def _scene_detections(spark, sf_dir):
+    out = routes.scene_detections(_stored(spark, sf_dir).detections, *domain(spark, sf_dir, "ship_metadata"), "S12", include_land=True)
     return out.withColumns({"lon": F.round("lon", 6), "lat": F.round("lat", 6), "match_distance_m": F.round("match_distance_m", 3), "dark_margin_m": F.round("dark_margin_m", 3)})
 
 
 @query("t02_sightings", _fuse_sql(f"SELECT f.id AS det_id, f.scene_id, coalesce(r.label, s.roi) AS roi_label, s.sensed_us, round(f.lon, 6) AS lon, round(f.lat, 6) AS lat, coalesce(matched_mmsi = {_ONE}, false) AS matched, confidence FROM final f JOIN sar_scenes s ON s.id = f.scene_id LEFT JOIN {_REGIONS} r ON r.name = s.roi WHERE NOT on_land AND (matched_mmsi = {_ONE} OR candidate_mmsi = {_ONE}) ORDER BY s.sensed_us DESC, f.id LIMIT 20"))
-@_d(*_DOMAIN)
-def _sightings(spark, *t):
-    out = routes.sightings(_fused(spark, *t).detections, t[2], registry.regions(spark), _ONE)
+def _sightings(spark, sf_dir):
+    out = routes.sightings(_stored(spark, sf_dir).detections, *domain(spark, sf_dir, "sar_scenes"), registry.regions(spark), _ONE)
     return out.withColumns({"lon": F.round("lon", 6), "lat": F.round("lat", 6)})
 
 
@@ -311,9 +305,8 @@ def _last(spark, scenes):
 
 
 @query("t05_most_recent", _fuse_sql(f"SELECT s.id, s.roi, s.processed_us, coalesce(detection_count, 0) AS detection_count, coalesce(dark_count, 0) AS dark_count FROM (SELECT * FROM sar_scenes WHERE status = 'processed' ORDER BY processed_us DESC NULLS FIRST, id DESC LIMIT 1) s LEFT JOIN ({_COUNTS}) n ON n.scene_id = s.id"))
-@_d(*_DOMAIN)
-def _recent(spark, *t):
-    return routes.most_recent_analysis(t[2], _fused(spark, *t).detections)
+def _recent(spark, sf_dir):
+    return routes.most_recent_analysis(*domain(spark, sf_dir, "sar_scenes"), _stored(spark, sf_dir).detections)
 
 
 @query("a09_latest_sensed", oracle(f" SELECT max(sensed_us) AS latest_sensed_us FROM sar_scenes WHERE roi = '{ROI}' AND status = 'processed'", "sar_scenes"))
@@ -324,9 +317,8 @@ def _latest(spark, scenes):
 
 @query("v01_contact_views", _fuse_sql(f"""SELECT f.id, CASE WHEN on_land THEN 'masked' WHEN sc.mode = 'survey' OR match_state IS NULL THEN 'contact' ELSE match_state END AS state, concat(CASE WHEN sc.mode = 'survey' THEN 'SC-' ELSE 'DR-' END, f.id::VARCHAR) AS contact_id, coalesce(matched_mmsi, candidate_mmsi) AS contact_mmsi,
 CASE (CASE WHEN on_land THEN 'masked' WHEN sc.mode = 'survey' OR match_state IS NULL THEN 'contact' ELSE match_state END) WHEN 'dark' THEN 1 WHEN 'indeterminate' THEN 2 WHEN 'matched' THEN 3 WHEN 'contact' THEN 4 ELSE 5 END::BIGINT AS list_rank FROM final f JOIN sc ON sc.id = f.scene_id"""))
-@_d(*_DOMAIN)
-def _contacts(spark, *t):
-    f = _fused(spark, *t)
+def _contacts(spark, sf_dir):
+    f = _stored(spark, sf_dir)
     d = f.detections.join(f.scenes.select("scene_id", "mode"), "scene_id")
     state = labels.contact_state(F.col("on_land"), F.col("mode"), F.col("match_state"))
     return d.select("id", state.alias("state"), labels.contact_id(F.col("mode"), F.col("id")).alias("contact_id"), labels.contact_mmsi(F.col("matched_mmsi"), F.col("candidate_mmsi")).alias("contact_mmsi"), labels.contact_rank(state).alias("list_rank"))
@@ -335,9 +327,7 @@ def _contacts(spark, *t):
 @query("a16_confidence_histogram", oracle(" SELECT b::INT AS bin, count(*) AS n FROM (SELECT CASE WHEN confidence >= 1e0 THEN 7 WHEN confidence < 0.1e0 THEN -1 ELSE (SELECT count(*) FROM (VALUES (0.2e0), (0.25e0), (0.3e0), (0.4e0), (0.5e0), (0.6e0), (0.8e0)) e(x) WHERE x <= confidence) END AS b FROM sar_detections) WHERE b >= 0 GROUP BY 1", "sar_detections"))
 @_d("sar_detections")
 def _histogram(spark, detections):
-    edges = (0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.8)
-    bin_ = sum((F.when(F.col("confidence") >= e, 1).otherwise(0) for e in edges[1:]), F.when(F.col("confidence") >= edges[0], 1).otherwise(0))
-    return detections.filter("confidence >= 0.1e0").groupBy(F.when(F.col("confidence") >= 1.0, 7).otherwise(bin_).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    return routes.confidence_histogram(detections)
 
 
 def _arms(pairs) -> str:
@@ -415,12 +405,17 @@ def _schedule(spark, positions, scenes):
     return scheduling.schedule(registry.regions(spark), scenes, _held_frame(spark, positions), NOW)
 
 
-@query("st16_decisions", oracle(""", spent AS (SELECT DISTINCT scene_id FROM pu_ledger WHERE id % 50 = 1), f AS (SELECT s.id, CASE WHEN s.sensed_us % 4 = 0 AND status = 'failed' THEN NULL ELSE status END AS status, sp.scene_id IS NOT NULL AS has_pu_spend, 24990e0 + (s.sensed_us // 90000000) % 20 AS month_to_date_pu, 5e0 AS pu_cost FROM sar_scenes s LEFT JOIN spent sp ON sp.scene_id = s.id)
+_GRID = f"""SELECT name, mode, passes_per_month, w AS width, h AS height, ceil(w / 2400)::BIGINT * ceil(h / 2400)::BIGINT AS tiles, round(w * h / 262144e0 * (1e0 / 3e0) * 2e0, 6) AS pu, round(w * h / 262144e0 * (1e0 / 3e0) * 2e0 * passes_per_month, 6) AS pu_month
+FROM (SELECT *, greatest(round_even((sar_max_lon - sar_min_lon) * 111320e0 * cos(radians((sar_min_lat + sar_max_lat) / 2e0)) / 10e0, 0)::BIGINT, 1) AS w, greatest(round_even((sar_max_lat - sar_min_lat) * 111320e0 / 10e0, 0)::BIGINT, 1) AS h FROM {_REGIONS})"""
+
+
+@query("st16_decisions", oracle(f""", spent AS (SELECT DISTINCT scene_id FROM pu_ledger), g AS ({_GRID}), m AS (SELECT coalesce(sum(pu), 0e0) AS pu FROM pu_ledger WHERE spent_us >= epoch_us(date_trunc('month', make_timestamp({LEDGER_NOW})))),
+f AS (SELECT s.id, CASE WHEN s.sensed_us % 4 = 0 AND status = 'failed' THEN NULL ELSE status END AS status, sp.scene_id IS NOT NULL AS has_pu_spend, m.pu AS month_to_date_pu, g.pu AS pu_cost FROM sar_scenes s CROSS JOIN m LEFT JOIN g ON g.name = s.roi LEFT JOIN spent sp ON sp.scene_id = s.id)
 SELECT id, CASE WHEN status = 'processed' THEN 'already analyzed' WHEN status = 'processing' THEN 'already running' WHEN has_pu_spend THEN 'already spent' WHEN month_to_date_pu + pu_cost > 25000e0 THEN 'over ceiling' WHEN status IS NULL THEN 'new pass' ELSE 'retry' END AS reason,
 coalesce(status, '') NOT IN ('processed', 'processing') AND NOT has_pu_spend AND month_to_date_pu + pu_cost <= 25000e0 AS analyze FROM f""", "sar_scenes", "pu_ledger"))
 @_d("sar_scenes", "pu_ledger")
 def _decisions(spark, scenes, ledger):
-    spent = ledger.select(F.col("scene_id").alias("id")).distinct().withColumn("has_pu_spend", F.lit(True))
+    spent = scheduling.spent_scenes(ledger).select(F.col("scene_id").alias("id"), F.lit(True).alias("has_pu_spend"))
     month = scheduling.month_to_date(ledger, LEDGER_NOW).withColumnRenamed("pu", "month_to_date_pu")
     cost = scheduling.monthly_cost(registry.regions(spark)).select(F.col("name").alias("roi"), F.col("pu").alias("pu_cost"))
     facts = scenes.join(spent, "id", "left").join(F.broadcast(cost), "roi", "left").crossJoin(F.broadcast(month)).select(
@@ -449,10 +444,6 @@ def _recent_spending(spark, ledger):
     return scheduling.recent_spending(ledger, 25)
 
 
-_GRID = f"""SELECT name, mode, passes_per_month, w AS width, h AS height, ceil(w / 2400)::BIGINT * ceil(h / 2400)::BIGINT AS tiles, round(w * h / 262144e0 * (1e0 / 3e0) * 2e0, 6) AS pu, round(w * h / 262144e0 * (1e0 / 3e0) * 2e0 * passes_per_month, 6) AS pu_month
-FROM (SELECT *, greatest(round_even((sar_max_lon - sar_min_lon) * 111320e0 * cos(radians((sar_min_lat + sar_max_lat) / 2e0)) / 10e0, 0)::BIGINT, 1) AS w, greatest(round_even((sar_max_lat - sar_min_lat) * 111320e0 / 10e0, 0)::BIGINT, 1) AS h FROM {_REGIONS})"""
-
-
 @query("c07_fetch_grid", _GRID)
 def _grid(spark, sf_dir):
     out = scheduling.monthly_cost(registry.regions(spark))
@@ -477,9 +468,8 @@ _STATE = "CASE WHEN on_land THEN 'masked' WHEN sc.mode = 'survey' OR match_state
 
 
 @query("a22_state_counts", _fuse_sql(f"SELECT CASE state WHEN 'dark' THEN 1 WHEN 'indeterminate' THEN 2 WHEN 'matched' THEN 3 WHEN 'contact' THEN 4 ELSE 5 END::BIGINT AS list_rank, state, count(*) AS n FROM (SELECT {_STATE} AS state FROM final f JOIN sc ON sc.id = f.scene_id) GROUP BY 1, 2"))
-@_d(*_DOMAIN)
-def _state_counts(spark, *t):
-    f = _fused(spark, *t)
+def _state_counts(spark, sf_dir):
+    f = _stored(spark, sf_dir)
     d = f.detections.join(f.scenes.select("scene_id", "mode"), "scene_id")
     state = labels.contact_state(F.col("on_land"), F.col("mode"), F.col("match_state"))
     return views.state_counts(d.select(state.alias("state")).withColumn("list_rank", labels.contact_rank(F.col("state"))))
@@ -487,11 +477,10 @@ def _state_counts(spark, *t):
 
 @query("v05_pass_cards", _fuse_sql("""SELECT roi, id, place, CASE WHEN status = 'failed' THEN 'FAILED' WHEN status = 'processing' THEN 'PROCESSING' WHEN place = 1 THEN 'LATEST' WHEN mode = 'survey' THEN 'SURVEY' WHEN dark > 0 THEN concat(dark::VARCHAR, ' DARK') ELSE 'CLEAR' END AS flag
 FROM (SELECT sc.roi, sc.id, sc.status, sc.mode, row_number() OVER (PARTITION BY sc.roi ORDER BY sensed_us DESC, sc.id)::INT AS place, coalesce(n.dark, 0) AS dark FROM sc LEFT JOIN (SELECT scene_id, count(*) FILTER (WHERE is_dark) AS dark FROM final GROUP BY 1) n ON n.scene_id = sc.id) WHERE place <= 5"""))
-@_d(*_DOMAIN)
-def _cards(spark, *t):
-    f = _fused(spark, *t)
+def _cards(spark, sf_dir):
+    f, (scenes,) = _stored(spark, sf_dir), domain(spark, sf_dir, "sar_scenes")
     counts = f.detections.groupBy("scene_id").agg(F.count_if("is_dark").alias("dark_count"))
-    s = t[2].select("id", "roi", "sensed_us", "status").join(f.scenes.select(F.col("scene_id").alias("id"), "mode"), "id")
+    s = scenes.select("id", "roi", "sensed_us", "status").join(f.scenes.select(F.col("scene_id").alias("id"), "mode"), "id")
     return views.pass_cards(s.join(counts.withColumnRenamed("scene_id", "id"), "id", "left"))
 
 
@@ -502,15 +491,14 @@ def _region_status(spark, positions, scenes):
     return rows.select("name", views.region_status(F.col("state"), F.col("next_us"), NOW).alias("status"))
 
 
-@query("v06_ticker", f"""WITH s AS ({ORACLES['st18_schedule']}), r AS ({oracle(" SELECT * FROM sar_scenes WHERE status = 'processed' ORDER BY processed_us DESC, id DESC LIMIT 1", "sar_scenes")})
-SELECT 0 AS rank, '' AS name, processed_us AS at_us, concat(g.label, ' analysis complete · 7 contacts', CASE WHEN g.mode = 'fused' THEN ' · 2 dark' ELSE '' END) AS text FROM r JOIN {_REGIONS} g ON g.name = r.roi
+@query("v06_ticker", f"""WITH s AS ({ORACLES['st18_schedule']}), r AS ({ORACLES['t05_most_recent']})
+SELECT 0 AS rank, '' AS name, processed_us AS at_us, concat(g.label, ' analysis complete · ', detection_count, ' contacts', CASE WHEN g.mode = 'fused' THEN concat(' · ', dark_count, ' dark') ELSE '' END) AS text FROM r JOIN {_REGIONS} g ON g.name = r.roi
 UNION ALL SELECT 1, name, latest_us, concat(label, ' · analyzing pass') FROM s WHERE state = 'analyzing'
 UNION ALL SELECT 2, name, latest_us, concat(label, ' · awaiting product publication') FROM (SELECT * FROM s WHERE state = 'awaiting_publication' ORDER BY name LIMIT 3)
 UNION ALL SELECT 3, '', NULL, concat(count(*) FILTER (WHERE state = 'scheduled'), '/', count(*), ' regions scheduled for next pass') FROM s""")
-@_d(*_DOMAIN)
-def _ticker(spark, *t):
-    regions = registry.regions(spark)
-    rows = scheduling.schedule(regions, t[2], _held_frame(spark, t[0]), NOW)
-    recent = routes.most_recent_analysis(t[2], _fused(spark, *t).detections)
+def _ticker(spark, sf_dir):
+    regions, (positions, scenes) = registry.regions(spark), domain(spark, sf_dir, "ais_positions", "sar_scenes")
+    rows = scheduling.schedule(regions, scenes, _held_frame(spark, positions), NOW)
+    recent = routes.most_recent_analysis(scenes, _stored(spark, sf_dir).detections)
     recent = recent.join(regions.select(F.col("name").alias("roi"), "label", "mode"), "roi").select("label", "mode", "processed_us", "detection_count", "dark_count")
     return views.ticker(rows, recent)

@@ -2,12 +2,17 @@
 
 ``TABLES`` holds a query per domain table; ``{div}`` is the integer-division operator,
 ``{us}`` turns a timestamp into microseconds and ``{k}`` reads the event's property. Times
-are microseconds from the start of a three-hour span.
+are microseconds from the start of a three-hour span. Every supplier is a scene, one of the
+110 instants of the span has one or more of them, and every event at an instant with scenes
+is a detection of one of them. ``RINGS`` adds what SQL text can't say alike in both
+dialects: footprints are parallelograms (the east side ``tilt`` degrees farther north) and
+land polygons are L-shaped (their box without its north-east quarter).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewake.sources.registry import REGIONS
 
@@ -35,21 +40,23 @@ TABLES = {
         FROM customer""",
     "sar_scenes": f"""
         SELECT concat('S', cast(s_suppkey AS {{str}})) AS id, s_name AS name, {_roi('cast(s_suppkey % 12 AS int)')} AS roi,
-               900000000 + s_suppkey * 90000000 AS sensed_us,
+               900000000 + s_suppkey % 110 * 90000000 AS sensed_us,
                120.8e0 + (s_suppkey % 5) / 1e2 AS min_lon, 24.97e0 + (s_suppkey % 3) / 1e2 AS min_lat,
-               122.2e0 + (s_suppkey % 4) / 1e2 AS max_lon, 26.1e0 - (s_suppkey % 7) / 1e2 AS max_lat,
+               122.2e0 + (s_suppkey % 4) / 1e2 AS max_lon, 26.1e0 - (s_suppkey % 7) / 1e2 AS max_lat, 0.1e0 + (s_suppkey % 3) / 5e1 AS tilt,
                CASE WHEN s_suppkey % 2 = 0 THEN 'S1A' ELSE 'S1C' END AS platform,
                CASE WHEN s_suppkey % 10 = 7 THEN 'failed' WHEN s_suppkey % 10 = 3 THEN 'processing' ELSE 'processed' END AS status,
-               CASE WHEN s_suppkey % 10 IN (3, 7) THEN NULL ELSE 900000000 + s_suppkey * 90000000 + 3600000000 END AS processed_us,
+               CASE WHEN s_suppkey % 10 IN (3, 7) THEN NULL ELSE 900000000 + s_suppkey % 110 * 90000000 + 3600000000 END AS processed_us,
                CASE WHEN s_suppkey % 10 = 7 THEN CASE s_suppkey % 4 WHEN 0 THEN 'HTTP 403 from store' WHEN 1 THEN 'Read timed out' WHEN 2 THEN 'coverage 0.1' ELSE 'bad state' END END AS error,
                s_suppkey % 3 = 0 AS has_overview
-        FROM supplier WHERE s_suppkey < 100""",
+        FROM supplier""",
     "sar_detections": """
-        SELECT id, concat('S', cast((time_us - 900000000) {div} 90000000 AS {str})) AS scene_id,
+        SELECT id, concat('S', cast(s_suppkey AS {str})) AS scene_id,
                lon + ((id % 7) - 3) * 1e-3 AS lon, lat + ((id {div} 5) % 5 - 2) * 1e-3 AS lat,
                ((id * 37) % 90 + 10) / 1e2 AS confidence
-        FROM ({ais_positions}) p
-        WHERE id % 5 = 0 AND time_us >= 900000000 AND (time_us - 900000000) {div} 90000000 IN (SELECT s_suppkey FROM supplier WHERE s_suppkey < 100)""",
+        FROM ({ais_positions}) p JOIN (
+          SELECT s_suppkey, s_suppkey % 110 AS instant, row_number() OVER (PARTITION BY s_suppkey % 110 ORDER BY s_suppkey) - 1 AS place, count(*) OVER (PARTITION BY s_suppkey % 110) AS scenes
+          FROM supplier) s ON s.instant = (time_us - 900000000) {div} 90000000 AND id % s.scenes = s.place
+        WHERE time_us >= 900000000""",
     "land_polygons": """
         SELECT n_nationkey AS id, 120.8e0 + ((n_nationkey * 61) % 150) / 1e2 AS min_lon, 24.97e0 + ((n_nationkey * 37) % 110) / 1e2 AS min_lat,
                120.8e0 + ((n_nationkey * 61) % 150) / 1e2 + 0.02e0 AS max_lon, 24.97e0 + ((n_nationkey * 37) % 110) / 1e2 + 0.02e0 AS max_lat
@@ -60,6 +67,18 @@ TABLES = {
         FROM orders""",
 }
 
+def _ring(*corners: tuple[str, str]) -> str:
+    every = [*corners, corners[0]]
+    return "array(" + ", ".join(f"named_struct('lon', {x}, 'lat', {y})" for x, y in every) + ")"
+
+
+RINGS = {
+    "sar_scenes": _ring(("min_lon", "min_lat"), ("max_lon", "min_lat + tilt"), ("max_lon", "max_lat"), ("min_lon", "max_lat - tilt")),
+    "land_polygons": _ring(
+        ("min_lon", "min_lat"), ("max_lon", "min_lat"), ("max_lon", "(min_lat + max_lat) / 2e0"), ("(min_lon + max_lon) / 2e0", "(min_lat + max_lat) / 2e0"), ("(min_lon + max_lon) / 2e0", "max_lat"), ("min_lon", "max_lat")
+    ),
+}
+
 _SPARK = {"div": "div", "us": "unix_micros_ntz", "k": "cast(get_json_object(props, '$.k') AS int)", "str": "string"}
 _DUCK = {"div": "//", "us": "epoch_us", "k": "cast(json_extract_string(props, '$.k') AS int)", "str": "varchar"}
 _BASE = ("events", "customer", "supplier", "nation", "orders")
@@ -80,7 +99,8 @@ def domain(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     out = []
     for name in names:
         text = _text(name, _SPARK).replace("unix_micros_ntz(ts)", "unix_micros(cast(ts AS timestamp))").replace("unix_micros_ntz(o_orderdate)", "unix_micros(cast(o_orderdate AS timestamp))")
-        out.append(spark.sql(_with_frames(text), **{n: base[n] for n in _BASE if f"{{{n}}}" in _with_frames(text)}))
+        df = spark.sql(_with_frames(text), **{n: base[n] for n in _BASE if f"{{{n}}}" in _with_frames(text)})
+        out.append(df.withColumn("ring", F.expr(RINGS[name])).drop("tilt") if name in RINGS else df)
     return out
 
 

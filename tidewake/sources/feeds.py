@@ -7,10 +7,11 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 from tidewake.sources.files import retry_delay
+from tidewake.streaming.ingest import backoff
 
 
 class FeedSource(DataSource):
@@ -32,16 +33,31 @@ class FeedSource(DataSource):
 
 
 class FeedReader(SimpleDataSourceStreamReader):
-    def __init__(self, options):
+    """Offsets are bytes, so a batch reads its own lines only.
+
+    A read that fails waits, longer each time, and gives an empty batch; the wait starts anew
+    after a connection of ten seconds.
+    """
+
+    def __init__(self, options, wait: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic):
         self.path, self.most = options["path"], int(options.get("rows", "100"))
         self.boxes = json.loads(options.get("boxes", "null"))
+        self.wait, self.clock, self.failures, self.since = wait, clock, 0, None
 
     def initialOffset(self) -> dict:
-        return {"line": 0}
-
-    def _lines(self, start: int, end: int | None) -> list[str]:
-        with open(self.path) as f:
-            return f.read().splitlines()[start:end]
+        return {"byte": 0}
+
+    def _lines(self, start: int, end: int | None = None) -> tuple[list[str], int]:
+        """Lines from a place on, up to another or ``rows`` of them, and where they end."""
+        out = []
+        with open(self.path, "rb") as f:
+            f.seek(start)
+            while (f.tell() < end) if end is not None else (len(out) < self.most):
+                line = f.readline()
+                if not line:
+                    break
+                out.append(line.decode("utf-8", "replace").rstrip("\n"))
+            return out, f.tell()
 
     def _wanted(self, line: str) -> bool:
         if self.boxes is None:
@@ -54,11 +70,25 @@ class FeedReader(SimpleDataSourceStreamReader):
         return any(min(a[0], b[0]) <= lat <= max(a[0], b[0]) and min(a[1], b[1]) <= lon <= max(a[1], b[1]) for a, b in self.boxes)
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        lines = self._lines(start["line"], start["line"] + self.most)
-        return iter([(x,) for x in lines if self._wanted(x)]), {"line": start["line"] + len(lines)}
+        try:
+            lines, end = self._lines(start["byte"])
+        except OSError:
+            held = self.clock() - self.since if self.since is not None else 0.0
+            self.failures = 0 if held >= 10 else self.failures
+            self.wait(backoff(self.failures, held))
+            self.failures, self.since = self.failures + 1, None
+            return iter([]), start
+        self.since = self.clock() if self.since is None else self.since
+        return iter([(x,) for x in lines if self._wanted(x)]), {"byte": end}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter([(x,) for x in self._lines(start["line"], end["line"]) if self._wanted(x)])
+        return iter([(x,) for x in self._lines(start["byte"], end["byte"])[0] if self._wanted(x)])
+
+
+def feed_stream(spark: SparkSession, path: str, boxes: list, rows: int = 100) -> DataFrame:
+    """The feed's lines inside the subscription's boxes, at most ``rows`` a batch."""
+    spark.dataSource.register(FeedSource)
+    return spark.readStream.format("message_feed").option("path", path).option("rows", str(rows)).option("boxes", json.dumps(boxes)).load()
 
 
 def fetch_tiles(plan: DataFrame, fetch: Callable[[dict], bytes], parallel: int = 4, tries: int = 4, wait: Callable[[float], None] = time.sleep) -> DataFrame:

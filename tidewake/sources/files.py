@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import json
 import struct
-import urllib.parse
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, InputPartition, LessThan, StringContains
 
 from tidewake.functions import rings
 from tidewake.functions.labels import csv_bool, csv_double
@@ -140,65 +137,20 @@ def read_chips(spark: SparkSession, path: str) -> DataFrame:
     return arrays.join(meta, "stem")
 
 
-class CatalogueSource(DataSource):
-    """Batch source ``scene_catalogue`` over JSON-line files of scene entries.
-
-    Filters on mode of acquisition, time and name are taken at the scan, as a catalogue
-    service would take them in its request.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "scene_catalogue"
-
-    def schema(self) -> str:
-        return "id string, name string, sensed_us long, footprint_wkt string, platform string"
-
-    def reader(self, schema) -> CatalogueReader:
-        return CatalogueReader(self.options)
-
-
-class CatalogueReader(DataSourceReader):
-    def __init__(self, options):
-        self.path, self.taken = options["path"], []
-
-    def pushFilters(self, filters):
-        for f in filters:
-            if isinstance(f, GreaterThan | LessThan) and f.attribute == ("sensed_us",) or isinstance(f, StringContains) and f.attribute == ("name",) or isinstance(f, EqualTo) and f.attribute == ("platform",):
-                self.taken.append(f)
-            else:
-                yield f
-
-    def partitions(self):
-        return [InputPartition(p) for p in self.path.split(",")]
-
-    def read(self, partition):
-        place = {"name": 1, "sensed_us": 2, "platform": 4}
-        with open(partition.value) as f:
-            for line in f:
-                e = json.loads(line)
-                row = (e["id"], e["name"], e["sensed_us"], e.get("footprint_wkt"), e["name"][:3])
-                if all(self._holds(f, row[place[f.attribute[0]]]) for f in self.taken):
-                    yield row
-
-    @staticmethod
-    def _holds(f, v) -> bool:
-        if v is None:
-            return False
-        if isinstance(f, StringContains):
-            return f.value in v
-        return v > f.value if isinstance(f, GreaterThan) else v < f.value if isinstance(f, LessThan) else v == f.value
+CATALOGUE = "id string, name string, sensed_us long, footprint_wkt string"
 
 
 def search_scenes(spark: SparkSession, path: str, start_us: int, end_us: int, product: str, box: tuple[float, float, float, float], most: int = 200) -> DataFrame:
-    """The earliest entries of a window whose name holds the product and whose footprint's box meets the box."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    spark.dataSource.register(CatalogueSource)
-    found = spark.read.format("scene_catalogue").option("path", path).load()
+    """The earliest entries of a window whose name holds the product and whose footprint's box meets the box.
+
+    Entries are JSON lines, read and split by Spark: time and name are filtered in the scan.
+    """
+    found = spark.read.schema(CATALOGUE).json(path.split(","))
     found = found.filter((F.col("sensed_us") > start_us) & (F.col("sensed_us") < end_us) & F.col("name").contains(product))
     shaped = with_bounds(found.withColumn("ring", rings.parse_wkt(F.col("footprint_wkt"))))
     meets = (F.col("min_lon") <= box[2]) & (F.col("max_lon") >= box[0]) & (F.col("min_lat") <= box[3]) & (F.col("max_lat") >= box[1])
-    return shaped.filter(meets).orderBy("sensed_us", "id").limit(most).select("id", "name", "sensed_us", "footprint_wkt", "platform")
+    out = shaped.filter(meets).orderBy("sensed_us", "id").limit(most)
+    return out.select("id", "name", "sensed_us", "footprint_wkt", F.substring("name", 1, 3).alias("platform"))
 
 
 def tile_request(box: tuple[float, float, float, float], width: int, height: int, start: str, end: str, script: str) -> dict:
@@ -216,7 +168,3 @@ def retry_delay(attempt: int, retry_after: str | None, most: float = 60.0) -> fl
         return min(most, max(0.0, float(retry_after)))
     except (TypeError, ValueError):
         return min(most, float(2**attempt))
-
-
-def path_of(uri: str) -> str:
-    return urllib.parse.urlparse(uri).path

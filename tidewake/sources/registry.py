@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
+#: The table of station prefixes that ships with the package; any other of its form will do.
+PREFIXES = Path(__file__).with_name("station_prefixes.txt")
+
 # Regions with their display name, message box, imaging box, mode and usable passes in 30 days.
 REGIONS = (
     ("north_taiwan", "North Taiwan", (120.70, 24.90, 122.40, 26.30), (120.90, 24.95, 122.20, 25.60), "fused", 7),
@@ -20,25 +25,6 @@ REGIONS = (
     ("somali_coast", "Northeast Somalia Coast", (50.50, 8.40, 51.50, 9.45), (51.02, 8.60, 51.38, 9.25), "survey", 10),
 )
 
-# Runs of maritime identification digits (first, last) and their administration. The full
-# assignment is a parameter (``flag_table``); these runs cover common registers.
-FLAG_RUNS = (
-    (209, 210, "CY", "Cyprus"), (211, 211, "DE", "Germany"), (212, 212, "CY", "Cyprus"), (215, 215, "MT", "Malta"), (218, 218, "DE", "Germany"),
-    (219, 220, "DK", "Denmark"), (224, 225, "ES", "Spain"), (226, 228, "FR", "France"), (229, 229, "MT", "Malta"), (230, 230, "FI", "Finland"),
-    (231, 231, "FO", "Faroe Islands"), (232, 235, "GB", "United Kingdom"), (237, 237, "GR", "Greece"), (238, 238, "HR", "Croatia"), (239, 241, "GR", "Greece"),
-    (242, 242, "MA", "Morocco"), (244, 246, "NL", "Netherlands"), (247, 247, "IT", "Italy"), (248, 249, "MT", "Malta"), (250, 250, "IE", "Ireland"),
-    (251, 251, "IS", "Iceland"), (255, 255, "PT", "Portugal"), (256, 256, "MT", "Malta"), (257, 259, "NO", "Norway"), (261, 261, "PL", "Poland"),
-    (263, 263, "PT", "Portugal"), (265, 266, "SE", "Sweden"), (271, 271, "TR", "Turkey"), (272, 272, "UA", "Ukraine"), (273, 273, "RU", "Russian Federation"),
-    (275, 275, "LV", "Latvia"), (276, 276, "EE", "Estonia"), (277, 277, "LT", "Lithuania"), (304, 305, "AG", "Antigua and Barbuda"), (308, 309, "BS", "Bahamas"),
-    (311, 311, "BS", "Bahamas"), (316, 316, "CA", "Canada"), (319, 319, "KY", "Cayman Islands"), (338, 338, "US", "United States"), (351, 357, "PA", "Panama"),
-    (366, 369, "US", "United States"), (370, 374, "PA", "Panama"), (403, 403, "SA", "Saudi Arabia"), (412, 414, "CN", "China"), (416, 416, "TW", "Taiwan"),
-    (419, 419, "IN", "India"), (422, 422, "IR", "Iran"), (428, 428, "IL", "Israel"), (431, 432, "JP", "Japan"), (440, 441, "KR", "Korea"),
-    (450, 450, "LB", "Lebanon"), (461, 461, "OM", "Oman"), (468, 468, "SY", "Syrian Arab Republic"), (470, 471, "AE", "United Arab Emirates"), (477, 477, "HK", "Hong Kong"),
-    (503, 503, "AU", "Australia"), (525, 525, "ID", "Indonesia"), (533, 533, "MY", "Malaysia"), (538, 538, "MH", "Marshall Islands"), (548, 548, "PH", "Philippines"),
-    (563, 566, "SG", "Singapore"), (574, 574, "VN", "Viet Nam"), (601, 601, "ZA", "South Africa"), (613, 613, "CM", "Cameroon"), (622, 622, "EG", "Egypt"),
-    (626, 626, "GA", "Gabon"), (636, 637, "LR", "Liberia"), (666, 666, "SO", "Somalia"), (667, 667, "SL", "Sierra Leone"), (710, 710, "BR", "Brazil"),
-)
-
 # Hull categories by code, first and last.
 SHIP_TYPES = (
     (20, 29, "Wing in ground"), (30, 30, "Fishing"), (31, 32, "Towing"), (33, 33, "Dredging"), (34, 34, "Diving ops"), (35, 35, "Military"),
@@ -89,8 +75,11 @@ def region(name: str) -> dict:
     raise ValueError(f"unknown region {name!r}; known: {', '.join(sorted(r[0] for r in REGIONS))}")
 
 
-def flag_rows() -> list[tuple[int, str, str]]:
-    return [(mid, iso2, country) for lo, hi, iso2, country in FLAG_RUNS for mid in range(lo, hi + 1)]
+def flag_rows(path: str | Path = PREFIXES) -> list[tuple[int, str, str]]:
+    """(prefix, letters, administration) of a prefix table; lines that start with # are remarks."""
+    with open(path, encoding="utf-8") as f:
+        parts = [line.rstrip("\n").split(" ", 2) for line in f if line.strip() and not line.startswith("#")]
+    return [(int(mid), iso2, country) for mid, iso2, country in parts]
 
 
 def flag_table(spark: SparkSession, rows: list[tuple[int, str, str]] | None = None) -> DataFrame:

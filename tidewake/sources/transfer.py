@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 VERSION = 1
 
 
+def named_vessels(detections: DataFrame) -> DataFrame:
+    """The vessels that any detection was matched to or names as its candidate."""
+    return detections.select(F.col("matched_mmsi").alias("mmsi")).union(detections.select("candidate_mmsi")).dropna().distinct()
+
+
+def orphans(rows: DataFrame, scenes: DataFrame) -> DataFrame:
+    """Scene ids of rows whose scene is missing."""
+    return rows.select("scene_id").distinct().join(scenes.select(F.col("id").alias("scene_id")), "scene_id", "left_anti")
+
+
 def export_records(scenes: DataFrame, detections: DataFrame, ships: DataFrame, rois: list[str]) -> DataFrame:
     """(kind_rank, sort keys, value) lines: a header, scenes by (roi, time, id), detections by (scene, id), ships by identity.
 
@@ -16,7 +26,7 @@ def export_records(scenes: DataFrame, detections: DataFrame, ships: DataFrame, r
     spark = scenes.sparkSession
     own = scenes.filter(F.col("roi").isin(*rois))
     d = detections.join(own.select(F.col("id").alias("scene_id")), "scene_id", "left_semi")
-    named = d.select(F.col("matched_mmsi").alias("mmsi")).union(d.select("candidate_mmsi")).dropna().distinct()
+    named = named_vessels(d)
     s = ships.join(named, "mmsi", "left_semi")
     line = lambda kind, df: F.to_json(F.struct(F.lit(kind).alias("kind"), *df.columns), {"ignoreNullFields": "false"})
     none = F.lit(None).cast("string")
@@ -40,8 +50,7 @@ def read_records(spark: SparkSession, path: str, scene_schema: str, detection_sc
     validate(raw)
     part = lambda kind, schema: raw.filter(F.col("kind") == kind).select(F.from_json("value", schema).alias("r")).select("r.*")
     out = {"scene": part("scene", scene_schema), "detection": part("detection", detection_schema), "ship": part("ship", ship_schema)}
-    orphans = out["detection"].join(out["scene"].select(F.col("id").alias("scene_id")), "scene_id", "left_anti")
-    if orphans.limit(1).count():
+    if orphans(out["detection"], out["scene"]).limit(1).count():
         raise ValueError("a detection's scene is missing")
     return out
 
@@ -58,6 +67,18 @@ def validate(raw: DataFrame) -> None:
         raise ValueError("a record has no known kind")
 
 
+def guard_import(old_scenes: DataFrame, new_scenes: DataFrame, *, force: bool = False, dry_run: bool = False) -> tuple[int, bool]:
+    """(stored scenes that an import would replace, whether to write).
+
+    Counted before anything is written: replacing is an error unless forced, and a dry run
+    never writes.
+    """
+    n = import_conflicts(old_scenes, new_scenes)
+    if n and not force and not dry_run:
+        raise ValueError(f"the import would replace {n} stored scenes; force it or leave them out")
+    return n, not dry_run
+
+
 def import_conflicts(old_scenes: DataFrame, new_scenes: DataFrame) -> int:
     """How many stored scenes an import would replace."""
     return new_scenes.join(old_scenes.select("id"), "id", "left_semi").count()
