@@ -97,3 +97,23 @@ def test_empty_corpus(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert cp.run(spark, str(tmp_path)).collect() == []
+
+
+def test_repeated_rows_and_clashing_columns(spark, tmp_path):
+    """Rows that repeat identifier and text share their fate; columns named like working ones pass."""
+    base = "the storm and the harbour light of the north sea with ships and cargo under heavy weather".split()
+    text, other = " ".join(base * 3), " ".join(reversed(base * 3))
+    rows = [(1, text, "s0", 1.0, "x"), (1, text, "s0", 2.0, "x"), (2, text + " ", "s0", 3.0, "x"), (3, text + "  more", "s0", 4.0, "x"), (4, other, None, 5.0, "x"), (4, other, None, 5.0, "x"), (5, None, "s1", 6.0, None), (6, "", "s1", 7.0, "x")]
+    schema = "doc_id long, text string, source string, score double, gone_id string"
+    docs = spark.createDataFrame(rows, schema).repartition(2)
+    spark.createDataFrame([(1, 0), (4, 1)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    kept = docs
+    for _, stage in cp.STAGES[1:3]:
+        kept = stage(spark, kept, str(tmp_path))
+        assert kept.columns == docs.columns
+    assert Counter(r.doc_id for r in kept.collect()) == Counter({1: 2, 4: 2, 5: 1})
+    scored = cp.drop_toxic(spark, docs, str(tmp_path))
+    assert scored.columns == docs.columns and {r.doc_id for r in scored.collect()} <= {r[0] for r in rows}
+    mixed = cp.mix_sources(spark, kept, str(tmp_path))
+    assert mixed.columns == docs.columns
+    assert {r.doc_id for r in cp.pack_sequences(spark, kept, str(tmp_path)).collect()} == {1, 4, 5}

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tidewake.llm.common import prepare, table, text_bytes
 from tidewake.llm.shingles import BLOCK, long_words
-from tidewake.llm.toxicity import fold
+from tidewake.llm.toxicity import fold, rows_with_texts, texts_of
 
 WORD_BITS = 16
 MAX_ROWS = 4000
@@ -154,11 +154,11 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), batch.column(2), *blobs], names=["doc_id", "tag", "y", "col", "v"])
 
 
-def _scorer(model: OrdinalModel, tail_from: int | None):
+def _scorer(model: OrdinalModel, tail_from: int | None, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = np.array([model.score(b.as_py(), tail_from) for b in batch.column(0)], np.float64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(s[:, 0]), pa.array(s[:, 1]), batch.column(1)], names=["expected_grade", "tail_prob", "row"])
+            s = np.array([model.score(b.as_py() or b"", tail_from) for b in texts_of(batch, text_col)], np.float64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(s[:, 0]), pa.array(s[:, 1]), batch.column(0)], names=["expected_grade", "tail_prob", "row"])
 
     return run
 
@@ -171,8 +171,8 @@ def grade_rows(docs: DataFrame, model: OrdinalModel, text_col: str = "text", tai
     Without labels the grade is 0 and certain. An empty table stays empty.
     """
     prepare(docs.sparkSession)
-    rows = docs.select(text_bytes(text_col).alias("body"), F.struct(*(carried or ["*"])).alias("row"))
-    return rows.mapInArrow(_scorer(model, tail_from), f"expected_grade double, tail_prob double, row {rows.schema['row'].dataType.simpleString()}")
+    rows = rows_with_texts(docs, text_col, carried)
+    return rows.mapInArrow(_scorer(model, tail_from, text_col), f"expected_grade double, tail_prob double, row {rows.schema['row'].dataType.simpleString()}")
 
 
 def op5_ordinal_quality(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,6 @@ segment lengths and position ids that restart at every segment. ``write_matrix``
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -167,7 +166,3 @@ def op9_token_matrix(spark, sf_dir: str) -> DataFrame:
         "sequence_id", "n_tokens", F.size("doc_ids").alias("n_segments"), "doc_ids", "pieces", "starts", "cu_seqlens",
         "ids", "positions", F.crc32("ids").alias("ids_crc32"), F.crc32("positions").alias("positions_crc32"),
     )
-
-
-def ids_crc32(ids: np.ndarray) -> int:
-    return zlib.crc32(ids.astype("<u4").tobytes())

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -202,11 +203,23 @@ def _chosen(keep: np.ndarray):
     return run
 
 
-def _scorer(model: Model):
+def texts_of(batch: pa.RecordBatch, text_col: str) -> pa.Array:
+    """The texts of a batch of (row) or (row, body), as bytes with null for null."""
+    return batch.column(1) if batch.num_columns > 1 else pc.struct_field(batch.column(0), text_col).cast(pa.binary())
+
+
+def rows_with_texts(docs: DataFrame, text_col: str, carried: list[str] | None) -> DataFrame:
+    """(row) of all columns, or (row, body) where the carried ones leave the text out: a text travels once."""
+    if carried is None:
+        return docs.select(F.struct("*").alias("row"))
+    return docs.select(F.struct(*carried).alias("row"), text_bytes(text_col).alias("body"))
+
+
+def _scorer(model: Model, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = np.array([model.score(b.as_py()) for b in batch.column(0)], np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array(s, pa.float64()), batch.column(1)], names=["score", "row"])
+            s = np.array([model.score(b.as_py() or b"") for b in texts_of(batch, text_col)], np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array(s, pa.float64()), batch.column(0)], names=["score", "row"])
 
     return run
 
@@ -219,8 +232,8 @@ def score_rows(docs: DataFrame, model: Model, text_col: str = "text", carried: l
     ``row`` whatever their names. An empty table stays empty.
     """
     prepare(docs.sparkSession)
-    rows = docs.select(text_bytes(text_col).alias("body"), F.struct(*(carried or ["*"])).alias("row"))
-    return rows.mapInArrow(_scorer(model), f"score double, row {rows.schema['row'].dataType.simpleString()}")
+    rows = rows_with_texts(docs, text_col, carried)
+    return rows.mapInArrow(_scorer(model, text_col), f"score double, row {rows.schema['row'].dataType.simpleString()}")
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
