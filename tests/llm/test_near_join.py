@@ -4,9 +4,11 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from tidewake.llm import near_join as nj
-from tidewake.llm.common import heavy_keys, join_unskewed
+from tidewake.llm import common
+from tidewake.llm.common import flagged, heavy_keys, join_unskewed, without_rows
 from tidewake.llm.shingles import shingle_sets
 
 
@@ -112,6 +114,27 @@ def test_joins_of_heavy_keys(spark):
     assert sorted(heavy_keys(left, "key", 5)) == [(0, 10), (1, 10), (2, 10)]
 
 
+def test_membership_filter_loses_no_key(spark, monkeypatch):
+    keys = spark.createDataFrame([(k * 977_777_777_777 - 5,) for k in range(3000)], "k long")
+    df = spark.range(0, 9000).select((F.col("id") * 977_777_777_777 - 5).alias("v"), F.lit("x").alias("_hit"), F.col("id").alias("_slot"))
+    for bits in (1 << 26, 1 << 15):
+        monkeypatch.setattr(common, "FILTER_BITS", bits)
+        rows, hit = flagged(df, F.col("v"), keys, "k")
+        assert rows.columns == [*df.columns, hit]
+        got = {r["_slot"]: r[hit] for r in rows.collect()}
+        assert len(got) == 9000 and all(got[k] for k in range(3000))
+        assert sum(got[k] for k in range(3000, 9000)) < (600 if bits > 1 << 20 else 6000)
+    rows, hit = flagged(df, F.col("v"), keys.limit(0), "k")
+    assert rows.filter(hit).count() == 0
+
+
+def test_rows_go_one_by_one(spark):
+    docs = spark.createDataFrame([(1, "a"), (1, "b"), (1, "a"), (None, "a"), (2, None), (3, "c")], "doc_id long, text string")
+    h = F.xxhash64(F.coalesce("text", F.lit("")))
+    gone = docs.filter("text = 'a' or doc_id = 2").select(F.col("doc_id").alias("gone_id"), h.alias("gone_hash"))
+    assert sorted(map(tuple, without_rows(docs, gone, "doc_id", h).collect())) == [(1, "b"), (3, "c")]
+
+
 def test_empty_table_and_filter(spark):
     assert nj.near_components(_frame(spark, [])).collect() == []
     text = " ".join(f"w{i}" for i in range(60))

@@ -61,17 +61,20 @@ def heavy_keys(df: DataFrame, key: str, least: int = HEAVY_ROWS) -> list[tuple[i
     return [tuple(r) for r in counts.filter(F.col("rows") >= max(least, -(-total // HEAVY_SHARE))).collect()]
 
 
-def join_unskewed(left: DataFrame, right: DataFrame, key: str, how: str = "inner", least: int = HEAVY_ROWS) -> DataFrame:
+def join_unskewed(left: DataFrame, right: DataFrame, key: str, how: str = "inner", least: int = HEAVY_ROWS, also: tuple[str, ...] = ()) -> DataFrame:
     """``left`` joined with ``right``, which has one row per key, however often a key occurs in ``left``.
 
+    ``also`` names columns that must be equal too, where the key is a hash of them.
+
     Rows of heavy keys stay where they are and meet the heavy keys' rows (a thousand at most)
     by broadcast; the others meet by a shuffle. ``left`` is read three times: materialise it.
     """
     heavy = [k for k, _ in heavy_keys(left, key, least)]
+    on = [key, *also]
     if not heavy:
-        return left.join(right, key, how)
+        return left.join(right, on, how)
     hot = F.coalesce(F.col(key).isin(heavy), F.lit(False))
-    return left.filter(~hot).join(right, key, how).unionByName(left.filter(hot).join(F.broadcast(right.filter(hot)), key, how))
+    return left.filter(~hot).join(right, on, how).unionByName(left.filter(hot).join(F.broadcast(right.filter(hot)), on, how))
 
 
 def unused(df: DataFrame, name: str) -> str:
@@ -82,11 +85,41 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Most bits of a membership filter: it is broadcast, 8 MB at most whatever the number of keys.
+FILTER_BITS = 1 << 26
+_MAP_BITS = 1 << 15  # positions of one row of Spark's bitmap aggregate
+
+
+def flagged(df: DataFrame, value: Column, keys: DataFrame, key: str) -> tuple[DataFrame, str]:
+    """``df`` with a boolean column, false only where ``value`` is none of the ``keys``; and its name.
+
+    A bitmap over hashes, wide enough that few others are true while there are fewer than
+    about two million keys; with many more it filters less, and stays as large. ``keys`` is
+    read twice: materialise it.
+    """
+    bits = min(FILTER_BITS, max(_MAP_BITS, 1 << (32 * keys.count()).bit_length()))
+    slot = lambda c: F.pmod(c, F.lit(bits))
+    number, bitmap, mine, hit = (unused(df, n) for n in ("_number", "_bitmap", "_slot", "_hit"))
+    at = keys.select(slot(F.col(key)).alias("at"))
+    maps = at.groupBy(F.floor(F.col("at") / _MAP_BITS).cast("long").alias(number)).agg(F.bitmap_construct_agg(F.col("at") % _MAP_BITS).alias(bitmap))
+    told = df.withColumn(mine, slot(value)).withColumn(number, F.floor(F.col(mine) / _MAP_BITS).cast("long"))
+    told = told.join(F.broadcast(maps), number, "left")  # bits / 32,768 rows of 4 KB: a proven bound
+    byte = F.expr(f"cast(conv(hex(substring(`{bitmap}`, cast(`{mine}` % {_MAP_BITS} div 8 as int) + 1, 1)), 16, 10) as int)")
+    told = told.withColumn(hit, F.coalesce(F.getbit(byte, F.col(mine) % 8) == 1, F.lit(False)))
+    return told.drop(number, bitmap, mine), hit
+
+
 def without_rows(docs: DataFrame, gone: DataFrame, id_col: str, row_hash: Column) -> DataFrame:
-    """``docs`` without the rows that ``gone`` (gone_id, gone_hash) tells; null identifiers are equal."""
+    """``docs`` without the rows that ``gone`` (gone_id, gone_hash; materialised) tells; null identifiers are equal.
+
+    Only rows whose hash may be among those that go are shuffled.
+    """
     ident, mark = unused(docs, "gone_id"), unused(docs, "gone_hash")
     told = gone.select(F.col("gone_id").alias(ident), F.col("gone_hash").alias(mark))
-    return docs.join(told, docs[id_col].cast("long").eqNullSafe(F.col(ident)) & (row_hash == F.col(mark)), "left_anti")
+    rows, hit = flagged(docs, row_hash, gone, "gone_hash")
+    asked = rows.filter(F.col(hit)).drop(hit)
+    left = asked.join(told, asked[id_col].cast("long").eqNullSafe(F.col(ident)) & (row_hash == F.col(mark)), "left_anti")
+    return rows.filter(~F.col(hit)).drop(hit).union(left)
 
 
 def shuffle_width(spark: SparkSession) -> int:

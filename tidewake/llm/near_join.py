@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import discard, heavy_keys, join_unskewed, materialise, mix64, prepare, shuffle_width, table, text_bytes, without_rows
+from tidewake.llm.common import discard, flagged, heavy_keys, join_unskewed, materialise, mix64, prepare, shuffle_width, table, text_bytes, without_rows
 from tidewake.llm.components import components
 from tidewake.llm.shingles import set_fingerprint, shingle_sets
 
@@ -460,7 +460,8 @@ class _Search:
         """The (a, b) pairs that link: a leader's whole text meets those of its candidates in cells of bounded size."""
         some = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         reps = materialise(self.nodes.join(some, "node").select("node", "row_hash"), "reps")
-        texts = self.rows.select("row_hash", "body").join(reps, "row_hash").withColumn("crc", F.crc32("body"))
+        asked, hit = flagged(self.rows.select("row_hash", "body"), F.col("row_hash"), reps, "row_hash")
+        texts = asked.filter(hit).drop(hit).join(reps, "row_hash").withColumn("crc", F.crc32("body"))
         texts = materialise(texts.dropDuplicates(["node", "row_hash", "crc"]).select("node", "body"), "texts")
         written, texts = texts, texts.hint("merge")  # packed files say little about the memory that a broadcast takes
         heavy = [(k, -(-n // CELL)) for k, n in heavy_keys(pairs, "a", CELL)]
