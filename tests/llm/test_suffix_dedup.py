@@ -70,3 +70,20 @@ def test_levels_stay_logarithmic():
         family.add(text, np.full(64, k))
     assert len(family.levels) <= 8
     assert sum(len(t) for t, _ in family.levels) == 64 * 64
+
+
+def test_equal_segments_of_a_batch_travel_once():
+    """A passage of twelve documents in one batch: one copy's segments travel, the others' runs are told at once."""
+    rng = random.Random(3)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(400)).encode()
+    own = [bytes(rng.choice(b"xyzw") for _ in range(80)) + passage + bytes(rng.choice(b"pqrs") for _ in range(80)) for _ in range(12)]
+    packer = sd._Packer(4)
+    ends = np.cumsum([len(t) for t in own])
+    packer.add(b"".join(own), [(i, 0, 0, int(e)) for i, e in enumerate(ends)])
+    runs = np.concatenate(packer.runs)
+    assert set(runs["ident"].tolist()) == set(range(1, 12)) and len(runs) == 11
+    assert all(r["first"] >= 70 and r["last"] <= 490 - sd.LENGTH for r in runs) and min(int(r["last"] - r["first"]) for r in runs) > 300
+    travelling = sum(len(p[1]) for p in packer.parts)
+    single = sd._Packer(4)
+    single.add(own[0], [(0, 0, 0, len(own[0]))])
+    assert travelling < 12 * sum(len(p[1]) for p in single.parts) / 1.5

@@ -7,7 +7,9 @@ document with a smaller identifier. The space of strings is partitioned, not the
   window's anchor. The choice depends on the window alone, so equal windows have equal
   anchors and meet in the partition that the anchor's hash names. Consecutive windows with
   one anchor travel as one segment (about 70 bytes for 20 windows), packed by batch and
-  partition.
+  partition. Of equal segments in a batch only those of the smallest document travel; the
+  others are matched there and then, so a passage that very many documents share reaches its
+  partition once a batch.
 * Suffix arrays. A partition goes through its suffixes in batches of ascending documents:
   a batch gets a suffix array (its suffixes of LENGTH bytes in sorted order), equal runs of
   which give matches inside the batch; it is merge-scanned against each level of the index,
@@ -96,12 +98,17 @@ def segments(raw: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return first, windows, anchor[first], h[anchor[first]]
 
 
+#: A run of matched windows of one document.
+_RUN = np.dtype([("ident", "<i8"), ("tag", "<i8"), ("first", "<i8"), ("last", "<i8")])
+
+
 class _Packer:
     """Segments of one batch by bucket: texts, documents, places."""
 
     def __init__(self, buckets: int):
         self.buckets = buckets
         self.parts: list[tuple] = []
+        self.runs: list[np.ndarray] = []
 
     def add(self, raw: bytes, docs: list[tuple[int, int, int, int]]) -> None:
         """docs: (ident, tag, place of raw's part in the document, end in raw)."""
@@ -113,15 +120,34 @@ class _Packer:
         base = np.array([d[2] for d in docs]) - np.concatenate([[0], ends[:-1]])
         ident = np.array([d[0] for d in docs], np.int64)[which]
         tag = np.array([d[1] for d in docs], np.int64)[which]
-        bucket = (key % np.uint64(self.buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cut = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
         place = first + base[which]
+        texts = [raw[s : s + w] for s, w in zip(first.tolist(), (windows + LENGTH - 1).tolist())]
+        least: dict[bytes, int] = {}
+        for t, i in zip(texts, ident.tolist()):
+            if i < least.get(t, _NULL_LAST + 1):
+                least[t] = i
+        told = ident > np.fromiter((least[t] for t in texts), np.int64, len(texts))
+        self._told(ident[told], tag[told], place[told], windows[told])
+        mine = np.flatnonzero(~told)
+        bucket = (key[mine] % np.uint64(self.buckets)).astype(np.int64)
+        order = mine[np.argsort(bucket, kind="stable")]
+        cut = np.searchsorted(np.sort(bucket), np.arange(self.buckets + 1))
         for k in np.flatnonzero(np.diff(cut)):
             o = order[cut[k] : cut[k + 1]]
-            text = b"".join([raw[s : s + w] for s, w in zip(first[o].tolist(), (windows[o] + LENGTH - 1).tolist())])
+            text = b"".join([texts[i] for i in o.tolist()])
             self.parts.append((int(k), text, ident[o], tag[o], place[o], windows[o].astype(np.uint16), (anchor[o] - first[o]).astype(np.uint8)))
 
+    def _told(self, ident: np.ndarray, tag: np.ndarray, place: np.ndarray, windows: np.ndarray) -> None:
+        """Segments that a smaller document of the batch has too are matched here: only their runs travel on."""
+        if not len(ident):
+            return
+        new = np.concatenate([[True], (ident[1:] != ident[:-1]) | (tag[1:] != tag[:-1]) | (place[1:] != place[:-1] + windows[:-1])])
+        at = np.flatnonzero(new)
+        runs = np.empty(len(at), _RUN)
+        runs["ident"], runs["tag"], runs["first"] = ident[at], tag[at], place[at]
+        runs["last"] = (place + windows - 1)[np.append(at[1:], len(new)) - 1]
+        self.runs.append(runs)
+
     def rows(self) -> list[tuple]:
         by: dict[int, list] = {}
         for p in self.parts:
@@ -132,6 +158,10 @@ class _Packer:
             meta = b"".join(np.concatenate([p[i] for p in ps]).tobytes() for i in range(2, 7))
             text = b"".join(p[1] for p in ps)
             out.append((k, sum(len(p[2]) for p in ps), pack.compress(text), pack.compress(meta)))
+        if self.runs:
+            runs = np.concatenate(self.runs)
+            where = int(mix64(runs["ident"][:1].view(np.uint64))[0] % np.uint64(self.buckets))
+            out.append((where, len(runs), None, pack.compress(runs.tobytes())))
         return out
 
 
@@ -284,24 +314,26 @@ def matches(blobs: list[tuple[int, bytes, bytes]], size: int = BATCH) -> tuple[n
     return ident[seg[first]], tag[seg[first]], window[first], window[last]
 
 
-#: A run of matched windows of one document.
-_RUN = np.dtype([("ident", "<i8"), ("tag", "<i8"), ("first", "<i8"), ("last", "<i8")])
-
-
 def _gather(width: int, size: int):
     """Packed segments of one partition to packed runs, by the partition of their document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
+        known, unpack = [np.empty(0, _RUN)], zstandard.ZstdDecompressor()
         for batch in batches:
             for bucket, n, text, meta in zip(*(c.to_pylist() for c in batch.columns)):
-                held.setdefault(bucket, []).append((n, text, meta))
-        found = [matches(held.pop(bucket), size) for bucket in list(held)]
-        if not found:
+                if text is None:
+                    known.append(np.frombuffer(unpack.decompress(meta), _RUN))
+                else:
+                    held.setdefault(bucket, []).append((n, text, meta))
+        for bucket in list(held):
+            found = matches(held.pop(bucket), size)
+            known.append(np.empty(len(found[0]), _RUN))
+            for name, column in zip(_RUN.names, found):
+                known[-1][name] = column
+        runs = np.concatenate(known)
+        if not len(runs):
             return
-        runs = np.empty(sum(len(f[0]) for f in found), _RUN)
-        for i, name in enumerate(_RUN.names):
-            runs[name] = np.concatenate([f[i] for f in found])
         part = (mix64((runs["ident"] ^ runs["tag"]).view(np.uint64)) % np.uint64(width)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         runs, cut = runs[order], np.searchsorted(part[order], np.arange(width + 1))
