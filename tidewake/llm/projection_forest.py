@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import materialise, prepare, table
+from tidewake.llm.common import join_unskewed, materialise, prepare, table
 from tidewake.llm.components import components, local_components
 
 COSINE = 0.93
@@ -227,7 +227,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     comp = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     told = nodes.join(links, "node", "left").join(comp, "node", "left")
     told = told.select("label", "vector", (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component"))
-    out = rows.join(told, ["label", "vector"], "left")
+    key = F.xxhash64("label", "vector").alias("key")
+    out = join_unskewed(rows.select("*", key), told.select("*", key), "key", "left", also=("label", "vector"))
     linked = F.col("component").isNotNull() & F.col("vec_id").isNotNull()
     component = F.when(linked, F.col("component")).otherwise(F.col("vec_id"))
     return out.select(
