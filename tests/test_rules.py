@@ -8,10 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewake.functions import rings
-from tidewake.operators import raster, spatial
+from tidewake.operators import raster, spatial, writes
 from tidewake.plans import fusion, routes
 from tidewake.session import stable
 from tidewake.sources import feeds, registry, store, transfer
+from tidewake.streaming import ingest
 
 from .test_whole_jobs import _metres
 
@@ -139,3 +140,35 @@ def test_a_feed_that_breaks_waits_and_goes_on(tmp_path):
     (tmp_path / "g").rename(tmp_path / "f")
     rows, end = r.read(at)
     assert [x for (x,) in rows] == ["c"] == [x for (x,) in r.readBetweenOffsets(at, end)]
+
+
+def test_binary_columns_travel_and_the_header_comes_first(spark, tmp_path):
+    scenes = spark.createDataFrame([("S1", "r", 5, bytes(range(256))), ("S2", "r", 4, None)], "id string, roi string, sensed_us long, overview_png binary")
+    none = spark.createDataFrame([], "id long, scene_id string, matched_mmsi long, candidate_mmsi long")
+    ships = spark.createDataFrame([], "mmsi long, ship_name string")
+    shapes = [", ".join(f"{n} {t}" for n, t in d.dtypes) for d in (scenes, none, ships)]
+    transfer.write_records(transfer.export_records(scenes, none, ships, ["r"]), str(tmp_path / "x"))
+    back = transfer.read_records(spark, str(tmp_path / "x"), *shapes)["scene"]
+    assert {r.id: r.overview_png and bytes(r.overview_png) for r in back.collect()} == {"S1": bytes(range(256)), "S2": None}
+    (tmp_path / "y").mkdir()
+    (tmp_path / "y" / "part-0.txt").write_text('{"kind":"scene","id":"S9"}\n{"kind":"meta","version":1}\n')
+    with pytest.raises(ValueError, match="header"):
+        transfer.read_records(spark, str(tmp_path / "y"), *shapes)
+
+
+def test_values_live_for_a_while():
+    cache, made = ingest.TtlCache(10), []
+    for now in (0, 9.9, 10, 19):
+        cache.get("k", now, lambda: made.append(1))
+    assert len(made) == 2
+
+
+def test_status_row_is_the_fold_of_its_commands(spark):
+    rng = random.Random(6)
+    for n in (0, 1, 2, 7, 30):
+        log = [(k, rng.choice(["post", "toggle", "toggle", "clear"]), f"m{k}", "info", None, 100 + k) for k in range(n)]
+        fold = writes.StatusMessage()
+        for k, command, message, level, title, at in log:
+            fold.post(message, level, title, at) if command == "post" else fold.toggle(at) if command == "toggle" else fold.clear(at)
+        (got,) = writes.status_of(spark.createDataFrame(log, "seq long, command string, message string, level string, title string, at_us long")).collect()
+        assert {k: got[k] for k in ("message", "level", "title", "active", "updated_us")} == fold.row

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewake.functions import geo
 from tidewake.params import DEFAULT, Params
 
 # relational pieces ------------------------------------------------------------------------------
@@ -167,6 +168,17 @@ def detect(tile_rows: DataFrame, detector: Detector = bright_regions, p: Params
     return suppress(raw, p)
 
 
+def located(boxes: DataFrame, scenes: DataFrame) -> DataFrame:
+    """(scene_id, lon, lat, confidence) of merged boxes: their centres, by each scene's extent and size in pixels.
+
+    scenes: id, width, height and the extent min_lon .. max_lat.
+    """
+    extent = ("min_lon", "min_lat", "max_lon", "max_lat")
+    rows = boxes.join(scenes.select(F.col("id").alias("scene_id"), "width", "height", *extent), "scene_id")
+    lon, lat = geo.pixel_to_lon("(x1 + x2) / 2e0", "width", extent), geo.pixel_to_lat("(y1 + y2) / 2e0", "height", extent)
+    return rows.select("scene_id", F.expr(lon).alias("lon"), F.expr(lat).alias("lat"), "confidence")
+
+
 # arrays -----------------------------------------------------------------------------------------
 
 

@@ -114,22 +114,39 @@ def delete_spending(ledger: DataFrame, *, scope: str, now_us: int | None = None,
     return ledger.filter(~own)
 
 
+def status_of(log: DataFrame) -> DataFrame:
+    """The status row after a log of commands (seq, command, message, level, title, at_us): one row, whatever the log.
+
+    A toggle only counts while there is a message; without one the default stands: inactive,
+    level warning.
+    """
+    sets = log.filter(F.col("command").isin("post", "clear"))
+    last = sets.agg(F.max_by(F.struct("*"), "seq").alias("l"))
+    after = log.crossJoin(F.broadcast(last)).filter((F.col("command") == "toggle") & (F.col("l.command") == "post") & (F.col("seq") > F.col("l.seq")))  # one row
+    toggles = after.agg(F.count("*").alias("n"), F.max("at_us").alias("at"))
+    posted = F.coalesce(F.col("l.command") == "post", F.lit(False))
+    return last.crossJoin(toggles).select(
+        F.when(posted, F.col("l.message")).alias("message"), F.when(posted, F.col("l.level")).otherwise(F.lit("warning")).alias("level"), F.when(posted, F.col("l.title")).alias("title"),
+        (posted & (F.col("n") % 2 == 0)).alias("active"), F.coalesce("at", "l.at_us").alias("updated_us"),
+    )
+
+
 class StatusMessage:
     """The one-row status table as a fold over commands; the default is an inactive empty message."""
 
     LEVELS = ("info", "warning", "critical")
 
     def __init__(self):
-        self.row = {"message": None, "level": "info", "title": None, "active": False, "updated_us": None}
+        self.row = {"message": None, "level": "warning", "title": None, "active": False, "updated_us": None}
 
     def post(self, message: str, level: str, title: str | None, now_us: int) -> dict:
         if not message or not message.strip():
             raise ValueError("a message is needed")
         if level not in self.LEVELS:
             raise ValueError(f"level must be one of {', '.join(self.LEVELS)}")
-        if title is not None and len(title) > 24:
-            raise ValueError("a title has at most 24 characters")
-        self.row = {"message": message, "level": level, "title": title, "active": True, "updated_us": now_us}
+        if title is not None and not 1 <= len(title.strip()) <= 24:
+            raise ValueError("a title has 1 to 24 characters")
+        self.row = {"message": message.strip(), "level": level, "title": title and title.strip(), "active": True, "updated_us": now_us}
         return self.row
 
     def toggle(self, now_us: int) -> dict:
@@ -138,5 +155,5 @@ class StatusMessage:
         return self.row
 
     def clear(self, now_us: int) -> dict:
-        self.row = self.row | {"message": None, "title": None, "active": False, "updated_us": now_us}
+        self.row = self.row | {"message": None, "level": "warning", "title": None, "active": False, "updated_us": now_us}
         return self.row

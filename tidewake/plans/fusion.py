@@ -49,7 +49,7 @@ def nearest_fixes(positions: DataFrame, scenes: DataFrame, p: Params = DEFAULT)
     near = lambda f, i, keep: nearest_in_time(f, i, "mmsi", p.fix_max_age_s * 1_000_000, "scene_id", keep, _BOX, p.candidate_pad_m)
     if "ring" not in scenes.columns:
         return near(facts, instants, pad)
-    told = stable(near(facts, instants.drop("ring"), pad).join(instants.select("scene_id", "ring"), "scene_id"))
+    told = near(facts, instants.drop("ring"), pad).join(instants.select("scene_id", "ring"), "scene_id")
     within = F.col("ring").isNull() | rings.covers(F.col("ring"), F.col("lon"), F.col("lat")) | (rings.distance(F.col("ring"), "lon", "lat") <= p.candidate_pad_m)
     told = stable(told.withColumn("_within", within).drop("ring"))
     failed = told.filter(~F.col("_within")).select("scene_id", "mmsi")
@@ -94,14 +94,14 @@ def match_pairs(sea: DataFrame, fixes: DataFrame, p: Params = DEFAULT) -> DataFr
 
 
 #: Cells along each side of a scene's vessels; the share and metres by which bounds are widened against rounding.
-_GRID = 16
+_GRID = 10
 _WIDER = (1.001, 10.0)
 
 
 def dark_margins(sea: DataFrame, fixes: DataFrame) -> DataFrame:
     """Per detection: metres outside the nearest envelope and its vessel; null without any vessel.
 
-    Vessels of a scene are put in a grid of at most 16 by 16 cells. A detection meets the
+    Vessels of a scene are put in a grid of at most 10 by 10 cells. A detection meets the
     cells first: a cell's vessel with the widest envelope bounds the margin from above, the
     distance to the cell's box less that envelope bounds the cell's vessels from below. It
     then meets the vessels of those cells only that may hold a nearer one.

@@ -80,11 +80,24 @@ def scene_list(scenes: DataFrame, detections: DataFrame, roi: str | None = None,
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     out = newest.join(counts, newest["id"] == counts["scene_id"], "left")
     return out.select(
-        "id", "roi", "sensed_us", "platform", "status", "has_overview", failure_reason(F.col("error")).alias("failure_reason"),
+        "id", "roi", "sensed_us", "platform", "status", F.col("overview_png").isNotNull().alias("has_overview"), failure_reason(F.col("error")).alias("failure_reason"),
         *map(zero, ("detection_count", "dark_count", "matched_count", "indeterminate_count", "on_land_count")),
     ).orderBy(F.desc("sensed_us"), "id")
 
 
+def overviews(scenes: DataFrame, since_us: int | None = None) -> DataFrame:
+    """(id, processed_us, overview_png) of the scenes that have an overview; with ``since_us``, of those processed later only."""
+    own = scenes.filter(F.col("overview_png").isNotNull())
+    own = own if since_us is None else own.filter(F.col("processed_us") > since_us)
+    return own.select("id", "processed_us", "overview_png")
+
+
+def points(df: DataFrame, lons: str, lats: str) -> DataFrame:
+    """Two arrays of equal length as a table: (lon, lat) rows beside the other columns."""
+    other = [c for c in df.columns if c not in (lons, lats)]
+    return df.select(*other, F.inline(F.arrays_zip(F.col(lons).alias("lon"), F.col(lats).alias("lat"))))
+
+
 def scene_detections(detections: DataFrame, ships: DataFrame, scene_id: str, include_land: bool = False) -> DataFrame:
     """One scene's detections with both vessels' identities, most confident first."""
     own = detections.filter(F.col("scene_id") == scene_id)

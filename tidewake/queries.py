@@ -280,7 +280,7 @@ def _separated(spark, detections):
 _COUNTS = "SELECT scene_id, count(*) AS detection_count, count(*) FILTER (WHERE is_dark) AS dark_count, count(*) FILTER (WHERE match_state = 'matched') AS matched_count, count(*) FILTER (WHERE match_state = 'indeterminate') AS indeterminate_count, count(*) FILTER (WHERE on_land) AS on_land_count FROM final GROUP BY 1"
 
 
-@query("t03_scenes", _fuse_sql(f"""SELECT s.id, s.roi, s.sensed_us, s.platform, s.status, s.has_overview, {sql.FAILURE.format('s.error')} AS failure_reason, coalesce(detection_count, 0) AS detection_count, coalesce(dark_count, 0) AS dark_count, coalesce(matched_count, 0) AS matched_count, coalesce(indeterminate_count, 0) AS indeterminate_count, coalesce(on_land_count, 0) AS on_land_count
+@query("t03_scenes", _fuse_sql(f"""SELECT s.id, s.roi, s.sensed_us, s.platform, s.status, s.overview_png IS NOT NULL AS has_overview, {sql.FAILURE.format('s.error')} AS failure_reason, coalesce(detection_count, 0) AS detection_count, coalesce(dark_count, 0) AS dark_count, coalesce(matched_count, 0) AS matched_count, coalesce(indeterminate_count, 0) AS indeterminate_count, coalesce(on_land_count, 0) AS on_land_count
 FROM (SELECT * FROM sar_scenes ORDER BY sensed_us DESC, id LIMIT 50) s LEFT JOIN ({_COUNTS}) n ON n.scene_id = s.id"""))
 def _scenes(spark, sf_dir):
     return routes.scene_list(*domain(spark, sf_dir, "sar_scenes"), _stored(spark, sf_dir).detections, None, 50)

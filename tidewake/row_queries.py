@@ -165,6 +165,16 @@ def _charge(spark, scenes, ledger):
     return scheduling.charge(scheduling.decide(facts).withColumnRenamed("id", "scene_id"), NOW).withColumn("pu", F.round("pu", 6))
 
 
+_COMMANDS = "SELECT event_id AS seq, CASE event_id % 11 WHEN 0 THEN 'post' WHEN 5 THEN CASE WHEN event_id % 3 = 0 THEN 'clear' ELSE 'post' END ELSE 'toggle' END AS command, concat('m', cast(event_id AS {str})) AS message, CASE WHEN event_id % 2 = 0 THEN 'warning' ELSE 'critical' END AS level, cast(NULL AS {str}) AS title, event_id * 10 AS at_us, user_id % 5 AS grp FROM {events}"
+
+
+@query("d16_status", f"""WITH l AS ({_COMMANDS.replace('{str}', 'varchar').replace('{events}', 'events')}), s AS (SELECT * FROM l WHERE command <> 'toggle' ORDER BY seq DESC LIMIT 1), t AS (SELECT count(*) AS n, max(l.at_us) AS last_at FROM l, s WHERE l.command = 'toggle' AND s.command = 'post' AND l.seq > s.seq)
+SELECT CASE WHEN command = 'post' THEN message END AS message, CASE WHEN command = 'post' THEN level ELSE 'warning' END AS level, title, command = 'post' AND n % 2 = 0 AS active, coalesce(last_at, at_us) AS updated_us FROM s, t""")
+def _status_row(spark, sf_dir):
+    log = spark.sql(_COMMANDS.replace("{str}", "string"), events=_table(spark, sf_dir, "events"))
+    return writes.status_of(log.drop("grp"))
+
+
 # transfer ---------------------------------------------------------------------------------------
 
 
@@ -296,6 +306,19 @@ def _ewkt(spark, sf_dir):
     return _nation_boxes(spark, sf_dir).select("n_nationkey", rings.to_ewkt(F.col("ring")).alias("wkt"))
 
 
+@query("s21_overviews", oracle(" SELECT id, processed_us, octet_length(overview_png) AS bytes FROM sar_scenes WHERE overview_png IS NOT NULL AND processed_us > 7000000000", "sar_scenes"))
+@_d("sar_scenes")
+def _overviews(spark, scenes):
+    return routes.overviews(scenes, 7_000_000_000).select("id", "processed_us", F.octet_length("overview_png").cast("long").alias("bytes"))
+
+
+@query("s22_points", oracle(" SELECT scene_id, count(*) AS n, round(sum(lon), 6) AS lon, round(sum(lat), 6) AS lat FROM sar_detections GROUP BY 1", "ais_positions", "sar_detections"))
+@_d("sar_detections")
+def _points(spark, detections):
+    lists = detections.groupBy("scene_id").agg(F.collect_list("lon").alias("xs"), F.collect_list("lat").alias("ys"))
+    return routes.points(lists, "xs", "ys").groupBy("scene_id").agg(F.count("*").alias("n"), F.round(F.sum("lon"), 6).alias("lon"), F.round(F.sum("lat"), 6).alias("lat"))
+
+
 # rasters and labels -----------------------------------------------------------------------------
 
 
@@ -391,6 +414,13 @@ def _label_windows(spark, sf_dir):
     return out.select("scene_id", "x_off", "y_off", F.size("boxes").cast("long").alias("boxes"), F.round(F.aggregate("boxes", F.lit(0.0), lambda s, b: s + b["cx"]), 6).alias("cx"))
 
 
+@query("c14_located", oracle(f" SELECT scene_id, round(s.min_lon + (x1 + x2) / 2 / 1500 * (s.max_lon - s.min_lon), 9) AS lon, round(s.max_lat - (y1 + y2) / 2 / 1300 * (s.max_lat - s.min_lat), 9) AS lat, confidence FROM {_KEPT} l JOIN sar_scenes s ON s.id = l.scene_id", "sar_scenes"))
+def _located(spark, sf_dir):
+    (scenes,) = domain(spark, sf_dir, "sar_scenes")
+    out = raster.located(_label_rows(spark, sf_dir), scenes.withColumns({"width": F.lit(1500), "height": F.lit(1300)}))
+    return out.select("scene_id", _r("lon", 9), _r("lat", 9), "confidence")
+
+
 @query("t15_hold_out", "SELECT c_custkey, CASE WHEN ('0x' || substring(md5(concat('5:', c_custkey)), 1, 13))::BIGINT / 4503599627370496e0 < 0.2e0 THEN 'val' ELSE 'train' END AS split FROM customer")
 def _hold_out(spark, sf_dir):
     return raster.hold_out(_table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", 0.2, 5)

@@ -47,7 +47,7 @@ TABLES = {
                CASE WHEN s_suppkey % 10 = 7 THEN 'failed' WHEN s_suppkey % 10 = 3 THEN 'processing' ELSE 'processed' END AS status,
                CASE WHEN s_suppkey % 10 IN (3, 7) THEN NULL ELSE 900000000 + s_suppkey % 110 * 90000000 + 3600000000 END AS processed_us,
                CASE WHEN s_suppkey % 10 = 7 THEN CASE s_suppkey % 4 WHEN 0 THEN 'HTTP 403 from store' WHEN 1 THEN 'Read timed out' WHEN 2 THEN 'coverage 0.1' ELSE 'bad state' END END AS error,
-               s_suppkey % 3 = 0 AS has_overview
+               CASE WHEN s_suppkey % 3 = 0 THEN {{bytes}}(s_name) END AS overview_png
         FROM supplier""",
     "sar_detections": """
         SELECT id, concat('S', cast(s_suppkey AS {str})) AS scene_id,
@@ -79,8 +79,8 @@ RINGS = {
     ),
 }
 
-_SPARK = {"div": "div", "us": "unix_micros_ntz", "k": "cast(get_json_object(props, '$.k') AS int)", "str": "string"}
-_DUCK = {"div": "//", "us": "epoch_us", "k": "cast(json_extract_string(props, '$.k') AS int)", "str": "varchar"}
+_SPARK = {"div": "div", "us": "unix_micros_ntz", "k": "cast(get_json_object(props, '$.k') AS int)", "str": "string", "bytes": "to_bytes"}
+_DUCK = {"div": "//", "us": "epoch_us", "k": "cast(json_extract_string(props, '$.k') AS int)", "str": "varchar", "bytes": "encode"}
 _BASE = ("events", "customer", "supplier", "nation", "orders")
 
 
@@ -98,7 +98,7 @@ def domain(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     base = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in _BASE}
     out = []
     for name in names:
-        text = _text(name, _SPARK).replace("unix_micros_ntz(ts)", "unix_micros(cast(ts AS timestamp))").replace("unix_micros_ntz(o_orderdate)", "unix_micros(cast(o_orderdate AS timestamp))")
+        text = _text(name, _SPARK).replace("unix_micros_ntz(ts)", "unix_micros(cast(ts AS timestamp))").replace("unix_micros_ntz(o_orderdate)", "unix_micros(cast(o_orderdate AS timestamp))").replace("to_bytes(s_name)", "cast(s_name AS binary)")
         df = spark.sql(_with_frames(text), **{n: base[n] for n in _BASE if f"{{{n}}}" in _with_frames(text)})
         out.append(df.withColumn("ring", F.expr(RINGS[name])).drop("tilt") if name in RINGS else df)
     return out

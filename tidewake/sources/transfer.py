@@ -46,7 +46,8 @@ def write_records(records: DataFrame, path: str) -> None:
 
 def read_records(spark: SparkSession, path: str, scene_schema: str, detection_schema: str, ship_schema: str) -> dict[str, DataFrame]:
     """The three tables of an export, after validation."""
-    raw = spark.read.text(path).withColumn("kind", F.get_json_object("value", "$.kind"))
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"))
+    raw = raw.withColumn("kind", F.get_json_object("value", "$.kind"))
     validate(raw)
     part = lambda kind, schema: raw.filter(F.col("kind") == kind).select(F.from_json("value", schema).alias("r")).select("r.*")
     out = {"scene": part("scene", scene_schema), "detection": part("detection", detection_schema), "ship": part("ship", ship_schema)}
@@ -56,12 +57,12 @@ def read_records(spark: SparkSession, path: str, scene_schema: str, detection_sc
 
 
 def validate(raw: DataFrame) -> None:
-    """One header of the known version, and a known kind on every line."""
+    """One header of the known version, on the first line, and a known kind on every line. Binary columns travel as base64."""
     r = raw.agg(
-        F.count_if(F.col("kind") == "meta").alias("heads"), F.max(F.when(F.col("kind") == "meta", F.get_json_object("value", "$.version").cast("int"))).alias("version"),
+        F.min_by("kind", F.struct("file", "line")).alias("first"), F.count_if(F.col("kind") == "meta").alias("heads"), F.max(F.when(F.col("kind") == "meta", F.get_json_object("value", "$.version").cast("int"))).alias("version"),
         F.count_if(F.coalesce(~F.col("kind").isin("meta", "scene", "detection", "ship"), F.lit(True))).alias("strange"),
     ).first()
-    if r.heads != 1 or r.version != VERSION:
+    if r.heads != 1 or r.version != VERSION or r.first != "meta":
         raise ValueError("no header of a known version")
     if r.strange:
         raise ValueError("a record has no known kind")

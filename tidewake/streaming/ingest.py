@@ -99,6 +99,20 @@ def source_health(events: DataFrame, now_us: int, stale_after_s: int = 60) -> Da
     return per.select("source", state.alias("state"), F.round((F.lit(now_us) - F.col("message_us")) / F.lit(1e6), 1).alias("lag_s"), "reconnects", "last_error")
 
 
+class TtlCache:
+    """Values that are made anew once they are older than their time to live."""
+
+    def __init__(self, ttl_s: float = 600.0):
+        self.ttl, self.held = ttl_s, {}
+
+    def get(self, key, now: float, make):
+        value, at = self.held.get(key, (None, None))
+        if at is None or now - at >= self.ttl:
+            value = make()
+            self.held[key] = (value, now)
+        return value
+
+
 class TokenBucket:
     """Requests per key with continuous refill."""
 
