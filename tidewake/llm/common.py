@@ -20,16 +20,25 @@ from pyspark.sql import functions as F
 from tidewake.session import shared_folder, ship_package
 
 #: Upper bound, in bytes, of what one Arrow batch hands to a Python worker.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 16 << 20
 #: ASCII white space, the class [\x20\x09-\x0D] of the contracts.
 SPACE = "[\\x20\\x09-\\x0D]+"
 NOT_SPACE = "[^\\x20\\x09-\\x0D]+"
 
 
-def prepare(spark: SparkSession) -> None:
+def prepare(spark: SparkSession, batch_bytes: int = BATCH_BYTES) -> None:
     """Ship the package and bound the Arrow batches by bytes (long texts)."""
     ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Have the driver notice shuffles that nothing refers to any more: their files go.
+
+    Spark removes them when the driver's heap is collected, which may be long after a written
+    table has replaced them.
+    """
+    spark._jvm.System.gc()
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -52,6 +52,8 @@ TILE = 1024
 BLOCK = 1 << 14
 #: Candidates of one node that one task verifies.
 CELL = 1024
+#: Bytes of texts in a batch: a set's hashes and signatures take several times as much.
+BATCH_BYTES = 4 << 20
 #: Bytes of a signature that travel; the bucket says the rest, and clashes only cost tests.
 SIG_BYTES = 5
 #: Set names that may clash (64 bits) before the job gives up naming them apart.
@@ -521,7 +523,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _components_of(docs: DataFrame, id_col: str, text_col: str, name_bits: int = 64) -> DataFrame:
     """``near_components``, with the row's hash."""
-    prepare(docs.sparkSession)
+    prepare(docs.sparkSession, BATCH_BYTES)
     search = _Search(docs, id_col, text_col, name_bits)
     led = materialise(search.groups("leader", "members").mapInArrow(_leader_pairs, "a long, b long").distinct(), "led")
     first = materialise(search.allowed(led), "pairs")

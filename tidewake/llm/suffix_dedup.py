@@ -29,10 +29,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import materialise, mix64, prepare, shuffle_width, table, text_bytes
+from tidewake.llm.common import free_shuffles, materialise, mix64, prepare, shuffle_width, table, text_bytes
 
 LENGTH = 50
 ANCHOR = 12
@@ -41,7 +41,7 @@ BLOCK = 1 << 20
 #: Suffixes in a batch of an index family.
 BATCH = 1 << 16
 #: Partitions of the string space for each shuffle partition; one is unpacked at a time.
-FINER = 8
+FINER = 4
 
 _WINDOW = LENGTH - ANCHOR + 1
 _NULL_LAST = (1 << 63) - 1
@@ -152,10 +152,12 @@ class _Packer:
         by: dict[int, list] = {}
         for p in self.parts:
             by.setdefault(p[0], []).append(p)
-        pack = zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=5)
         out = []
         for k, ps in by.items():
-            meta = b"".join(np.concatenate([p[i] for p in ps]).tobytes() for i in range(2, 7))
+            ident, *rest = (np.concatenate([p[i] for p in ps]) for i in range(2, 7))
+            # steps from one to the next pack better than the identifiers, which ascend as a rule
+            meta = b"".join(c.tobytes() for c in (np.diff(ident, prepend=np.int64(0)), rest[0].astype(np.int32), *rest[1:]))
             text = b"".join(p[1] for p in ps)
             out.append((k, sum(len(p[2]) for p in ps), pack.compress(text), pack.compress(meta)))
         if self.runs:
@@ -273,16 +275,17 @@ def matches(blobs: list[tuple[int, bytes, bytes]], size: int = BATCH) -> tuple[n
     """(ident, tag, first, last window) of the runs of matched windows of one bucket."""
     unpack = zstandard.ZstdDecompressor()
     text = b"".join(unpack.decompress(t) for _, t, _ in blobs)
-    kinds = (np.int64, np.int64, np.int64, np.uint16, np.uint8)
+    kinds = (np.int64, np.int32, np.int64, np.uint16, np.uint8)
     cols: list[list] = [[] for _ in kinds]
     for n, _, packed in blobs:
         meta, at = unpack.decompress(packed), 0
         for i, kind in enumerate(kinds):
             size = n * np.dtype(kind).itemsize
-            cols[i].append(np.frombuffer(meta, kind, n, at))
+            column = np.frombuffer(meta, kind, n, at)
+            cols[i].append(np.cumsum(column) if i == 0 else column)
             at += size
     ident, tag, place, windows, anchor = (np.concatenate(c) for c in cols)
-    windows = windows.astype(np.int64)
+    windows, tag = windows.astype(np.int64), tag.astype(np.int64)
     begin = np.concatenate([[0], np.cumsum(windows + LENGTH - 1)[:-1]])
     b = np.frombuffer(text, np.uint8)
     view = np.ndarray((len(b) - 7,), "<u8", b.data, 0, (1,))
@@ -393,6 +396,11 @@ def _apply(with_text: bool):
     return run
 
 
+def _tag(text_col: str) -> Column:
+    """31 bits that tell rows of one identifier apart."""
+    return F.xxhash64(text_col).bitwiseAND(F.lit((1 << 31) - 1).cast("long"))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, batch: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed, kept.
 
@@ -405,11 +413,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     prepare(spark)
     width = shuffle_width(spark)
     ident = F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_LAST)).alias("ident")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), ident, F.xxhash64(text_col).alias("tag"), text_bytes(text_col).alias("body"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), ident, _tag(text_col).alias("tag"), text_bytes(text_col).alias("body"))
     packed = rows.select("ident", "tag", "body").mapInArrow(_scatter(width * FINER), "bucket int, n long, text binary, meta binary")
     dealt = packed.repartitionById(width, F.pmod("bucket", F.lit(width)).cast("int"))
     runs = dealt.mapInArrow(_gather(width, batch or BATCH), "part int, runs binary").repartitionById(width, F.col("part"))
     spans = materialise(runs.mapInArrow(_per_document, "ident long, tag long, spans binary"), "spans")
+    free_shuffles(spark)
     joined = rows.join(spans, ["ident", "tag"], "left").select("doc_id", "body", "spans")
     return joined.mapInArrow(_apply(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<array<long>>, kept binary")
 
