@@ -11,6 +11,7 @@ Conventions kept by every operator of this subpackage:
 
 from __future__ import annotations
 
+import time
 import uuid
 
 import numpy as np
@@ -36,9 +37,11 @@ def free_shuffles(spark: SparkSession) -> None:
     """Have the driver notice shuffles that nothing refers to any more: their files go.
 
     Spark removes them when the driver's heap is collected, which may be long after a written
-    table has replaced them.
+    table has replaced them. The listeners hold a finished query for a moment longer.
     """
-    spark._jvm.System.gc()
+    for _ in range(2):
+        time.sleep(0.7)
+        spark._jvm.System.gc()
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

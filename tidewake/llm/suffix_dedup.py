@@ -41,7 +41,7 @@ BLOCK = 1 << 20
 #: Suffixes in a batch of an index family.
 BATCH = 1 << 16
 #: Partitions of the string space for each shuffle partition; one is unpacked at a time.
-FINER = 4
+FINER = 8
 
 _WINDOW = LENGTH - ANCHOR + 1
 _NULL_LAST = (1 << 63) - 1
@@ -152,7 +152,7 @@ class _Packer:
         by: dict[int, list] = {}
         for p in self.parts:
             by.setdefault(p[0], []).append(p)
-        pack = zstandard.ZstdCompressor(level=5)
+        pack = zstandard.ZstdCompressor(level=3)
         out = []
         for k, ps in by.items():
             ident, *rest = (np.concatenate([p[i] for p in ps]) for i in range(2, 7))
