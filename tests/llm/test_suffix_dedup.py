@@ -87,3 +87,11 @@ def test_equal_segments_of_a_batch_travel_once():
     single = sd._Packer(4)
     single.add(own[0], [(0, 0, 0, len(own[0]))])
     assert travelling < 12 * sum(len(p[1]) for p in single.parts) / 1.5
+
+
+def test_suffix_arrays_are_in_order():
+    rng = random.Random(9)
+    head = [bytes(rng.choice(b"ab\0\xff") for _ in range(8)) for _ in range(5)]
+    text = np.array([rng.choice(head) + bytes(rng.choice(b"xy\0\xfe") for _ in range(42)) for _ in range(600)] * 2, "S50")
+    got = text[sd._suffix_array(text)]
+    assert (got == np.sort(text)).all() and (got[:-1] <= got[1:]).all()
