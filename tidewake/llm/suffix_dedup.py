@@ -40,6 +40,8 @@ ANCHOR = 12
 BLOCK = 1 << 20
 #: Suffixes in a batch of an index family.
 BATCH = 1 << 16
+#: Windows of a bucket that are searched at a time.
+CACHED = 1 << 17
 #: Partitions of the string space for each shuffle partition; one is unpacked at a time.
 FINER = 8
 
@@ -307,29 +309,33 @@ def matches(blobs: list[tuple[int, bytes, bytes]], size: int = BATCH) -> tuple[n
     spot = begin + anchor
     key = mix64(view[spot] * _C1 ^ view[spot + ANCHOR - 8] * _C2)
     keep = np.flatnonzero(_in_several(key, ident))
-    none = (np.empty(0, np.int64),) * 4
-    if not len(keep):
-        return none
     keep = keep[np.lexsort((place[keep], ident[keep]))]
-    at, seg = _expand(begin[keep], windows[keep]), np.repeat(keep, windows[keep])
-    good = _in_several(_rolling(b, at), ident[seg])
-    at, seg = at[good], seg[good]
-    if not len(at):
-        return none
-    family, hits = SuffixFamily(), []
     rows = np.lib.stride_tricks.sliding_window_view(b, LENGTH)
-    for lo in range(0, len(at), size):
-        batch = np.ascontiguousarray(rows[at[lo : lo + size]]).view(f"S{LENGTH}").ravel()
-        hits.append(family.add(batch, ident[seg[lo : lo + size]]))
-    hit = np.concatenate(hits)
-    at, seg = at[hit], seg[hit]
-    if not len(at):
-        return none
-    window = place[seg] + at - begin[seg]
-    new = np.concatenate([[True], (seg[1:] != seg[:-1]) | (at[1:] != at[:-1] + 1)])
-    first = np.flatnonzero(new)
-    last = np.concatenate([first[1:], [len(at)]]) - 1
-    return ident[seg[first]], tag[seg[first]], window[first], window[last]
+    out = [(np.empty(0, np.int64),) * 4]
+    # equal windows have equal anchors: parts of a few megabytes stay in the processor's cache
+    parts = 1 + int(windows[keep].sum()) // CACHED
+    part = ((key[keep] >> np.uint64(20)) % np.uint64(parts)).astype(np.int32)
+    for k in range(parts):
+        own = keep[part == k]
+        if not len(own):
+            continue
+        at, seg = _expand(begin[own], windows[own]), np.repeat(own, windows[own])
+        good = _in_several(_rolling(b, at), ident[seg])
+        at, seg = at[good], seg[good]
+        family, hits = SuffixFamily(), [np.empty(0, bool)]
+        for lo in range(0, len(at), size):
+            batch = np.ascontiguousarray(rows[at[lo : lo + size]]).view(f"S{LENGTH}").ravel()
+            hits.append(family.add(batch, ident[seg[lo : lo + size]]))
+        hit = np.concatenate(hits)
+        at, seg = at[hit], seg[hit]
+        if not len(at):
+            continue
+        window = place[seg] + at - begin[seg]
+        new = np.concatenate([[True], (seg[1:] != seg[:-1]) | (at[1:] != at[:-1] + 1)])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(at)) - 1
+        out.append((ident[seg[first]], tag[seg[first]], window[first], window[last]))
+    return tuple(np.concatenate(c) for c in zip(*out))
 
 
 def _gather(width: int, size: int):
