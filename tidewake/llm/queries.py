@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewake.llm import exact_dedup, licence_scan, mixing, near_join, oracles, ordinal_quality, pattern_packing, projection_forest, suffix_dedup, token_matrix, toxicity
+from tidewake.llm import exact_dedup, hard_negatives, html_text, licence_scan, mixing, near_join, oracles, ordinal_quality, pattern_packing, prefix_trie, projection_forest, suffix_dedup, token_matrix, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_ngram_jaccard": near_join.op8_ngram_jaccard,
     "op9_token_matrix": token_matrix.op9_token_matrix,
     "op10_mixing": mixing.op10_mixing,
+    "op11_html_text": html_text.op11_html_text,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 
 ORACLES = {
@@ -22,4 +25,7 @@ ORACLES = {
     "op2_suffix_dedup": oracles.OP2_SQL,
     "op8_ngram_jaccard": oracles.OP8_SQL,
     "op10_mixing": mixing.OP10_SQL,
+    "op11_html_text": html_text.OP11_SQL,
+    "op12_hard_negatives": hard_negatives.OP12_SQL,
+    "op13_prefix_trie": prefix_trie.OP13_SQL,
 }
