@@ -79,13 +79,13 @@ def test_equal_segments_of_a_batch_travel_once():
     own = [bytes(rng.choice(b"xyzw") for _ in range(80)) + passage + bytes(rng.choice(b"pqrs") for _ in range(80)) for _ in range(12)]
     packer = sd._Packer(4)
     ends = np.cumsum([len(t) for t in own])
-    packer.add(b"".join(own), [(i, 0, 0, int(e)) for i, e in enumerate(ends)])
+    packer.add(b"".join(own), [(i, 0, 0, 0, int(e)) for i, e in enumerate(ends)])
     runs = np.concatenate(packer.runs)
     assert set(runs["ident"].tolist()) == set(range(1, 12)) and len(runs) == 11
     assert all(r["first"] >= 70 and r["last"] <= 490 - sd.LENGTH for r in runs) and min(int(r["last"] - r["first"]) for r in runs) > 300
     travelling = sum(len(p[1]) for p in packer.parts)
     single = sd._Packer(4)
-    single.add(own[0], [(0, 0, 0, len(own[0]))])
+    single.add(own[0], [(0, 0, 0, 0, len(own[0]))])
     assert travelling < 12 * sum(len(p[1]) for p in single.parts) / 1.5
 
 
@@ -95,3 +95,41 @@ def test_suffix_arrays_are_in_order():
     text = np.array([rng.choice(head) + bytes(rng.choice(b"xy\0\xfe") for _ in range(42)) for _ in range(600)] * 2, "S50")
     got = text[sd._suffix_array(text)]
     assert (got == np.sort(text)).all() and (got[:-1] <= got[1:]).all()
+
+
+def test_rows_of_one_identifier_keep_their_own_spans(spark, monkeypatch):
+    """Texts under one identifier whose first hashes clash: the passage goes from one, nothing from the other."""
+    rng = random.Random(5)
+    passage, *alien = ("".join(rng.choice("abcdefgh ") for _ in range(90)) for _ in range(3))
+    known = sd.F.xxhash64
+    monkeypatch.setattr(sd.F, "xxhash64", lambda *c: sd.F.lit(7).cast("long") if len(c) == 1 and isinstance(c[0], str) and c[0] == "body" else known(*c))
+    rows = [(1, passage)]
+    for ident, other in zip((None, 9), alien):
+        rows += [(ident, "head " + passage), (ident, "wholly " + other + " with an end of its own"), (ident, None)]
+    got = sd.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((tuple(r)[:5] for r in got), key=repr) == brute([(i, (t or "").encode()) for i, t in rows])
+    assert sorted(r.n_removed for r in got) == [0, 0, 0, 0, 0, 90, 90]
+
+
+def test_batches_are_as_long_as_asked_and_scan_levels(monkeypatch):
+    """The runs of a bucket don't depend on the batch; with short batches, several levels are scanned."""
+    packer = sd._Packer(1)
+    texts = [(i, t.encode()) for i, t in sorted(corpus(80))]
+    ends = np.cumsum([len(t) for _, t in texts])
+    for i, t in texts:  # one by one: nothing is matched before it travels
+        packer.add(t, [(i, 0, 0, 0, len(t))] if t else [])
+    assert int(ends[-1]) and not packer.runs
+    blobs = [(n, text, meta) for _, n, text, meta in packer.rows()]
+    scans, batches = [], []
+    scan, add = sd._merge_scan, sd.SuffixFamily.add
+    monkeypatch.setattr(sd, "_merge_scan", lambda level, text: scans.append(len(level)) or scan(level, text))
+    monkeypatch.setattr(sd.SuffixFamily, "add", lambda self, s, d: batches.append((len(s), len(self.levels))) or add(self, s, d))
+    found = {}
+    for size in (1 << 16, 40):
+        scans.clear(), batches.clear()
+        found[size] = sorted(zip(*(c.tolist() for c in sd.matches(blobs, size))))
+        if size == 40:
+            assert max(n for n, _ in batches) == 40 and max(levels for _, levels in batches) >= 3 and len(scans) > len(batches)
+        else:
+            assert len(batches) == 1 and not scans
+    assert found[40] == found[1 << 16] and found[40]

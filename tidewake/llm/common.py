@@ -11,7 +11,6 @@ Conventions kept by every operator of this subpackage:
 
 from __future__ import annotations
 
-import time
 import uuid
 
 import numpy as np
@@ -33,22 +32,25 @@ def prepare(spark: SparkSession, batch_bytes: int = BATCH_BYTES) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Have the driver notice shuffles that nothing refers to any more: their files go.
+#: Spark's own switch: the shuffle files of an execution go when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-    Spark removes them when the driver's heap is collected, which may be long after a written
-    table has replaced them. The listeners hold a finished query for a moment longer.
-    """
-    for _ in range(2):
-        time.sleep(0.7)
-        spark._jvm.System.gc()
 
+def materialise(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives executors.
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives executors."""
+    With ``free``, the shuffles behind ``df`` are removed as soon as the table is written.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tidewake-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    if free:
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if free:
+            spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     return out

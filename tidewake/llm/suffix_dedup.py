@@ -12,11 +12,13 @@ document with a smaller identifier. The space of strings is partitioned, not the
   partition once a batch.
 * Suffix arrays. A partition goes through its suffixes in batches of ascending documents:
   a batch gets a suffix array (its suffixes of LENGTH bytes in sorted order), equal runs of
-  which give matches inside the batch; it is merge-scanned against each level of the index,
-  and its new strings become a level. Levels of one size class merge, so there are
+  which give matches inside the batch; it is merge-scanned against each level of the index
+  (one pass over both sorted lists), and its new strings become a level. Levels of one size class merge, so there are
   logarithmically many. Windows whose rolling hash (or whose anchor) occurs in one document
   only can't match and are left out before the arrays are built; what remains is compared
   byte by byte.
+* Rows. A row is told by its identifier; rows of identifiers that occur more than once (those
+  without one among them) also by 128 bits of their text, so rows never share spans.
 * Spans. Matches go to the partition of their document, packed, become one row of byte
   ranges per document there and meet the text once.
 """
@@ -29,10 +31,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import free_shuffles, materialise, mix64, prepare, shuffle_width, table, text_bytes
+from tidewake.llm.common import flagged, materialise, mix64, prepare, shuffle_width, table, text_bytes
 
 LENGTH = 50
 ANCHOR = 12
@@ -101,7 +103,13 @@ def segments(raw: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 #: A run of matched windows of one document.
-_RUN = np.dtype([("ident", "<i8"), ("tag", "<i8"), ("first", "<i8"), ("last", "<i8")])
+_RUN = np.dtype([("ident", "<i8"), ("tag", "<i8"), ("check", "<i8"), ("first", "<i8"), ("last", "<i8")])
+_NAME = ("ident", "tag", "check")  # what tells a row
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before it, from the second row on."""
+    return np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
 
 
 class _Packer:
@@ -112,16 +120,15 @@ class _Packer:
         self.parts: list[tuple] = []
         self.runs: list[np.ndarray] = []
 
-    def add(self, raw: bytes, docs: list[tuple[int, int, int, int]]) -> None:
-        """docs: (ident, tag, place of raw's part in the document, end in raw)."""
-        ends = np.array([d[3] for d in docs])
+    def add(self, raw: bytes, docs: list[tuple[int, int, int, int, int]]) -> None:
+        """docs: (ident, tag, check, place of raw's part in the document, end in raw)."""
+        ends = np.array([d[4] for d in docs])
         first, windows, anchor, key = segments(raw, ends)
         if not len(first):
             return
         which = np.searchsorted(ends, first, "right")
-        base = np.array([d[2] for d in docs]) - np.concatenate([[0], ends[:-1]])
-        ident = np.array([d[0] for d in docs], np.int64)[which]
-        tag = np.array([d[1] for d in docs], np.int64)[which]
+        base = np.array([d[3] for d in docs]) - np.concatenate([[0], ends[:-1]])
+        ident, tag, check = (np.array([d[i] for d in docs], np.int64)[which] for i in range(3))
         place = first + base[which]
         texts = [raw[s : s + w] for s, w in zip(first.tolist(), (windows + LENGTH - 1).tolist())]
         least: dict[bytes, int] = {}
@@ -129,7 +136,7 @@ class _Packer:
             if i < least.get(t, _NULL_LAST + 1):
                 least[t] = i
         told = ident > np.fromiter((least[t] for t in texts), np.int64, len(texts))
-        self._told(ident[told], tag[told], place[told], windows[told])
+        self._told((ident[told], tag[told], check[told]), place[told], windows[told])
         mine = np.flatnonzero(~told)
         bucket = (key[mine] % np.uint64(self.buckets)).astype(np.int64)
         order = mine[np.argsort(bucket, kind="stable")]
@@ -137,16 +144,18 @@ class _Packer:
         for k in np.flatnonzero(np.diff(cut)):
             o = order[cut[k] : cut[k + 1]]
             text = b"".join([texts[i] for i in o.tolist()])
-            self.parts.append((int(k), text, ident[o], tag[o], place[o], windows[o].astype(np.uint16), (anchor[o] - first[o]).astype(np.uint8)))
+            self.parts.append((int(k), text, ident[o], tag[o], check[o], place[o], windows[o].astype(np.uint16), (anchor[o] - first[o]).astype(np.uint8)))
 
-    def _told(self, ident: np.ndarray, tag: np.ndarray, place: np.ndarray, windows: np.ndarray) -> None:
+    def _told(self, name: tuple[np.ndarray, ...], place: np.ndarray, windows: np.ndarray) -> None:
         """Segments that a smaller document of the batch has too are matched here: only their runs travel on."""
-        if not len(ident):
+        if not len(place):
             return
-        new = np.concatenate([[True], (ident[1:] != ident[:-1]) | (tag[1:] != tag[:-1]) | (place[1:] != place[:-1] + windows[:-1])])
+        new = np.concatenate([[True], _changes(*name) | (place[1:] != place[:-1] + windows[:-1])])
         at = np.flatnonzero(new)
         runs = np.empty(len(at), _RUN)
-        runs["ident"], runs["tag"], runs["first"] = ident[at], tag[at], place[at]
+        for key, column in zip(_NAME, name):
+            runs[key] = column[at]
+        runs["first"] = place[at]
         runs["last"] = (place + windows - 1)[np.append(at[1:], len(new)) - 1]
         self.runs.append(runs)
 
@@ -157,9 +166,9 @@ class _Packer:
         pack = zstandard.ZstdCompressor(level=3)
         out = []
         for k, ps in by.items():
-            ident, *rest = (np.concatenate([p[i] for p in ps]) for i in range(2, 7))
+            ident, *rest = (np.concatenate([p[i] for p in ps]) for i in range(2, 8))
             # steps from one to the next pack better than the identifiers, which ascend as a rule
-            meta = b"".join(c.tobytes() for c in (np.diff(ident, prepend=np.int64(0)), rest[0].astype(np.int32), *rest[1:]))
+            meta = b"".join(c.tobytes() for c in (np.diff(ident, prepend=np.int64(0)), *rest))
             text = b"".join(p[1] for p in ps)
             out.append((k, sum(len(p[2]) for p in ps), pack.compress(text), pack.compress(meta)))
         if self.runs:
@@ -179,17 +188,17 @@ def _scatter(buckets: int):
 
             def flush() -> None:
                 if held:
-                    ends = np.cumsum([len(h[3]) for h in held])
-                    packer.add(b"".join(h[3] for h in held), [(h[0], h[1], h[2], int(e)) for h, e in zip(held, ends)])  # noqa: B023
+                    ends = np.cumsum([len(h[4]) for h in held])
+                    packer.add(b"".join(h[4] for h in held), [(*h[:4], int(e)) for h, e in zip(held, ends)])  # noqa: B023
                     held.clear()
 
-            for ident, tag, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            for *name, body in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
                 text = body.as_py()
                 for at in range(0, max(1, len(text) - LENGTH + 1), BLOCK):
                     part = text[at : at + BLOCK + LENGTH - 1]
                     if len(part) < LENGTH:
                         continue
-                    held.append((ident, tag, at, part))
+                    held.append((*name, at, part))
                     size += len(part)
                     if size >= BLOCK:
                         flush()
@@ -216,6 +225,19 @@ def _suffix_array(text: np.ndarray) -> np.ndarray:
     return order
 
 
+def _merge_scan(level: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where strings of ``text`` also stand in ``level`` (places in both): one pass over the two sorted lists without repeats.
+
+    A stable sort of two sorted runs is their merge; equal strings then stand side by side, the level's first.
+    """
+    order = np.argsort(np.concatenate([level, text]), kind="stable")
+    ours = order >= len(level)
+    pair = np.flatnonzero(ours[1:] & ~ours[:-1])
+    theirs, mine = order[pair], order[pair + 1] - len(level)
+    same = level[theirs] == text[mine]
+    return mine[same], theirs[same]
+
+
 class SuffixFamily:
     """Levels of sorted strings, each with the smallest document that holds it.
 
@@ -233,12 +255,10 @@ class SuffixFamily:
         first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
         text, least = s[first], np.minimum.reduceat(d, first)
         known = np.zeros(len(text), bool)
-        for level, owner in self.levels:  # merge-scan
-            at = np.searchsorted(level, text)
-            at[at == len(level)] = 0
-            same = level[at] == text
-            least[same] = np.minimum(least[same], owner[at[same]])
-            known |= same
+        for level, owner in self.levels:
+            mine, theirs = _merge_scan(level, text)
+            least[mine] = np.minimum(least[mine], owner[theirs])
+            known[mine] = True
         run = np.cumsum(np.concatenate([[0], (s[1:] != s[:-1]).astype(np.int64)]))
         out = np.empty(len(s), bool)
         out[order] = d > least[run]
@@ -249,7 +269,7 @@ class SuffixFamily:
         while self.levels and len(text) and len(self.levels[-1][0]).bit_length() <= len(text).bit_length():
             old, owner = self.levels.pop()
             text, docs = np.concatenate([old, text]), np.concatenate([owner, docs])
-            order = np.argsort(text, kind="stable")
+            order = np.argsort(text, kind="stable")  # two sorted runs: a merge
             text, docs = text[order], docs[order]
         if len(text):
             self.levels.append((text, docs))
@@ -288,21 +308,20 @@ def _rolling(b: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix64(h)
 
 
-def matches(blobs: list[tuple[int, bytes, bytes]], size: int = BATCH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(ident, tag, first, last window) of the runs of matched windows of one bucket."""
+def matches(blobs: list[tuple[int, bytes, bytes]], size: int = BATCH) -> tuple[np.ndarray, ...]:
+    """(ident, tag, check, first, last window) of the runs of matched windows of one bucket."""
     unpack = zstandard.ZstdDecompressor()
     text = b"".join(unpack.decompress(t) for _, t, _ in blobs)
-    kinds = (np.int64, np.int32, np.int64, np.uint16, np.uint8)
+    kinds = (np.int64, np.int64, np.int64, np.int64, np.uint16, np.uint8)
     cols: list[list] = [[] for _ in kinds]
     for n, _, packed in blobs:
         meta, at = unpack.decompress(packed), 0
         for i, kind in enumerate(kinds):
-            size = n * np.dtype(kind).itemsize
             column = np.frombuffer(meta, kind, n, at)
             cols[i].append(np.cumsum(column) if i == 0 else column)
-            at += size
-    ident, tag, place, windows, anchor = (np.concatenate(c) for c in cols)
-    windows, tag = windows.astype(np.int64), tag.astype(np.int64)
+            at += column.nbytes
+    ident, tag, check, place, windows, anchor = (np.concatenate(c) for c in cols)
+    windows = windows.astype(np.int64)
     begin = np.concatenate([[0], np.cumsum(windows + LENGTH - 1)[:-1]])
     b = np.frombuffer(text, np.uint8)
     view = np.ndarray((len(b) - 7,), "<u8", b.data, 0, (1,))
@@ -311,7 +330,7 @@ def matches(blobs: list[tuple[int, bytes, bytes]], size: int = BATCH) -> tuple[n
     keep = np.flatnonzero(_in_several(key, ident))
     keep = keep[np.lexsort((place[keep], ident[keep]))]
     rows = np.lib.stride_tricks.sliding_window_view(b, LENGTH)
-    out = [(np.empty(0, np.int64),) * 4]
+    out = [(np.empty(0, np.int64),) * 5]
     # equal windows have equal anchors: parts of a few megabytes stay in the processor's cache
     parts = 1 + int(windows[keep].sum()) // CACHED
     part = ((key[keep] >> np.uint64(20)) % np.uint64(parts)).astype(np.int32)
@@ -334,7 +353,8 @@ def matches(blobs: list[tuple[int, bytes, bytes]], size: int = BATCH) -> tuple[n
         new = np.concatenate([[True], (seg[1:] != seg[:-1]) | (at[1:] != at[:-1] + 1)])
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(at)) - 1
-        out.append((ident[seg[first]], tag[seg[first]], window[first], window[last]))
+        named = seg[first]
+        out.append((ident[named], tag[named], check[named], window[first], window[last]))
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
@@ -370,15 +390,14 @@ def _gather(width: int, size: int):
 def _per_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Packed runs of one partition to one row of byte ranges per document."""
     runs = np.concatenate([np.empty(0, _RUN), *(np.frombuffer(r, _RUN) for batch in batches for r in batch.column(1).to_pylist())])
-    runs = runs[np.lexsort((runs["first"], runs["tag"], runs["ident"]))]
-    ident, tag = runs["ident"], runs["tag"]
+    runs = runs[np.lexsort((runs["first"], *(runs[k] for k in reversed(_NAME))))]
     spans = np.stack([runs["first"], runs["last"] + LENGTH], 1).astype("<i8")
-    cut = np.flatnonzero(np.concatenate([[True], (ident[1:] != ident[:-1]) | (tag[1:] != tag[:-1])])) if len(ident) else np.empty(0, np.int64)
-    ends = np.concatenate([cut[1:], [len(ident)]])
+    cut = np.flatnonzero(np.concatenate([[True], _changes(*(runs[k] for k in _NAME))])) if len(runs) else np.empty(0, np.int64)
+    ends = np.concatenate([cut[1:], [len(runs)]])
     for lo in range(0, len(cut), 1024):
         own = slice(lo, lo + 1024)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ident[cut[own]]), pa.array(tag[cut[own]]), pa.array([spans[s:e].tobytes() for s, e in zip(cut[own], ends[own])], pa.binary())], names=["ident", "tag", "spans"]
+            [*(pa.array(runs[k][cut[own]].copy()) for k in _NAME), pa.array([spans[s:e].tobytes() for s, e in zip(cut[own], ends[own])], pa.binary())], names=[*_NAME, "spans"]
         )
 
 
@@ -417,9 +436,15 @@ def _apply(with_text: bool):
     return run
 
 
-def _tag(text_col: str) -> Column:
-    """31 bits that tell rows of one identifier apart."""
-    return F.xxhash64(text_col).bitwiseAND(F.lit((1 << 31) - 1).cast("long"))
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, ident, tag, check, body): tag and check are two hashes of the text where the identifier may occur again, 0 elsewhere."""
+    ident = F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_LAST)).alias("ident")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), ident, text_bytes(text_col).alias("body"))
+    again = materialise(rows.groupBy("ident").agg(F.count("*").alias("n")).filter("n > 1").select(F.xxhash64("ident").alias("key")), "again", free=True)
+    rows, hit = flagged(rows, F.xxhash64("ident"), again, "key")
+    zero = F.lit(0).cast("long")
+    tag, check = F.when(F.col(hit), F.xxhash64("body")).otherwise(zero), F.when(F.col(hit), F.xxhash64(F.lit("check"), "body")).otherwise(zero)
+    return rows.select("doc_id", "ident", tag.alias("tag"), check.alias("check"), "body")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, batch: int | None = None) -> DataFrame:
@@ -428,19 +453,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``removed`` lists the maximal removed byte ranges and ``kept`` holds the remaining bytes
     (both left empty without ``with_text``). A null text is empty. Null identifiers count as
     larger than all others and as equal to each other; rows that repeat an identifier never
-    remove from each other. An empty table gives an empty table.
+    remove from each other, whatever they hold. A text of any length is read whole, a block of
+    it at a time. Columns other than the two aren't read, whatever their names. An empty table
+    gives an empty table.
     """
     spark = docs.sparkSession
     prepare(spark)
     width = shuffle_width(spark)
-    ident = F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_LAST)).alias("ident")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), ident, _tag(text_col).alias("tag"), text_bytes(text_col).alias("body"))
-    packed = rows.select("ident", "tag", "body").mapInArrow(_scatter(width * FINER), "bucket int, n long, text binary, meta binary")
+    rows = _rows(docs, id_col, text_col)
+    packed = rows.select(*_NAME, "body").mapInArrow(_scatter(width * FINER), "bucket int, n long, text binary, meta binary")
     dealt = packed.repartitionById(width, F.pmod("bucket", F.lit(width)).cast("int"))
     runs = dealt.mapInArrow(_gather(width, batch or BATCH), "part int, runs binary").repartitionById(width, F.col("part"))
-    spans = materialise(runs.mapInArrow(_per_document, "ident long, tag long, spans binary"), "spans")
-    free_shuffles(spark)
-    joined = rows.join(spans, ["ident", "tag"], "left").select("doc_id", "body", "spans")
+    spans = materialise(runs.mapInArrow(_per_document, "ident long, tag long, check long, spans binary"), "spans", free=True)
+    joined = rows.join(spans, [*_NAME], "left").select("doc_id", "body", "spans")
     return joined.mapInArrow(_apply(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<array<long>>, kept binary")
 
 
