@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewake.functions import geo, rings
+from tidewake.session import stable
 
 
 def cell(c: Column, side: float) -> Column:
@@ -64,40 +66,93 @@ def near_boxes(points: DataFrame, boxes: DataFrame, metres: float, how: str = "l
     return points.join(b, (cell(F.col(lon), side) == F.col("_cx")) & (cell(F.col(lat), side) == F.col("_cy")) & near, how)
 
 
-def nearest_in_time(facts: DataFrame, instants: DataFrame, key: str, max_age_us: int, instant_key: str, keep: Column | None = None, area: tuple[str, str, str, str] | None = None, pad_m: float = 0.0, side: float = 2.0) -> DataFrame:
-    """Per instant and key, the fact closest in time, before or after (ties: earlier, then smaller id).
+def _box_cells(box: tuple[str, str, str, str], pad_m: float, side: float) -> tuple[Column, Column]:
+    """Rows and columns of the cells that a box and ``pad_m`` metres around it touch (a little wide, never narrow)."""
+    x0, y0, x1, y1 = (F.col(c) for c in box)
+    d_lat = pad_m / 110_000.0
+    d_lon = F.lit(d_lat) / F.cos(F.radians(F.least(F.greatest(F.abs(y0), F.abs(y1)) + d_lat, F.lit(89.0))))
+    return F.sequence(cell(x0 - d_lon, side), cell(x1 + d_lon, side)), F.sequence(cell(y0 - d_lat, side), cell(y1 + d_lat, side))
 
-    ``facts`` has time_us and id; ``instants`` has ``instant_key`` and sensed_us, and is the
-    smaller side. Facts meet the instants of the same or a neighbouring time bucket and, with
-    ``area`` (an instant's box in degrees), of a cell that the box and ``pad_m`` metres
-    around it touch; ``keep`` filters the pairs before the choice. The choice is a minimum of
-    one number per pair, hashed and combined before the shuffle; the rows follow by a join.
-    """
-    width = max(1, max_age_us)
+
+def _in_buckets(facts: DataFrame, max_age_us: int) -> tuple[DataFrame, int]:
+    """Facts by buckets of time ``_b``, each with the facts up to ``max_age_us`` outside it; and the bucket's width."""
+    width = 2 * max(1, max_age_us)
     bucket = lambda c: F.floor(c / F.lit(width)).cast("long")
-    i = instants.withColumn("_b", F.explode(F.sequence(bucket(F.col("sensed_us")) - 1, bucket(F.col("sensed_us")) + 1)))
-    f = facts.withColumn("_b", bucket(F.col("time_us")))
-    on = ["_b"]
+    return facts.withColumn("_b", F.explode(F.sequence(bucket(F.col("time_us") - max_age_us), bucket(F.col("time_us") + max_age_us)))), width
+
+
+def reigns(facts: DataFrame, key: str, max_age_us: int, side: float = 2.0) -> DataFrame:
+    """Facts with the span of instants, ``_from`` to ``_to``, for which each is its key's nearest in time.
+
+    A key's facts are dealt out in buckets of time, each with the facts up to ``max_age_us``
+    outside it, and ordered there: a span ends half way to the neighbours (the earlier fact
+    has the middle), at ``max_age_us`` and at its bucket's ends. So every instant has one fact
+    of a key at most, and a key with very many facts is ordered in many pieces. Of facts at one
+    time the one with the smallest id stands for all. ``_cells`` are the cells of ``side``
+    degrees in which the key has facts in and around the bucket, ``_several`` tells whether
+    there is more than one place.
+    """
+    near, width = _in_buckets(facts, max_age_us)
+    rest = [c for c in facts.columns if c not in (key, "time_us", "id")]
+    place = F.struct(cell(F.col("lon"), side).alias("x"), cell(F.col("lat"), side).alias("y"))
+    spot = F.struct("lon", "lat")
+    at = near.groupBy(key, "_b", "time_us").agg(F.min(F.struct("id", *rest)).alias("_first"), F.collect_set(place).alias("_places"), F.min(spot).alias("_low"), F.max(spot).alias("_high"))
+    order, whole = W.partitionBy(key, "_b").orderBy("time_us"), W.partitionBy(key, "_b")
+    half = lambda other: F.shiftright(F.col("time_us") + other, 1)
+    out = at.select(
+        key, "time_us", "_first",
+        F.greatest(half(F.lag("time_us").over(order)) + 1, F.col("time_us") - max_age_us, F.col("_b") * width).alias("_from"),
+        F.least(half(F.lead("time_us").over(order)), F.col("time_us") + max_age_us, (F.col("_b") + 1) * width - 1).alias("_to"),
+        F.array_distinct(F.flatten(F.collect_list("_places").over(whole))).alias("_cells"), (F.min("_low").over(whole) < F.max("_high").over(whole)).alias("_several"),
+    )
+    return out.filter("_from <= _to").select(key, "time_us", "_first.*", "_from", "_to", "_cells", "_several")
+
+
+def nearest_in_time(facts: DataFrame, instants: DataFrame, key: str, max_age_us: int, instant_key: str, within: Column | None = None, area: tuple[str, str, str, str] | None = None, pad_m: float = 0.0, side: float = 2.0, slots: int = 12, salts: int = 64) -> DataFrame:
+    """Per instant and key, the fact closest in time, before or after, of those ``within`` (ties: earlier, then smaller id).
+
+    ``facts`` has time_us, id, lon and lat; ``instants`` has ``instant_key`` and sensed_us.
+    An as-of join: each key's facts are put in the order of time once, which gives each fact the
+    span in which it is the nearest, and a span meets the instants inside it, so an instant
+    meets one fact of a key and not all those around it. Spans and instants meet by slots of
+    time (``slots`` to twice the greatest age), by cells of ``side`` degrees that hold facts of
+    the key and that the instant's ``area`` with ``pad_m`` metres around it touches, and by one
+    of ``salts`` numbers of the key, so no join key gathers much of either side.
+
+    Rows hold the fact's columns, ``instant_key``, sensed_us and the area; ``within`` may read
+    any column of both sides. It is tested on the fact that was found. Only where it fails, and the key has other
+    places around that time, are the key's facts within the greatest age looked through.
+    """
+    slot = lambda c: F.floor(c / F.lit(max(1, 2 * max_age_us // slots))).cast("long")
+    base = [instant_key, "sensed_us", *(area or ())]
+    on, i = ["_s", "_salt"], instants.select(*base).withColumn("_s", slot(F.col("sensed_us"))).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    spans = reigns(facts, key, max_age_us, side).withColumn("_s", F.explode(F.sequence(slot(F.col("_from")), slot(F.col("_to"))))).withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
     if area is not None:
-        x0, y0, x1, y1 = area
-        d_lat = pad_m / 110_000.0
-        d_lon = F.lit(d_lat) / F.cos(F.radians(F.least(F.greatest(F.abs(F.col(y0)), F.abs(F.col(y1))) + d_lat, F.lit(89.0))))
-        i = i.withColumn("_cx", F.explode(F.sequence(cell(F.col(x0) - d_lon, side), cell(F.col(x1) + d_lon, side))))
-        i = i.withColumn("_cy", F.explode(F.sequence(cell(F.col(y0) - d_lat, side), cell(F.col(y1) + d_lat, side))))
-        f = f.withColumn("_cx", cell(F.col("lon"), side)).withColumn("_cy", cell(F.col("lat"), side))
-        on += ["_cx", "_cy"]
-    pairs = f.join(i, on).drop(*on).filter(F.abs(F.col("time_us") - F.col("sensed_us")) <= max_age_us)
-    if keep is not None:
-        pairs = pairs.filter(keep)
+        xs, ys = _box_cells(area, pad_m, side)
+        i = i.withColumn("_xs", xs).withColumn("_ys", ys).withColumn("_x", F.explode("_xs")).withColumn("_y", F.explode("_ys"))
+        spans = spans.withColumn("_c", F.explode("_cells")).select("*", F.col("_c.x").alias("_x"), F.col("_c.y").alias("_y"))
+        on += ["_x", "_y"]
+    found = spans.join(i, on).filter(F.col("sensed_us").between(F.col("_from"), F.col("_to")))
+    if area is not None:  # where several cells of the key are touched, the first of them counts
+        inside = lambda c: c["x"].between(F.col("_xs")[0], F.element_at("_xs", -1)) & c["y"].between(F.col("_ys")[0], F.element_at("_ys", -1))
+        found = found.filter((F.size("_cells") == 1) | (F.col("_c") == F.filter("_cells", inside)[0]))
+    rows = [key, *(c for c in facts.columns if c != key), *base]
+    if within is None:
+        return found.select(*rows)
+    more = instants.select(instant_key, *(c for c in instants.columns if c not in base))  # what only ``within`` reads
+    told = found.select(*rows, "_several").join(more, instant_key).withColumn("_within", F.coalesce(within, F.lit(False)))
+    told = stable(told.select(*rows, "_several", "_within"))
+    met, failed = told.filter("_within").select(*rows), told.filter("_several and not _within").select(key, instant_key)
+    if not failed.head(1):
+        return met
+    around, width = _in_buckets(facts, max_age_us)
+    asked = failed.join(instants, instant_key).withColumn("_b", F.floor(F.col("sensed_us") / F.lit(width)).cast("long"))
+    age = F.abs(F.col("time_us") - F.col("sensed_us"))
+    others = asked.join(around, [key, "_b"]).filter(age <= max_age_us).filter(within)
     # twice the distance in time, odd after the instant: the earlier of two equally far ones is less
-    rank = F.abs(F.col("time_us") - F.col("sensed_us")) * 2 + F.when(F.col("time_us") > F.col("sensed_us"), 1).otherwise(0)
-    best = pairs.groupBy(instant_key, key).agg(F.min(rank).alias("_k"))
-    best = best.join(instants, instant_key).withColumn("time_us", F.col("sensed_us") + F.floor(F.col("_k") / 2) * F.when(F.col("_k") % 2 == 1, 1).otherwise(-1)).drop("_k")
-    rows = facts.join(best, [key, "time_us"])
-    if keep is not None:
-        rows = rows.filter(keep)
-    rows = rows.drop(*(c for c in ("ring",) if c in rows.columns))
-    return rows.groupBy(instant_key, key).agg(F.min_by(F.struct("*"), "id").alias("row")).select("row.*")
+    rank = age * 2 + F.when(F.col("time_us") > F.col("sensed_us"), 1).otherwise(0)
+    again = others.groupBy(instant_key, key).agg(F.min_by(F.struct(*rows), F.struct(rank, F.col("id"))).alias("row")).select("row.*")
+    return met.unionByName(again)
 
 
 def match_counts(left: DataFrame, right: DataFrame, metres: float, on: list[str]) -> DataFrame:

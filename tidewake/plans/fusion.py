@@ -12,7 +12,7 @@ from tidewake.functions.labels import confidence_bucket
 from tidewake.operators.assign import assign_one_to_one
 from tidewake.operators.spatial import near_boxes, nearest_in_time, within_distance
 from tidewake.params import DEFAULT, Params
-from tidewake.session import stable
+from tidewake.session import ship_package, stable
 
 _BOX = ("min_lon", "min_lat", "max_lon", "max_lat")
 
@@ -38,25 +38,14 @@ def envelope_m(sog: Column, lead_s: Column, p: Params = DEFAULT) -> Column:
 
 
 def nearest_fixes(positions: DataFrame, scenes: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """Per scene and vessel, the fix nearest in time of those within the pad around the footprint.
-
-    The pad around a ring is tested on the nearest fix within the pad around its box; only
-    vessels whose nearest one fails there are searched again with the ring's distance.
-    """
-    pad = F.expr(f"{geo.distance_to_box('lon', 'lat', _BOX)} <= {p.candidate_pad_m!r}")
+    """Per scene and vessel, the fix nearest in time of those within the pad around the footprint (its ring, or its box without one)."""
     instants = scenes.select(F.col("id").alias("scene_id"), "sensed_us", *_footprint(scenes))
     facts = positions.select("id", "mmsi", "time_us", "lon", "lat", "sog", "cog")
-    near = lambda f, i, keep: nearest_in_time(f, i, "mmsi", p.fix_max_age_s * 1_000_000, "scene_id", keep, _BOX, p.candidate_pad_m)
-    if "ring" not in scenes.columns:
-        return near(facts, instants, pad)
-    told = near(facts, instants.drop("ring"), pad).join(instants.select("scene_id", "ring"), "scene_id")
-    within = F.col("ring").isNull() | rings.covers(F.col("ring"), F.col("lon"), F.col("lat")) | (rings.distance(F.col("ring"), "lon", "lat") <= p.candidate_pad_m)
-    told = stable(told.withColumn("_within", within).drop("ring"))
-    failed = told.filter(~F.col("_within")).select("scene_id", "mmsi")
-    found = told.filter("_within").drop("_within")
-    some = failed.select("scene_id").distinct()
-    again = near(facts.join(failed.select("mmsi").distinct(), "mmsi", "left_semi"), instants.join(some, "scene_id", "left_semi"), pad & within)
-    return found.unionByName(again.join(failed, ["scene_id", "mmsi"], "left_semi").select(*found.columns))
+    within = F.expr(f"{geo.distance_to_box('lon', 'lat', _BOX)} <= {p.candidate_pad_m!r}")
+    if "ring" in scenes.columns:
+        ship_package(positions.sparkSession)
+        within = within & (F.col("ring").isNull() | rings.within(F.col("ring"), F.col("lon"), F.col("lat"), F.lit(p.candidate_pad_m)))
+    return nearest_in_time(facts, instants, "mmsi", p.fix_max_age_s * 1_000_000, "scene_id", within, _BOX, p.candidate_pad_m)
 
 
 def projected_fixes(positions: DataFrame, scenes: DataFrame, p: Params = DEFAULT) -> DataFrame:
@@ -93,33 +82,66 @@ def match_pairs(sea: DataFrame, fixes: DataFrame, p: Params = DEFAULT) -> DataFr
     return pairs.select("scene_id", "det_id", "mmsi", "distance_m", "delta_s")
 
 
-#: Cells along each side of a scene's vessels; the share and metres by which bounds are widened against rounding.
-_GRID = 10
+#: Vessels that a cell of the tree should hold; ways that a cell is cut; by which measure, in turn.
+_CELL, _WAYS, _AXES = 32, 4, ("envelope_m", "r_lon", "r_lat")
+#: The share and metres by which bounds are widened against rounding.
 _WIDER = (1.001, 10.0)
 
 
+def vessel_tree(fixes: DataFrame) -> tuple[DataFrame, int]:
+    """``fixes`` with the cells ``_n0`` to ``_n<depth>`` of a tree over each scene's vessels; and its depth.
+
+    A cell is cut in four at the quartiles of envelope, longitude and latitude in turn, so
+    cells hold alike many vessels however these crowd. Quartiles are mergeable sketches:
+    no scene's vessels are gathered.
+    """
+    most = fixes.groupBy("scene_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    depth = 0
+    while most > _CELL * _WAYS**depth:
+        depth += 1
+    tree = fixes.select("scene_id", "mmsi", *_AXES, F.lit(0).cast("long").alias("_n0"))
+    for level in range(depth):
+        axis, parent = _AXES[level % len(_AXES)], f"_n{level}"
+        cuts = stable(tree.groupBy("scene_id", parent).agg(F.percentile_approx(axis, [k / _WAYS for k in range(1, _WAYS)], 200).alias("_cuts")))
+        step = sum((F.col("_cuts")[k] < F.col(axis)).cast("long") for k in range(_WAYS - 1))
+        tree = tree.join(cuts, ["scene_id", parent]).withColumn(f"_n{level + 1}", F.col(parent) * _WAYS + step).drop("_cuts")
+    return stable(tree), depth
+
+
+def near_cells(d: DataFrame, tree: DataFrame, depth: int) -> DataFrame:
+    """(scene_id, det_id, _cell): the cells of the tree's last level that may hold a detection's nearest envelope.
+
+    Level by level a detection meets the parts of the cells it kept. A cell's vessel with the
+    widest envelope bounds the margin from above, the distance to the cell's box less that
+    envelope bounds the cell's vessels from below; cells whose lower bound is above the
+    best upper one are left.
+    """
+    box = [("_a", F.min, "r_lon"), ("_b", F.min, "r_lat"), ("_c", F.max, "r_lon"), ("_d", F.max, "r_lat")]
+    fine = [f"_n{k}" for k in range(depth + 1)]
+    summary = tree.groupBy("scene_id", *fine).agg(*(f(c).alias(n) for n, f, c in box), F.max(F.struct(*_AXES)).alias("_head"))
+    summary = stable(summary) if depth else summary
+    kept = d.select("scene_id", "det_id", F.lit(0).cast("long").alias("_cell"), F.lit(float("inf")).alias("_most"))
+    for level in range(1, depth + 1):
+        parts = summary.groupBy("scene_id", F.col(f"_n{level - 1}").alias("_cell"), F.col(f"_n{level}").alias("_part")).agg(*(f(n).alias(n) for n, f, _ in box), F.max("_head").alias("_head"))
+        met = kept.join(parts, ["scene_id", "_cell"]).join(d, ["scene_id", "det_id"]).withColumn("_e", F.col("_head.envelope_m"))
+        met = met.withColumn("_low", F.expr(f"{geo.distance_to_box('lon', 'lat', ('_a', '_b', '_c', '_d'))} / {_WIDER[0]!r} - {_WIDER[1]!r} - _e"))
+        met = met.withColumn("_high", F.expr(f"{geo.distance('lon', 'lat', '_head.r_lon', '_head.r_lat')} - _e"))
+        bound = met.groupBy("scene_id", "det_id").agg(F.least(F.min("_most"), F.min("_high")).alias("_most"), F.collect_list(F.struct("_low", "_part")).alias("_parts"))
+        kept = bound.select("scene_id", "det_id", F.explode(F.expr("transform(filter(_parts, c -> c._low <= _most), c -> c._part)")).alias("_cell"), "_most")
+    return kept.select("scene_id", "det_id", "_cell")
+
+
 def dark_margins(sea: DataFrame, fixes: DataFrame) -> DataFrame:
     """Per detection: metres outside the nearest envelope and its vessel; null without any vessel.
 
-    Vessels of a scene are put in a grid of at most 10 by 10 cells. A detection meets the
-    cells first: a cell's vessel with the widest envelope bounds the margin from above, the
-    distance to the cell's box less that envelope bounds the cell's vessels from below. It
-    then meets the vessels of those cells only that may hold a nearer one.
+    Branch and bound over a tree of each scene's vessels, so a detection is tested against
+    about as many vessels however many its scene has.
     """
-    d = sea.select("scene_id", F.col("id").alias("det_id"), "lon", "lat")
-    span = fixes.groupBy("scene_id").agg(F.min("r_lon").alias("_x"), F.min("r_lat").alias("_y"), ((F.max("r_lon") - F.min("r_lon")) / _GRID).alias("_w"), ((F.max("r_lat") - F.min("r_lat")) / _GRID).alias("_h"))
-    at = lambda c, lo, step: F.when(step > 0, F.least(F.floor((c - lo) / F.nullif(step, F.lit(0.0))), F.lit(_GRID - 1))).otherwise(F.lit(0)).cast("int")
-    placed = fixes.join(span, "scene_id").withColumn("_cell", at(F.col("r_lon"), F.col("_x"), F.col("_w")) * _GRID + at(F.col("r_lat"), F.col("_y"), F.col("_h")))
-    placed = placed.select("scene_id", "_cell", "mmsi", "r_lon", "r_lat", "envelope_m")
-    box = [("_a", F.min("r_lon")), ("_b", F.min("r_lat")), ("_c", F.max("r_lon")), ("_d", F.max("r_lat"))]
-    cells = placed.groupBy("scene_id", "_cell").agg(*(f.alias(n) for n, f in box), F.max("envelope_m").alias("_e"), F.max(F.struct("envelope_m", "r_lon", "r_lat")).alias("_head"))
-    met = d.join(cells, "scene_id")
-    met = met.withColumn("_low", F.expr(f"{geo.distance_to_box('lon', 'lat', ('_a', '_b', '_c', '_d'))} / {_WIDER[0]!r} - {_WIDER[1]!r} - _e"))
-    met = met.withColumn("_high", F.expr(f"{geo.distance('lon', 'lat', '_head.r_lon', '_head.r_lat')} - _e"))
-    bound = met.groupBy("scene_id", "det_id").agg(F.min("_high").alias("_most"), F.collect_list(F.struct("_low", "_cell")).alias("_cells"))
-    kept = bound.select("scene_id", "det_id", F.explode(F.expr("transform(filter(_cells, c -> c._low <= _most), c -> c._cell)")).alias("_cell"))
-    pairs = kept.join(d, ["scene_id", "det_id"]).join(placed, ["scene_id", "_cell"]).withColumn("margin_m", F.expr(f"{geo.distance('r_lon', 'r_lat', 'lon', 'lat')} - envelope_m"))
-    best = pairs.groupBy("scene_id", "det_id").agg(F.min(F.struct("margin_m", "mmsi")).alias("best"))
+    d = stable(sea.select("scene_id", F.col("id").alias("det_id"), "lon", "lat"))
+    tree, depth = vessel_tree(fixes)
+    placed = tree.withColumn("_cell", F.col(f"_n{depth}")).select("scene_id", "_cell", "mmsi", "r_lon", "r_lat", "envelope_m")
+    pairs = near_cells(d, tree, depth).join(d, ["scene_id", "det_id"]).join(placed, ["scene_id", "_cell"])
+    best = pairs.withColumn("margin_m", F.expr(f"{geo.distance('r_lon', 'r_lat', 'lon', 'lat')} - envelope_m")).groupBy("scene_id", "det_id").agg(F.min(F.struct("margin_m", "mmsi")).alias("best"))
     return d.select("scene_id", "det_id").join(best, ["scene_id", "det_id"], "left").select("scene_id", "det_id", F.col("best.margin_m").alias("margin_m"), F.col("best.mmsi").alias("nearest_mmsi"))
 
 
@@ -190,7 +212,7 @@ def fuse(positions: DataFrame, detections: DataFrame, scenes: DataFrame, ships:
     sea = every.filter(~F.col("on_land"))
     fused = scenes.filter("mode = 'fused'")
     fixes = stable(projected_fixes(positions, fused, p))
-    fused_sea = sea.join(F.broadcast(fused.select(F.col("id").alias("scene_id"))), "scene_id", "left_semi")
+    fused_sea = sea.join(fused.select(F.col("id").alias("scene_id")), "scene_id", "left_semi")
     assigned = assign_one_to_one(match_pairs(fused_sea, fixes, p))
     margins = dark_margins(fused_sea, fixes)
     chance = chance_rates(fused_sea, every, fixes, fused, land, p)

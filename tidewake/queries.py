@@ -14,6 +14,7 @@ from tidewake.operators.assign import assign_one_to_one
 from tidewake.operators.spatial import match_counts, near_boxes, within_distance
 from tidewake.params import DEFAULT as P
 from tidewake.plans import fusion, routes, scheduling, views
+from tidewake.session import stable
 from tidewake.sources import registry, store
 from tidewake.sources.adapter import domain, oracle
 from tidewake.sources.registry import NAV_STATUS, REGION_COLUMNS, SHIP_TYPES, flag_rows, region_rows, values_sql
@@ -175,11 +176,11 @@ def _stored(spark, sf_dir):
 
 
 def _inputs(spark, positions, detections, scenes, land):
-    """(all clipped detections, fused sea detections, fused scenes, projected fixes)."""
+    """(all clipped detections, fused sea detections, fused scenes, projected fixes); detections and fixes computed once."""
     s = scenes.join(F.broadcast(registry.regions(spark).select(F.col("name").alias("roi"), "mode")), "roi").filter("mode = 'fused'")
-    every = fusion.clip_and_mask(detections, scenes, land)
-    sea = every.filter(~F.col("on_land")).join(F.broadcast(s.select(F.col("id").alias("scene_id"))), "scene_id", "left_semi")
-    return every, sea, s, fusion.projected_fixes(positions, s)
+    every = stable(fusion.clip_and_mask(detections, scenes, land))
+    sea = every.filter(~F.col("on_land")).join(s.select(F.col("id").alias("scene_id")), "scene_id", "left_semi")
+    return every, sea, s, stable(fusion.projected_fixes(positions, s))
 
 
 @query("fusion", _fuse_sql("SELECT id, scene_id, round(lon, 6) AS lon, round(lat, 6) AS lat, confidence, confidence_bucket, on_land, match_state, is_dark, matched_mmsi, candidate_mmsi, round(match_distance_m, 3) AS match_distance_m, match_time_delta_s, round(dark_margin_m, 3) AS dark_margin_m FROM final"))
@@ -202,7 +203,8 @@ def _summary(spark, *t):
 @query("c02_projected_fixes", _fuse_sql("SELECT scene_id, mmsi, sog, delta_s, round(r_lon, 6) AS r_lon, round(r_lat, 6) AS r_lat, round(gate_m, 3) AS gate_m, round(envelope_m, 3) AS envelope_m FROM dr"))
 @_d(*_DOMAIN)
 def _fixes(spark, positions, detections, scenes, ships, land):
-    fixes = _inputs(spark, positions, detections, scenes, land)[3]
+    s = scenes.join(F.broadcast(registry.regions(spark).select(F.col("name").alias("roi"), "mode")), "roi").filter("mode = 'fused'")
+    fixes = fusion.projected_fixes(positions, s)
     return fixes.select("scene_id", "mmsi", "sog", "delta_s", _r("r_lon", 6), _r("r_lat", 6), _r("gate_m", 3), _r("envelope_m", 3))
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -60,7 +61,9 @@ def shared_folder(spark: SparkSession) -> str:
     return named or sc._jsc.sc().getCheckpointDir().get()
 
 
-def stable(df):
-    """``df`` behind a checkpoint in the shared folder: computed once for all its consumers."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+def stable(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back: computed once for all its consumers, safe from lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tidewake-stable-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
