@@ -30,6 +30,8 @@ MAX_ROWS = 6000
 #: Regularisation: a column keeps a weight if telling the labels apart by it gains so much
 #: log-likelihood over the labelled texts (about the 0.0005 level of a test). There is no other limit.
 LEAST_GAIN = 6.0
+#: Entries of the training matrix that a step of the regression takes at a time.
+PART = 1 << 20
 #: A text is cut in blocks of so many bytes (overlapping by an n-gram) to bound memory.
 BLOCK = 1 << 20
 
@@ -127,16 +129,17 @@ def _places(keep: np.ndarray) -> np.ndarray:
 def regress(found: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, keep: np.ndarray, scale: np.ndarray, l2: float = 8.0, steps: int = 300) -> Model:
     """Logistic regression on the chosen columns, scaled by their ratios; both labels weigh alike."""
     n1, n0 = y.sum(), (1 - y).sum()
-    row = np.repeat(np.arange(len(found)), [len(c) for c, _ in found])
-    at = np.concatenate([c for c, _ in found])
-    x = scale[at] * np.log2(1 + np.concatenate([k for _, k in found]))
+    row = np.repeat(np.arange(len(found), dtype=np.int32), [len(c) for c, _ in found])
+    at = np.concatenate([c.astype(np.int32, copy=False) for c, _ in found])
+    x = np.concatenate([(scale[c] * np.log2(1 + k)).astype(np.float32) for c, k in found])
+    parts = [slice(lo, lo + PART) for lo in range(0, len(x), PART)]  # so that nothing else of this length is held
     share = np.where(y == 1, 0.5 / n1, 0.5 / n0) * len(y)
     w, b = np.zeros(len(keep)), 0.0
     mw, vw, mb, vb = np.zeros(len(keep)), np.zeros(len(keep)), 0.0, 0.0
     for t in range(1, steps + 1):
-        z = np.bincount(row, weights=x * w[at], minlength=len(y)) + b
+        z = b + sum((np.bincount(row[p], weights=x[p] * w[at[p]], minlength=len(y)) for p in parts), np.zeros(len(y)))
         g = share * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
-        gw = np.bincount(at, weights=x * g[row], minlength=len(keep)) / len(y) + l2 * w / len(y)
+        gw = sum((np.bincount(at[p], weights=x[p] * g[row[p]], minlength=len(keep)) for p in parts), np.zeros(len(keep))) / len(y) + l2 * w / len(y)
         gb = g.mean()
         mw, vw = 0.9 * mw + 0.1 * gw, 0.999 * vw + 0.001 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
@@ -170,12 +173,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not n0 or not n1:
         return certain(n0, n1)
     c = np.zeros((2, 1 << BITS))
-    for column, zero, one in rows.select("y", "body").mapInArrow(_columns, "g int, zero int, one int").groupBy("g").agg(F.sum("zero"), F.sum("one")).collect():  # 2**BITS rows at most
-        c[0, column], c[1, column] = zero, one
+    told = rows.select("y", "body").mapInArrow(_columns, "g int, zero int, one int").groupBy("g").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one")).toArrow()  # 2**BITS rows at most
+    for label, name in enumerate(("zero", "one")):
+        c[label, told["g"].to_numpy()] = told[name].to_numpy()
+    del told
     keep, scale = choose(c[0], c[1], n0, n1)
     got = sorted((r[0], r[1], r[2], bytes(r[3]), bytes(r[4])) for r in rows.mapInArrow(_chosen(keep), "doc_id long, tag long, y int, at binary, n binary").toLocalIterator())
     discard(rows)
-    found = [(np.frombuffer(a, np.int64), np.frombuffer(n, np.int64)) for *_, a, n in got]
+    found = [(np.frombuffer(a, np.int32), np.frombuffer(n, np.int32)) for *_, a, n in got]
     return regress(found, np.array([r[2] for r in got], np.float64), keep, scale)
 
 
@@ -197,7 +202,7 @@ def _chosen(keep: np.ndarray):
         place = _places(keep)
         for batch in batches:
             found = [_counted(b.as_py(), place) for b in batch.column(3)]
-            blobs = [pa.array([f[k].astype(np.int64).tobytes() for f in found], pa.binary()) for k in (0, 1)]
+            blobs = [pa.array([f[k].astype(np.int32).tobytes() for f in found], pa.binary()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), batch.column(2), *blobs], names=["doc_id", "tag", "y", "at", "n"])
 
     return run
