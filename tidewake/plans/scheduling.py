@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from tidewake.functions import rings
+from tidewake.operators import overlay
 from tidewake.params import DEFAULT, Params
+from tidewake.session import ship_package
 
 HOUR = 3_600_000_000
 
@@ -130,29 +131,37 @@ def eligible_scenes(scenes: DataFrame, min_us: int | None, max_us: int | None, p
 
 
 def mosaics(scenes: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """Per anchor scene: the footprints that one fetch would mosaic (a window around it, null footprints skipped)."""
-    a = scenes.select("roi", F.col("id").alias("anchor"), F.col("sensed_us").alias("anchor_us"))
+    """Per anchor scene, a row for each footprint that one fetch would mosaic: those of its region in a window around it.
+
+    A scene's footprint is its ``ring`` (or its ``footprint_wkt``); where that is null or missing, the box of the scene
+    stands in, if it has one. Scenes with neither have no footprint, and an anchor without
+    any in its window has one row with null.
+    """
     width = (p.mosaic_back_s + p.mosaic_forward_s) * 1_000_000
-    a = a.withColumn("_b", F.explode(F.sequence(F.floor((F.col("anchor_us") - p.mosaic_back_s * 1_000_000) / width).cast("long"), F.floor((F.col("anchor_us") + p.mosaic_forward_s * 1_000_000) / width).cast("long"))))
-    s = scenes.filter(F.col("footprint_wkt").isNotNull()).select(F.col("roi").alias("_roi"), F.col("sensed_us").alias("_us"), F.regexp_replace("footprint_wkt", r"^SRID=\d+;", "").alias("wkt"), F.floor(F.col("sensed_us") / width).cast("long").alias("_sb"))
-    near = F.col("_us").between(F.col("anchor_us") - p.mosaic_back_s * 1_000_000, F.col("anchor_us") + p.mosaic_forward_s * 1_000_000)
-    pairs = a.join(s, (F.col("roi") == F.col("_roi")) & (F.col("_b") == F.col("_sb")) & near, "left")
-    return pairs.groupBy("roi", "anchor", "anchor_us").agg(F.sort_array(F.collect_list("wkt")).alias("wkts"))
+    bucket = lambda c: F.floor(c / width).cast("long")
+    back, forward = F.col("anchor_us") - p.mosaic_back_s * 1_000_000, F.col("anchor_us") + p.mosaic_forward_s * 1_000_000
+    a = scenes.select("roi", F.col("id").alias("anchor"), F.col("sensed_us").alias("anchor_us")).withColumn("_b", F.explode(F.sequence(bucket(back), bucket(forward))))
+    box = [F.col(c) for c in ("min_lon", "min_lat", "max_lon", "max_lat") if c in scenes.columns]
+    ring = F.col("ring") if "ring" in scenes.columns else rings.parse_wkt(F.col("footprint_wkt")) if "footprint_wkt" in scenes.columns else F.lit(None).cast(rings.RING)
+    if len(box) == 4:
+        ring = F.coalesce(ring, F.when(box[0].isNotNull() & box[1].isNotNull() & box[2].isNotNull() & box[3].isNotNull(), rings.box_ring(*box)))
+    s = scenes.select(F.col("roi").alias("_roi"), F.col("sensed_us").alias("_us"), ring.alias("ring"), bucket(F.col("sensed_us")).alias("_sb")).filter(F.col("ring").isNotNull())
+    pairs = a.join(s, (F.col("roi") == F.col("_roi")) & (F.col("_b") == F.col("_sb")) & F.col("_us").between(back, forward))
+    none = scenes.select("roi", F.col("id").alias("anchor"), F.col("sensed_us").alias("anchor_us")).join(pairs.select("anchor"), "anchor", "left_anti")
+    return pairs.select("roi", "anchor", "anchor_us", "ring").unionByName(none.withColumn("ring", F.lit(None).cast(rings.RING)))
 
 
 def coverage(mosaic: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Adds the share of the region's imaging box that the mosaic's union covers.
+    """Per anchor, the share of its region's imaging box that the union of its mosaic covers: roi, anchor, anchor_us, coverage, pieces.
 
-    A mosaic holds a handful of footprints; the union area is exact, by vertical slabs.
+    Footprints are cut to the box first, then united by ``union_aggregate``.
     """
-    rows = mosaic.join(F.broadcast(boxes.select(F.col("name").alias("roi"), "sar_min_lon", "sar_min_lat", "sar_max_lon", "sar_max_lat")), "roi")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            boxed = zip(b["sar_min_lon"], b["sar_min_lat"], b["sar_max_lon"], b["sar_max_lat"])
-            yield b[["roi", "anchor", "anchor_us"]].assign(coverage=[rings.coverage(list(w), box) for w, box in zip(b["wkts"], boxed)])
-
-    return rows.mapInPandas(run, "roi string, anchor string, anchor_us long, coverage double")
+    corner = [F.col(f"sar_{c}") for c in ("min_lon", "min_lat", "max_lon", "max_lat")]
+    b = boxes.select(F.col("name").alias("roi"), F.array(rings.box_ring(*corner)).alias("_box"), ((corner[2] - corner[0]) * (corner[3] - corner[1])).alias("_area"))
+    ship_package(mosaic.sparkSession)
+    cut = mosaic.join(F.broadcast(b), "roi").withColumn("rings", F.explode_outer(overlay.intersection(F.array("ring"), F.col("_box"))))
+    whole = overlay.union_aggregate(cut.select("roi", "anchor", "anchor_us", "_area", F.when(F.col("rings").isNotNull(), F.array("rings")).alias("rings")), ["roi", "anchor", "anchor_us", "_area"])
+    return whole.select("roi", "anchor", "anchor_us", (F.col("area") / F.col("_area")).alias("coverage"), "pieces")
 
 
 def target_scene(covered: DataFrame, now_us: int, p: Params = DEFAULT) -> DataFrame:

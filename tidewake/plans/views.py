@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from tidewake.operators import overlay, spatial
 from tidewake.params import DEFAULT, Params
 from tidewake.plans.fusion import Fused, coverage_ok, fuse
 from tidewake.plans.scheduling import fetch_grid, mosaics, sessionise, upper_median
+from tidewake.session import ship_package
 
 
 def pass_cards(scenes: DataFrame, shown: int | None = 5) -> DataFrame:
@@ -140,3 +142,20 @@ def probe_report(scenes: DataFrame, boxes: DataFrame, covered: DataFrame, p: Par
 
 
 __all__ = ["countdown", "crop", "gap_flagged", "health_report", "land_by_region", "mosaics", "pass_cards", "probe_report", "refuse", "region_status", "sighting_label", "skipped_scenes", "state_counts", "ticker", "visible_vessels"]
+
+
+def land_in_scenes(scenes: DataFrame, land: DataFrame, side: float = 0.25) -> DataFrame:
+    """(scene_id, land_id, area in square degrees): how much of each land polygon a scene's footprint holds.
+
+    Boxes meet by the cells that both touch, the first common cell counts; then rings are intersected.
+    """
+    def cells(df, name):
+        at = {c: spatial.cell(F.col(c), side) for c in ("min_lon", "min_lat", "max_lon", "max_lat")}
+        out = df.select(F.col("id").alias(name), F.array("ring").alias(f"{name}_rings"), at["min_lon"].alias(f"{name}_x"), at["min_lat"].alias(f"{name}_y"), at["max_lon"].alias("_x1"), at["max_lat"].alias("_y1"))
+        return out.withColumn("_cx", F.explode(F.sequence(f"{name}_x", "_x1"))).withColumn("_cy", F.explode(F.sequence(f"{name}_y", "_y1"))).drop("_x1", "_y1")
+
+    ship_package(scenes.sparkSession)
+    met = cells(scenes, "scene_id").join(cells(land, "land_id"), ["_cx", "_cy"])
+    met = met.filter((F.col("_cx") == F.greatest("scene_id_x", "land_id_x")) & (F.col("_cy") == F.greatest("scene_id_y", "land_id_y")))
+    both = overlay.intersection(F.col("scene_id_rings"), F.col("land_id_rings"))
+    return met.select("scene_id", "land_id", both.alias("pieces")).select("scene_id", "land_id", overlay.pieces_area(F.col("pieces")).alias("area"))

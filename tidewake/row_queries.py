@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewake.functions import geo, labels, rings
-from tidewake.operators import raster, writes
+from tidewake.operators import overlay, raster, writes
 from tidewake.plans import routes, scheduling, views
 from tidewake.queries import _BOX, _DOMAIN, _GATE, _GRID, _MODES, _ONE, _REGIONS, LEDGER_NOW, NOW, ROI, _d, _fuse_sql, _held_frame, _r, _stored, query
 from tidewake.sources import ais_json, registry, transfer
@@ -82,7 +82,7 @@ def _source_health(spark, sf_dir):
 # writes -----------------------------------------------------------------------------------------
 
 _OLD = "SELECT c_custkey AS mmsi, c_name AS ship_name, CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END AS callsign, CASE WHEN c_custkey % 7 > 0 THEN 694224000000000 + c_custkey * 86400000000 END AS updated_us FROM {customer}"
-_NEW = "SELECT o_custkey AS mmsi, CASE WHEN o_orderkey % 2 = 0 THEN concat('N', cast(o_orderkey AS {str})) END AS ship_name, CASE WHEN o_orderkey % 3 = 0 THEN 'X' END AS callsign, {us} AS updated_us FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS k FROM {orders}) o WHERE k = 1 AND o_custkey % 5 > 0"
+_NEW = "SELECT o_custkey AS mmsi, CASE WHEN o_orderkey % 2 = 0 THEN concat('N', cast(o_orderkey AS {str})) END AS ship_name, CASE WHEN o_orderkey % 3 = 0 THEN 'X' END AS callsign, {us} AS updated_us FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS k FROM {orders}) o WHERE k = 1"
 
 
 def _old_new(spark, sf_dir):
@@ -153,16 +153,20 @@ def _added(spark, sf_dir):
     return writes.add_columns(_table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_name string, on_land boolean, chance_rate double")
 
 
-_CHARGED = f""", spent AS (SELECT DISTINCT scene_id FROM pu_ledger), g AS ({_GRID}), t AS (SELECT s.id, s.roi, CASE WHEN status IN ('processed', 'processing') THEN false ELSE sp.scene_id IS NULL AND g.pu <= 25000e0 END AS go, g.pu AS pu_cost FROM sar_scenes s JOIN g ON g.name = s.roi LEFT JOIN spent sp ON sp.scene_id = s.id)"""
+#: The ledger's last day, early in a month: something is spent and some of the ceiling is left.
+_SPENDING = LEDGER_NOW + 13 * 86_400_000_000
+_MONTH = f"SELECT coalesce(sum(pu), 0e0) AS pu FROM pu_ledger WHERE spent_us >= epoch_us(date_trunc('month', make_timestamp({_SPENDING})))"
+_CHARGED = f""", spent AS (SELECT DISTINCT scene_id FROM pu_ledger), g AS ({_GRID}), m AS ({_MONTH}), t AS (SELECT s.id, s.roi, CASE WHEN status IN ('processed', 'processing') THEN false ELSE sp.scene_id IS NULL AND m.pu + g.pu <= 25000e0 END AS go, g.pu AS pu_cost FROM sar_scenes s CROSS JOIN m JOIN g ON g.name = s.roi LEFT JOIN spent sp ON sp.scene_id = s.id)"""
 
 
-@query("d10_charge", oracle(f"{_CHARGED} SELECT roi, id AS scene_id, round(pu_cost, 6) AS pu, {NOW} AS spent_us FROM t WHERE go", "sar_scenes", "pu_ledger"))
+@query("d10_charge", oracle(f"{_CHARGED} SELECT roi, id AS scene_id, round(pu_cost, 6) AS pu, {_SPENDING} AS spent_us FROM t WHERE go", "sar_scenes", "pu_ledger"))
 @_d("sar_scenes", "pu_ledger")
 def _charge(spark, scenes, ledger):
     cost = scheduling.monthly_cost(registry.regions(spark)).select(F.col("name").alias("roi"), F.col("pu").alias("pu_cost"))
     spent = scheduling.spent_scenes(ledger).select(F.col("scene_id").alias("id"), F.lit(True).alias("has_pu_spend"))
-    facts = scenes.join(spent, "id", "left").join(F.broadcast(cost), "roi").withColumn("has_pu_spend", F.coalesce("has_pu_spend", F.lit(False))).withColumn("month_to_date_pu", F.lit(0.0))
-    return scheduling.charge(scheduling.decide(facts).withColumnRenamed("id", "scene_id"), NOW).withColumn("pu", F.round("pu", 6))
+    facts = scenes.join(spent, "id", "left").join(F.broadcast(cost), "roi").withColumn("has_pu_spend", F.coalesce("has_pu_spend", F.lit(False)))
+    facts = facts.crossJoin(F.broadcast(scheduling.month_to_date(ledger, _SPENDING).withColumnRenamed("pu", "month_to_date_pu")))  # one row
+    return scheduling.charge(scheduling.decide(facts).withColumnRenamed("id", "scene_id"), _SPENDING).withColumn("pu", F.round("pu", 6))
 
 
 _COMMANDS = "SELECT event_id AS seq, CASE event_id % 11 WHEN 0 THEN 'post' WHEN 5 THEN CASE WHEN event_id % 3 = 0 THEN 'clear' ELSE 'post' END ELSE 'toggle' END AS command, concat('m', cast(event_id AS {str})) AS message, CASE WHEN event_id % 2 = 0 THEN 'warning' ELSE 'critical' END AS level, cast(NULL AS {str}) AS title, event_id * 10 AS at_us, user_id % 5 AS grp FROM {events}"
@@ -227,10 +231,50 @@ def _recent(spark, scenes):
 
 
 _AT = 16_000_000_000
-_COVER = "CASE WHEN cast(substring(id, 2) AS int) % 4 = 0 THEN 0.5e0 ELSE 0.8e0 + (cast(substring(id, 2) AS int) % 3) / 1e1 END"
-_CHOICE = f""", c AS (SELECT r.name, r.mode, (SELECT min(time_us) FROM ais_positions WHERE lon > r.ais_min_lon AND lon < r.ais_max_lon AND lat > r.ais_min_lat AND lat < r.ais_max_lat) AS lo,
+_TAIWAN = registry.region(ROI)
+_BX = {c: repr(float(_TAIWAN[f"sar_{c}"])) + "e0" for c in ("min_lon", "min_lat", "max_lon", "max_lat")}
+#: Share of the box that the footprints of each mosaic cover: slabs between all corners and crossings, the union's length in the middle of each.
+_COVERED = f"""fp AS (SELECT a.id AS anchor, a.roi, s.min_lon AS x0, s.max_lon AS x1, s.tilt / (s.max_lon - s.min_lon) AS m, s.min_lat - s.tilt / (s.max_lon - s.min_lon) * s.min_lon AS c0,
+  s.max_lat - s.tilt - s.tilt / (s.max_lon - s.min_lon) * s.min_lon AS c1 FROM sar_scenes a JOIN sar_scenes s ON s.roi = a.roi AND s.sensed_us BETWEEN a.sensed_us - 60000000 AND a.sensed_us + 600000000),
+ln AS (SELECT anchor, m, c0 AS c FROM fp UNION SELECT anchor, m, c1 FROM fp UNION SELECT anchor, 0e0, {_BX['min_lat']} FROM fp UNION SELECT anchor, 0e0, {_BX['max_lat']} FROM fp),
+br AS (SELECT anchor, greatest(x0, {_BX['min_lon']}) AS x FROM fp UNION SELECT anchor, least(x1, {_BX['max_lon']}) FROM fp UNION SELECT a.anchor, (b.c - a.c) / (a.m - b.m) FROM ln a JOIN ln b ON a.anchor = b.anchor AND a.m > b.m),
+sl AS (SELECT anchor, x AS l, lead(x) OVER (PARTITION BY anchor ORDER BY x) AS r FROM br WHERE x BETWEEN {_BX['min_lon']} AND {_BX['max_lon']}),
+iv AS (SELECT sl.anchor, l, r, greatest(c0 + m * (l + r) / 2, {_BX['min_lat']}) AS s, least(c1 + m * (l + r) / 2, {_BX['max_lat']}) AS e FROM sl JOIN fp ON fp.anchor = sl.anchor AND (l + r) / 2 BETWEEN fp.x0 AND fp.x1),
+un AS (SELECT anchor, l, r, greatest(0e0, e - greatest(s, coalesce(max(e) OVER (PARTITION BY anchor, l ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), s))) AS len FROM iv WHERE e > s),
+covered AS (SELECT id AS anchor, coalesce(u.area, 0e0) / (({_BX['max_lon']} - {_BX['min_lon']}) * ({_BX['max_lat']} - {_BX['min_lat']})) AS coverage FROM sar_scenes LEFT JOIN (SELECT anchor, sum((r - l) * len) AS area FROM un GROUP BY 1) u ON u.anchor = id)"""
+
+
+def _coverage(spark, scenes):
+    """Coverage of one box, in which all footprints of the test tables lie, for every region's passes."""
+    boxes = registry.regions(spark).select("name", *(F.lit(float(_TAIWAN[f"sar_{c}"])).alias(f"sar_{c}") for c in ("min_lon", "min_lat", "max_lon", "max_lat")))
+    return scheduling.coverage(scheduling.mosaics(scenes), boxes)
+
+
+@query("a11_coverage", oracle(f", {_COVERED} SELECT anchor, round(coverage, 9) AS coverage FROM covered", "sar_scenes"))
+@_d("sar_scenes")
+def _mosaic_coverage(spark, scenes):
+    return _coverage(spark, scenes).select("anchor", _r("coverage", 9))
+
+
+_L = "l.min_lon, l.min_lat, l.max_lon, l.max_lat"
+#: Area of a box under a sloping strip: its length is linear between the places where the strip's edges meet the box's.
+_IN_STRIP = """strips AS (SELECT s.id AS scene_id, l.id AS land_id, b.*, greatest(b.bx0, s.min_lon) AS x0, least(b.bx1, s.max_lon) AS x1, s.tilt / (s.max_lon - s.min_lon) AS m, s.min_lat - s.tilt / (s.max_lon - s.min_lon) * s.min_lon AS c0,
+  s.max_lat - s.tilt - s.tilt / (s.max_lon - s.min_lon) * s.min_lon AS c1
+  FROM sar_scenes s, land_polygons l, LATERAL (SELECT l.min_lon AS bx0, l.max_lon AS bx1, l.min_lat AS by0, (l.min_lat + l.max_lat) / 2 AS by1 UNION ALL SELECT l.min_lon, (l.min_lon + l.max_lon) / 2, (l.min_lat + l.max_lat) / 2, l.max_lat) b),
+ends AS (SELECT *, unnest([x0, x1, (by0 - c0) / m, (by1 - c0) / m, (by0 - c1) / m, (by1 - c1) / m]) AS x FROM strips WHERE x0 < x1),
+steps AS (SELECT *, lead(x) OVER (PARTITION BY scene_id, land_id, by0 ORDER BY x) AS nx FROM ends WHERE x BETWEEN x0 AND x1)
+SELECT scene_id, land_id, round(sum((nx - x) * greatest(0e0, least(c1 + m * (x + nx) / 2, by1) - greatest(c0 + m * (x + nx) / 2, by0))) * 12392.1424e0 * cos(radians(25.5e0)), 6) AS area_km2 FROM steps WHERE nx > x GROUP BY 1, 2 HAVING area_km2 > 0"""
+
+
+@query("g10_land_in_scenes", oracle(f", {_IN_STRIP}", "sar_scenes", "land_polygons"))
+@_d("sar_scenes", "land_polygons")
+def _land_in_scenes(spark, scenes, land):
+    return views.land_in_scenes(scenes, land).select("scene_id", "land_id", F.round(F.col("area") * 12392.1424 * F.cos(F.radians(F.lit(25.5))), 6).alias("area_km2")).filter("area_km2 > 0")
+
+
+_CHOICE = f""", {_COVERED}, c AS (SELECT r.name, r.mode, (SELECT min(time_us) FROM ais_positions WHERE lon > r.ais_min_lon AND lon < r.ais_max_lon AND lat > r.ais_min_lat AND lat < r.ais_max_lat) AS lo,
 (SELECT max(time_us) FROM ais_positions WHERE lon > r.ais_min_lon AND lon < r.ais_max_lon AND lat > r.ais_min_lat AND lat < r.ais_max_lat) AS hi FROM {_REGIONS} r),
-s AS (SELECT c.*, x.id, x.sensed_us, {_COVER} AS cover, c.mode = 'survey' OR coalesce(x.sensed_us - 7200000000 >= lo AND x.sensed_us + 7200000000 <= hi, false) AS ok, x.sensed_us > {_AT} - 10800000000 AS young FROM c LEFT JOIN sar_scenes x ON x.roi = c.name AND x.sensed_us >= {_AT} - 604800000000),
+s AS (SELECT c.*, x.id, x.sensed_us, coalesce(cv.coverage, 0e0) AS cover, c.mode = 'survey' OR coalesce(x.sensed_us - 7200000000 >= lo AND x.sensed_us + 7200000000 <= hi, false) AS ok, x.sensed_us > {_AT} - 10800000000 AS young FROM c LEFT JOIN sar_scenes x ON x.roi = c.name AND x.sensed_us >= {_AT} - 604800000000 LEFT JOIN covered cv ON cv.anchor = x.id),
 per AS (SELECT name, mode, lo, hi, count(id) AS passes, count(*) FILTER (WHERE ok AND id IS NOT NULL) AS good, count(*) FILTER (WHERE ok AND young) AS skipped, max(cover) FILTER (WHERE ok AND NOT young) AS best_coverage,
   arg_max(id, (sensed_us, id)) FILTER (WHERE ok AND NOT young AND cover >= 0.85e0) AS pick FROM s GROUP BY 1, 2, 3, 4),
 chosen AS (SELECT name, mode, CASE WHEN mode <> 'survey' AND {_AT} - hi > 7200000000 THEN NULL ELSE pick END AS scene_id, CASE WHEN mode <> 'survey' AND {_AT} - hi > 7200000000 THEN 'messages are stale' WHEN pick IS NOT NULL THEN NULL WHEN passes = 0 THEN 'no recent pass' WHEN mode <> 'survey' AND lo IS NULL THEN 'no messages in the region' WHEN good = 0 THEN 'no bracketed pass' ELSE 'no pass covers enough' END AS reason,
@@ -238,8 +282,7 @@ chosen AS (SELECT name, mode, CASE WHEN mode <> 'survey' AND {_AT} - hi > 720000
 
 
 def _chosen(spark, positions, scenes):
-    covered = scenes.select(F.col("id").alias("anchor"), F.expr(_COVER).alias("coverage"))
-    return scheduling.choose_scenes(scenes, covered, positions, registry.regions(spark), _AT)
+    return scheduling.choose_scenes(scenes, _coverage(spark, scenes).select("anchor", "coverage"), positions, registry.regions(spark), _AT)
 
 
 @query("st19_scene_choice", oracle(f"{_CHOICE} SELECT * FROM chosen", "ais_positions", "sar_scenes"))
@@ -248,14 +291,14 @@ def _choice(spark, positions, scenes):
     return _chosen(spark, positions, scenes).withColumn("best_coverage", F.round("best_coverage", 6))
 
 
-@query("st15_sweep", oracle(f"""{_CHOICE}, g AS ({_GRID}), spent AS (SELECT DISTINCT scene_id FROM pu_ledger), d AS (SELECT c.name, c.scene_id, c.reason, x.status, sp.scene_id IS NOT NULL AS spent, g.pu, g.name IN ('malta_hurds_bank', 'kharg_island') AS held FROM chosen c JOIN g ON g.name = c.name LEFT JOIN sar_scenes x ON x.id = c.scene_id LEFT JOIN spent sp ON sp.scene_id = c.scene_id)
-SELECT name, scene_id, CASE WHEN held THEN 'held' WHEN scene_id IS NULL THEN reason WHEN status = 'processed' THEN 'already analyzed' WHEN status = 'processing' THEN 'already running' WHEN spent THEN 'already spent' WHEN status IS NULL THEN 'new pass' ELSE 'retry' END AS reason,
-NOT held AND scene_id IS NOT NULL AND coalesce(status, '') NOT IN ('processed', 'processing') AND NOT spent AS analyze, round(pu, 6) AS pu_cost FROM d""", "ais_positions", "sar_scenes", "pu_ledger"))
+@query("st15_sweep", oracle(f"""{_CHOICE}, g AS ({_GRID}), spent AS (SELECT DISTINCT scene_id FROM pu_ledger), d AS (SELECT c.name, c.scene_id, c.reason, x.status, sp.scene_id IS NOT NULL AS spent, g.pu, m.pu AS month_pu, g.name IN ('malta_hurds_bank', 'kharg_island') AS held FROM chosen c CROSS JOIN ({_MONTH}) m JOIN g ON g.name = c.name LEFT JOIN sar_scenes x ON x.id = c.scene_id LEFT JOIN spent sp ON sp.scene_id = c.scene_id)
+SELECT name, scene_id, CASE WHEN held THEN 'held' WHEN scene_id IS NULL THEN reason WHEN status = 'processed' THEN 'already analyzed' WHEN status = 'processing' THEN 'already running' WHEN spent THEN 'already spent' WHEN month_pu + pu > 25000e0 THEN 'over ceiling' WHEN status IS NULL THEN 'new pass' ELSE 'retry' END AS reason,
+NOT held AND scene_id IS NOT NULL AND coalesce(status, '') NOT IN ('processed', 'processing') AND NOT spent AND month_pu + pu <= 25000e0 AS analyze, round(pu, 6) AS pu_cost FROM d""", "ais_positions", "sar_scenes", "pu_ledger"))
 @_d("ais_positions", "sar_scenes", "pu_ledger")
 def _sweep(spark, positions, scenes, ledger):
     regions = registry.regions(spark)
     held = regions.filter(F.col("name").isin("malta_hurds_bank", "kharg_island")).select("name", F.lit("warming up").alias("reason"))
-    out = scheduling.sweep(_chosen(spark, positions, scenes), held, scenes, ledger, regions, LEDGER_NOW + 400 * 86_400_000_000)
+    out = scheduling.sweep(_chosen(spark, positions, scenes), held, scenes, ledger, regions, _SPENDING)
     return out.withColumn("pu_cost", F.round("pu_cost", 6))
 
 
