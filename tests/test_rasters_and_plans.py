@@ -74,10 +74,30 @@ def test_label_windows(spark):
     assert [(r.x_off, [(b.cx, b.w) for b in r.boxes]) for r in got] == [(0, [(0.1, 0.1)])]
     chips = spark.createDataFrame([(i, i < 6) for i in range(40)], "chip_id long, positive boolean")
     assert raster.cap_backgrounds(chips, 0.25).count() == 8
+    assert raster.cap_backgrounds(chips, 0.9).count() == 40 and raster.cap_backgrounds(chips.filter("not positive"), 0.25).count() == 0
     split = raster.hold_out(chips, "chip_id", 0.5).groupBy("split").count().collect()
     assert {r["split"] for r in split} == {"train", "val"}
 
 
+def test_first_by_is_the_sorted_head(spark):
+    rows = [(i, (i * 2654435761) % (1 << 52) if i % 5 else 7 + (3 << 20)) for i in range(400)] + [(i, (9 << 36) + (i << 3)) for i in range(400, 600)]
+    df = spark.createDataFrame(rows, "id long, at long")
+    in_order = [i for _, i in sorted((at, i) for i, at in rows)]
+    for keep in (0, 1, 40, 79, 80, 81, 333, 500, 600, 1000):
+        got = raster.first_by(df, F.col("at"), "id", spark.createDataFrame([(keep,)], "_keep long"))
+        assert got.columns == ["id", "at"] and {r.id for r in got.collect()} == set(in_order[:keep])
+    assert raster.first_by(df.limit(0), F.col("at"), "id", spark.createDataFrame([(3,)], "_keep long")).count() == 0
+
+
+def test_cost_totals_have_a_row_for_all(spark):
+    scenes = spark.createDataFrame([("a", "x", 0.0, 0.0, 1.0, 1.0), ("b", "x", 0.0, 0.0, 0.5, 0.5), ("c", "y", 0.0, 60.0, 0.0, 60.0)], "id string, roi string, min_lon double, min_lat double, max_lon double, max_lat double")
+    costs = scheduling.pass_costs(scenes)
+    assert {r.id: (r.width, r.height, r.tiles) for r in costs.collect()}["c"] == (1, 1, 1)
+    monthly = spark.createDataFrame([("x", 10.0), ("z", 5.0)], "name string, pu_month double")
+    got = {r.roi: (r.passes, r.pu_month) for r in scheduling.cost_totals(costs, monthly).collect()}
+    assert got == {"x": (2, 10.0), "y": (1, None), None: (3, 15.0)}
+
+
 def test_next_pass_rules(spark):
     df = spark.createDataFrame([("a", 0), ("a", 10), ("a", 10), ("a", 30), ("b", 0), ("b", 5)], "roi string, sensed_us long")
     got = {r.roi: r.next_us for r in scheduling.next_pass(df, 44).collect()}

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewake.functions import geo
@@ -72,9 +72,38 @@ def mask_share(pixels: DataFrame) -> DataFrame:
 
 def cap_backgrounds(chips: DataFrame, share: float, seed: int = 0) -> DataFrame:
     """Positive chips, and as many empty ones as ``share`` of the whole allows, chosen by a seeded hash."""
-    n = chips.agg(F.count_if("positive")).first()[0]
-    keep = int(n * share / (1 - share))
-    return chips.filter("positive").unionByName(chips.filter(~F.col("positive")).orderBy(seeded(F.col("chip_id"), seed), "chip_id").limit(keep))
+    keep = chips.agg(F.floor(F.count_if("positive") * F.lit(share) / F.lit(1 - share)).cast("long").alias("_keep"))
+    return chips.filter("positive").unionByName(first_by(chips.filter(~F.col("positive")), (seeded(F.col("chip_id"), seed) * (1 << 52)).cast("long"), "chip_id", keep))
+
+
+#: Bits of a rank's histogram: 2 ** 16 counts at most are put in order in one task.
+_RANK_BITS = 16
+
+
+def first_by(rows: DataFrame, place: Column, tie: str, keep: DataFrame) -> DataFrame:
+    """The ``_keep`` rows that come first by ``place`` (0 to 2 ** 52), then by ``tie``; keep: one row of one number.
+
+    A histogram of the places' high bits shows which counts are wholly in and which one holds the
+    cut, one of the next bits splits that one again; only the rest, about a row in
+    2 ** 32, is put in order. No task gets the rows that are kept, none waits for a count.
+    """
+    out = rows.withColumn("_place", place).crossJoin(F.broadcast(keep)).withColumn("_before", F.lit(0).cast("long"))  # one row
+    inside, shift, keys = None, 52, []
+    for level in range(2):
+        shift -= _RANK_BITS
+        key = f"_b{level}"
+        keys.append(key)
+        out = out.withColumn(key, F.shiftright("_place", shift).bitwiseAND(F.lit((1 << _RANK_BITS) - 1)))
+        counts = out.groupBy(key).agg(F.count("*").alias("_n"))
+        ahead = counts.select(key, "_n", (F.sum("_n").over(Window.orderBy(key)) - F.col("_n")).alias("_ahead"))
+        out = out.join(F.broadcast(ahead), key)  # 2 ** 16 rows at most
+        out = out.withColumn("_before", F.col("_before") + F.col("_ahead")).filter(F.col("_before") < F.col("_keep"))
+        whole = (F.col("_before") + F.col("_n")) <= F.col("_keep")
+        kept = out.filter(whole).select(*rows.columns)
+        inside = kept if inside is None else inside.unionByName(kept)
+        out = out.filter(~whole).drop("_n", "_ahead")
+    cut = out.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("_place", tie)))
+    return inside.unionByName(cut.filter(F.col("_before") + F.col("_rank") <= F.col("_keep")).select(*rows.columns))
 
 
 def hold_out(rows: DataFrame, key: str, share: float, seed: int = 0) -> DataFrame:

@@ -204,8 +204,8 @@ def fuse(positions: DataFrame, detections: DataFrame, scenes: DataFrame, ships:
     """Fusion of all scenes in one plan.
 
     ``modes`` maps roi to fused or survey; in survey scenes nothing is matched and their
-    quality is null. Projected fixes feed four consumers and masked detections five, so both
-    are computed once, behind checkpoints.
+    quality is null. Projected fixes feed four consumers and masked detections five, chance rates
+    and labelled detections go into both results, so all four are computed once (``stable``).
     """
     scenes = scenes.join(F.broadcast(modes), "roi", "left").withColumn("mode", F.coalesce("mode", F.lit("fused")))
     every = stable(clip_and_mask(detections, scenes, land, p))
@@ -215,7 +215,7 @@ def fuse(positions: DataFrame, detections: DataFrame, scenes: DataFrame, ships:
     fused_sea = sea.join(fused.select(F.col("id").alias("scene_id")), "scene_id", "left_semi")
     assigned = assign_one_to_one(match_pairs(fused_sea, fixes, p))
     margins = dark_margins(fused_sea, fixes)
-    chance = chance_rates(fused_sea, every, fixes, fused, land, p)
+    chance = stable(chance_rates(fused_sea, every, fixes, fused, land, p))
     state = margins.join(assigned, ["scene_id", "det_id"], "left").join(chance.select("scene_id", "chance_rate"), "scene_id", "left")
     state = state.withColumn("match_state", classify(F.col("mmsi").isNotNull(), F.col("margin_m"), F.coalesce(F.col("chance_rate") <= p.max_chance_rate, F.lit(False))))
     state = state.select(
@@ -223,7 +223,7 @@ def fuse(positions: DataFrame, detections: DataFrame, scenes: DataFrame, ships:
         F.col("mmsi").alias("matched_mmsi"), F.col("distance_m").alias("match_distance_m"), F.col("delta_s").alias("match_time_delta_s"), F.col("margin_m").alias("dark_margin_m"),
         F.when((F.col("match_state") == "indeterminate") & (F.col("margin_m") <= 0), F.col("nearest_mmsi")).alias("candidate_mmsi"),
     )
-    out = every.join(state, "id", "left").withColumn("confidence_bucket", confidence_bucket(F.col("confidence"), p.bucket_high, p.bucket_medium))
+    out = stable(every.join(state, "id", "left").withColumn("confidence_bucket", confidence_bucket(F.col("confidence"), p.bucket_high, p.bucket_medium)))
     counts = out.filter(~F.col("on_land")).groupBy("scene_id").agg(F.count("*").alias("total"), F.count_if("is_dark").alias("dark"), F.count_if(F.col("match_state") == "indeterminate").alias("indeterminate"))
     quality = chance.join(large_recall(fused_sea, fixes, fused, ships, p), "scene_id", "full_outer")
     rows = scenes.select(F.col("id").alias("scene_id"), "roi", "mode").join(counts, "scene_id", "left").join(quality, "scene_id", "left")

@@ -263,6 +263,18 @@ def monthly_cost(regions: DataFrame, p: Params = DEFAULT) -> DataFrame:
     return grid.select("name", "mode", "passes_per_month", "width", "height", "tiles", "pu", (F.col("pu") * F.col("passes_per_month")).alias("pu_month"))
 
 
+def pass_costs(scenes: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """(id, roi, width, height, tiles, pu): the fetch of every scene's box."""
+    return fetch_grid(scenes.select("id", "roi", "min_lon", "min_lat", "max_lon", "max_lat"), p).select("id", "roi", "width", "height", "tiles", "pu")
+
+
+def cost_totals(costs: DataFrame, monthly: DataFrame) -> DataFrame:
+    """Passes, tiles and units per region and in all (roi null), beside the month's plan of ``monthly_cost``."""
+    taken = costs.rollup("roi").agg(F.count("*").alias("passes"), F.sum("tiles").alias("tiles"), F.sum("pu").alias("pu"))
+    plan = monthly.rollup("name").agg(F.sum("pu_month").alias("pu_month"))
+    return taken.join(plan, F.col("roi").eqNullSafe(F.col("name")), "left").drop("name")
+
+
 # ledger -----------------------------------------------------------------------------------------
 
 

@@ -99,22 +99,25 @@ def visible_vessels(vessels: DataFrame, detections: DataFrame | None, mode: str,
     return vessels.filter(F.col("ship_type").between(p.large_type_min, p.large_type_max)) if large_only else vessels
 
 
-def _judged(positions: DataFrame, scenes: DataFrame, modes: DataFrame, p: Params) -> DataFrame:
+def _judged(positions: DataFrame, scenes: DataFrame, modes: DataFrame, bracket_h: float) -> DataFrame:
     span = positions.agg(F.min("time_us").alias("_min"), F.max("time_us").alias("_max"))
     known = scenes.filter("status = 'processed'").join(F.broadcast(modes), "roi").crossJoin(F.broadcast(span))  # one row
-    ok = coverage_ok(F.col("sensed_us"), F.col("_min"), F.col("_max"), p.fusion_window_h)
+    ok = coverage_ok(F.col("sensed_us"), F.col("_min"), F.col("_max"), bracket_h)
     return known.withColumn("reason", F.when(F.col("mode") == "survey", "survey region").when(~ok, "not bracketed")).drop("_min", "_max", "mode")
 
 
-def skipped_scenes(positions: DataFrame, scenes: DataFrame, modes: DataFrame, p: Params = DEFAULT) -> DataFrame:
+def skipped_scenes(positions: DataFrame, scenes: DataFrame, modes: DataFrame, p: Params = DEFAULT, bracket_h: float | None = None) -> DataFrame:
     """What ``refuse`` would leave out, with the reason: the dry run."""
-    return _judged(positions, scenes, modes, p).filter(F.col("reason").isNotNull()).select("id", "roi", "reason")
+    return _judged(positions, scenes, modes, p.fusion_window_h if bracket_h is None else bracket_h).filter(F.col("reason").isNotNull()).select("id", "roi", "reason")
 
 
-def refuse(positions: DataFrame, detections: DataFrame, scenes: DataFrame, ships: DataFrame, land: DataFrame, modes: DataFrame, p: Params = DEFAULT) -> tuple[Fused, DataFrame]:
-    """Fusion over stored scenes again, leaving out those that the recorded messages no longer bracket; and the skipped ones with the reason."""
-    live = _judged(positions, scenes, modes, p).filter(F.col("reason").isNull()).drop("reason")
-    return fuse(positions, detections, live, ships, land, modes, p), skipped_scenes(positions, scenes, modes, p)
+def refuse(positions: DataFrame, detections: DataFrame, scenes: DataFrame, ships: DataFrame, land: DataFrame, modes: DataFrame, p: Params = DEFAULT, bracket_h: float | None = None) -> tuple[Fused, DataFrame]:
+    """Fusion over stored scenes again, leaving out those that the recorded messages no longer bracket; and the skipped ones with the reason.
+
+    ``bracket_h``: how far the messages must reach on both sides of a pass; the window of fusion by default.
+    """
+    live = _judged(positions, scenes, modes, p.fusion_window_h if bracket_h is None else bracket_h).filter(F.col("reason").isNull()).drop("reason")
+    return fuse(positions, detections, live, ships, land, modes, p), skipped_scenes(positions, scenes, modes, p, bracket_h)
 
 
 def health_report(health: DataFrame, gate: DataFrame, regions: DataFrame) -> DataFrame:

@@ -59,9 +59,11 @@ def _r(c: str, n: int) -> F.Column:
 # reads ------------------------------------------------------------------------------------------
 
 
-@query("s24_regions", f"SELECT * FROM {_REGIONS}")
-def _regions(spark, sf_dir):
-    return registry.regions(spark)
+@query("s24_regions", oracle(f" SELECT r.*, (SELECT count(*) FROM sar_scenes s WHERE s.roi = r.name) AS scenes FROM {_REGIONS} r", "sar_scenes"))
+@_d("sar_scenes")
+def _regions(spark, scenes):
+    taken = scenes.groupBy(F.col("roi").alias("name")).agg(F.count("*").alias("scenes"))
+    return registry.regions(spark).join(taken, "name", "left").withColumn("scenes", F.coalesce("scenes", F.lit(0)))
 
 
 @query("p03_vessel_count", oracle(f" SELECT count(DISTINCT mmsi) AS vessels FROM ais_positions WHERE time_us > {NOW - 14_400_000_000} AND {_IN}", "ais_positions"))
@@ -411,6 +413,12 @@ _GRID = f"""SELECT name, mode, passes_per_month, w AS width, h AS height, ceil(w
 FROM (SELECT *, greatest(round_even((sar_max_lon - sar_min_lon) * 111320e0 * cos(radians((sar_min_lat + sar_max_lat) / 2e0)) / 10e0, 0)::BIGINT, 1) AS w, greatest(round_even((sar_max_lat - sar_min_lat) * 111320e0 / 10e0, 0)::BIGINT, 1) AS h FROM {_REGIONS})"""
 
 
+#: The fetch of every scene's box.
+_SCENE_GRID = """SELECT id, roi, w AS width, h AS height, ceil(w / 2400)::BIGINT * ceil(h / 2400)::BIGINT AS tiles, w * h / 262144e0 * (1e0 / 3e0) * 2e0 AS pu
+FROM (SELECT *, greatest(round_even((max_lon - min_lon) * 111320e0 * cos(radians((min_lat + max_lat) / 2e0)) / 10e0, 0)::BIGINT, 1) AS w,
+  greatest(round_even((max_lat - min_lat) * 111320e0 / 10e0, 0)::BIGINT, 1) AS h FROM sar_scenes)"""
+
+
 @query("st16_decisions", oracle(f""", spent AS (SELECT DISTINCT scene_id FROM pu_ledger), g AS ({_GRID}), m AS (SELECT coalesce(sum(pu), 0e0) AS pu FROM pu_ledger WHERE spent_us >= epoch_us(date_trunc('month', make_timestamp({LEDGER_NOW})))),
 f AS (SELECT s.id, CASE WHEN s.sensed_us % 4 = 0 AND status = 'failed' THEN NULL ELSE status END AS status, sp.scene_id IS NOT NULL AS has_pu_spend, m.pu AS month_to_date_pu, g.pu AS pu_cost FROM sar_scenes s CROSS JOIN m LEFT JOIN g ON g.name = s.roi LEFT JOIN spent sp ON sp.scene_id = s.id)
 SELECT id, CASE WHEN status = 'processed' THEN 'already analyzed' WHEN status = 'processing' THEN 'already running' WHEN has_pu_spend THEN 'already spent' WHEN month_to_date_pu + pu_cost > 25000e0 THEN 'over ceiling' WHEN status IS NULL THEN 'new pass' ELSE 'retry' END AS reason,
@@ -446,10 +454,18 @@ def _recent_spending(spark, ledger):
     return scheduling.recent_spending(ledger, 25)
 
 
-@query("c07_fetch_grid", _GRID)
-def _grid(spark, sf_dir):
-    out = scheduling.monthly_cost(registry.regions(spark))
-    return out.withColumns({"pu": F.round("pu", 6), "pu_month": F.round("pu_month", 6)})
+@query("c07_fetch_grid", oracle(f" SELECT id, roi, width, height, tiles, round(pu, 6) AS pu FROM ({_SCENE_GRID})", "sar_scenes"))
+@_d("sar_scenes")
+def _grid(spark, scenes):
+    return scheduling.pass_costs(scenes).withColumn("pu", F.round("pu", 6))
+
+
+@query("a19_cost_totals", oracle(f", m AS ({_GRID}), c AS (SELECT roi, count(*) AS passes, sum(tiles)::BIGINT AS tiles, round(sum(pu), 3) AS pu FROM ({_SCENE_GRID}) GROUP BY ROLLUP (roi)) "
+"SELECT c.*, round(CASE WHEN c.roi IS NULL THEN (SELECT sum(pu_month) FROM m) ELSE m.pu_month END, 3) AS pu_month FROM c LEFT JOIN m ON m.name = c.roi", "sar_scenes"))
+@_d("sar_scenes")
+def _cost_totals(spark, scenes):
+    out = scheduling.cost_totals(scheduling.pass_costs(scenes), scheduling.monthly_cost(registry.regions(spark)))
+    return out.withColumns({"pu": F.round("pu", 3), "pu_month": F.round("pu_month", 3)})
 
 
 @query("a20_respend", oracle(f", g AS ({_GRID}) SELECT round(sum(g.pu), 1) AS respend_pu FROM g WHERE g.name IN (SELECT roi FROM sar_scenes WHERE status = 'failed')", "sar_scenes"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidewake.functions import geo, labels, rings
 from tidewake.operators import overlay, raster, writes
 from tidewake.plans import routes, scheduling, views
-from tidewake.queries import _BOX, _DOMAIN, _GATE, _GRID, _MODES, _ONE, _REGIONS, LEDGER_NOW, NOW, ROI, _d, _fuse_sql, _held_frame, _r, _stored, query
+from tidewake.queries import _BOX, _DOMAIN, _GATE, _GRID, _MODES, _ONE, _REGIONS, _SCENE_GRID, LEDGER_NOW, NOW, ROI, _d, _fuse_sql, _held_frame, _r, _stored, query
 from tidewake.sources import ais_json, registry, transfer
 from tidewake.sources.adapter import domain, oracle
 from tidewake.streaming import ingest
@@ -193,11 +193,28 @@ def _orphans(spark, scenes, ledger):
     return transfer.orphans(ledger, scenes)
 
 
-@query("u05_export", _fuse_sql(f"""SELECT 0 AS rank, NULL::VARCHAR AS k1, 0::BIGINT AS k2, NULL::VARCHAR AS k3 UNION ALL SELECT 1, roi, sensed_us, id FROM sar_scenes WHERE roi = '{ROI}' UNION ALL SELECT 2, f.scene_id, f.id, NULL FROM final f JOIN sar_scenes s ON s.id = f.scene_id WHERE s.roi = '{ROI}'
-UNION ALL SELECT 3, NULL, m.mmsi, NULL FROM ship_metadata m WHERE m.mmsi IN (SELECT matched_mmsi FROM final f JOIN sar_scenes s ON s.id = f.scene_id WHERE s.roi = '{ROI}' UNION SELECT candidate_mmsi FROM final f JOIN sar_scenes s ON s.id = f.scene_id WHERE s.roi = '{ROI}')"""))
+_OWN = f"final f JOIN sar_scenes s ON s.id = f.scene_id WHERE s.roi = '{ROI}'"
+#: The fields of an exported line, of all kinds.
+_LINE = """kind string, version int, id string, name string, roi string, sensed_us long, min_lon double, min_lat double, max_lon double, max_lat double, platform string, status string,
+processed_us long, error string, overview_png string, scene_id string, lon double, lat double, confidence double, confidence_bucket string, on_land boolean, match_state string, is_dark boolean,
+matched_mmsi long, candidate_mmsi long, match_distance_m double, match_time_delta_s double, dark_margin_m double, mmsi long, ship_name string, ship_type int, callsign string, updated_us long"""
+_PLACES = {"min_lon": 6, "min_lat": 6, "max_lon": 6, "max_lat": 6, "lon": 6, "lat": 6, "match_distance_m": 3, "dark_margin_m": 3}
+
+
+@query("u05_export", _fuse_sql(f"""SELECT 0 AS rank, NULL::VARCHAR AS k1, 0::BIGINT AS k2, NULL::VARCHAR AS k3, 2 AS n_fields, 'meta' AS kind, 1 AS version
+UNION ALL BY NAME SELECT 1 AS rank, roi AS k1, sensed_us AS k2, id AS k3, 14 AS n_fields, 'scene' AS kind, id, name, roi, sensed_us, round(min_lon, 6) AS min_lon, round(min_lat, 6) AS min_lat,
+  round(max_lon, 6) AS max_lon, round(max_lat, 6) AS max_lat, platform, status, processed_us, error, to_base64(overview_png) AS overview_png FROM sar_scenes WHERE roi = '{ROI}'
+UNION ALL BY NAME SELECT 2 AS rank, f.scene_id AS k1, f.id AS k2, 15 AS n_fields, 'detection' AS kind, f.id::VARCHAR AS id, f.scene_id, round(f.lon, 6) AS lon, round(f.lat, 6) AS lat, confidence, confidence_bucket, on_land,
+  match_state, is_dark, matched_mmsi, candidate_mmsi, round(match_distance_m, 3) AS match_distance_m, match_time_delta_s, round(dark_margin_m, 3) AS dark_margin_m FROM {_OWN}
+UNION ALL BY NAME SELECT 3 AS rank, m.mmsi AS k2, 6 AS n_fields, 'ship' AS kind, m.mmsi, ship_name, ship_type, callsign, updated_us FROM ship_metadata m
+  WHERE m.mmsi IN (SELECT matched_mmsi FROM {_OWN} UNION SELECT candidate_mmsi FROM {_OWN})"""))
 def _export(spark, sf_dir):
+    """Every exported line, taken apart again: the order keys, the number of fields, and all fields."""
     scenes, ships = domain(spark, sf_dir, "sar_scenes", "ship_metadata")
-    return transfer.export_records(scenes.drop("ring"), _stored(spark, sf_dir).detections, ships, [ROI]).select("rank", "k1", "k2", "k3")
+    lines = transfer.export_records(scenes.drop("ring"), _stored(spark, sf_dir).detections, ships, [ROI])
+    fields = F.size(F.json_object_keys("value")).alias("n_fields")
+    out = lines.select("rank", "k1", "k2", "k3", fields, F.from_json("value", _LINE).alias("v")).select("rank", "k1", "k2", "k3", "n_fields", "v.*")
+    return out.withColumns({c: F.round(c, n) for c, n in _PLACES.items()})
 
 
 @query("p02_shaped", oracle(" SELECT id, roi, cast(sensed_us AS VARCHAR) AS sensed_us, NULL::DOUBLE AS chance_rate FROM sar_scenes", "sar_scenes"))
@@ -309,6 +326,16 @@ def _refused(spark, positions, detections, scenes, ships, land):
     return views.skipped_scenes(positions, scenes, registry.regions(spark).select(F.col("name").alias("roi"), "mode"))
 
 
+@query("st23_refuse", _fuse_sql("""SELECT f.id, f.scene_id, f.on_land, f.match_state, f.is_dark, f.matched_mmsi, f.candidate_mmsi, round(f.dark_margin_m, 3) AS dark_margin_m
+FROM final f JOIN sc ON sc.id = f.scene_id JOIN sar_scenes s ON s.id = f.scene_id CROSS JOIN (SELECT min(time_us) AS lo, max(time_us) AS hi FROM ais_positions) x
+WHERE s.status = 'processed' AND sc.mode <> 'survey' AND s.sensed_us - 1800000000 >= lo AND s.sensed_us + 1800000000 <= hi"""))
+@_d(*_DOMAIN)
+def _refused_again(spark, positions, detections, scenes, ships, land):
+    modes = registry.regions(spark).select(F.col("name").alias("roi"), "mode")
+    again, _ = views.refuse(positions, detections, scenes, ships, land, modes, bracket_h=0.5)
+    return again.detections.select("id", "scene_id", "on_land", "match_state", "is_dark", "matched_mmsi", "candidate_mmsi", _r("dark_margin_m", 3))
+
+
 @query("st25_health_report", oracle(f"""{_GATE} SELECT h.min_us, h.max_us, h.gap_us AS last_gap_end_us, fused_ready, survey_ready, 12 AS regions, (SELECT count(*) FROM {_REGIONS} r WHERE CASE WHEN r.mode = 'survey' THEN survey_ready ELSE fused_ready END) AS ready,
 (SELECT string_agg(r.name, ',' ORDER BY r.name) FROM {_REGIONS} r WHERE NOT CASE WHEN r.mode = 'survey' THEN survey_ready ELSE fused_ready END) AS held FROM h, gate""", "ais_positions"))
 @_d("ais_positions")
@@ -369,20 +396,28 @@ def _tile_sql(side: str, tile: int, step: int) -> str:
     return f"(SELECT unnest(CASE WHEN {side} > {tile} THEN generate_series(0, {side} - {tile}, {step}) ELSE [0] END) AS o UNION SELECT greatest({side} - {tile}, 0))"
 
 
-@query("c09_tiles", f"SELECT g.name, x.o AS x_off, y.o AS y_off FROM ({_GRID}) g, LATERAL {_tile_sql('g.width', 800, 640)} x, LATERAL {_tile_sql('g.height', 800, 640)} y")
-def _tiles(spark, sf_dir):
-    return raster.tiles(scheduling.monthly_cost(registry.regions(spark)).select("name", "width", "height"), 800, 160).select("name", "x_off", "y_off")
+def _over_scenes(select: str) -> str:
+    return oracle(f", g AS ({_SCENE_GRID}) {select}", "sar_scenes")
 
 
-@query("c10_windows", f"SELECT g.name, x.o AS x_off, y.o AS y_off FROM ({_GRID}) g, LATERAL {_tile_sql('g.width', 512, 512)} x, LATERAL {_tile_sql('g.height', 512, 512)} y")
-def _windows(spark, sf_dir):
-    return raster.tiles(scheduling.monthly_cost(registry.regions(spark)).select("name", "width", "height"), 512).select("name", "x_off", "y_off")
+@query("c09_tiles", _over_scenes(f"SELECT g.id, x.o AS x_off, y.o AS y_off FROM g, LATERAL {_tile_sql('g.width', 800, 640)} x, LATERAL {_tile_sql('g.height', 800, 640)} y"))
+@_d("sar_scenes")
+def _tiles(spark, scenes):
+    return raster.tiles(scheduling.pass_costs(scenes), 800, 160).select("id", "x_off", "y_off")
+
 
+@query("c10_windows", _over_scenes(f"SELECT g.id, x.o AS x_off, y.o AS y_off FROM g, LATERAL {_tile_sql('g.width', 512, 512)} x, LATERAL {_tile_sql('g.height', 512, 512)} y"))
+@_d("sar_scenes")
+def _windows(spark, scenes):
+    return raster.tiles(scheduling.pass_costs(scenes), 512).select("id", "x_off", "y_off")
 
-@query("c08_spans", f"SELECT name, i * (width // n) + least(i, width % n) AS offset, width // n + CASE WHEN i < width % n THEN 1 ELSE 0 END AS length FROM (SELECT *, unnest(generate_series(0, n - 1)) AS i FROM (SELECT name, width, ceil(width / 2400)::BIGINT AS n FROM ({_GRID})))")
-def _spans(spark, sf_dir):
-    rows = scheduling.monthly_cost(registry.regions(spark)).withColumn("s", F.explode(scheduling.spans(F.col("width"), 2400)))
-    return rows.select("name", "s.offset", "s.length")
+
+@query("c08_spans", _over_scenes("""SELECT id, i * (width // n) + least(i, width % n) AS "offset", width // n + CASE WHEN i < width % n THEN 1 ELSE 0 END AS length
+FROM (SELECT *, unnest(generate_series(0, n - 1)) AS i FROM (SELECT id, width, ceil(width / 2400)::BIGINT AS n FROM g))"""))
+@_d("sar_scenes")
+def _spans(spark, scenes):
+    rows = scheduling.pass_costs(scenes).withColumn("s", F.explode(scheduling.spans(F.col("width"), 2400)))
+    return rows.select("id", "s.offset", "s.length")
 
 
 _PIX = "d.lon, d.lat, s.min_lon, s.min_lat, s.max_lon, s.max_lat"
