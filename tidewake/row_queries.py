@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewake.functions import geo, labels, rings
-from tidewake.operators import overlay, raster, writes
+from tidewake.operators import overlay, raster, stripes, writes
 from tidewake.plans import routes, scheduling, views
 from tidewake.queries import _BOX, _DOMAIN, _GATE, _GRID, _MODES, _ONE, _REGIONS, _SCENE_GRID, LEDGER_NOW, NOW, ROI, _d, _fuse_sql, _held_frame, _r, _stored, query
 from tidewake.sources import ais_json, registry, transfer
@@ -499,6 +499,44 @@ def _located(spark, sf_dir):
     return out.select("scene_id", _r("lon", 9), _r("lat", 9), "confidence")
 
 
+#: Vectors as lines of images: 64 lines an image, digital numbers from the components, a calibration table from every 16th line.
+_IMAGES = """WITH px AS (SELECT vec_id // 64 AS raster, vec_id % 64 AS y, unnest(generate_series(0, 63)) AS x, unnest(embedding)::DOUBLE AS c FROM embeddings),
+t AS (SELECT raster, y AS line, max(40e0 + 100e0 * abs(c)) FILTER (WHERE x = 0) AS a, max(40e0 + 100e0 * abs(c)) FILTER (WHERE x = 31) AS b, max(40e0 + 100e0 * abs(c)) FILTER (WHERE x = 63) AS d FROM px WHERE y % 16 = 0 GROUP BY 1, 2),
+ends AS (SELECT raster, max(y) AS last, greatest(max(y) // 16 * 16 - 16, 0) AS least_line FROM px GROUP BY 1),
+along AS (SELECT raster, line, x, CASE WHEN x <= 31 THEN a + (b - a) * x / 31e0 ELSE b + (d - b) * (x - 31) / 32e0 END AS s FROM t, generate_series(0, 63) g(x)),
+lin AS (SELECT px.raster, px.y, px.x, floor(256e0 * abs(px.c)) AS dn, CASE WHEN floor(256e0 * abs(px.c)) = 0 THEN 0e0 ELSE pow(floor(256e0 * abs(px.c)) / (n.s + coalesce(f.s - n.s, 0e0) * (px.y - n.line) / 16e0), 2) END AS v
+  FROM px JOIN ends e ON e.raster = px.raster JOIN along n ON n.raster = px.raster AND n.x = px.x AND n.line = least(px.y // 16 * 16, e.least_line) LEFT JOIN along f ON f.raster = px.raster AND f.x = px.x AND f.line = n.line + 16),
+spread AS (SELECT raster, var_pop(v) AS var FROM lin GROUP BY 1),
+near AS (SELECT p.raster, p.y, p.x, sum(n.v) / 25e0 AS m, sum(n.v * n.v) / 25e0 AS m2 FROM lin p JOIN ends e ON e.raster = p.raster, generate_series(-2, 2) i(dy), generate_series(-2, 2) j(dx), lin n
+  WHERE n.raster = p.raster AND n.y = least(greatest(p.y + dy, 0), e.last) AND n.x = least(greatest(p.x + dx, 0), 63) GROUP BY 1, 2, 3),
+smooth AS (SELECT lin.raster, lin.y, lin.x, dn, m + greatest(m2 - m * m, 0e0) / (greatest(m2 - m * m, 0e0) + var + 1e-12) * (v - m) AS f FROM lin JOIN near USING (raster, y, x) JOIN spread ON spread.raster = lin.raster),
+lines AS (SELECT raster, y, x, CASE WHEN dn = 0 OR f <= 0 THEN 0 ELSE round_even((greatest(least(10e0 * log10(greatest(f, 1e-300)), 0e0), -25e0) + 25e0) / 25e0 * 255e0, 0)::INT END AS p FROM smooth)"""
+
+
+def _image_lines(spark, sf_dir):
+    """(lines, calibration table) of the images."""
+    v = _table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 64").alias("raster"), (F.col("vec_id") % 64).alias("y"), "embedding")
+    lines = v.select("raster", "y", F.transform("embedding", lambda c: F.floor(F.abs(c.cast("double")) * 256.0).cast("double")).alias("dn"))
+    at = (0, 31, 63)
+    sigmas = F.array(*(F.abs(F.col("embedding")[i].cast("double")) * 100.0 + 40.0 for i in at)).alias("sigmas")
+    return lines, v.filter("y % 16 = 0").select("raster", F.col("y").alias("line"), F.array(*(F.lit(float(i)) for i in at)).alias("pixels"), sigmas)
+
+
+def _joined(c) -> F.Column:
+    return F.array_join(F.transform(c, lambda p: p.cast("string")), ",").alias("pixels")
+
+
+@query("c20_rendered_lines", f"{_IMAGES} SELECT raster, y, string_agg(p, ',' ORDER BY x) AS pixels FROM lines GROUP BY 1, 2")
+def _rendered(spark, sf_dir):
+    return stripes.rendered(*_image_lines(spark, sf_dir), rows=24).select("raster", "y", _joined("pixels"))
+
+
+@query("c19_other_window", f"{_IMAGES} SELECT raster, y, string_agg(round_even((greatest(least(p / 255e0 * 25e0 - 25e0, -3e0), -20e0) + 20e0) / 17e0 * 255e0, 0)::INT, ',' ORDER BY x) AS pixels FROM lines GROUP BY 1, 2")
+def _other_window(spark, sf_dir):
+    out = stripes.rendered(*_image_lines(spark, sf_dir), rows=24)
+    return out.select("raster", "y", _joined(stripes.in_window(F.col("pixels"), (-25.0, 0.0), (-20.0, -3.0))))
+
+
 @query("t15_hold_out", "SELECT c_custkey, CASE WHEN ('0x' || substring(md5(concat('5:', c_custkey)), 1, 13))::BIGINT / 4503599627370496e0 < 0.2e0 THEN 'val' ELSE 'train' END AS split FROM customer")
 def _hold_out(spark, sf_dir):
     return raster.hold_out(_table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", 0.2, 5)
