@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewake.functions import geo, labels, rings
-from tidewake.operators import overlay, raster, stripes, writes
+from tidewake.operators import overlay, raster, regions, stripes, writes
 from tidewake.plans import routes, scheduling, views
 from tidewake.queries import _BOX, _DOMAIN, _GATE, _GRID, _MODES, _ONE, _REGIONS, _SCENE_GRID, LEDGER_NOW, NOW, ROI, _d, _fuse_sql, _held_frame, _r, _stored, query
 from tidewake.sources import ais_json, registry, transfer
@@ -537,6 +537,41 @@ def _other_window(spark, sf_dir):
     return out.select("raster", "y", _joined(stripes.in_window(F.col("pixels"), (-25.0, 0.0), (-20.0, -3.0))))
 
 
+#: Connected bright pixels of the images, by walking from every pixel to its neighbours, and their boxes.
+_REGION_BOXES = f"""{_IMAGES.replace("WITH px", "WITH RECURSIVE px", 1)},
+bright AS (SELECT raster, y, x, p FROM lines WHERE p >= 216),
+reach AS (SELECT raster, y, x, y * 64 + x AS root FROM bright
+  UNION SELECT b.raster, b.y, b.x, r.root FROM reach r JOIN bright b ON b.raster = r.raster AND abs(b.y - r.y) + abs(b.x - r.x) = 1),
+named AS (SELECT raster, y, x, min(root) AS root FROM reach GROUP BY 1, 2, 3),
+boxes AS (SELECT raster, min(x)::DOUBLE AS x1, min(y)::DOUBLE AS y1, max(x) + 1e0 AS x2, max(y) + 1e0 AS y2, count(*) AS n, sum(p)::DOUBLE / count(*) / 255e0 AS confidence
+  FROM named JOIN bright USING (raster, y, x) GROUP BY raster, root HAVING count(*) >= 4)"""
+
+
+def _image_regions(spark, sf_dir):
+    return regions.bright_regions(stripes.rendered(*_image_lines(spark, sf_dir), rows=24), 216, rows=24)
+
+
+@query("c15_regions_over_seams", f"{_REGION_BOXES} SELECT * FROM boxes")
+def _regions_over_seams(spark, sf_dir):
+    return _image_regions(spark, sf_dir)
+
+
+@query(
+    "c12_merged_boxes",
+    f"""{_REGION_BOXES},
+placed AS (SELECT *, row_number() OVER (PARTITION BY raster ORDER BY confidence DESC, y1, x1, y2, x2) AS i FROM boxes),
+walk AS (SELECT DISTINCT raster, 0::BIGINT AS i, []::STRUCT(x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE, confidence DOUBLE)[] AS kept FROM placed
+  UNION ALL SELECT b.raster, b.i, CASE WHEN len([k FOR k IN w.kept IF sqrt(pow((k.x1 + k.x2) / 2 - (b.x1 + b.x2) / 2, 2) + pow((k.y1 + k.y2) / 2 - (b.y1 + b.y2) / 2, 2)) < 6e0
+    OR greatest(least(k.x2, b.x2) - greatest(k.x1, b.x1), 0) * greatest(least(k.y2, b.y2) - greatest(k.y1, b.y1), 0) * 1.5e0 >= 0.5e0 * ((k.x2 - k.x1) * (k.y2 - k.y1) + (b.x2 - b.x1) * (b.y2 - b.y1))]) > 0
+    THEN w.kept ELSE list_append(w.kept, {{'x1': b.x1, 'y1': b.y1, 'x2': b.x2, 'y2': b.y2, 'confidence': b.confidence}}) END
+  FROM walk w JOIN placed b ON b.raster = w.raster AND b.i = w.i + 1),
+ended AS (SELECT raster, unnest(kept, recursive := true) FROM walk QUALIFY row_number() OVER (PARTITION BY raster ORDER BY i DESC) = 1)
+SELECT raster, x1, y1, x2, y2, confidence FROM ended""",
+)
+def _merged_boxes(spark, sf_dir):
+    return regions.suppress_by_rounds(_image_regions(spark, sf_dir), "raster", min_px=6.0)
+
+
 @query("t15_hold_out", "SELECT c_custkey, CASE WHEN ('0x' || substring(md5(concat('5:', c_custkey)), 1, 13))::BIGINT / 4503599627370496e0 < 0.2e0 THEN 'val' ELSE 'train' END AS split FROM customer")
 def _hold_out(spark, sf_dir):
     return raster.hold_out(_table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", 0.2, 5)
