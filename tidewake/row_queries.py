@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidewake.functions import geo, labels, rings
 from tidewake.operators import overlay, raster, regions, stripes, writes
 from tidewake.plans import routes, scheduling, views
 from tidewake.queries import _BOX, _DOMAIN, _GATE, _GRID, _MODES, _ONE, _REGIONS, _SCENE_GRID, LEDGER_NOW, NOW, ROI, _d, _fuse_sql, _held_frame, _r, _stored, query
-from tidewake.sources import ais_json, registry, transfer
+from tidewake.session import shared_folder
+from tidewake.sources import ais_json, registry, transfer, versions
 from tidewake.sources.adapter import domain, oracle
 from tidewake.streaming import ingest
 
@@ -217,6 +220,28 @@ def _export(spark, sf_dir):
     return out.withColumns({c: F.round(c, n) for c, n in _PLACES.items()})
 
 
+_TAKEN = f"(SELECT id FROM sar_scenes WHERE roi = '{ROI}')"
+
+
+@query("d13_import", oracle(f""" SELECT 'scene' AS kind, id AS ref, CASE WHEN roi = '{ROI}' THEN 'imported' ELSE status END AS told, sensed_us AS at FROM sar_scenes
+UNION ALL SELECT 'detection', (id + CASE WHEN scene_id IN {_TAKEN} THEN 1000000000 ELSE 0 END)::VARCHAR, scene_id, id FROM sar_detections
+UNION ALL SELECT 'ship', mmsi::VARCHAR, CASE WHEN mmsi IN (SELECT id FROM sar_detections WHERE scene_id IN {_TAKEN}) THEN 'NEW' ELSE callsign END, updated_us + CASE WHEN mmsi IN (SELECT id FROM sar_detections WHERE scene_id IN {_TAKEN}) THEN 5 ELSE 0 END FROM ship_metadata""", "ais_positions", "sar_scenes", "sar_detections", "ship_metadata"))
+@_d("sar_scenes", "sar_detections", "ship_metadata")
+def _import(spark, scenes, detections, ships):
+    """A region's scenes, detections and vessels, exported elsewhere with other values, over the stored tables."""
+    root = f"{shared_folder(spark)}/tidewake-import-{uuid.uuid4().hex}"
+    scenes, detections = scenes.drop("ring"), detections.withColumns({"matched_mmsi": F.col("id"), "candidate_mmsi": F.lit(None).cast("long")})
+    versions.replace(spark, root, {"scenes": scenes, "detections": detections, "ships": ships})
+    theirs = scenes.withColumn("status", F.lit("imported")), detections.withColumn("id", F.col("id") + 1_000_000_000), ships.withColumns({"callsign": F.lit("NEW"), "updated_us": F.col("updated_us") + 5})
+    transfer.write_records(transfer.export_records(*theirs, [ROI]), f"{root}/export")
+    records = transfer.read_records(spark, f"{root}/export", *(", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) for df in (scenes, detections, ships)))
+    _, version = versions.import_records(spark, root, records, force=True)
+    s, d, v = (versions.read(spark, root, t, version) for t in ("scenes", "detections", "ships"))
+    parts = (("scene", s, "id", "status", "sensed_us"), ("detection", d, "id", "scene_id", "matched_mmsi"), ("ship", v, "mmsi", "callsign", "updated_us"))
+    s, d, v = (df.select(F.lit(kind).alias("kind"), F.col(ref).cast("string").alias("ref"), F.col(told).alias("told"), F.col(at).cast("long").alias("at")) for kind, df, ref, told, at in parts)
+    return s.union(d).union(v)
+
+
 @query("p02_shaped", oracle(" SELECT id, roi, cast(sensed_us AS VARCHAR) AS sensed_us, NULL::DOUBLE AS chance_rate FROM sar_scenes", "sar_scenes"))
 @_d("sar_scenes")
 def _shaped(spark, scenes):

@@ -5,10 +5,11 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidewake.sources import ais_json
 
+_DAY = 86_400_000_000
 _IDENTITY = ("ship_name", "ship_type", "callsign")
 
 
@@ -27,7 +28,7 @@ def start_positions(stream: DataFrame, out: str, checkpoint: str, dead_letters:
 
     def write(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
-        rows = ais_json.positions(ais_json.decode(batch)).withColumn("day", F.floor(F.col("time_us") / 86_400_000_000).cast("long"))
+        rows = ais_json.positions(ais_json.decode(batch)).withColumn("day", F.floor(F.col("time_us") / _DAY).cast("long"))
         rows.write.mode("overwrite").partitionBy("day").parquet(f"{out}/batch={number}")
         if dead_letters:
             bad = batch.filter(F.get_json_object("value", "$.MessageType").isNull())
@@ -41,27 +42,64 @@ def read_positions(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
-def _latest(key, batches, state: GroupState):
-    """Newer messages fill what they know; a message not newer than the last is ignored."""
-    held = list(state.get) if state.exists else [None, None, None, None]
-    for pdf in batches:
-        for r in pdf.sort_values("seq").itertuples():
-            if held[0] is not None and r.time_us <= held[0]:
-                continue
-            held[0] = int(r.time_us)
-            for i, c in enumerate(_IDENTITY, 1):
-                v = getattr(r, c)
-                if not pd.isna(v):
-                    held[i] = int(v) if c == "ship_type" else v
-    state.update(tuple(held))
-    yield pd.DataFrame({"mmsi": [key[0]], "updated_us": [held[0]], "ship_name": [held[1]], "ship_type": pd.array([held[2]], "Int32"), "callsign": [held[3]]})
+def drop_days(spark: SparkSession, out: str, now_us: int, days: int) -> int:
+    """Delete the day folders of ``start_positions`` whose every row retention drops; their number.
 
-
-def latest_identities(stream: DataFrame) -> DataFrame:
-    """Keyed state per vessel over (mmsi, seq, time_us, identity columns); seq is the order of arrival."""
-    out = "mmsi long, updated_us long, ship_name string, ship_type int, callsign string"
-    state = "updated_us long, ship_name string, ship_type int, callsign string"
-    return stream.groupBy("mmsi").applyInPandasWithState(_latest, out, state, "update", GroupStateTimeout.NoTimeout)
+    The day that holds the limit stays: ``retain`` leaves its older rows out when it is read.
+    """
+    first = (now_us - days * _DAY) // _DAY
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/batch=*/day=*")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    old = [f.getPath() for f in fs.globStatus(path) or [] if (day := f.getPath().getName()[4:]).lstrip("-").isdigit() and int(day) < first]
+    for p in old:
+        fs.delete(p, True)
+    return len(old)
+
+
+_STATE = "updated_us long, ship_name string, ship_type int, callsign string"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Latest(StatefulProcessor):
+    """Newer messages fill what they know; a message not newer than all before it is ignored."""
+
+    def __init__(self, forget_after_s: float | None):
+        self.ttl_ms = None if forget_after_s is None else int(forget_after_s * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("held", _STATE, self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = pd.concat(list(rows)).sort_values("seq", kind="stable").dropna(subset=["time_us"])
+        old = self.held.get() if self.held.exists() else None
+        before = new["time_us"].cummax().shift()
+        if old is not None:
+            before = before.fillna(old[0]).clip(lower=old[0])
+        live = new[before.isna() | (new["time_us"] > before)]
+        if len(live):
+            known = [live[c].dropna() for c in _IDENTITY]
+            said = [v.iloc[-1] if len(v) else (old[i] if old is not None else None) for i, v in enumerate(known, 1)]
+            row = (int(live["time_us"].iloc[-1]), said[0], None if said[1] is None else int(said[1]), said[2])
+            self.held.update(row)
+            yield pd.DataFrame({"mmsi": [key[0]], "updated_us": [row[0]], "ship_name": [row[1]], "ship_type": pd.array([row[2]], "Int32"), "callsign": [row[3]]})
+
+    def close(self) -> None:
+        pass
+
+
+def latest_identities(stream: DataFrame, forget_after_s: float | None = None) -> DataFrame:
+    """Keyed state per vessel over (mmsi, seq, time_us, identity columns); seq is the order of arrival.
+
+    A row is put out whenever a vessel's identity becomes newer. With ``forget_after_s``, the state of a
+    vessel that has told nothing new for so long (by the clock) goes, and it is a new one when it comes
+    back. Messages without a time are ignored. Sets the session's state store to RocksDB,
+    which this kind of state needs; queries that have started keep theirs. Where state can be
+    forgotten, batches without rows go on by the clock: for a trigger that ends (availableNow),
+    turn ``spark.sql.streaming.noDataMicroBatches.enabled`` off.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
+    mode = "None" if forget_after_s is None else "ProcessingTime"
+    return stream.groupBy("mmsi").transformWithStateInPandas(_Latest(forget_after_s), f"mmsi long, {_STATE}", "update", mode)
 
 
 def latest_identities_batch(messages: DataFrame) -> DataFrame:
@@ -75,7 +113,7 @@ def latest_identities_batch(messages: DataFrame) -> DataFrame:
 
 def retain(positions: DataFrame, now_us: int, days: int) -> DataFrame:
     """Rows that retention keeps: only strictly older ones go."""
-    return positions.filter(F.col("time_us") >= now_us - days * 86_400_000_000)
+    return positions.filter(F.col("time_us") >= now_us - days * _DAY)
 
 
 def backoff(attempt: int, connected_s: float = 0.0, first: float = 1.0, most: float = 30.0) -> float:
