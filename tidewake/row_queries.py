@@ -289,7 +289,7 @@ covered AS (SELECT id AS anchor, coalesce(u.area, 0e0) / (({_BX['max_lon']} - {_
 def _coverage(spark, scenes):
     """Coverage of one box, in which all footprints of the test tables lie, for every region's passes."""
     boxes = registry.regions(spark).select("name", *(F.lit(float(_TAIWAN[f"sar_{c}"])).alias(f"sar_{c}") for c in ("min_lon", "min_lat", "max_lon", "max_lat")))
-    return scheduling.coverage(scheduling.mosaics(scenes), boxes)
+    return scheduling.scene_coverage(scenes, boxes)
 
 
 @query("a11_coverage", oracle(f", {_COVERED} SELECT anchor, round(coverage, 9) AS coverage FROM covered", "sar_scenes"))
