@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tidewake.functions import rings
 from tidewake.operators import overlay
 from tidewake.plans import scheduling, views
 
@@ -13,6 +14,12 @@ _BOX_COLUMNS = "min_lon double, min_lat double, max_lon double, max_lat double"
 _RING = "array<struct<lon: double, lat: double>>"
 
 
+def test_points_on_a_slanting_edge_are_covered(spark):
+    df = spark.createDataFrame([(list(_SLANT), 121.1114, 24.990099999999998), (list(_SLANT), 121.1114, 24.9900), (list(_SLANT), 122.23, 25.5), (list(_SLANT), 121.5, 25.5)], f"ring {_RING}, x double, y double")
+    got = [r[0] for r in df.select(rings.covers(F.col("ring"), F.col("x"), F.col("y"))).collect()]
+    assert got == [True, False, True, True]
+
+
 def test_one_mosaic_is_united_once(spark, monkeypatch):
     square = lambda side: [(0.0, 0.0), (side, 0.0), (side, 10.0), (0.0, 10.0), (0.0, 0.0)]
     rows = [("r", f"a{k:02}", 0, square(9.0 - k % 2)) for k in range(20)] + [("r", f"b{k:02}", 300_000_000, square(4.0)) for k in range(20)] + [("r", "c", 90_000_000_000, None)]

@@ -90,17 +90,29 @@ def _edges(ring: Column) -> Column:
 
 
 def covers(ring: Column, lon: Column, lat: Column, holes: Column | None = None) -> Column:
-    """Point in ring (even-odd), boundary included; what lies within a hole is outside, its edge is not."""
+    """Point in ring (even-odd), boundary included; what lies within a hole is outside, its edge is not.
+
+    An edge is taken from west to east and the point's latitude is led back along it, so both
+    tests round alike and a point on a slanting edge isn't lost between them.
+    """
     edges = _edges(ring) if holes is None else F.concat(_edges(ring), F.flatten(F.transform(holes, _edges)))
 
+    def led_back(e: Column) -> tuple[Column, Column]:
+        """The point's latitude less the edge's rise up to it (null for an upright edge), and the latitude of the edge's west end."""
+        px, py, qx, qy = e["p"]["lon"], e["p"]["lat"], e["q"]["lon"], e["q"]["lat"]
+        east = px <= qx
+        west_lat, rise = F.when(east, py).otherwise(qy), F.when(east, qy - py).otherwise(py - qy)
+        return lat - rise * ((lon - F.least(px, qx)) / F.nullif(F.abs(qx - px), F.lit(0.0))), west_lat
+
     def on_edge(e: Column) -> Column:
         px, py, qx, qy = e["p"]["lon"], e["p"]["lat"], e["q"]["lon"], e["q"]["lat"]
-        cross = (qx - px) * (lat - py) - (qy - py) * (lon - px)
-        return (cross == 0) & lon.between(F.least(px, qx), F.greatest(px, qx)) & lat.between(F.least(py, qy), F.greatest(py, qy))
+        at, west_lat = led_back(e)
+        corner, upright = (lon == px) & (lat == py), (px == qx) & (lon == px) & lat.between(F.least(py, qy), F.greatest(py, qy))
+        return corner | upright | (lon.between(F.least(px, qx), F.greatest(px, qx)) & F.coalesce(at == west_lat, F.lit(False)))
 
     def crosses(e: Column) -> Column:
-        px, py, qx, qy = e["p"]["lon"], e["p"]["lat"], e["q"]["lon"], e["q"]["lat"]
-        return ((py > lat) != (qy > lat)) & (lon < (qx - px) * (lat - py) / (qy - py) + px)
+        at, west_lat = led_back(e)
+        return ((e["p"]["lon"] > lon) != (e["q"]["lon"] > lon)) & F.coalesce(at < west_lat, F.lit(False))
 
     odd = F.size(F.filter(edges, crosses)) % 2 == 1
     return F.exists(edges, on_edge) | odd
