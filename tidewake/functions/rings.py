@@ -120,6 +120,11 @@ def covers(ring: Column, lon: Column, lat: Column, holes: Column | None = None)
 
 def distance(ring: Column, lon: str, lat: str, holes: Column | None = None) -> Column:
     """Metres to the closed polygon, 0 inside: to the nearest point of any edge, edges straight in degrees."""
+    return F.when(covers(ring, F.col(lon), F.col(lat), holes), F.lit(0.0)).otherwise(edge_distance(ring, lon, lat, holes))
+
+
+def edge_distance(ring: Column, lon: str, lat: str, holes: Column | None = None) -> Column:
+    """Metres to the nearest point of any edge, from inside and outside alike."""
     edges = _edges(ring) if holes is None else F.concat(_edges(ring), F.flatten(F.transform(holes, _edges)))
     kx, ky = F.expr(f"{geo.prime_radius(lat)} * cos(radians({lat}))"), F.expr(geo.meridian_radius(lat))
     x, y = F.col(lon), F.col(lat)
@@ -132,7 +137,7 @@ def distance(ring: Column, lon: str, lat: str, holes: Column | None = None) -> C
         return F.struct((e["p"]["lon"] + t * dx).alias("lon"), (e["p"]["lat"] + t * dy).alias("lat"))
 
     metres = lambda f: geo.distance_columns(x, y, f["lon"], f["lat"])
-    return F.when(covers(ring, x, y, holes), F.lit(0.0)).otherwise(F.array_min(F.transform(F.transform(edges, foot), metres)))
+    return F.array_min(F.transform(F.transform(edges, foot), metres))
 
 
 def _metres(lon1: np.ndarray, lat1: np.ndarray, lon2: np.ndarray, lat2: np.ndarray) -> np.ndarray:

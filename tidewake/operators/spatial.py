@@ -74,14 +74,20 @@ def box_cells(box: tuple[str, str, str, str], pad_m: float, side: float) -> tupl
     return F.sequence(cell(x0 - d_lon, side), cell(x1 + d_lon, side)), F.sequence(cell(y0 - d_lat, side), cell(y1 + d_lat, side))
 
 
-def _in_buckets(facts: DataFrame, max_age_us: int) -> tuple[DataFrame, int]:
-    """Facts by buckets of time ``_b``, each with the facts up to ``max_age_us`` outside it; and the bucket's width."""
-    width = 2 * max(1, max_age_us)
-    bucket = lambda c: F.floor(c / F.lit(width)).cast("long")
-    return facts.withColumn("_b", F.explode(F.sequence(bucket(F.col("time_us") - max_age_us), bucket(F.col("time_us") + max_age_us)))), width
+#: Width of the buckets of time in which a key's facts are ordered, and of those in which they are looked through, in greatest ages.
+_ORDERED, _LOOKED = 8, 2
 
 
-def reigns(facts: DataFrame, key: str, max_age_us: int, side: float = 2.0) -> DataFrame:
+def _bucket(us: Column, width: int) -> Column:
+    return F.floor(us / F.lit(width)).cast("long")
+
+
+def _buckets_around(us: str, max_age_us: int, width: int) -> Column:
+    """The buckets of time that an instant and ``max_age_us`` on both sides of it touch."""
+    return F.explode(F.sequence(_bucket(F.col(us) - max_age_us, width), _bucket(F.col(us) + max_age_us, width)))
+
+
+def reigns(facts: DataFrame, key: str, max_age_us: int, side: float = 2.0, instants: DataFrame | None = None) -> DataFrame:
     """Facts with the span of instants, ``_from`` to ``_to``, for which each is its key's nearest in time.
 
     A key's facts are dealt out in buckets of time, each with the facts up to ``max_age_us``
@@ -90,9 +96,13 @@ def reigns(facts: DataFrame, key: str, max_age_us: int, side: float = 2.0) -> Da
     of a key at most, and a key with very many facts is ordered in many pieces. Of facts at one
     time the one with the smallest id stands for all. ``_cells`` are the cells of ``side``
     degrees in which the key has facts in and around the bucket, ``_several`` tells whether
-    there is more than one place, ``_extent`` is the box of all of them.
+    there is more than one place, ``_extent`` is the box of all of them. With ``instants``
+    (sensed_us) only buckets that hold one of them are made. A bucket is wide, so few facts are in two of them.
     """
-    near, width = _in_buckets(facts, max_age_us)
+    width = _ORDERED * max(1, max_age_us)
+    near = facts.withColumn("_b", _buckets_around("time_us", max_age_us, width))
+    if instants is not None:
+        near = near.join(F.broadcast(instants.select(_bucket(F.col("sensed_us"), width).alias("_b")).distinct()), "_b", "left_semi")
     near = near.repartition(key, "_b")  # the only shuffle: facts are narrow, what is gathered from them isn't
     rest = [c for c in facts.columns if c not in (key, "time_us", "id")]
     place = F.struct(cell(F.col("lon"), side).alias("x"), cell(F.col("lat"), side).alias("y"))
@@ -145,7 +155,7 @@ def nearest_spans(facts: DataFrame, instants: DataFrame, key: str, max_age_us: i
     slot = lambda c: F.floor(c / F.lit(max(1, 2 * max_age_us // slots))).cast("long")
     base = [instant_key, "sensed_us", *(area or ())]
     on, i = ["_s", "_salt"], instants.select(*base).withColumn("_s", slot(F.col("sensed_us"))).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    spans = reigns(facts, key, max_age_us, side).withColumn("_s", F.explode(F.sequence(slot(F.col("_from")), slot(F.col("_to"))))).withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
+    spans = reigns(facts, key, max_age_us, side, instants).withColumn("_s", F.explode(F.sequence(slot(F.col("_from")), slot(F.col("_to"))))).withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
     if area is not None:
         xs, ys = box_cells(area, pad_m, side)
         i = i.withColumn("_xs", xs).withColumn("_ys", ys).withColumn("_x", F.explode("_xs")).withColumn("_y", F.explode("_ys"))
@@ -160,9 +170,11 @@ def nearest_spans(facts: DataFrame, instants: DataFrame, key: str, max_age_us: i
 
 def look_through(asked: DataFrame, facts: DataFrame, key: str, max_age_us: int, instant_key: str, within: Column) -> DataFrame:
     """Per row of ``asked`` (``key``, ``instant_key``, sensed_us and what ``within`` reads), the nearest in time of all the key's facts that are ``within``."""
-    around, width = _in_buckets(facts, max_age_us)
+    asked, width = stable(asked), _LOOKED * max(1, max_age_us)
+    # the few that are asked are put in every bucket they may need, facts of the keys that are asked for in their own
+    around = facts.join(stable(asked.select(key).distinct()), key, "left_semi").withColumn("_b", _bucket(F.col("time_us"), width))
     age = F.abs(F.col("time_us") - F.col("sensed_us"))
-    others = asked.withColumn("_b", F.floor(F.col("sensed_us") / F.lit(width)).cast("long")).join(around, [key, "_b"]).filter(age <= max_age_us).filter(within)
+    others = asked.withColumn("_b", _buckets_around("sensed_us", max_age_us, width)).join(around, [key, "_b"]).filter(age <= max_age_us).filter(within)
     # twice the distance in time, odd after the instant: the earlier of two equally far ones is less
     rank = age * 2 + F.when(F.col("time_us") > F.col("sensed_us"), 1).otherwise(0)
     rows = [c for c in dict.fromkeys([*asked.columns, *facts.columns]) if c != "_b"]

@@ -168,8 +168,8 @@ def _fuse_sql(tail: str) -> str:
     return oracle(_FUSE + tail, *_DOMAIN)
 
 
-def _fused(spark, positions, detections, scenes, ships, land):
-    return fusion.fuse(positions, detections, scenes, ships, land, registry.regions(spark).select(F.col("name").alias("roi"), "mode"))
+def _fused(spark, positions, detections, scenes, ships, land, summary=True):
+    return fusion.fuse(positions, detections, scenes, ships, land, registry.regions(spark).select(F.col("name").alias("roi"), "mode"), summary=summary)
 
 
 def _stored(spark, sf_dir):
@@ -188,7 +188,7 @@ def _inputs(spark, positions, detections, scenes, land):
 @query("fusion", _fuse_sql("SELECT id, scene_id, round(lon, 6) AS lon, round(lat, 6) AS lat, confidence, confidence_bucket, on_land, match_state, is_dark, matched_mmsi, candidate_mmsi, round(match_distance_m, 3) AS match_distance_m, match_time_delta_s, round(dark_margin_m, 3) AS dark_margin_m FROM final"))
 @_d(*_DOMAIN)
 def flagship(spark, *t):
-    out = _fused(spark, *t).detections
+    out = _fused(spark, *t, summary=False).detections
     return out.select("id", "scene_id", _r("lon", 6), _r("lat", 6), "confidence", "confidence_bucket", "on_land", "match_state", "is_dark", "matched_mmsi", "candidate_mmsi", _r("match_distance_m", 3), "match_time_delta_s", _r("dark_margin_m", 3))
 
 
@@ -221,28 +221,34 @@ def _pairs(spark, positions, detections, scenes, ships, land):
 @_d(*_DOMAIN)
 def _assignment(spark, positions, detections, scenes, ships, land):
     _, sea, _, fixes, seen = _inputs(spark, positions, detections, scenes, land)
-    return assign_one_to_one(fusion.contested_pairs(sea, fixes, seen=seen)).select("scene_id", "det_id", "mmsi", _r("distance_m", 3))
+    (won,) = fusion.in_waves(fixes, seen, lambda f, s, of: assign_one_to_one(fusion.contested_pairs(of(sea), f, seen=s)))
+    return won.select("scene_id", "det_id", "mmsi", _r("distance_m", 3))
 
 
 @query("j07_dark_margins", _fuse_sql("SELECT scene_id, det_id, round(margin_m, 3) AS margin_m, nearest_mmsi FROM margins"))
 @_d(*_DOMAIN)
 def _margins(spark, positions, detections, scenes, ships, land):
     _, sea, _, fixes, seen = _inputs(spark, positions, detections, scenes, land)
-    return fusion.dark_margins(sea, fixes, seen).select("scene_id", "det_id", _r("margin_m", 3), "nearest_mmsi")
+    (margins,) = fusion.in_waves(fixes, seen, lambda f, s, of: fusion.dark_margins(of(sea), f, s))
+    return margins.select("scene_id", "det_id", _r("margin_m", 3), "nearest_mmsi")
 
 
 @query("a25_chance_rate", _fuse_sql("SELECT scene_id, probes, probe_hits, round(chance_rate, 9) AS chance_rate FROM chance"))
 @_d(*_DOMAIN)
 def _chance(spark, positions, detections, scenes, ships, land):
     every, sea, s, fixes, seen = _inputs(spark, positions, detections, scenes, land)
-    return fusion.chance_rates(sea, every, fixes, s, land, seen=seen).select("scene_id", "probes", "probe_hits", _r("chance_rate", 9))
+    (rates,) = fusion.in_waves(fixes, seen, lambda f, sights, of: fusion.chance_rates(of(sea), of(every), f, s, land, seen=sights))
+    return rates.select("scene_id", "probes", "probe_hits", _r("chance_rate", 9))
 
 
 @query("a24_large_recall", _fuse_sql("SELECT * FROM recall"))
 @_d(*_DOMAIN)
 def _recall(spark, positions, detections, scenes, ships, land):
+    positions = positions.join(fusion.large_ships(ships, positions).select("mmsi"), "mmsi", "left_semi")  # each vessel's fix is found by its own
     _, sea, s, fixes, seen = _inputs(spark, positions, detections, scenes, land)
-    return fusion.large_recall(sea, fixes, s, ships, seen=seen)
+    s = s.withColumn("scene_id", F.col("id"))
+    (recall,) = fusion.in_waves(fixes, seen, lambda f, sights, of: fusion.large_recall(of(sea), f, of(s), ships, seen=sights))
+    return recall
 
 
 @query("j09_land_mask", _fuse_sql("SELECT id, scene_id, on_land FROM ev"))

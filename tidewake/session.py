@@ -76,7 +76,7 @@ def stable(df: DataFrame) -> DataFrame:
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
@@ -88,14 +88,20 @@ def stable(df: DataFrame) -> DataFrame:
 
 def settled(make: Callable[[], DataFrame]) -> DataFrame:
     """What ``make`` returns, as ``stable``; the tables that it wrote on the way are removed."""
+    out = only_on_the_way(lambda: stable(make()))
+    if _ON_THE_WAY:
+        _ON_THE_WAY[-1].append(out)
+    return out
+
+
+def only_on_the_way[T](make: Callable[[], T]) -> T:
+    """What ``make`` returns; all tables that ``stable`` wrote in it are removed, but for the one that it returns."""
     _ON_THE_WAY.append([])
     out = None
     try:
-        out = stable(make())
+        out = make()
     finally:
         discard(*(t for t in _ON_THE_WAY.pop() if t is not out))
-    if _ON_THE_WAY:
-        _ON_THE_WAY[-1].append(out)
     return out
 
 
