@@ -48,17 +48,42 @@ def within_distance(left: DataFrame, right: DataFrame, radius: Column, on: list[
     return joined.drop("_lx", "_ly")
 
 
+def _over_cells(boxes: DataFrame, metres: float, side: float) -> DataFrame:
+    """Boxes, with ring and holes where there are, as ``_``-columns in every cell that ``metres`` around them touch."""
+    pad_lat = metres / 110_000.0
+    b = boxes.select(*(F.col(c).alias(f"_{c}") for c in ("min_lon", "min_lat", "max_lon", "max_lat", "ring", "holes") if c in boxes.columns))
+    pad_lon = F.lit(pad_lat) / F.cos(F.radians(F.least(F.greatest(F.abs("_min_lat"), F.abs("_max_lat")) + pad_lat, F.lit(89.0))))
+    b = b.withColumn("_cx", F.explode(F.sequence(cell(F.col("_min_lon") - pad_lon, side), cell(F.col("_max_lon") + pad_lon, side))))
+    return b.withColumn("_cy", F.explode(F.sequence(cell(F.col("_min_lat") - pad_lat, side), cell(F.col("_max_lat") + pad_lat, side))))
+
+
+def told_near_boxes(points: DataFrame, boxes: DataFrame, metres: float, out: str, side: float = 0.05, names: tuple[str, str] = ("lon", "lat")) -> DataFrame:
+    """``points`` with ``out``: whether any of ``boxes`` is within ``metres``, as in ``near_boxes``.
+
+    A cell's polygons are one row, so each point is judged where it stands and needs no id.
+    """
+    lon, lat = (F.col(n) for n in names)
+    b = _over_cells(boxes, metres, side)
+    own = b.groupBy("_cx", "_cy").agg(F.collect_list(F.struct(*(c for c in b.columns if c not in ("_cx", "_cy")))).alias("_polygons"))
+
+    def near(p: Column) -> Column:
+        clamped = (F.least(F.greatest(lon, p["_min_lon"]), p["_max_lon"]), F.least(F.greatest(lat, p["_min_lat"]), p["_max_lat"]))
+        close = geo.distance_columns(lon, lat, *clamped) <= metres
+        if "_ring" in b.columns:
+            close = close & (p["_ring"].isNull() | (rings.distance(p["_ring"], *names, p["_holes"] if "_holes" in b.columns else None) <= metres))
+        return close
+
+    met = points.join(own, (cell(lon, side) == F.col("_cx")) & (cell(lat, side) == F.col("_cy")), "left")
+    return met.withColumn(out, F.coalesce(F.exists("_polygons", near), F.lit(False))).drop("_cx", "_cy", "_polygons")
+
+
 def near_boxes(points: DataFrame, boxes: DataFrame, metres: float, how: str = "left_semi", side: float = 0.05, names: tuple[str, str] = ("lon", "lat")) -> DataFrame:
     """Points within ``metres`` of any box (min_lon, min_lat, max_lon, max_lat), or of none with left_anti.
 
     A row with a ring (and holes) stands for that polygon: its box only finds the candidates.
     """
     lon, lat = names
-    pad_lat = metres / 110_000.0
-    b = boxes.select(*(F.col(c).alias(f"_{c}") for c in ("min_lon", "min_lat", "max_lon", "max_lat", "ring", "holes") if c in boxes.columns))
-    pad_lon = F.lit(pad_lat) / F.cos(F.radians(F.least(F.greatest(F.abs("_min_lat"), F.abs("_max_lat")) + pad_lat, F.lit(89.0))))
-    b = b.withColumn("_cx", F.explode(F.sequence(cell(F.col("_min_lon") - pad_lon, side), cell(F.col("_max_lon") + pad_lon, side))))
-    b = b.withColumn("_cy", F.explode(F.sequence(cell(F.col("_min_lat") - pad_lat, side), cell(F.col("_max_lat") + pad_lat, side))))
+    b = _over_cells(boxes, metres, side)
     near = F.expr(f"{geo.distance_to_box(lon, lat, ('_min_lon', '_min_lat', '_max_lon', '_max_lat'))} <= {metres!r}")
     if "_ring" in b.columns:
         holes = F.col("_holes") if "_holes" in b.columns else None

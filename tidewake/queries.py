@@ -44,10 +44,10 @@ def query(name: str, sql: str | None = None):
 
 
 def _d(*names):
-    """Decorator: pass the named domain tables."""
+    """Decorator: pass the named domain tables; to a fusion's queries, footprints by box and tilt."""
 
     def wrap(f):
-        return lambda spark, sf_dir: f(spark, *domain(spark, sf_dir, *names))
+        return lambda spark, sf_dir: f(spark, *domain(spark, sf_dir, *names, sheared=names == _DOMAIN))
 
     return wrap
 
@@ -174,7 +174,7 @@ def _fused(spark, positions, detections, scenes, ships, land, summary=True):
 
 def _stored(spark, sf_dir):
     """Fused detections and scenes of a folder, written once per session in the shared folder, by scene."""
-    return store.stored(spark, sf_dir, lambda: _fused(spark, *domain(spark, sf_dir, *_DOMAIN)))
+    return store.stored(spark, sf_dir, lambda: _fused(spark, *domain(spark, sf_dir, *_DOMAIN, sheared=True)))
 
 
 def _inputs(spark, positions, detections, scenes, land):
